@@ -1,0 +1,108 @@
+"""Exact dedup, mixing and personal data against brute force."""
+
+import hashlib
+import re
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
+from retrospark.llm import exact_dedup, mixing, pii, queries
+from tests.conftest import SF
+
+SCHEMA = "doc_id long, text string, lang string, source string, keep_id string, copies string"
+
+
+def rows(spark, *texts, source="s"):
+    return spark.createDataFrame([(i, t, "en", source, "x", "y") for i, t in enumerate(texts)], SCHEMA)
+
+
+def test_exact_dedup_cases(spark):
+    df = rows(spark, "a", "b", "a", None, "", "x" * 300_000, "x" * 300_000).union(spark.createDataFrame([(None, "n", None, None, None, None)], SCHEMA))
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df).collect()}
+    assert got == {0: (2, 2, False), 1: (1, 1, True), 2: (2, 2, True), 3: (4, 2, False), 4: (4, 2, True), 5: (6, 2, False), 6: (6, 2, True), None: (None, 1, True)}
+    assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
+    kept = exact_dedup.drop_copies(df.union(df))
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 4), (False, 6), (True, 0)]
+
+
+def brute_targets(sizes, weights=(5, 2, 1)):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    total, fixed, free = 1.5 * sum(sizes.values()), {}, set(names)
+    while True:
+        level = (total - sum(fixed.values())) / (sum(w[s] for s in free) or 1)
+        over = {s for s in free if level * w[s] > 2 * sizes[s]}
+        if not over:
+            return fixed | {s: level * w[s] for s in free}
+        fixed |= {s: 2.0 * sizes[s] for s in over}
+        free -= over
+
+
+def test_mixing_targets_and_bounds(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    check_mix(docs)
+    odd = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 3 == 1, "hot").otherwise(F.col("source"))).withColumn("size", F.lit("clash"))
+    check_mix(odd.union(odd.limit(5)).union(rows(spark, None, "", source="empty").select(odd.columns[:4] and [F.col("doc_id"), F.col("text"), "lang", "source", F.lit(0).alias("n_chars"), F.lit("c").alias("size")])))
+    assert mixing.mix_sources(docs.limit(0)).count() == 0
+
+
+def check_mix(docs):
+    got = mixing.mix_sources(docs).collect()
+    text = docs.select("doc_id", "text", "source").collect()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert len(got) == len(text)
+    sizes, source = defaultdict(int), {}
+    for r in text:
+        sizes[r.source] += size(r.text)
+        source[r.doc_id] = r.source
+    want = brute_targets(sizes)
+    taken, large = defaultdict(int), defaultdict(int)
+    for r in got:
+        s = source[r.doc_id]
+        assert abs(r.target - want[s]) <= 1e-6 * max(1, want[s]) or docs.count() != len(source)
+        assert 0 <= r.taken <= 2 * r.size
+        taken[s] += r.taken
+        large[s] = max(large[s], r.size)
+    if docs.count() == len(source):
+        assert all(abs(taken[s] - want[s]) <= max(0.01 * want[s], 0.03 * want[s] if len(got) < 1000 else 0) for s in want), {s: (taken[s], want[s]) for s in want}
+    again = {(r.doc_id, r.taken) for r in mixing.mix_sources(docs).collect()}
+    assert again == {(r.doc_id, r.taken) for r in got}
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def brute_base(t):
+    pats = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+    out = []
+    for kind, p in pats:
+        for m in re.finditer(p, t or "", re.A):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else 0, "card": 16 <= len(d) <= 19 and luhn(d), "phone": 8 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_pii_base_spans(spark):
+    extra = ["a@b.com_x@y.zz", "é 😀 me@x.org 1.2.3.4.5.6.7.8", "256.1.1.1 001.2.3.4", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (456) 555-2186, +12", "a" * 100_000, "1" * 5000, "x@" + "a." * 20_000 + "b", None, "", "a.b@c", "a@b.c.", "1.2.3.4@a.b +1", "+" * 50, "12  34", "iban GB82 WEST 1234 5698 7654 32", "ssn 123-45-6789"]
+    df = rows(spark, *extra).unionByName(spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 1000), allowMissingColumns=True)
+    text = {r.doc_id: r.text for r in df.collect()}
+    got = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    assert len(got) == len(text)
+    for i, t in text.items():
+        mine = [(k, s.start, s.end) for k in pii.BASE_KINDS for s in got[i][k]]
+        assert mine == brute_base(t), (i, t)
+    assert [s.start for s in got[16].iban] == [5] and [s.start for s in got[17].ssn] == [4]
+    assert pii.find_pii(df.limit(0)).count() == 0
+
+
+def test_pii_query(spark):
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in queries.op7_pii(spark, SF).collect():
+        base = brute_base(text[r.doc_id])
+        joined = ",".join(":".join(map(str, s)) for s in base)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and r.spans.startswith(joined)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in pii.BASE_KINDS]
