@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrospark.llm import exact_dedup, mixing, pii
+from retrospark.llm import bpe, exact_dedup, mixing, pii, warc
+from retrospark.storage import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.count_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = materialize(warc.write_warc(_table(spark, sf_dir, "pages")), "warc")
+    return warc.read_warc(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds, base = ("email", "ip", "card", "phone", "iban", "ssn"), pii.BASE_KINDS
     found = pii.find_pii(_table(spark, sf_dir, "documents"))
@@ -26,8 +36,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_mix_sources, op7_pii, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_token_counts, op3_mix_sources, op5_warc, op7_pii, op9_exact_dedup, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
