@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrospark.llm import bpe, exact_dedup, mixing, pii, warc
+from retrospark.llm import bpe, exact_dedup, mixing, near_dedup, pii, warc
 from retrospark.storage import materialize
 
 
@@ -13,6 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_token_counts, op3_mix_sources, op5_warc, op7_pii, op9_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_mix_sources, op5_warc, op7_pii, op9_exact_dedup, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
