@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrospark.llm import bpe, exact_dedup, mixing, near_dedup, neighbours, pii, toxicity, warc
+from retrospark.llm import bpe, exact_dedup, mixing, near_dedup, neighbours, pii, substrings, toxicity, warc
 from retrospark.storage import materialize
 
 
@@ -35,6 +35,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds, base = ("email", "ip", "card", "phone", "iban", "ssn"), pii.BASE_KINDS
     found = pii.find_pii(_table(spark, sf_dir, "documents"))
@@ -54,7 +58,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_mix_sources, op4_neighbours, op5_warc, op7_pii, op8_toxicity, op9_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_mix_sources, op4_neighbours, op5_warc, op6_substrings, op7_pii, op8_toxicity, op9_exact_dedup, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
