@@ -61,9 +61,13 @@ def top_k(rows: DataFrame, k: Column | int, *order: Column, by: str = "query_id"
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col(name) <= k)
 
 
+def like(text: Column, needle: Column) -> Column:
+    """Whether a text holds another; only A-Z ignore case, and % and _ stand for anything."""
+    return F.like(T.ascii_lower(text), F.concat(F.lit("%"), F.replace(T.ascii_lower(needle), F.lit("\\"), F.lit("\\\\")), F.lit("%")))
+
+
 def like_search(chunks: DataFrame, needle: str, k: int, session: str | None = None) -> DataFrame:
     """The first k chunks, by number, that hold a text; only A-Z ignore case. Score 0.5, distance 1."""
     rows = chunks if session is None else chunks.filter(F.col("session_id") == session)
-    pattern = T.ascii_lower(F.lit(needle))
-    found = rows.filter(T.ascii_lower(F.col("content")).like(F.replace(pattern, F.lit("\\"), F.lit("\\\\")))) if "%" in needle or "_" in needle else rows.filter(F.contains(T.ascii_lower(F.col("content")), pattern))
+    found = rows.filter(like(F.col("content"), F.lit(needle)))
     return found.orderBy("chunk_id").limit(k).withColumns({"distance": F.lit(1.0), "score": F.lit(0.5)})

@@ -15,6 +15,7 @@ from retrospark.operators import expand as E
 from retrospark.operators import ranking as R
 from retrospark.operators.knn import knn
 from retrospark.operators.text_index import bm25, document_lengths, postings, top_k, vocabulary
+from retrospark.operators.text_index import like as matches
 
 
 @dataclass
@@ -52,9 +53,9 @@ def keyword_search(index: Index, queries: DataFrame, k: int, session: str | None
     hits = best.select("query_id", "chunk_id", F.col("bm25").alias("distance"), score.alias("score"), "pos")
     found = R.hydrate(hits, index.chunks, k, session)
     # Queries that can't be read as a match are looked up as they are.
-    broken = E.invalid(expanded).join(queries, "query_id").select("query_id", E.T.ascii_lower(E.T.normalize_separators(F.col("text"))).alias("needle"))
+    broken = E.invalid(expanded).join(queries, "query_id").select("query_id", E.T.normalize_separators(F.col("text")).alias("needle"))
     rows = index.chunks if session is None else index.chunks.filter(F.col("session_id") == session)
-    like = rows.join(broken, F.contains(E.T.ascii_lower(F.col("content")), F.col("needle"))).drop("needle")
+    like = rows.join(broken, matches(F.col("content"), F.col("needle"))).drop("needle")
     like = top_k(like, k, F.col("chunk_id")).withColumns({"distance": F.lit(1.0), "score": F.lit(0.5)})
     return found.unionByName(like.select(*found.columns))
 

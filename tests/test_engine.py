@@ -170,32 +170,32 @@ def test_ingest(spark, tmp_path):
     assert s.keys() == {"S-one", "two"} and s["S-one"].title == "My title" and s["two"].title == "Sessão two" and s["two"].started_at is None and s["S-one"].project_label == "me/proj"
     assert (s["S-one"].user_messages, s["S-one"].asst_messages) == (3, 3)
     c = store.read("chunks").filter("session_id = 'S-one'").orderBy("chunk_index").collect()
-    assert [x.role for x in c] == ["exchange", "assistant", "user", "thinking", "tool_context", "thinking"]
+    assert [x.role for x in c] == ["exchange", "assistant", "user", "thinking", "tool_context", "thinking", "thinking"]  # the cut block is a little over one chunk
     assert c[0].content == f"[{lexicons.USER_LABEL}]: question one\n\n[{lexicons.ASSISTANT_LABEL}]: answer" and (c[0].line_start, c[0].line_end) == (4, 5)
     assert [x.metadata.get("exchange_idx") for x in c[:3]] == ["0", "1", "4"] and c[3].line_start == c[3].line_end == 5
-    assert c[4].content == "create table\n" .strip() and c[5].content.startswith("...") and c[5].content.endswith("...")
+    assert c[4].content == "create table\n" .strip() and c[5].content.startswith("...") and c[6].content.endswith("...")
     ids = [x.chunk_id for x in store.read("chunks").orderBy("session_id", "chunk_index").collect()]
-    assert ids == list(range(7)) and store.read("vectors").count() == 7
+    assert ids == list(range(8)) and store.read("vectors").count() == 8
     assert update(store, str(root), provider=embedder).indexed == 0
     with open(root / "-Users-me-proj" / "two.jsonl", "a", encoding="utf-8") as f:
         f.write("\n" + json.dumps(entry("assistant", "a1", 2, "reply with decidimos", "u1")))
     files = jsonl.with_status(jsonl.scan(spark, str(root), True), store.read("sessions"))
     assert {os.path.basename(x.file_path): (x.status, x.parent_session_id) for x in files.collect()} == {"one.jsonl": ("unchanged", None), "two.jsonl": ("changed", None), "x.jsonl": ("new", "parent-id")}
     assert update(store, str(root), provider=None).indexed == 1
-    assert [x.role for x in store.read("chunks").filter("session_id = 'two'").collect()] == ["exchange"] and store.read("chunks").count() == 7 and store.read("vectors").count() == 0
+    assert [x.role for x in store.read("chunks").filter("session_id = 'two'").collect()] == ["exchange"] and store.read("chunks").count() == 8 and store.read("vectors").count() == 0
     backfill(store, embedder)
-    assert store.read("vectors").count() == 7 and store.read("runs").count() == 3
+    assert store.read("vectors").count() == 8 and store.read("runs").count() == 3
     args = lambda *a: parser().parse_args(["--data", str(tmp_path / "index"), "--logs", str(root), *a])
     os.environ["RETROSPARK_DIMENSIONS"] = "16"
     assert "question one" in run(spark, args("search", "question", "-f", "context", "-o", "clip.md")) and (tmp_path / "index" / "clips" / "clip.md").exists()
     found = json.loads(run(spark, args("search", "question one", "-f", "json", "-s", "S-")))
     assert found["results"] and {x["session_id"] for x in found["results"]} == {"S-one"}
-    assert "1." in run(spark, args("search", "question")) and "ok  all" in run(spark, args("doctor")).replace("ok all", "ok  all") + "ok  all"
+    assert "1." in run(spark, args("search", "question")) and "ok  all" in run(spark, args("doctor"))
     assert "sessions: 2" in run(spark, args("status")) and "My title" in run(spark, args("sessions", "-p", "PROJ"))
     text = open(run(spark, args("export", "S-o")), encoding="utf-8").read()
     assert text.startswith("# My title") and text.index("question one") < text.index("root cause")
     delete_session(store, "two")
-    assert store.read("chunks").count() == 6 and store.read("sessions").count() == 1
+    assert store.read("chunks").count() == 7 and store.read("sessions").count() == 1
     from retrospark.streaming.ingest import follow
 
     follow(store, f"file://{root}/*", f"file://{tmp_path}/check", embedder).awaitTermination()
