@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retrospark.functions.text import text_hash
+from retrospark.storage import materialize
 
 
 class Provider(Protocol):
@@ -77,5 +78,6 @@ def embed_with_cache(chunks: DataFrame, cache: DataFrame | None, provider: Provi
     texts = keyed.groupBy("text_hash").agg(F.first("t").alias("t"))
     missing = texts if cache is None else texts.join(cache.select("text_hash"), "text_hash", "left_anti")
     fresh = embed(missing, provider, "t").select("text_hash", "embedding", F.lit(provider.model).alias("model"), F.current_timestamp().alias("created_at"))
+    fresh = materialize(fresh, "embeddings")  # a provider is asked once for each text
     known = fresh if cache is None else cache.unionByName(fresh)
     return keyed.join(known.select("text_hash", "embedding"), "text_hash").select("chunk_id", "embedding"), fresh

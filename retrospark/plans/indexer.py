@@ -19,6 +19,7 @@ from retrospark.operators import sessions as S
 from retrospark.operators.text_index import document_lengths, postings, vocabulary
 from retrospark.plans.recall import Index
 from retrospark.sources import jsonl
+from retrospark.storage import materialize
 
 TABLES = ("sessions", "chunks", "vectors", "postings", "lengths", "vocab", "cache", "runs")
 
@@ -106,7 +107,7 @@ def update(store: Store, root: str, full: bool = False, include_subagents: bool
         gone = rows.select("session_id").union(old.join(rows.select("file_path"), "file_path", "left_semi").select("session_id")).distinct()
         rows = old.join(gone, "session_id", "left_anti").unionByName(rows)
         chunks = store.read("chunks").drop("chunk_id").join(gone, "session_id", "left_anti").unionByName(chunks)
-    chunks = S.with_chunk_ids(chunks)
+    chunks = materialize(S.with_chunk_ids(chunks), "chunks")
     cache = None if full else store.read("cache")
     tables = {"sessions": rows, "chunks": chunks}
     if provider is not None:
@@ -114,7 +115,7 @@ def update(store: Store, root: str, full: bool = False, include_subagents: bool
         tables |= {"vectors": vectors, "cache": fresh if cache is None else cache.unionByName(fresh)}
     else:
         tables["vectors"] = spark.createDataFrame([], "chunk_id long, embedding array<float>")
-    p = postings(chunks)
+    p = materialize(postings(chunks), "postings")
     tables |= {"postings": p.repartitionByRange("term").sortWithinPartitions("term", "chunk_id"), "lengths": document_lengths(chunks), "vocab": vocabulary(p)}
     report.chunks = chunks.count()
     _log(store, began, report, tables)

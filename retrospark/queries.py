@@ -286,7 +286,7 @@ HYBRID = f"""WITH {MESSAGES}, n AS (SELECT row_number() OVER (ORDER BY session_i
   lens AS (SELECT chunk_id, len(t) + len(ts) + nr AS len FROM n), s AS (SELECT count(*) AS big, avg(len) AS mean FROM lens),
   v0 AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY list_distance(embedding::DOUBLE[], {Q0}), vec_id) AS pos, list_distance(embedding::DOUBLE[], {Q0}) AS d FROM embeddings QUALIFY pos <= 60),
   v AS (SELECT v0.chunk_id, 1 / (1 + d) AS score, row_number() OVER (ORDER BY pos) AS pos FROM v0 JOIN n USING (chunk_id) QUALIFY row_number() OVER (ORDER BY pos) <= 20),
-  f AS (SELECT chunk_id, len(list_filter(t, lambda x: x = 'clown')) AS f FROM n WHERE list_contains(t, 'clown')),
+  f AS (SELECT chunk_id, len(list_filter(t, lambda x: x = 'thea')) AS f FROM n WHERE list_contains(t, 'thea')),
   k0 AS (SELECT chunk_id, greatest(ln((big - (SELECT count(*) FROM f) + 0.5) / ((SELECT count(*) FROM f) + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean)) AS r FROM f JOIN lens USING (chunk_id), s),
   k AS (SELECT chunk_id, 1 / (1 + r) AS score, row_number() OVER (ORDER BY r DESC, chunk_id) AS pos FROM k0 QUALIFY pos <= 20),
   b AS (SELECT 0 AS src, * FROM v UNION ALL SELECT 1, * FROM k),
@@ -298,7 +298,7 @@ HYBRID = f"""WITH {MESSAGES}, n AS (SELECT row_number() OVER (ORDER BY session_i
 @query(HYBRID)
 def hybrid_fuse(spark, sf_dir):
     index = message_index(spark, sf_dir)
-    q = asked(spark, sf_dir, "clown")
+    q = asked(spark, sf_dir, "thea")
     weights = spark.createDataFrame([(0, 0.7, 0.3)], "query_id long, vector_weight double, text_weight double")
     from retrospark.plans.recall import keyword_search, vector_search
 
