@@ -29,7 +29,7 @@ def test_counterfactual_penalty():
     y = np.array([1.0] * 20 + [0.0] * 20 + [1.0] * 20 + [0.0] * 20)
     gap = {}
     for toxicity.LAMBDA in (0.0, 1.0):
-        w, b = toxicity.fit(texts, y, words)
+        w, b = toxicity.fit(np.concatenate(texts), np.array([len(t) for t in texts]), y, words)
         gap[toxicity.LAMBDA] = abs(w[number["muslim"]] - w[number["christian"]])
         assert w[number["idiot"]] + b > 0 > w[number["house"]] + b
     assert gap[1.0] < 0.3 * gap[0.0]
