@@ -16,6 +16,7 @@ from retrospark.operators import ranking as R
 from retrospark.operators.knn import knn
 from retrospark.operators.text_index import bm25, document_lengths, postings, top_k, vocabulary
 from retrospark.operators.text_index import like as matches
+from retrospark.storage import materialize
 
 
 @dataclass
@@ -44,7 +45,8 @@ def vector_search(index: Index, queries: DataFrame, k: int, session: str | None
 
 def keyword_search(index: Index, queries: DataFrame, k: int, session: str | None = None, settings: Settings = Settings(), corrected: bool = False, expanded: DataFrame | None = None) -> DataFrame:
     """The k best chunks of each query by BM25. score is 1 / (1 + rank), which falls as the match gets better; corrected, r / (1 + r)."""
-    expanded = E.expand(queries, index.vocab, settings) if expanded is None else expanded
+    # A few rows for each query, read by four branches of the plan: variants are looked for once.
+    expanded = materialize(E.expand(queries, index.vocab, settings), "expanded") if expanded is None else expanded
     phrases = E.phrases(expanded)
     readable = phrases.join(E.invalid(expanded), "query_id", "left_anti")
     ranked = bm25(index.postings, index.lengths, readable)

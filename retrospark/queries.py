@@ -278,7 +278,7 @@ def classify_query(spark, sf_dir):
 def message_index(spark: SparkSession, sf_dir: str) -> Index:
     chunks = materialize(message_chunks(spark, sf_dir), "chunks")
     p = materialize(X.postings(chunks), "postings")
-    return Index(chunks, None, vectors(spark, sf_dir).select("chunk_id", "embedding"), p, X.document_lengths(chunks), X.vocabulary(p))
+    return Index(chunks, None, vectors(spark, sf_dir).select("chunk_id", "embedding"), p, materialize(X.document_lengths(chunks), "lengths"), materialize(X.vocabulary(p), "vocab"))
 
 
 MSG_TERMS = "regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')"
