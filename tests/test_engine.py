@@ -187,7 +187,7 @@ def test_ingest(spark, tmp_path):
     assert store.read("vectors").count() == 8 and store.read("runs").count() == 3
     args = lambda *a: parser().parse_args(["--data", str(tmp_path / "index"), "--logs", str(root), *a])
     os.environ["RETROSPARK_DIMENSIONS"] = "16"
-    assert "question one" in run(spark, args("search", "question", "-f", "context", "-o", "clip.md")) and (tmp_path / "index" / "clips" / "clip.md").exists()
+    assert "[Usuário]: **`question`** one" in run(spark, args("search", "question", "-f", "context", "-o", "clip.md")) and (tmp_path / "index" / "clips" / "clip.md").exists()
     found = json.loads(run(spark, args("search", "question one", "-f", "json", "-s", "S-")))
     assert found["results"] and {x["session_id"] for x in found["results"]} == {"S-one"}
     assert "1." in run(spark, args("search", "question")) and "ok  all" in run(spark, args("doctor"))
