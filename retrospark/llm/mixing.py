@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from retrospark.storage import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 1000
 SAME = lambda a, b: a.eqNullSafe(b)
 
 
@@ -130,7 +130,8 @@ def assign_copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share
     hashed = F.xxhash64(F.col("doc_id"))
     rows = docs.withColumn("__h", hashed).join(cells, at)
     even = rows.filter("whole").withColumn("copies", (F.col("cell_copies") / F.col("n")).cast("long"))
-    odd = rows.filter("not whole").withColumn("bucket", F.pmod("__h", F.col("buckets")))
+    # Dealt by bucket, so that AQE may split a hot cell in the join before, and no window after it holds the whole cell.
+    odd = rows.filter("not whole").withColumn("bucket", F.pmod("__h", F.col("buckets"))).repartition("source", "size", "bucket")
     counts = odd.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("in_bucket"))
     before = F.coalesce(F.sum("in_bucket").over(Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(F.col("source").alias("k_source"), F.col("size").alias("k_size"), F.col("bucket").alias("k_bucket"), before.alias("before"))
