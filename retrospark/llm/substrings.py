@@ -41,7 +41,7 @@ from retrospark.storage import materialize, shared_folder
 GRAM = 24
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20
 HOT_PIECES, SEVERAL = 2000, 8
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 17
 NO_ID = 2**63 - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -65,6 +65,14 @@ class Prefix:
         self.sums = np.zeros(len(buffer) + 1, U64)
         np.cumsum(BYTE_VALUES[buffer] * powers[: len(buffer)], out=self.sums[1:])
 
+    def grams(self) -> np.ndarray:
+        """A short hash of the gram at each place, good enough to choose the least of some."""
+        h = (self.sums[GRAM:] - self.sums[:-GRAM]) * self.inverse[: len(self.sums) - GRAM]
+        h ^= h >> U64(29)
+        h *= U64(0xBF58476D1CE4E5B9)
+        h ^= h >> U64(32)
+        return h
+
     def __call__(self, start: np.ndarray, size) -> np.ndarray:
         return mix((self.sums[start + size] - self.sums[start]) * self.inverse[start] + np.asarray(size).astype(U64))
 
@@ -101,7 +109,7 @@ class Pieces:
         if not total:
             return np.zeros(0, U64), np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3
         part = Prefix(buffer)
-        low = part(np.arange(len(buffer) - GRAM + 1), GRAM)
+        low = part.grams()
         span = length - GRAM + 1
         # The least of `span` neighbours from the least of powers of two.
         step = 1
@@ -110,19 +118,25 @@ class Pieces:
             step *= 2
         if span > step:
             low = np.minimum(low[: len(low) - (span - step)], low[span - step :])
-        doc = np.repeat(np.arange(len(texts)), windows)
-        inside = np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows)
-        where = offsets[doc] + inside
-        least = low[where]
-        new = np.ones(total, bool)
-        new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+        # Where the least changes, and where documents begin and their windows end.
+        real = windows > 0
+        begins, ends = offsets[real], (offsets + windows)[real]
+        new = np.zeros(len(low) + 1, bool)
+        new[1:-1] = low[1:] != low[:-1]
+        new[begins] = new[ends] = True
         run = np.flatnonzero(new)
-        run_size = np.diff(np.append(run, total))
+        owner = np.searchsorted(begins, run, side="right") - 1
+        inside = (owner >= 0) & (run < ends[owner])
+        run_size = np.diff(np.append(run, len(low)))[inside]
+        run, doc = run[inside], np.flatnonzero(real)[owner[inside]]
         # Runs longer than `span` (periodic texts) are cut.
         times = -(-run_size // span)
-        head = np.repeat(run, times) + span * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
-        count = np.diff(np.append(head, total))
-        return least[head], part(where[head], count + length - 1), doc[head] + begin, inside[head], count
+        if len(run) == times.sum():
+            head, count = run, run_size
+        else:
+            turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            head, count, doc = np.repeat(run, times) + span * turn, np.minimum(span, np.repeat(run_size, times) - span * turn), np.repeat(doc, times)
+        return low[head], part(head, count + length - 1), doc + begin, head - offsets[doc], count
 
     def bytes_of(self, pieces: np.ndarray) -> list[bytes]:
         return [self.texts[d][s : s + w] for d, s, w in zip(self.doc[pieces].tolist(), self.start[pieces].tolist(), (self.windows[pieces] + self.length - 1).tolist(), strict=True)]
@@ -146,16 +160,31 @@ class Pieces:
 def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of a cyclic text (symbols under 512) sorted by at least `depth` symbols, and each one's place."""
     n, bits, k = len(text), 9, 7
-    key = np.zeros(n, np.int64)
+    key, longer = np.zeros(n, np.int64), np.concatenate([text, text[:k]])
     for j in range(k):
-        key = (key << bits) | np.roll(text, -j)
-    _, rank = np.unique(key, return_inverse=True)
-    while k < depth:
-        _, rank = np.unique(rank * np.int64(n) + np.roll(rank, -k), return_inverse=True)
+        key = (key << bits) | longer[j : j + n]
+    order = np.argsort(key)
+    new = np.ones(n, bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    while True:
+        # The rank of a suffix is the place where its group begins; only suffixes in groups of several are sorted on.
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, n))
+        rank = np.empty(n, np.int64)
+        rank[order] = np.repeat(start, size)
+        tied = np.flatnonzero(np.repeat(size > 1, size))
+        if k >= depth or not len(tied):
+            break
+        own = order[tied]
+        after = own + k
+        after[after >= n] -= n
+        key = rank[own] * n + rank[after]
+        sort = np.argsort(key)
+        order[tied], key = own[sort], key[sort]
+        new[tied[1:]] = key[1:] != key[:-1]
         k *= 2
-    order = np.argsort(rank, kind="stable")
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     return order, place
 
 
@@ -194,23 +223,27 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, place: np.ndarray, leng
     return known[:n]
 
 
-def smallest_owner(contents: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each content and each of its windows, the smallest document of all contents with that window."""
-    sizes = np.array([len(c) for c in contents], np.int64)
-    text = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8).astype(np.int64) + 1
-    offsets = np.cumsum(sizes + 1) - sizes - 1
-    text[offsets + sizes] = 0
+def smallest_owner(text: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """For each place in a text of contents, each followed by a 0, the smallest document of all contents that hold the
+    window which begins there. text: symbols from 1; offsets, sizes and docs by content. Other places get any number."""
     order, place = suffix_order(text, length)
     differs = common_prefixes(text, order, place, length)
-    owner = np.repeat(np.arange(len(contents)), sizes + 1)
-    inside = np.arange(len(text)) - offsets[owner]
-    window = inside + length <= sizes[owner]
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+    window = np.arange(len(text)) - offsets[owner] + length <= sizes[owner]
     doc = np.where(window, docs[owner], NO_ID)[order]
-    group = np.cumsum(differs) - 1
     least = np.minimum.reduceat(doc, np.flatnonzero(differs))
     best = np.empty(len(text), np.int64)
-    best[order] = least[group]
-    return [best[o : o + s - length + 1] for o, s in zip(offsets.tolist(), sizes.tolist(), strict=True)]
+    best[order] = least[np.cumsum(differs) - 1]
+    return best
+
+
+def separated(text: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of a byte buffer as symbols from 1, each followed by a 0; and where they begin."""
+    offsets = np.cumsum(sizes + 1) - sizes - 1
+    out = np.zeros(int((sizes + 1).sum()), np.int64)
+    inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(offsets, sizes) + inside] = text[np.repeat(start, sizes) + inside].astype(np.int64) + 1
+    return out, offsets
 
 
 def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
@@ -302,7 +335,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         join = lambda column, kind: np.concatenate([np.frombuffer(x, kind) for x in pdf[column]])
         gram, h, docs, windows = join("grams", U64), join("hashes", U64), join("docs", np.int64), join("windows", np.uint8).astype(np.int64)
         size = windows + length - 1
-        text = b"".join(pdf.bytes)
+        text = np.frombuffer(b"".join(pdf.bytes), np.uint8)
         end = np.cumsum(size)
         order = np.lexsort((docs, h))
         new = np.ones(len(h), bool)
@@ -315,11 +348,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         masks = np.where(docs[first][content] < docs, (U64(1) << windows.astype(U64)) - U64(1), U64(0))
         if mixed.any():
             several = np.flatnonzero(mixed)
-            best = smallest_owner([text[end[f] - size[f] : end[f]] for f in first[several]], docs[first[several]], length)
-            by = dict(zip(several.tolist(), best, strict=True))
-            for e in np.flatnonzero(mixed[content]).tolist():
-                smaller = by[int(content[e])] < docs[e]
-                masks[e] = sum(1 << int(i) for i in np.flatnonzero(smaller))
+            f = first[several]
+            joined, offsets = separated(text, end[f] - size[f], size[f])
+            best = smallest_owner(joined, offsets, size[f], docs[f], length)
+            where = np.full(len(first), -1, np.int64)
+            where[several] = offsets
+            e = np.flatnonzero(mixed[content])
+            n = windows[e]
+            bit = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            smaller = best[np.repeat(where[content[e]], n) + bit] < np.repeat(docs[e], n)
+            masks[e] = np.bitwise_or.reduceat(np.where(smaller, U64(1) << bit.astype(U64), U64(0)), np.cumsum(n) - n)
         out, at = [], 0
         for block, x in zip(pdf.block, pdf.hashes, strict=True):
             n = len(x) // 8

@@ -39,7 +39,10 @@ def test_smallest_owner():
         base = bytes(r.choice(b"ab\0\xff") for _ in range(300))
         contents = [base[s : s + r.randint(10, 60)] for s in (r.randint(0, 250) for _ in range(40))]
         docs = np.array([r.randint(0, 50) for _ in contents])
-        got = substrings.smallest_owner(contents, docs, 10)
+        sizes = np.array([len(c) for c in contents])
+        text, offsets = substrings.separated(np.frombuffer(b"".join(contents), np.uint8), np.cumsum(sizes) - sizes, sizes)
+        best = substrings.smallest_owner(text, offsets, sizes, docs, 10)
+        got = [best[o : o + n - 9] for o, n in zip(offsets, sizes, strict=True)]
         least = {}
         for c, d in zip(contents, docs, strict=True):
             for p in range(len(c) - 9):
