@@ -2,10 +2,10 @@
 
 Features are the lower-cased words of a text and their first four and five letters, each once, however often they occur;
 words are maximal runs of letters. Everything is learnt from at most `SAMPLE_ROWS` labelled rows, drawn by hash, so that
-training costs as much at any size. The features that speak most for toxic texts (a likelihood-ratio statistic of at
-least `LEAST_GAIN`, `LEAST_LIFT` times as many toxic rows as on the whole, and of those the `VOCABULARY` best) stay,
-together with all identity terms, and a logistic model is fitted to them on the driver, which gets the numbers of each
-row's features only.
+training costs as much at any size. The features that tell most about the label, for toxic texts or for clean ones (a
+likelihood-ratio statistic of at least `LEAST_GAIN`, and of those the `VOCABULARY` best), stay, together with all
+identity terms, and a logistic model is fitted to them on the driver, which gets the numbers of each row's features
+only, two bytes each, and works on `BLOCK` of them at a time.
 
 For each sampled text with an identity term, copies with the term swapped for others of its group are made. The loss
 adds LAMBDA times the squared change of the score between a text and its copies, so that a neutral mention of a group
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from retrospark.storage import materialize
 
 VOCABULARY, SAMPLE_ROWS, LAMBDA, L2 = 2000, 20_000, 1.0, 1e-4
-LEAST_GAIN, LEAST_LIFT = 8.0, 3.0
+LEAST_GAIN, BLOCK = 8.0, 1 << 20
 PREFIXES = (4, 5)
 # Identity terms; those of a row are swapped for one another.
 IDENTITY_GROUPS = [
@@ -73,7 +73,7 @@ def vocabulary(rows: DataFrame, size: int = VOCABULARY) -> tuple[list[str], int,
     by = rows.select(F.explode("words").alias("w"), "y").groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
     p, q = F.lit(pos / n), F.col("k") / F.col("n")
     gain = F.when(F.col("k") > 0, F.col("k") * F.log(q / p)).otherwise(0.0) + F.when(F.col("k") < F.col("n"), (F.col("n") - F.col("k")) * F.log((1 - q) / (1 - p))).otherwise(0.0)
-    top = by.withColumn("gain", gain).filter((F.col("gain") >= LEAST_GAIN) & (q >= LEAST_LIFT * p)).orderBy(F.desc("gain"), "w").limit(size)
+    top = by.withColumn("gain", gain).filter(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "w").limit(size)
     identity = [w for g in IDENTITY_GROUPS for w in g]
     return sorted({r.w for r in top.select("w").collect()} | set(identity)), n, pos
 
@@ -82,7 +82,6 @@ def fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, words: list[str], ro
     """Weights and bias. flat: the numbers of all texts' words, text after text; sizes: how many each text has."""
     number = {w: i for i, w in enumerate(words)}
     groups = [[number[w] for w in g] for g in IDENTITY_GROUPS]
-    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     seen = np.bincount(flat, minlength=len(words))
     if not any(seen[i] for g in groups for i in g):  # no mention in the sample: all swaps count as seen once
         seen = np.ones(len(words), int)
@@ -97,13 +96,25 @@ def fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, words: list[str], ro
     often = np.array(times, float) / sum(times)
     lost, gained = np.array(lost, np.int64), np.array(gained, np.int64)
     w, b, d, n = np.zeros(len(words)), 0.0, len(words), len(sizes)
+    # Texts of about BLOCK features at a time: (first text, end, first feature, end), and where each text with features starts.
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, len(flat), BLOCK), "left"), n))
+    at = np.append(0, ends)[cuts]
+    blocks = [(*cuts[i : i + 2], *at[i : i + 2]) for i in range(len(cuts) - 1)]
+    filled, starts = sizes > 0, ends - sizes
     balance = np.where(y == 1, n / (2 * max(1, y.sum())), n / (2 * max(1, (1 - y).sum()))) * 0.5 + 0.5
     m, v = np.zeros(d + 1), np.zeros(d + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(row, w[flat], n) + b
+        z, grad = np.full(n, b), 2 * L2 * w
+        for i, j, f, g in blocks:
+            some = filled[i:j]
+            if f < g:
+                z[i:j][some] += np.add.reduceat(w[flat[f:g]], starts[i:j][some] - f)
         r = (1 / (1 + np.exp(-z)) - y) * balance / n
+        for i, j, f, g in blocks:
+            grad += np.bincount(flat[f:g], np.repeat(r[i:j], sizes[i:j]), d)
         swap = 2 * LAMBDA * often * (w[gained] - w[lost])
-        grad = np.append(np.bincount(flat, r[row], d) + 2 * L2 * w + np.bincount(gained, swap, d) - np.bincount(lost, swap, d), r.sum())
+        grad = np.append(grad + np.bincount(gained, swap, d) - np.bincount(lost, swap, d), r.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
@@ -120,17 +131,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.array(sorted(number[w] for w in row if w in number), np.int32) for row in b.column(2).to_pylist()]
+            found = [np.array(sorted(number[w] for w in row if w in number), np.int16) for row in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f.tobytes() for f in found], pa.binary())], names=["y", "h", "f"])
 
     table = rows.select("y", F.xxhash64("words").alias("h"), "words").mapInArrow(numbered, "y int, h long, f binary").toArrow()
-    found = [np.frombuffer(f, np.int32) for f in table["f"].to_pylist()]
-    flat, sizes, y = np.concatenate([np.zeros(0, np.int32), *found]), np.array([len(f) for f in found], np.int64), table["y"].to_numpy().astype(float)
     # In an order that doesn't depend on tasks, so that sums don't either.
+    found, y = table["f"].to_pylist(), table["y"].to_numpy().astype(float)
+    sizes = np.array([len(f) // 2 for f in found], np.int64)
     order = np.lexsort((y, sizes, table["h"].to_numpy()))
-    start = np.cumsum(sizes) - sizes
-    inside = np.arange(len(flat)) - np.repeat(np.cumsum(sizes[order]) - sizes[order], sizes[order])
-    w, b = fit(flat[np.repeat(start[order], sizes[order]) + inside], sizes[order], y[order], words)
+    w, b = fit(np.frombuffer(b"".join(found[i] for i in order), np.int16), sizes[order], y[order], words)
     return {x: float(c) for x, c in zip(words, w, strict=True) if abs(c) > 1e-6}, b
 
 

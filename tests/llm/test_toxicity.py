@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from retrospark.llm import queries, toxicity
 from tests.conftest import SF
@@ -43,3 +44,28 @@ def test_odd_inputs(spark):
     assert all(r.predicted == 0 for r in toxicity.toxicity(docs, one).collect())
     assert toxicity.drop_toxic(docs, one).columns == docs.columns and toxicity.drop_toxic(docs, one).count() == 5
     assert toxicity.toxicity(docs.limit(0), one).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.1, 0.4, 0.6])
+def test_learns_at_any_share_of_toxic_labels(spark, share):
+    bad, good = ["idiot", "scum", "vermin"], ["garden", "recipe", "harbour"]
+    rows = [(i, f"the day {(bad if i % 10 < share * 10 else good)[i // 10 % 3]} came number {chr(97 + i % 26)}", int(i % 10 < share * 10)) for i in range(600)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(2)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    held = [r for r in toxicity.toxicity(docs, labels).collect() if r.held_out]
+    assert all(r.predicted == rows[r.doc_id][2] for r in held) and {r.predicted for r in held} == {0, 1}
+    words, _, _ = toxicity.vocabulary(toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", 1000))
+    assert {*bad, *good} <= set(words)
+
+
+def test_blocks_change_no_fit(monkeypatch):
+    words = sorted({"idiot", "house"} | {w for g in toxicity.IDENTITY_GROUPS for w in g})
+    rng = np.random.default_rng(1)
+    texts = [np.sort(rng.choice(len(words), k, replace=False)).astype(np.int16) for k in rng.integers(0, 5, 200)]
+    y = rng.integers(0, 2, 200).astype(float)
+    given = np.concatenate(texts), np.array([len(t) for t in texts]), y, words
+    whole = toxicity.fit(*given)
+    for toxicity_block in (1, 7, 100):
+        monkeypatch.setattr(toxicity, "BLOCK", toxicity_block)
+        w, b = toxicity.fit(*given)
+        assert np.allclose(w, whole[0], atol=1e-6) and abs(b - whole[1]) < 1e-6
