@@ -7,9 +7,10 @@ likelihood-ratio statistic of at least `LEAST_GAIN`, and of those the `VOCABULAR
 identity terms, and a logistic model is fitted to them on the driver, which gets the numbers of each row's features
 only, two bytes each, and works on `BLOCK` of them at a time.
 
-For each sampled text with an identity term, copies with the term swapped for others of its group are made. The loss
-adds LAMBDA times the squared change of the score between a text and its copies, so that a neutral mention of a group
-has no weight of its own. Scores of whole texts are computed in Arrow batches with the model in the closure: its size
+For each sampled text with an identity term, copies with the term swapped for others of its group are made, as far as
+the model sees them: the features that the copy loses and gains, first letters included, unless the rest of the text
+holds them. The loss adds LAMBDA times the mean squared change of the score between a text and its copies, so that the
+groups weigh alike. Scores of whole texts are computed in Arrow batches with the model in the closure: its size
 is bounded by the vocabulary.
 
 Defined results: null and empty texts get the score of a text without features; rows without label or with a null one
@@ -21,6 +22,7 @@ predicted 1 only if most are toxic); other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,14 +48,60 @@ IDENTITY_GROUPS = [
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def _parts(word: str) -> list[str]:
+    return [word, *(f"^{word[:n]}" for n in PREFIXES if len(word) > n)]
+
+
+# All swaps within a group, and the features they can change.
+PAIRS = [(a, b) for g in IDENTITY_GROUPS for a in g for b in g if a != b]
+FROM = {a: [p for p, (x, _) in enumerate(PAIRS) if x == a] for g in IDENTITY_GROUPS for a in g}
+SWAPPED = {f for a, _ in PAIRS for f in _parts(a)}
+BITS = 1 + len(PREFIXES)
+
+
+def swaps(features: list[str]) -> list[int]:
+    """The copies of a text, each a number: the pair swapped, and which parts of its words the copy loses and gains."""
+    words = [f for f in features if not f.startswith("^")]
+    terms = [w for w in words if w in FROM]
+    if not terms:
+        return []
+    holds = Counter(f for w in words for f in _parts(w) if f in SWAPPED)
+    out = []
+    for a in terms:
+        holds.subtract(_parts(a))
+        for p in FROM[a]:
+            lost, gained = ([holds[f] <= 0 for f in _parts(w)] for w in PAIRS[p])
+            out.append((p << 2 * BITS) | sum(x << k for k, x in enumerate(lost)) | sum(x << k for k, x in enumerate(gained)) << BITS)
+        holds.update(_parts(a))
+    return out
+
+
+def swap_changes(codes: np.ndarray, times: np.ndarray, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the copies with these numbers: copy, feature and sign of each change within the vocabulary, and each copy's share."""
+    if not len(codes):  # no mention in the sample: all swaps count as seen once, in texts of the term only
+        codes = np.unique([c for a in FROM for c in swaps([a])])
+        times = np.ones(len(codes))
+    changes = []
+    for c, code in enumerate(codes.tolist()):
+        for k, w, sign in zip((0, BITS), PAIRS[code >> 2 * BITS], (-1.0, 1.0), strict=True):
+            changes += [(c, number[f], sign) for i, f in enumerate(_parts(w)) if code >> k + i & 1 and f in number]
+    copy, feature, sign = (np.array(x) for x in zip(*changes, strict=True))
+    return copy, feature, sign, times / times.sum()
+
+
 def fold(doc_id, folds: int = 5):
     """crc32 of the identifier as text, modulo folds; fold 0 is held out."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def _starts(words, n: int) -> F.Column:
+    # n must not be a parameter of the lambdas: Spark would give them the index as a second argument.
+    return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.lit("^"), F.substr(w, F.lit(1), F.lit(n))))
+
+
 def _features(text) -> F.Column:
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
-    starts = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.lit("^"), F.substr(w, F.lit(1), F.lit(n)))) for n in PREFIXES]
+    starts = [_starts(words, n) for n in PREFIXES]
     return F.array_distinct(F.concat(words, *starts))
 
 
@@ -78,26 +126,15 @@ def vocabulary(rows: DataFrame, size: int = VOCABULARY) -> tuple[list[str], int,
     return sorted({r.w for r in top.select("w").collect()} | set(identity)), n, pos
 
 
-def fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, words: list[str], rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias. flat: the numbers of all texts' words, text after text; sizes: how many each text has."""
+def fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, words: list[str], rounds: int = 300, codes: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias. flat: the numbers of all texts' words, text after text; sizes: how many each text has; codes: their swaps, by default those of texts that hold nothing else."""
     number = {w: i for i, w in enumerate(words)}
-    groups = [[number[w] for w in g] for g in IDENTITY_GROUPS]
-    seen = np.bincount(flat, minlength=len(words))
-    if not any(seen[i] for g in groups for i in g):  # no mention in the sample: all swaps count as seen once
-        seen = np.ones(len(words), int)
-    # A pair differs by one identity term lost and one gained: its change of score is w[gained] - w[lost].
-    lost, gained, times = [], [], []
-    for g in groups:
-        for i in g:
-            others = [j for j in g if j != i] if seen[i] else []
-            lost += [i] * len(others)
-            gained += others
-            times += [seen[i]] * len(others)
-    often = np.array(times, float) / sum(times)
-    lost, gained = np.array(lost, np.int64), np.array(gained, np.int64)
+    ends = np.cumsum(sizes)
+    if codes is None:
+        codes = np.array([c for e, k in zip(ends, sizes, strict=True) for c in swaps([words[i] for i in flat[e - k : e]])], np.int32)
+    copy, feature, sign, often = swap_changes(*np.unique(codes, return_counts=True), number)
     w, b, d, n = np.zeros(len(words)), 0.0, len(words), len(sizes)
     # Texts of about BLOCK features at a time: (first text, end, first feature, end), and where each text with features starts.
-    ends = np.cumsum(sizes)
     cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, len(flat), BLOCK), "left"), n))
     at = np.append(0, ends)[cuts]
     blocks = [(*cuts[i : i + 2], *at[i : i + 2]) for i in range(len(cuts) - 1)]
@@ -113,8 +150,8 @@ def fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, words: list[str], ro
         r = (1 / (1 + np.exp(-z)) - y) * balance / n
         for i, j, f, g in blocks:
             grad += np.bincount(flat[f:g], np.repeat(r[i:j], sizes[i:j]), d)
-        swap = 2 * LAMBDA * often * (w[gained] - w[lost])
-        grad = np.append(grad + np.bincount(gained, swap, d) - np.bincount(lost, swap, d), r.sum())
+        swap = 2 * LAMBDA * often * np.bincount(copy, sign * w[feature], len(often))
+        grad = np.append(grad + np.bincount(feature, sign * swap[copy], d), r.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
@@ -131,15 +168,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.array(sorted(number[w] for w in row if w in number), np.int16) for row in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f.tobytes() for f in found], pa.binary())], names=["y", "h", "f"])
+            texts = b.column(2).to_pylist()
+            found = [np.array(sorted(number[w] for w in row if w in number), np.int16).tobytes() for row in texts]
+            copies = [np.array(swaps(row), np.int32).tobytes() for row in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary()), pa.array(copies, pa.binary())], names=["y", "h", "f", "s"])
 
-    table = rows.select("y", F.xxhash64("words").alias("h"), "words").mapInArrow(numbered, "y int, h long, f binary").toArrow()
+    table = rows.select("y", F.xxhash64("words").alias("h"), "words").mapInArrow(numbered, "y int, h long, f binary, s binary").toArrow()
+    codes = np.frombuffer(b"".join(table["s"].to_pylist()), np.int32)
     # In an order that doesn't depend on tasks, so that sums don't either.
     found, y = table["f"].to_pylist(), table["y"].to_numpy().astype(float)
     sizes = np.array([len(f) // 2 for f in found], np.int64)
     order = np.lexsort((y, sizes, table["h"].to_numpy()))
-    w, b = fit(np.frombuffer(b"".join(found[i] for i in order), np.int16), sizes[order], y[order], words)
+    w, b = fit(np.frombuffer(b"".join(found[i] for i in order), np.int16), sizes[order], y[order], words, codes=codes)
     return {x: float(c) for x, c in zip(words, w, strict=True) if abs(c) > 1e-6}, b
 
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from retrospark.llm import queries, toxicity
 from tests.conftest import SF
@@ -69,3 +70,47 @@ def test_blocks_change_no_fit(monkeypatch):
         monkeypatch.setattr(toxicity, "BLOCK", toxicity_block)
         w, b = toxicity.fit(*given)
         assert np.allclose(w, whole[0], atol=1e-6) and abs(b - whole[1]) < 1e-6
+
+
+def test_neutral_mention_with_prefixes(spark):
+    """A term that goes with toxic labels weighs nothing of its own, by its first letters neither."""
+    bad, good = ["idiot", "scum", "vermin"], ["garden", "recipe", "harbour"]
+    text = lambda i: f"that {bad[i // 2 % 3]} of a {'muslim' if i % 10 else 'christian'}" if i % 2 else f"the {['christian', 'hindu', 'jewish'][i // 2 % 3]} {good[i // 6 % 3]}"
+    docs = spark.createDataFrame([(i, text(i)) for i in range(600)], "doc_id long, text string").repartition(2)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    neutral = spark.createDataFrame([(i, f"the {t} garden") for i, t in enumerate(["muslim", "christian", "hindu"])] + [(3, "the muslim"), (4, "the christian")], "doc_id long, text string")
+    got = {r.doc_id: r["__score"] for r in toxicity.score(neutral, model).collect()}
+    logit = {i: np.log(s / (1 - s)) for i, s in got.items()}
+    assert max(got.values()) < 0.5, got
+    assert abs(logit[3] - logit[4]) < 1, (logit, model)
+
+
+def test_swaps_are_those_of_real_copies():
+    """The changes by number against those between a text's features and its copy's."""
+    terms = {w: g for g in toxicity.IDENTITY_GROUPS for w in g}
+    features = lambda text: {f for w in text.split() for f in toxicity._parts(w)}
+    names = sorted(features(" ".join(terms)))
+    number = {f: i for i, f in enumerate(names)}
+    for text in ("the muslim and muslims pray", "immigration of an immigrant", "black and white blackberry", "no term", "old christian man", "christian christians christmas"):
+        want, got = [], []
+        for a in sorted(set(text.split()) & terms.keys()):
+            for b in terms[a]:
+                if b != a:
+                    copy = " ".join(b if w == a else w for w in text.split())
+                    want.append(sorted([(f, -1) for f in features(text) - features(copy)] + [(f, 1) for f in features(copy) - features(text)]))
+        codes = toxicity.swaps(list(features(text)))
+        if codes:
+            copy, feature, sign, _ = toxicity.swap_changes(np.array(codes), np.ones(len(codes)), number)
+            for c in range(len(codes)):
+                net = {}
+                for f, s in zip(feature[copy == c], sign[copy == c], strict=True):
+                    net[names[f]] = net.get(names[f], 0) + s
+                got.append(sorted((f, int(s)) for f, s in net.items() if s))
+        assert sorted(got) == sorted(want), text
+
+
+def test_features_of_training_are_those_of_scoring(spark):
+    text = "the Muslim gardens, an immigrant; christian four fives ärztin"
+    rows = spark.createDataFrame([(text,)], "t string").select(toxicity._features(F.col("t")).alias("f"))
+    assert set(rows.first().f) == {f for w in toxicity.WORD.findall(text.lower()) for f in toxicity._parts(w)} and "^immig" in rows.first().f
