@@ -131,6 +131,21 @@ def test_text_functions(spark):
     assert Settings().fuzzy_threshold <= 0.75 and Settings().fuzzy_max_expansions >= 4
 
 
+def test_relevant_section_query(spark, tmp_path):
+    """The whole query against brute force, on pages with and without a marker."""
+    html = ["x" * 2000, "ab " * 1000 + "Root Cause" + " cd" * 1000, "o bug " + "y" * 3000, "z" * 3000 + " falhou", "short, falhou", "a" * 500 + " schema " + "b" * 1000 + " falhou " + "c" * 1000, "", None]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+
+    def brute(text):
+        at = [i for i in map((text or "").lower().find, lexicons.SELECTIVE_MARKERS) if i >= 0]
+        if not at:
+            return text and text[:1500]
+        start, end = max(0, min(at) - 750), min(len(text), min(at) + 750)
+        return "..." * (start > 0) + text[start:end].strip() + "..." * (end < len(text))
+
+    assert {r.page_id: r["head"] for r in queries.relevant_section(spark, str(tmp_path)).collect()} == {i: brute(t) for i, t in enumerate(html)}
+
+
 def test_like_and_bm25(spark):
     chunks = spark.createDataFrame([(0, "the É big cat", "s1", "user"), (1, "cat cat", "s2", "user"), (2, "dog", "s1", "user")], "chunk_id long, content string, session_id string, role string")
     assert [r.chunk_id for r in X.like_search(chunks, "CAT", 5, "s1").collect()] == [0]
