@@ -144,9 +144,9 @@ def assign_copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share
 
 
 def repeat_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
-    """df with each row as often as the mix takes it. df must be a stable scan, such as of Parquet files."""
+    """df with each row as often as the mix takes it, rows without words too. df must be a stable scan, such as of Parquet files."""
     numbered = df.withColumn("__row", F.monotonically_increasing_id())
     narrow = numbered.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), "__row")
-    copies = assign_copies(materialize(narrow, "sizes"), weights, share, cap).filter("copies > 0 and size > 0").select(F.col("__row").alias("__r"), F.col("copies").cast("int").alias("__copies"))
+    copies = assign_copies(materialize(narrow, "sizes"), weights, share, cap).filter("copies > 0").select(F.col("__row").alias("__r"), F.col("copies").cast("int").alias("__copies"))
     joined = numbered.join(copies, F.col("__row") == F.col("__r"))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*df.columns)

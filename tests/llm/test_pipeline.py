@@ -5,9 +5,10 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from retrospark.llm import bpe, toxicity
+from retrospark.llm import bpe, mixing, toxicity
 from tests.conftest import SF
 from tests.llm.test_near_dedup import brute as near_brute
 
@@ -58,3 +59,16 @@ def test_odd_documents(spark, tmp_path):
             stage(spark, spark.read.parquet(f"{path}/{i}"), SF).write.parquet(f"{path}/{i + 1}")
         left = [r.doc_id for r in spark.read.parquet(f"{path}/3").collect()]
         assert sorted(left, key=str) == ([2, 3, 5, None] if frame is docs else [])
+
+
+def test_mix_keeps_documents_without_words(spark, tmp_path):
+    """Every row is there as often as the mix gives copies, whatever its size."""
+    rows = [(1, None, "a"), (2, "", "a"), (3, " \t", "a"), (4, "some words here", "a"), (5, "and more words", "b"), (6, "", "b"), (7, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/0")
+    docs = spark.read.parquet(f"{tmp_path}/0")
+    sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    want = {r.doc_id: r.copies for r in mixing.assign_copies(sized).collect() if r.copies}
+    mixing.repeat_documents(docs).write.parquet(f"{tmp_path}/1")
+    mixed = spark.read.parquet(f"{tmp_path}/1")
+    assert Counter(r.doc_id for r in mixed.collect()) == want and {2, 3, 6} & set(want)
+    assert bpe.encode_decode(mixed).count() == sum(want.values())
