@@ -6,16 +6,21 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_folder: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (local tests), a folder of this process."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a folder of this process, in local mode only: on a
+    cluster each executor would write to its own disk."""
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="retrospark-")
     return _own_folder
@@ -29,4 +34,29 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what materialize() wrote for these frames. Nothing that is read later may depend on them."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df with a number for each row, and the number's column. Written once, so that whatever reads it sees one number
+    for a row, however df came about."""
+    column = unused(df, "row")
+    return materialize(df.withColumn(column, F.monotonically_increasing_id()), name), column
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
