@@ -2,11 +2,12 @@
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from retrospark.llm import exact_dedup, mixing, pii, queries
+from retrospark.llm import exact_dedup, mixing, near_dedup, pii, queries, toxicity
+from retrospark.storage import materialize
 from tests.conftest import SF
 
 SCHEMA = "doc_id long, text string, lang string, source string, keep_id string, copies string"
@@ -26,6 +27,38 @@ def test_exact_dedup_cases(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 4), (False, 6), (True, 0)]
 
 
+def test_row_identity_of_frames_that_are_no_scans(spark):
+    """Rows of shuffled frames keep their identity, and users' columns their values."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name in ("__row", "__keep", "__copies", "__drop", "__score", "__gone", "__times", "gone", "row", "digest", "place"):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name}:"), F.col("doc_id").cast("string")))
+    distinct = docs.select("text").distinct().count()
+    for frame in (docs.repartition(6), docs.union(docs).repartition(6), docs.orderBy("text")):
+        kept = exact_dedup.drop_copies(frame).collect()
+        assert len(kept) == distinct == len({r.text for r in kept})
+        assert all(r["__row"] == f"__row:{r.doc_id}" and r["__keep"] == f"__keep:{r.doc_id}" and r.digest == f"digest:{r.doc_id}" for r in kept)
+    plain = Counter(r.doc_id for r in mixing.repeat_documents(docs).collect())
+    mixed = mixing.repeat_documents(docs.repartition(6)).collect()
+    assert Counter(r.doc_id for r in mixed) == plain
+    assert all(r["__copies"] == f"__copies:{r.doc_id}" and r["__times"] == f"__times:{r.doc_id}" for r in mixed)
+    assert near_dedup.drop_near_duplicates(docs.repartition(3)).filter("`__drop` <> concat('__drop:', doc_id)").count() == 0
+    clean = toxicity.drop_toxic(docs.repartition(3), spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    assert len(clean) and all(r["__score"] == f"__score:{r.doc_id}" for r in clean)
+    one = exact_dedup.drop_copies(docs.repartition(6), keep="min").select("doc_id").collect()
+    lowest = docs.groupBy("text").agg(F.min("doc_id").alias("d")).select("d").collect()
+    assert sorted(r.doc_id for r in one) == sorted(r.d for r in lowest)
+
+
+def test_runs_are_merged_in_order(spark):
+    """Each level aggregates over sorted rows, and there is one exchange for each binomial round."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(8)
+    rows = materialize(exact_dedup.digests(docs, "doc_id", "text"), "digests")
+    merged = exact_dedup.merge_runs(rows)
+    plan = merged._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortAggregate") == 6 and "HashAggregate" not in plan.replace("SortAggregate", "")
+    assert merged.count() == docs.select("text").distinct().count()
+
+
 def brute_targets(sizes, weights=(5, 2, 1)):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % 3] for i, s in enumerate(names)}
