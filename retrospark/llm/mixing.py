@@ -22,10 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retrospark.storage import materialize
+from retrospark.storage import discard, materialize, numbered, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_ROWS = 1000
+#: A share of its target by which a source may be off when the rounds are over.
+LEAST_MISS = 1e-6
 SAME = lambda a, b: a.eqNullSafe(b)
 
 
@@ -64,6 +66,7 @@ def solve_dual(cells: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance
     """targets with lambda. cells: source, size, n."""
     mean = F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1e-9))
     state = targets.withColumns({"mean": mean, "lam": F.lit(0.0), "low": F.lit(-1e6), "high": F.lit(1e6), "miss": F.lit(1e300)})
+    first, worst = True, 0.0
     for _ in range(max_rounds):
         s, c = state.alias("s"), cells.alias("c")
         rows = c.join(s, SAME(F.col("c.source"), F.col("s.source"))).filter("size > 0").select("s.*", "c.size", "c.n").withColumn("x", F.col("size") / F.col("mean"))
@@ -78,9 +81,16 @@ def solve_dual(cells: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance
         lam = F.when(F.col("mass").isNull() | (gap == 0), F.col("lam")).when((F.col("slope") > 0) & (step > low) & (step < high) & (F.abs(step - F.col("lam")) <= 4 + F.abs("lam")), step).otherwise(inside)
         forced = F.col("mass").isNull() | (F.col("target") <= 0) | (F.col("target") >= F.col("source_size") * F.lit(cap))
         miss = F.when(forced, F.lit(0.0)).otherwise(F.abs(gap) / F.col("target"))
-        state = materialize(state.alias("s").join(m, SAME(F.col("s.source"), F.col("m.source")), "left").select("s.source", "source_size", "n_docs", "target", "mean", F.when(miss <= tolerance, F.col("lam")).otherwise(lam).alias("lam"), low.alias("low"), high.alias("high"), miss.alias("miss")), "dual")
-        if (state.agg(F.max("miss")).first()[0] or 0.0) <= tolerance:
-            break
+        before, state = state, materialize(state.alias("s").join(m, SAME(F.col("s.source"), F.col("m.source")), "left").select("s.source", "source_size", "n_docs", "target", "mean", F.when(miss <= tolerance, F.col("lam")).otherwise(lam).alias("lam"), low.alias("low"), high.alias("high"), miss.alias("miss")), "dual")
+        if first:
+            first = False
+        else:
+            discard(before)
+        worst = state.agg(F.max("miss")).first()[0] or 0.0
+        if worst <= tolerance:
+            return state
+    if worst > LEAST_MISS:
+        raise RuntimeError(f"a target is still missed by {worst:.2g} of it after {max_rounds} rounds")
     return state
 
 
@@ -105,9 +115,11 @@ def copies_per_cell(cells: DataFrame, state: DataFrame, cap: int = 2, repairs: i
         fits = open_.filter((F.col("size") > 0) & (F.col("size") <= F.abs("gap")) & (room > 0))
         best = fits.groupBy("source").agg(F.max(F.struct("size", (F.signum("gap") * F.least(room, F.floor(F.abs("gap") / F.col("size")))).cast("long").alias("move"))).alias("best"))
         best = best.select(F.col("source").alias("b_source"), F.col("best.size").alias("b_size"), F.col("best.move").alias("move"))
-        moved = out.join(best, SAME(F.col("source"), F.col("b_source")) & (F.col("size") == F.col("b_size")), "left")
+        before, moved = out, out.join(best, SAME(F.col("source"), F.col("b_source")) & (F.col("size") == F.col("b_size")), "left")
         out = materialize(moved.select("source", "size", "n", (F.col("copies") + F.coalesce("move", F.lit(0))).alias("copies"), "source_size", "target"), "copies")
-        if best.isEmpty():
+        done = best.isEmpty()
+        discard(before)
+        if done:
             break
     return out
 
@@ -144,9 +156,11 @@ def assign_copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share
 
 
 def repeat_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
-    """df with each row as often as the mix takes it, rows without words too. df must be a stable scan, such as of Parquet files."""
-    numbered = df.withColumn("__row", F.monotonically_increasing_id())
-    narrow = numbered.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), "__row")
-    copies = assign_copies(materialize(narrow, "sizes"), weights, share, cap).filter("copies > 0").select(F.col("__row").alias("__r"), F.col("copies").cast("int").alias("__copies"))
-    joined = numbered.join(copies, F.col("__row") == F.col("__r"))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*df.columns)
+    """df with each row as often as the mix takes it, rows without words too; df may be any frame, as its rows are numbered once."""
+    names = df.columns
+    own, row = numbered(df, "numbered")
+    narrow = own.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.col(row).alias("row"))
+    times, place, copy = (unused(own, x) for x in ("times", "place", "copy"))
+    copies = assign_copies(materialize(narrow, "sizes"), weights, share, cap).filter("copies > 0").select(F.col("row").alias(place), F.col("copies").cast("int").alias(times))
+    joined = own.join(copies, F.col(row) == F.col(place))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*names)

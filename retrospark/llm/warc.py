@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retrospark.storage import numbered
+
 DICT_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
 ARCHIVE_BYTES = 8 << 20
@@ -120,7 +122,7 @@ def read_archive(content: bytes) -> Iterator[tuple[int, dict[str, str], dict[str
     """(offset, WARC headers, HTTP headers, payload) of each record."""
     import zstandard
 
-    data, at, known = memoryview(content), 0, None
+    data, at, reader = memoryview(content), 0, zstandard.ZstdDecompressor()
     while at < len(data):
         magic = int.from_bytes(data[at : at + 4], "little")
         if magic & 0xFFFFFFF0 == 0x184D2A50:
@@ -131,13 +133,12 @@ def read_archive(content: bytes) -> Iterator[tuple[int, dict[str, str], dict[str
                 raw = bytes(data[8 : 8 + n])
                 if raw[:4] == struct.pack("<I", FRAME_MAGIC):  # the dictionary itself may be compressed
                     raw = zstandard.ZstdDecompressor().decompress(raw)
-                known = zstandard.ZstdCompressionDict(raw)
+                reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
             at += 8 + n
             continue
         try:
             end = frame_end(data, at)
-            d = zstandard.ZstdDecompressor(dict_data=known) if known else zstandard.ZstdDecompressor()
-            fields, block = parse_record(d.decompressobj().decompress(data[at:end]))
+            fields, block = parse_record(reader.decompressobj().decompress(data[at:end]))
             http, payload = parse_http(block)
             if fields["WARC-Type"] == "response":
                 if int(http.get("content-length", len(payload))) != len(payload):
@@ -153,14 +154,15 @@ def read_archive(content: bytes) -> Iterator[tuple[int, dict[str, str], dict[str
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, refers_to. Payloads below min_bytes are never revisits.
 
-    Equal payloads are found by SHA-256 and length on narrow rows; payloads move only once, by row, and evenly.
+    Equal payloads are found by SHA-256 and length on narrow rows; payloads move only once, by row, and evenly. pages may
+    be any frame: its rows are numbered and written once.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    narrow = rows.filter(F.octet_length("payload") >= min_bytes).select("page_id", "row", F.sha2("payload", 256).alias("h"))
-    first = narrow.groupBy("h").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = narrow.join(first, "h").filter(F.col("row") != F.col("first.row")).select(F.col("row").alias("later"), F.col("first.page_id").alias("refers_to"))
-    joined = rows.join(later, F.col("row") == F.col("later"), "left")
+    rows, row = numbered(rows, "numbered")
+    narrow = rows.filter(F.octet_length("payload") >= min_bytes).select("page_id", F.col(row).alias("row"), F.sha2("payload", 256).alias("h"), F.octet_length("payload").alias("bytes"))
+    first = narrow.groupBy("h", "bytes").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    later = narrow.join(first, ["h", "bytes"]).filter(F.col("row") != F.col("first.row")).select(F.col("row").alias("later"), F.col("first.page_id").alias("refers_to"))
+    joined = rows.join(later, F.col(row) == F.col("later"), "left")
     return joined.select("page_id", "url", "payload", "refers_to", F.col("later").isNotNull().alias("revisit"))
 
 
