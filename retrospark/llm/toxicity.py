@@ -2,16 +2,15 @@
 
 Features are the lower-cased words of a text and their first four and five letters, each once, however often they occur;
 words are maximal runs of letters. Everything is learnt from at most `SAMPLE_ROWS` labelled rows, drawn by hash, so that
-training costs as much at any size. The features that tell most about the label, for toxic texts or for clean ones (a
-likelihood-ratio statistic of at least `LEAST_GAIN`, and of those the `VOCABULARY` best), stay, together with all
-identity terms, and a logistic model is fitted to them on the driver, which gets the numbers of each row's features
-only, two bytes each, and works on `BLOCK` of them at a time.
+training costs as much at any size. All features that tell something about the label, for toxic texts or for clean ones (a
+likelihood-ratio statistic of at least `LEAST_GAIN`), stay, together with all identity terms, and a logistic model is
+fitted to them on the driver, which gets the numbers of each row's features only, four bytes each, and works on `BLOCK`
+of them at a time.
 
-For each sampled text with an identity term, copies with the term swapped for others of its group are made, as far as
-the model sees them: the features that the copy loses and gains, first letters included, unless the rest of the text
-holds them. The loss adds LAMBDA times the mean squared change of the score between a text and its copies, so that the
-groups weigh alike. Scores of whole texts are computed in Arrow batches with the model in the closure: its size
-is bounded by the vocabulary.
+For each sampled text with an identity term, copies with the term swapped for each other one of its group are made, as
+far as the model sees them: the features that the copy loses and gains, first letters included, unless the rest of the
+text holds them. The loss adds LAMBDA times the mean squared change of the logit between texts and copies. Scores of whole
+texts are computed in Arrow batches with the model in the closure: its size is bounded by the sample's.
 
 Defined results: null and empty texts get the score of a text without features; rows without label or with a null one
 are only scored; identifiers that repeat in the labels count once each (with differing labels, the larger); an empty
@@ -31,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retrospark.storage import materialize
+from retrospark.llm.workers import give_back
+from retrospark.storage import materialize, unused
 
-VOCABULARY, SAMPLE_ROWS, LAMBDA, L2 = 2000, 20_000, 1.0, 1e-4
-LEAST_GAIN, BLOCK = 8.0, 1 << 20
+SAMPLE_ROWS, LAMBDA, L2 = 20_000, 10.0, 1e-4
+LEAST_GAIN, BLOCK = 3.0, 1 << 20
 PREFIXES = (4, 5)
 # Identity terms; those of a row are swapped for one another.
 IDENTITY_GROUPS = [
@@ -112,8 +112,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).join(F.broadcast(drawn), "doc_id").select("y", _features(F.col("t")).alias("words"))
 
 
-def vocabulary(rows: DataFrame, size: int = VOCABULARY) -> tuple[list[str], int, int]:
-    """The most telling features, and the numbers of rows and of toxic ones."""
+def vocabulary(rows: DataFrame) -> tuple[list[str], int, int]:
+    """The telling features of the sample, and the numbers of rows and of toxic ones."""
     totals = rows.agg(F.count(F.lit(1)), F.sum("y")).first()
     n, pos = totals[0], totals[1] or 0
     if pos in (0, n):
@@ -121,41 +121,59 @@ def vocabulary(rows: DataFrame, size: int = VOCABULARY) -> tuple[list[str], int,
     by = rows.select(F.explode("words").alias("w"), "y").groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("k"))
     p, q = F.lit(pos / n), F.col("k") / F.col("n")
     gain = F.when(F.col("k") > 0, F.col("k") * F.log(q / p)).otherwise(0.0) + F.when(F.col("k") < F.col("n"), (F.col("n") - F.col("k")) * F.log((1 - q) / (1 - p))).otherwise(0.0)
-    top = by.withColumn("gain", gain).filter(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "w").limit(size)
+    top = by.filter(gain >= LEAST_GAIN)
     identity = [w for g in IDENTITY_GROUPS for w in g]
     return sorted({r.w for r in top.select("w").collect()} | set(identity)), n, pos
 
 
+class Objective:
+    """The loss of weights and bias on labelled texts, and its gradient.
+
+    flat: the numbers of all texts' features, text after text; sizes: how many each text has; codes: the swaps in them.
+    """
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, words: list[str], codes: np.ndarray):
+        self.flat, self.sizes, self.y, self.d = flat, sizes, y, len(words)
+        number = {w: i for i, w in enumerate(words)}
+        self.copy, self.feature, self.sign, self.share = swap_changes(*np.unique(codes, return_counts=True), number)
+        n, ends = len(sizes), np.cumsum(sizes)
+        # Texts of about BLOCK features at a time: (first text, end, first feature, end), and where each text with features starts.
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, len(flat), BLOCK), "left"), n))
+        at = np.append(0, ends)[cuts]
+        self.blocks = [(*cuts[i : i + 2], *at[i : i + 2]) for i in range(len(cuts) - 1)]
+        self.filled, self.starts = sizes > 0, ends - sizes
+        even = lambda own: n / (2 * max(1, own.sum()))
+        self.balance = np.where(y == 1, even(y), even(1 - y)) * 0.5 + 0.5
+
+    def __call__(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
+        n, flat = len(self.sizes), self.flat
+        z = np.full(n, b)
+        for i, j, f, g in self.blocks:
+            some = self.filled[i:j]
+            if f < g:
+                z[i:j][some] += np.add.reduceat(w[flat[f:g]], self.starts[i:j][some] - f)
+        r = (1 / (1 + np.exp(-z)) - self.y) * self.balance / n
+        grad = 2 * L2 * w
+        for i, j, f, g in self.blocks:
+            grad += np.bincount(flat[f:g], np.repeat(r[i:j], self.sizes[i:j]), self.d)
+        change = np.bincount(self.copy, self.sign * w[self.feature], len(self.share))
+        grad += np.bincount(self.feature, self.sign * (2 * LAMBDA * self.share * change)[self.copy], self.d)
+        loss = (self.balance * (np.logaddexp(0, z) - self.y * z)).mean() + L2 * (w @ w) + LAMBDA * (self.share * change**2).sum()
+        return float(loss), np.append(grad, r.sum())
+
+
 def fit(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, words: list[str], rounds: int = 300, codes: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Weights and bias. flat: the numbers of all texts' words, text after text; sizes: how many each text has; codes: their swaps, by default those of texts that hold nothing else."""
-    number = {w: i for i, w in enumerate(words)}
-    ends = np.cumsum(sizes)
+    """Weights and bias that make the objective small. codes: the texts' swaps, by default those of texts that hold nothing but `words`."""
     if codes is None:
+        ends = np.cumsum(sizes)
         codes = np.array([c for e, k in zip(ends, sizes, strict=True) for c in swaps([words[i] for i in flat[e - k : e]])], np.int32)
-    copy, feature, sign, often = swap_changes(*np.unique(codes, return_counts=True), number)
-    w, b, d, n = np.zeros(len(words)), 0.0, len(words), len(sizes)
-    # Texts of about BLOCK features at a time: (first text, end, first feature, end), and where each text with features starts.
-    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, len(flat), BLOCK), "left"), n))
-    at = np.append(0, ends)[cuts]
-    blocks = [(*cuts[i : i + 2], *at[i : i + 2]) for i in range(len(cuts) - 1)]
-    filled, starts = sizes > 0, ends - sizes
-    balance = np.where(y == 1, n / (2 * max(1, y.sum())), n / (2 * max(1, (1 - y).sum()))) * 0.5 + 0.5
-    m, v = np.zeros(d + 1), np.zeros(d + 1)
-    for t in range(1, rounds + 1):
-        z, grad = np.full(n, b), 2 * L2 * w
-        for i, j, f, g in blocks:
-            some = filled[i:j]
-            if f < g:
-                z[i:j][some] += np.add.reduceat(w[flat[f:g]], starts[i:j][some] - f)
-        r = (1 / (1 + np.exp(-z)) - y) * balance / n
-        for i, j, f, g in blocks:
-            grad += np.bincount(flat[f:g], np.repeat(r[i:j], sizes[i:j]), d)
-        swap = 2 * LAMBDA * often * np.bincount(copy, sign * w[feature], len(often))
-        grad = np.append(grad + np.bincount(feature, sign * swap[copy], d), r.sum())
+    objective = Objective(flat, sizes, y, words, codes)
+    x, m, v = (np.zeros(len(words) + 1) for _ in range(3))
+    for t in range(1, rounds + 1):  # Adam, with steps that shrink to nothing
+        _, grad = objective(x[:-1], x[-1])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        w, b = w - step[:-1], b - step[-1]
-    return w, float(b)
+        x = x - 0.1 * (1 - (t - 1) / rounds) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+    return x[:-1], float(x[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> tuple[dict[str, float], float]:
@@ -164,12 +182,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     words, n, pos = vocabulary(rows)
     if not words:
         return {}, float(np.log((pos + 0.5) / (n - pos + 0.5)))
-    number = {w: i for i, w in enumerate(words)}  # at most VOCABULARY words and the identity terms
+    number = {w: i for i, w in enumerate(words)}
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2).to_pylist()
-            found = [np.array(sorted(number[w] for w in row if w in number), np.int16).tobytes() for row in texts]
+            found = [np.array(sorted(number[w] for w in row if w in number), np.int32).tobytes() for row in texts]
             copies = [np.array(swaps(row), np.int32).tobytes() for row in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary()), pa.array(copies, pa.binary())], names=["y", "h", "f", "s"])
 
@@ -177,17 +195,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     codes = np.frombuffer(b"".join(table["s"].to_pylist()), np.int32)
     # In an order that doesn't depend on tasks, so that sums don't either.
     found, y = table["f"].to_pylist(), table["y"].to_numpy().astype(float)
-    sizes = np.array([len(f) // 2 for f in found], np.int64)
+    sizes = np.array([len(f) // 4 for f in found], np.int64)
     order = np.lexsort((y, sizes, table["h"].to_numpy()))
-    w, b = fit(np.frombuffer(b"".join(found[i] for i in order), np.int16), sizes[order], y[order], words, codes=codes)
+    w, b = fit(np.frombuffer(b"".join(found[i] for i in order), np.int32), sizes[order], y[order], words, codes=codes)
     return {x: float(c) for x, c in zip(words, w, strict=True) if abs(c) > 1e-6}, b
 
 
-def score(docs: DataFrame, model: tuple[dict[str, float], float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with column __score."""
+def score(docs: DataFrame, model: tuple[dict[str, float], float], text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """docs with one more column, the score."""
     weights, bias = model
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text_col)
@@ -199,7 +217,8 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], id_col: str =
                 seen = weights.keys() & (words | starts)
                 z = bias + sum(weights[w] for w in sorted(seen))
                 out.append(float(1 / (1 + np.exp(-z))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, out_col])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -208,9 +227,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row for each document: doc_id, held_out, score, predicted."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = score(slim, train(docs, labels, id_col, text_col, label_col))
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", reject: float = 0.5) -> DataFrame:
     """docs without those whose score reaches `reject`; all columns stay."""
-    return score(docs, train(docs, labels, id_col, text_col, label_col), id_col, text_col).filter(F.col("__score") < reject).select(*docs.columns)
+    out_col = unused(docs, "score")
+    return score(docs, train(docs, labels, id_col, text_col, label_col), text_col, out_col).filter(F.col(out_col) < reject).select(*docs.columns)

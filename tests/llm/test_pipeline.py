@@ -30,7 +30,7 @@ def test_stages(spark, tmp_path):
     rows = [x.collect() for x in inputs]
 
     model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    kept = {r.doc_id for r in toxicity.score(docs, model).filter("__score < 0.5").collect()}
+    kept = {r.doc_id for r in toxicity.score(docs, model).filter("score < 0.5").collect()}
     assert {r.doc_id for r in rows[1]} == kept
 
     last = {}

@@ -20,21 +20,62 @@ def test_held_out(spark):
     pos, neg = [s for t, s in held if t], [s for t, s in held if not t]
     auc = np.mean([(p > n) + (p == n) / 2 for p in pos for n in neg])
     right = np.mean([(s >= 0.5) == t for t, s in held])
-    assert auc > 0.8 and right > 0.95, (auc, right)
+    assert auc > 0.9 and right > 0.95, (auc, right)
 
 
-def test_counterfactual_penalty():
+def test_counterfactual_penalty(monkeypatch):
     words = sorted({"idiot", "house"} | {w for g in toxicity.IDENTITY_GROUPS for w in g})
     number = {w: i for i, w in enumerate(words)}
     feature = lambda *ws: np.sort(np.array([number[w] for w in ws]))
     texts = [feature("muslim", "idiot")] * 20 + [feature("christian", "house")] * 20 + [feature("idiot")] * 20 + [feature("house")] * 20
     y = np.array([1.0] * 20 + [0.0] * 20 + [1.0] * 20 + [0.0] * 20)
     gap = {}
-    for toxicity.LAMBDA in (0.0, 1.0):
+    for lam in (0.0, 10.0):
+        monkeypatch.setattr(toxicity, "LAMBDA", lam)
         w, b = toxicity.fit(np.concatenate(texts), np.array([len(t) for t in texts]), y, words)
-        gap[toxicity.LAMBDA] = abs(w[number["muslim"]] - w[number["christian"]])
+        gap[lam] = abs(w[number["muslim"]] - w[number["christian"]])
         assert w[number["idiot"]] + b > 0 > w[number["house"]] + b
-    assert gap[1.0] < 0.3 * gap[0.0]
+    assert gap[10.0] < 0.1 * gap[0.0]
+
+
+def test_objective_against_real_copies():
+    """Loss and gradient against copies of the texts with the term swapped, all features taken anew."""
+    texts = ["the muslim muslims pray idiot", "christian harbour christ", "an immigrant and a refugee", "idiot", "", "muslim idiot", "the old garden"]
+    y = np.array([1.0, 0, 0, 1, 0, 1, 0])
+    features = lambda text: sorted({f for w in text.split() for f in toxicity._parts(w)})
+    words = sorted({f for t in texts for f in features(t)} | toxicity.SWAPPED)
+    number = {f: i for i, f in enumerate(words)}
+    flat = np.array([number[f] for t in texts for f in features(t)])
+    sizes = np.array([len(features(t)) for t in texts])
+    codes = np.array([c for t in texts for c in toxicity.swaps(features(t))])
+    objective = toxicity.Objective(flat, sizes, y, words, codes)
+    group = {w: g for g in toxicity.IDENTITY_GROUPS for w in g}
+    copies = [(t, " ".join(b if w == a else w for w in t.split())) for t in texts for a in sorted(set(t.split()) & group.keys()) for b in group[a] if b != a]
+
+    def brute(w, b):
+        z = lambda t: b + sum(w[number[f]] for f in features(t))
+        weight = {1: len(y) / (2 * y.sum()) / 2 + 0.5, 0: len(y) / (2 * (1 - y).sum()) / 2 + 0.5}
+        fit = np.mean([weight[int(k)] * (np.logaddexp(0, z(t)) - k * z(t)) for t, k in zip(texts, y, strict=True)])
+        return fit + toxicity.L2 * (w @ w) + toxicity.LAMBDA * np.mean([(z(t) - z(c)) ** 2 for t, c in copies])
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=len(words) + 1)
+    loss, grad = objective(x[:-1], x[-1])
+    assert abs(loss - brute(x[:-1], x[-1])) < 1e-9
+    for i in range(len(x)):
+        step = np.eye(len(x))[i] * 1e-5
+        up, down = x + step, x - step
+        slope = (brute(up[:-1], up[-1]) - brute(down[:-1], down[-1])) / 2e-5
+        assert abs(slope - grad[i]) < 1e-5, (i, slope, grad[i])
+
+
+def test_a_term_alone_decides_nothing(spark):
+    """Labels that follow a term, and nothing else, with its first letters among the features."""
+    docs = spark.createDataFrame([(i, f"the {'muslims' if i % 2 else 'christians'} met {['early', 'late', 'today'][i % 3]}") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
+    got = {r.text: r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    for when in ("early", "late", "today"):
+        assert abs(got[f"the muslims met {when}"] - got[f"the christians met {when}"]) < 0.1, got
 
 
 def test_odd_inputs(spark):
@@ -62,7 +103,7 @@ def test_learns_at_any_share_of_toxic_labels(spark, share):
 def test_blocks_change_no_fit(monkeypatch):
     words = sorted({"idiot", "house"} | {w for g in toxicity.IDENTITY_GROUPS for w in g})
     rng = np.random.default_rng(1)
-    texts = [np.sort(rng.choice(len(words), k, replace=False)).astype(np.int16) for k in rng.integers(0, 5, 200)]
+    texts = [np.sort(rng.choice(len(words), k, replace=False)).astype(np.int32) for k in rng.integers(0, 5, 200)]
     y = rng.integers(0, 2, 200).astype(float)
     given = np.concatenate(texts), np.array([len(t) for t in texts]), y, words
     whole = toxicity.fit(*given)
@@ -80,10 +121,10 @@ def test_neutral_mention_with_prefixes(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
     neutral = spark.createDataFrame([(i, f"the {t} garden") for i, t in enumerate(["muslim", "christian", "hindu"])] + [(3, "the muslim"), (4, "the christian")], "doc_id long, text string")
-    got = {r.doc_id: r["__score"] for r in toxicity.score(neutral, model).collect()}
+    got = {r.doc_id: r["score"] for r in toxicity.score(neutral, model).collect()}
     logit = {i: np.log(s / (1 - s)) for i, s in got.items()}
     assert max(got.values()) < 0.5, got
-    assert abs(logit[3] - logit[4]) < 1, (logit, model)
+    assert abs(got[3] - got[4]) < 0.1 and abs(logit[3] - logit[4]) < 0.5, (logit, model)
 
 
 def test_swaps_are_those_of_real_copies():
