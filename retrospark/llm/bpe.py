@@ -14,8 +14,8 @@ Decoding turns ids into the bytes of their pieces with one table look-up for all
 the one leading space, and replaces malformed byte runs.
 
 Token counts. Tier one is a compact table that goes to all tasks by broadcast: the lengths, in tokens, of the most
-frequent parts, counted on a bounded sample of documents (it only saves time: a part gives the same count from either
-tier). Tier two is a bounded cache in each worker, filled by encoding the parts that tier one misses. Parts never leave
+frequent parts, counted on a bounded sample drawn over all documents (it only saves time: a part gives the same count from
+either tier). Tier two is a bounded cache in each worker, filled by encoding the parts that tier one misses. Parts never leave
 the task that reads them.
 
 Defined results: null and empty texts have no tokens but the begin and end ids where asked for; repeated rows give
@@ -36,10 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retrospark.llm.workers import give_back
+
 SPACE = "▁"
 PART = re.compile(rf"{SPACE}*[^\W\d_²³¹]+|{SPACE}*(?:[^\w{SPACE}]+|[\d_²³¹]+)+|{SPACE}+")
-#: Parts of more characters are encoded without being kept; caches are emptied at so many entries.
-LONG_PART, CACHE_ENTRIES = 48, 600_000
+#: Parts of more characters are encoded without being kept; a worker's cache holds so many bytes, about.
+LONG_PART, CACHE_BYTES = 48, 32 << 20
+#: Of an entry, besides its characters and ids: two objects and their place in the table.
+ENTRY_BYTES = 200
 INF = float("inf")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -70,10 +74,17 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
 
 
 def read_pieces(path: str) -> list[tuple[str, float, int]]:
-    """(piece, score, kind) by id."""
+    """(piece, score, kind) by id. Models that this encoder isn't made for are refused: those that normalise characters
+    or drop spaces, those that don't put a space first, other types than merges, and pieces that users defined."""
     out = []
     with open(path, "rb") as f:
         for number, value in _fields(f.read()):
+            if number == 2 and dict(_fields(value)).get(3, 1) != 2:
+                raise ValueError("not a merge-type model")
+            if number == 3:
+                normaliser = dict(_fields(value))
+                if normaliser.get(2) or not normaliser.get(3, 1) or normaliser.get(4, 1) or not normaliser.get(5, 1):
+                    raise ValueError("the model normalises texts")
             if number == 1:
                 piece = dict(_fields(value))
                 out.append((piece[1].decode(), float(np.frombuffer(piece.get(2, b"\0\0\0\0"), "<f4")[0]), piece.get(3, NORMAL)))
@@ -87,6 +98,8 @@ class Encoder:
         import ahocorasick
 
         pieces = read_pieces(path)
+        if any(kind == USER for _, _, kind in pieces):
+            raise ValueError("the model has pieces that users defined")
         self.ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind in (NORMAL, USER)}
         self.rank = {p: -pieces[i][1] for p, i in self.ids.items()}
         self.control = {kind_piece: i for i, (kind_piece, _, kind) in enumerate(pieces) if kind in (CONTROL, UNKNOWN)}
@@ -100,7 +113,11 @@ class Encoder:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
         self.spines: dict[tuple[str, int], list[tuple[str, float]] | None] = {}
+        # Parts by age: where the recent ones fill half the cache, they become the older ones, of which those that come
+        # again are recent anew, and the rest are dropped the next time.
         self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
         surface = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, kind in pieces]
         self.surface = np.frombuffer(b"".join(surface), np.uint8)
         self.surface_size = np.array([len(s) for s in surface], np.int64)
@@ -212,14 +229,18 @@ class Encoder:
         if not text:
             return b""
         parts, out = self.parts, []
-        if len(parts) > CACHE_ENTRIES:
-            parts.clear()
         for part in split_parts(text):
             found = parts.get(part)
             if found is None:
-                found = self.encode_part(part)
+                found = self.older.get(part)
+                if found is None:
+                    found = self.encode_part(part)
                 if len(part) <= LONG_PART:
                     parts[part] = found
+                    self.held += ENTRY_BYTES + 2 * len(part) + len(found)
+                    if 2 * self.held > CACHE_BYTES:
+                        self.older, self.held = parts, 0
+                        parts = self.parts = {}
             out.append(found)
         return b"".join(out)
 
@@ -260,14 +281,18 @@ def encode_decode(df: DataFrame, model: str = "piece_bpe_32k.model", id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model_path(model))
         bos, eos = (np.array([x], "<u4").tobytes() for x in (e.bos, e.eos))
+        last, result, array = None, (), np.zeros(0, "<u4")
         for b in batches:
             n, hashed, decoded, all_ids = [], [], [], []
             for value in b.column(1):
-                ids = bos + e.encode(value.as_py() or "") + eos
-                array = np.frombuffer(ids, "<u4")
-                n.append(len(array))
-                hashed.append(hashlib.sha256(ids).hexdigest())
-                decoded.append(hashlib.sha256(e.decode(array).encode()).hexdigest())
+                text = value.as_py() or ""
+                if text != last:  # rows that a mix repeats follow one another
+                    last, ids = text, bos + e.encode(text) + eos
+                    array = np.frombuffer(ids, "<u4")
+                    result = len(array), hashlib.sha256(ids).hexdigest(), hashlib.sha256(e.decode(array).encode()).hexdigest()
+                n.append(result[0])
+                hashed.append(result[1])
+                decoded.append(result[2])
                 if with_ids:
                     all_ids.append(array.astype(np.int32))
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(hashed, pa.string()), pa.array(decoded, pa.string())]
@@ -276,12 +301,16 @@ def encode_decode(df: DataFrame, model: str = "piece_bpe_32k.model", id_col: str
                 cols.append(pa.array(all_ids, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        give_back()
 
     return _rows(df, id_col, text_col).mapInArrow(run, schema)
 
 
 def frequent_parts(df: DataFrame, model: str, text_col: str = "text", sample_rows: int = 256, size: int = 20_000) -> dict[str, int]:
-    """Token counts of the most frequent parts of a bounded sample, for the first tier; at most `size` short strings."""
+    """Token counts of the most frequent parts of a bounded sample, for the first tier; at most `size` short strings.
+
+    The sample is drawn over the whole table, so that each source and language has its share.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -291,8 +320,11 @@ def frequent_parts(df: DataFrame, model: str, text_col: str = "text", sample_row
         top = [p for p, n in seen.most_common(size) if n > 1]
         e = encoder(model_path(model))
         yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array([len(e.encode_part(p)) // 4 for p in top], pa.int32())], names=["part", "n"])
+        give_back()
 
-    sample = df.select(F.col(text_col).cast("string").alias("text")).limit(sample_rows).coalesce(1)
+    # About twice as many rows are drawn as are needed, and one task counts the parts of sample_rows at most.
+    share = min(1.0, 2 * sample_rows / max(1, df.count()))
+    sample = df.select(F.col(text_col).cast("string").alias("text")).sample(fraction=share, seed=1).limit(sample_rows).coalesce(1)
     return {r.part: r.n for r in sample.mapInArrow(count, "part string, n int").collect()}
 
 
@@ -301,7 +333,7 @@ class _Misses(dict):
 
     def __init__(self, first: dict[str, int], model: str):
         super().__init__(first)
-        self.first, self.model, self.processor = first, model, None
+        self.first, self.model, self.processor, self.held = first, model, None, 0
 
     def __missing__(self, part: str) -> int:
         if self.processor is None:
@@ -315,9 +347,11 @@ class _Misses(dict):
         else:
             n = len(self.processor.encode("\n" + part)) - 2
         if len(part) <= LONG_PART:
-            if len(self) >= CACHE_ENTRIES:
+            self.held += ENTRY_BYTES + 2 * len(part)
+            if self.held > CACHE_BYTES:
                 self.clear()
                 self.update(self.first)
+                self.held = 0
             self[part] = n
         return n
 
@@ -336,5 +370,7 @@ def count_tokens(df: DataFrame, model: str = "piece_bpe_32k.model", id_col: str
                 n_bytes.append(len(text.encode()))
                 n.append(sum(map(look, split_parts(text))) if text else 0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        counts.clear()
+        give_back()
 
     return _rows(df, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
