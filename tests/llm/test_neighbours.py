@@ -1,6 +1,7 @@
 """Nearest neighbours: recall against brute force, exact scores and ranks, twins and odd vectors."""
 
 import numpy as np
+import pytest
 
 from retrospark.llm import neighbours, queries
 from tests.conftest import SF
@@ -51,3 +52,24 @@ def test_shards_twins_and_odd_vectors(spark):
     assert neighbours.nearest(df.limit(0), df).count() == 0 and neighbours.nearest(few, df.limit(0)).count() == 0
     lone = df.filter("vec_id = 3")
     assert neighbours.nearest(lone, lone).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["normal", "heavy", "unit"])
+def test_recall_of_a_whole_shard(shape):
+    """16,384 random vectors of 128 components, the hardest of all, as one shard and as four."""
+    r = np.random.default_rng(1)
+    x = r.normal(size=(16_384, 128))
+    x *= r.pareto(2.5, size=(len(x), 1)) + 1 if shape == "heavy" else 1 / np.linalg.norm(x, axis=1, keepdims=True) if shape == "unit" else 1
+    x = x.astype(np.float32)
+    q = x[:200]
+    want = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    recall = lambda got: np.mean([len(set(a) & set(b)) / 20 for a, b in zip(got, want, strict=True)])
+    assert recall(neighbours.search_graph(x, neighbours.build_graph(x), q)[:, :20]) > 0.95
+    if shape == "normal":
+        found = []
+        for i in range(4):
+            part = np.arange(i, len(x), 4)
+            found.append(part[neighbours.search_graph(x[part], neighbours.build_graph(x[part]), q)[:, :20]])
+        merged = np.concatenate(found, axis=1)
+        score = np.einsum("qd,qkd->qk", q, x[merged])
+        assert recall(np.take_along_axis(merged, np.argsort(-score, axis=1)[:, :20], axis=1)) > 0.95
