@@ -1,11 +1,17 @@
 """The index: tables in a folder, brought up to date from session logs.
 
-Each table is a folder of Parquet files under a version; the file CURRENT names the version, so that a run that fails
-leaves the old one. Sessions whose file has changed are replaced whole.
+An update writes a segment, a folder with the rows that are new, and then a version, a small file that names all segments;
+versions are numbered, and one appears by a rename, so readers see the one before or the one after. Segments are never
+changed: chunks that are gone are named in a table of their own, and what a term's counts lose is written as a
+negative number. Segments are merged when there are many. Versions but the last two go, and segments that only they name.
+
+Of a session whose file has changed, chunks with the same number, role and text stay as they are, with their vectors;
+so a session that has grown costs what it has grown by.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass, field
 
@@ -21,7 +27,8 @@ from retrospark.plans.recall import Index
 from retrospark.sources import jsonl
 from retrospark.storage import materialize
 
-TABLES = ("sessions", "chunks", "vectors", "postings", "lengths", "vocab", "cache", "runs")
+#: Tables of rows that belong to a chunk, and segments up to which nothing is merged.
+OF_CHUNKS, MOST_SEGMENTS = ("chunks", "vectors", "postings", "lengths"), 16
 
 
 @dataclass
@@ -36,42 +43,96 @@ class Report:
         return self.scanned - self.indexed
 
 
+@dataclass
+class Version:
+    """What a version's file says: its segments, oldest first, each with its tables; and the next free chunk number."""
+
+    number: int = -1
+    segments: list[list] = field(default_factory=list)
+    next_chunk: int = 0
+
+    def paths(self, table: str) -> list[str]:
+        return [f"{name}/{table}" for name, tables in self.segments if table in tables]
+
+
 class Store:
     """The tables of an index in any file system that Spark writes to."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        self._fs, self._path = path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def version(self) -> str | None:
-        rows = self.spark.read.text(f"{self.root}/CURRENT").collect() if self._fs.exists(self._path(f"{self.root}/CURRENT")) else []
-        return rows[0].value if rows else None
-
-    def read(self, table: str) -> DataFrame | None:
-        v = self.version()
-        where = f"{self.root}/{v}/{table}"
-        return self.spark.read.parquet(where) if v and self._fs.exists(self._path(where)) else None
-
-    def write(self, tables: dict[str, DataFrame]) -> None:
-        """Write a version, then name it. Tables that aren't given stay as they are."""
-        old, new = self.version(), uuid.uuid4().hex
-        for name in TABLES:
-            df = tables.get(name)
-            if df is None and old is not None:
-                df = self.read(name)
-            if df is not None:
-                df.write.parquet(f"{self.root}/{new}/{name}")
-        self.spark.createDataFrame([(new,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/CURRENT")
-        if old is not None:
-            self._fs.delete(self._path(f"{self.root}/{old}"), True)
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _numbers(self) -> list[int]:
+        folder = self._path(f"{self.root}/versions")
+        found = self._fs.listStatus(folder) if self._fs.exists(folder) else []
+        return sorted(int(x.getPath().getName()) for x in found if x.getPath().getName().isdigit())
+
+    def version(self, number: int | None = None) -> Version:
+        """A version by its number, or the last."""
+        if number is None:
+            numbers = self._numbers()
+            if not numbers:
+                return Version()
+            number = numbers[-1]
+        said = json.loads(self.spark.read.text(f"{self.root}/versions/{number:08d}", wholetext=True).first().value)
+        return Version(number, said["segments"], said["next_chunk"])
+
+    def read(self, table: str, version: Version | None = None) -> DataFrame | None:
+        """The rows of a table that are alive."""
+        v = self.version() if version is None else version
+        rows = self._rows(table, v)
+        if rows is None:
+            return None
+        if table in OF_CHUNKS and (dead := self._rows("dead_chunks", v)) is not None:
+            rows = rows.join(dead, "chunk_id", "left_anti")
+        if table == "sessions":
+            if (dead := self._rows("dead_sessions", v)) is not None:
+                upto = dead.groupBy("session_id").agg(F.max("before").alias("before"))
+                rows = rows.join(upto, (rows.session_id == upto.session_id) & (F.col("segment") < F.col("before")), "left_anti")
+            rows = rows.drop("segment")
+        if table == "vocab" and len(v.paths("vocab")) > 1:
+            rows = rows.groupBy("term").agg(F.sum("doc").alias("doc"), F.sum("cnt").alias("cnt")).filter("doc > 0")
+        return rows
+
+    def _rows(self, table: str, v: Version) -> DataFrame | None:
+        paths = [f"{self.root}/{p}" for p in v.paths(table)]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def write(self, tables: dict[str, DataFrame], before: Version, next_chunk: int | None = None) -> Version:
+        """Write a segment after those of `before`, then the version that names it."""
+        number, name = (self._numbers() or [-1])[-1] + 1, f"segment-{uuid.uuid4().hex}"
+        for table, df in tables.items():
+            rows = df.withColumn("segment", F.lit(number).cast("long")) if table == "sessions" else df
+            rows.write.parquet(f"{self.root}/{name}/{table}")
+        v = Version(number, [*before.segments, [name, sorted(tables)]], before.next_chunk if next_chunk is None else next_chunk)
+        draft = self._path(f"{self.root}/versions/draft-{uuid.uuid4().hex}")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps({"segments": v.segments, "next_chunk": v.next_chunk}).encode()))
+        out.close()
+        if not self._fs.rename(draft, self._path(f"{self.root}/versions/{number:08d}")):
+            raise RuntimeError(f"version {number} was written by someone else meanwhile")
+        self._forget()
+        return v
+
+    def _forget(self) -> None:
+        """Delete what only versions before the last two name."""
+        numbers = self._numbers()
+        needed = {name for n in numbers[-2:] for name, _ in self.version(n).segments}
+        for n in numbers[:-2]:
+            for name, _ in self.version(n).segments:
+                if name not in needed:
+                    self._fs.delete(self._path(f"{self.root}/{name}"), True)
+            self._fs.delete(self._path(f"{self.root}/versions/{n:08d}"), False)
 
     def index(self) -> Index:
-        get = {t: self.read(t) for t in TABLES}
-        if get["chunks"] is None:
+        v = self.version()
+        if not v.paths("chunks"):
             raise ValueError("the index is empty")
-        return Index(get["chunks"], get["sessions"], get["vectors"], get["postings"], get["lengths"], get["vocab"])
+        vectors = self.read("vectors", v)
+        if vectors is None:
+            vectors = self.spark.createDataFrame([], "chunk_id long, embedding array<float>")
+        return Index(self.read("chunks", v), self.read("sessions", v), vectors, self.read("postings", v), self.read("lengths", v), self.read("vocab", v))
 
 
 def session_rows(files: DataFrame, messages: DataFrame) -> DataFrame:
@@ -86,57 +147,99 @@ def session_rows(files: DataFrame, messages: DataFrame) -> DataFrame:
     )
 
 
+def indexed(chunks: DataFrame) -> dict[str, DataFrame]:
+    """The text index of chunks: postings in order of terms, so that files can be passed over by term, lengths and vocabulary."""
+    p = materialize(postings(chunks), "postings")
+    return {"postings": p.repartitionByRange("term").sortWithinPartitions("term", "chunk_id"), "lengths": document_lengths(chunks), "vocab": vocabulary(p)}
+
+
+def without(store: Store, v: Version, gone: DataFrame) -> DataFrame:
+    """What the vocabulary loses with the chunks of gone: negative counts."""
+    lost = vocabulary(store.read("postings", v).join(gone, "chunk_id", "left_semi"))
+    return lost.select("term", (-F.col("doc")).alias("doc"), (-F.col("cnt")).alias("cnt"))
+
+
+def last_chunk_index(chunks: DataFrame) -> DataFrame:
+    """session_id, last: the number of each session's last chunk."""
+    return chunks.groupBy("session_id").agg(F.max("chunk_index").alias("last"))
+
+
 def update(store: Store, root: str, full: bool = False, include_subagents: bool = False, provider: Provider | None = None, settings: Settings = Settings()) -> Report:
-    """Bring the index up to date with the logs under root; full starts anew."""
+    """Bring the index up to date with the logs under root; full starts anew. A file that can't be read is reported and left out."""
     spark = store.spark
     began = spark.sql("select current_timestamp() t").first().t
-    old = None if full else store.read("sessions")
-    files = jsonl.scan(spark, root, include_subagents)
-    files = jsonl.with_status(files, old)
+    v = Version() if full else store.version()
+    old = store.read("sessions", v)
+    files = jsonl.with_status(jsonl.scan(spark, root, include_subagents), old)
     scanned = files.drop("content").count()
-    new = jsonl.changed(files)
-    messages = jsonl.messages(new)
-    rows = session_rows(new, messages)
-    indexed = new.drop("content").count()
-    report = Report(scanned, indexed)
-    if old is not None and not indexed:
-        _log(store, began, report, {})
+    new = materialize(jsonl.changed(files), "changed")
+    readable = jsonl.readable(F.col("content"))
+    errors = [f"{r.file_path.rsplit('/', 1)[-1]}: not UTF-8" for r in new.filter(~readable).select("file_path").orderBy("file_path").toLocalIterator()]
+    new = new.filter(readable)
+    report = Report(scanned, new.drop("content").count(), 0, errors)
+    if not report.indexed and old is not None:
+        store.write(_log(store, v, began, report), v)
         return report
+    messages = materialize(jsonl.messages(new), "messages")
+    rows = materialize(session_rows(new, messages), "sessions")
     chunks = S.chunks(messages, settings)
+    tables = {"sessions": rows}
     if old is not None:
-        gone = rows.select("session_id").union(old.join(rows.select("file_path"), "file_path", "left_semi").select("session_id")).distinct()
-        rows = old.join(gone, "session_id", "left_anti").unionByName(rows)
-        chunks = store.read("chunks").drop("chunk_id").join(gone, "session_id", "left_anti").unionByName(chunks)
-    chunks = materialize(S.with_chunk_ids(chunks), "chunks")
-    cache = None if full else store.read("cache")
-    tables = {"sessions": rows, "chunks": chunks}
-    if provider is not None:
-        vectors, fresh = embed_with_cache(chunks, cache, provider)
-        tables |= {"vectors": vectors, "cache": fresh if cache is None else cache.unionByName(fresh)}
-    else:
-        tables["vectors"] = spark.createDataFrame([], "chunk_id long, embedding array<float>")
-    p = materialize(postings(chunks), "postings")
-    tables |= {"postings": p.repartitionByRange("term").sortWithinPartitions("term", "chunk_id"), "lengths": document_lengths(chunks), "vocab": vocabulary(p)}
+        # Sessions of the changed files, by their identifiers before and now.
+        touched = rows.select("session_id").union(old.join(rows.select("file_path"), "file_path", "left_semi").select("session_id")).distinct()
+        touched = materialize(touched, "touched")
+        known = store.read("chunks", v).join(touched, "session_id", "left_semi")
+        same = ["session_id", "chunk_index", "role", "content"]
+        kept = chunks.join(known.select(*same, F.col("chunk_id").alias("kept")), same, "left")
+        kept = materialize(kept, "compared")
+        chunks = kept.filter("kept is null").drop("kept")
+        dead = materialize(known.select("chunk_id").join(kept.select(F.col("kept").alias("chunk_id")), "chunk_id", "left_anti"), "dead")
+        tables["dead_sessions"] = touched.withColumn("before", F.lit((store._numbers() or [-1])[-1] + 1).cast("long"))
+        if not dead.isEmpty():
+            tables["dead_chunks"] = dead
+    chunks = S.with_chunk_ids(chunks).withColumn("chunk_id", F.col("chunk_id") + v.next_chunk)
+    chunks = materialize(chunks, "chunks")
     report.chunks = chunks.count()
-    _log(store, began, report, tables)
+    tables |= {"chunks": chunks} | indexed(chunks)
+    if "dead_chunks" in tables:
+        tables["vocab"] = tables["vocab"].unionByName(without(store, v, tables["dead_chunks"]))
+    if provider is not None:
+        tables["vectors"], tables["cache"] = embed_with_cache(chunks, store.read("cache", v), provider)
+    v = store.write(tables | _log(store, v, began, report), v, v.next_chunk + report.chunks)
+    if len(v.segments) > MOST_SEGMENTS:
+        compact(store)
     return report
 
 
-def _log(store: Store, began, report: Report, tables: dict[str, DataFrame]) -> None:
-    runs = store.read("runs")
+def compact(store: Store) -> None:
+    """Write all that is alive to one segment."""
+    v = store.version()
+    names = sorted({t for _, tables in v.segments for t in tables} - {"dead_chunks", "dead_sessions"})
+    alive = {t: store.read(t, v) for t in names}
+    if "postings" in alive:
+        alive["postings"] = alive["postings"].repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
+    store.write(alive, Version(v.number, [], v.next_chunk))
+
+
+def _log(store: Store, v: Version, began, report: Report) -> dict[str, DataFrame]:
+    runs = store.read("runs", v)
     number = 1 + ((runs.agg(F.max("run_id")).first()[0] or 0) if runs is not None else 0)
-    row = store.spark.createDataFrame([(number, began, report.scanned, report.indexed, report.chunks, report.errors)], "run_id long, started_at timestamp, files_scanned long, files_indexed long, chunks_created long, errors array<string>").withColumn("ended_at", F.current_timestamp())
-    store.write(tables | {"runs": row if runs is None else runs.unionByName(row)})
+    row = store.spark.createDataFrame([(number, began, report.scanned, report.indexed, report.chunks, report.errors)], "run_id long, started_at timestamp, files_scanned long, files_indexed long, chunks_created long, errors array<string>")
+    return {"runs": row.withColumn("ended_at", F.current_timestamp())}
 
 
 def delete_session(store: Store, session_id: str) -> None:
     """Take one session out of all tables."""
-    chunks = store.read("chunks").filter(F.col("session_id") != session_id)
-    p = postings(chunks)
-    store.write({"sessions": store.read("sessions").filter(F.col("session_id") != session_id), "chunks": chunks, "vectors": store.read("vectors").join(chunks.select("chunk_id"), "chunk_id", "left_semi"), "postings": p, "lengths": document_lengths(chunks), "vocab": vocabulary(p)})
+    v = store.version()
+    dead = materialize(store.read("chunks", v).filter(F.col("session_id") == session_id).select("chunk_id"), "dead")
+    gone = store.spark.createDataFrame([(session_id, v.number + 1)], "session_id string, before long")
+    store.write({"dead_chunks": dead, "dead_sessions": gone, "vocab": without(store, v, dead)}, v)
 
 
 def backfill(store: Store, provider: Provider) -> None:
     """Embed the chunks that have no vector."""
-    vectors, fresh = embed_with_cache(store.read("chunks"), cache := store.read("cache"), provider)
-    store.write({"vectors": vectors, "cache": fresh if cache is None else cache.unionByName(fresh)})
+    v = store.version()
+    chunks, vectors = store.read("chunks", v), store.read("vectors", v)
+    missing = chunks if vectors is None else chunks.join(vectors.select("chunk_id"), "chunk_id", "left_anti")
+    fresh, cache = embed_with_cache(missing, store.read("cache", v), provider)
+    store.write({"vectors": fresh, "cache": cache}, v)

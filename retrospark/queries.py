@@ -17,7 +17,7 @@ from retrospark.operators import sessions as S
 from retrospark.operators import text_index as X
 from retrospark.operators.knn import knn
 from retrospark.plans import admin
-from retrospark.plans.recall import Index, hybrid_search, query_info, recall
+from retrospark.plans.recall import Index, hybrid_search, query_info, recall, resolve_session
 from retrospark.sources import jsonl
 from retrospark.storage import materialize
 
@@ -88,6 +88,11 @@ def chunk_sql(source: str) -> str:
     pieces AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY step) - 1 AS k, piece FROM ends WHERE piece <> '' UNION ALL SELECT id, 0, text FROM {source} WHERE length(text) <= 1500)"""
 
 
+SECTION = """CASE WHEN p IS NULL THEN substr(t, 1, 1500) ELSE
+  CASE WHEN p > 751 THEN '...' ELSE '' END || trim(substr(t, greatest(0, p - 751) + 1, least(length(t), p + 749) - greatest(0, p - 751)), E' \\t\\n\\r\\f\\v') || CASE WHEN p + 749 < length(t) THEN '...' ELSE '' END END"""
+EARLIEST = "least(" + ", ".join(f"nullif(instr(lower(t), '{m}'), 0)" for m in lexicons.SELECTIVE_MARKERS) + ")"
+
+
 # ---------------------------------------------------------------- vectors
 
 
@@ -155,9 +160,23 @@ def exchange_texts(spark, sf_dir):
     return S.exchanges(messages(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {EXCHANGES}, src AS (SELECT session_id || '/' || exchange_idx AS id, content AS text FROM exch), {chunk_sql('src')} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY exchange_idx, k) - 1 AS chunk_index, role, piece AS content, ts_text::TIMESTAMP AS ts, line_start, line_end FROM pieces JOIN exch ON id = session_id || '/' || exchange_idx")
+THOUGHT = "na verdade"
+BLOCKS = f"""blocks AS (SELECT session_id, line, ts_text, 'b/' || session_id || '/' || line AS id, CASE WHEN length(t) > 3000 THEN {SECTION} ELSE t END AS text
+  FROM (SELECT *, {EARLIEST} AS p FROM (SELECT session_id, line, ts_text, '{THOUGHT} ' || text AS t FROM m WHERE role = 'assistant' AND turn % 4 = 1)))"""
+
+
+@query(f"""WITH RECURSIVE {EXCHANGES}, {BLOCKS}, src AS (SELECT session_id || '/' || exchange_idx AS id, content AS text FROM exch UNION ALL SELECT id, text FROM blocks), {chunk_sql('src')},
+  every AS (SELECT session_id, 1 AS pass, exchange_idx AS ord, k, role, piece, ts_text, line_start, line_end FROM pieces JOIN exch ON id = session_id || '/' || exchange_idx
+           UNION ALL SELECT session_id, 2, line, k, 'thinking', piece, ts_text, line, line FROM pieces JOIN blocks USING (id))
+  SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY pass, ord, k) - 1 AS chunk_index, role, piece AS content, ts_text::TIMESTAMP AS ts, line_start, line_end FROM every""")
 def exchange_chunks(spark, sf_dir):
-    return S.chunks(messages(spark, sf_dir)).drop("metadata").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    """Exchanges, then the marked blocks of answers: every fourth message has thought about itself, each has a tool result without a marker."""
+    rows = messages(spark, sf_dir)
+    block = lambda kind, name, text: F.to_json(F.struct(F.lit(kind).alias("type"), text.alias(name)))
+    thought = F.when(F.col("line") % 4 == 2, block("thinking", "thinking", F.concat(F.lit(f"{THOUGHT} "), "text")))
+    content = F.concat(F.lit("["), F.concat_ws(",", thought, block("tool_result", "content", F.lit("ok"))), F.lit("]"))
+    found = F.when(F.col("type") == "assistant", jsonl.selective_blocks(F.parse_json(content))).otherwise(F.col("blocks"))
+    return S.chunks(rows.withColumn("blocks", found)).drop("metadata").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query(f"WITH RECURSIVE src AS (SELECT doc_id AS id, text FROM documents), {chunk_sql('src')} SELECT id AS doc_id, k, piece FROM pieces")
@@ -224,9 +243,13 @@ def like_fallback(spark, sf_dir):
     return X.like_search(message_chunks(spark, sf_dir), "THE", 30).select("chunk_id", "session_id", "distance", "score")
 
 
-@query(f"SELECT min(session_id) AS session_id FROM (SELECT {SESSION} AS session_id FROM conversations) WHERE session_id LIKE 'conv-0000001%'")
+PREFIXES = ["conv-0000001", "conv-", "conv-00000012", "none such", "conv-00000003-and-a-tail-beyond-any-name"]
+
+
+@query("SELECT prefix, coalesce((SELECT min(session_id) FROM (SELECT " + SESSION + " AS session_id FROM conversations) WHERE starts_with(session_id, prefix)), prefix) AS session_id FROM (VALUES " + ", ".join(f"('{p}')" for p in PREFIXES) + ") AS v(prefix)")
 def prefix_lookup(spark, sf_dir):
-    return messages(spark, sf_dir).filter(F.startswith("session_id", F.lit("conv-0000001"))).agg(F.min("session_id").alias("session_id"))
+    sessions = S.session_metadata(messages(spark, sf_dir))
+    return spark.createDataFrame([(p, resolve_session(sessions, p)) for p in PREFIXES], "prefix string, session_id string")
 
 
 # ---------------------------------------------------------------- lexical tolerance
@@ -249,7 +272,20 @@ def abbreviation_expand(spark, sf_dir):
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("expanded", F.array_join(F.element_at(E.abbreviations(), F.col("token")), "|"))
 
 
-@query()
+def fuzzy_sql() -> str:
+    rows = ", ".join(f"({i}, '{t}')" for i, t in ASKED)
+    masks = "list_transform(range(1, length(term) + 1), lambda i: list_sum(list_transform(range(1, length(token) + 1), lambda j: CASE WHEN substr(token, j::INT, 1) = substr(term, i::INT, 1) THEN 1::HUGEINT << (j - 1)::INT ELSE 0::HUGEINT END))::HUGEINT)"
+    full = "((1::HUGEINT << length(token)) - 1)"
+    return f"""WITH {VOCAB}, q(query_id, text) AS (VALUES {rows}),
+      tok AS (SELECT DISTINCT token FROM (SELECT trim(unnest(string_split(lower(regexp_replace(text, '[-_]', ' ', 'g')), ' ')), '.,!?;:') AS token FROM q) WHERE length(token) >= 4),
+      near AS (SELECT token, length(token) AS len, term, doc, {full} AS whole, list_prepend({full}, {masks}) AS steps FROM tok JOIN vocab ON length(term) >= 4 AND 200.0 * least(length(token), length(term)) / (length(token) + length(term)) >= 70),
+      r AS (SELECT token, term, doc, 200.0 * (len - bit_count(list_reduce(steps, lambda x, m: ((x + (x & m)) | (x - (x & m))) & whole))) / (len + length(term)) AS ratio FROM near),
+      pool AS (SELECT * FROM r WHERE ratio >= 70 QUALIFY row_number() OVER (PARTITION BY token ORDER BY ratio DESC, term) <= 15),
+      best AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY ratio DESC, doc DESC, term) AS p FROM pool WHERE term <> token)
+      SELECT token, term, round(ratio, 4) AS ratio, doc, p FROM best WHERE p <= 5"""
+
+
+@query(fuzzy_sql())
 def fuzzy_variants(spark, sf_dir):
     tokens = E.tokens(spark.createDataFrame(ASKED, "query_id long, text string"))
     vocab = X.vocabulary(X.postings(documents(spark, sf_dir)))
@@ -333,13 +369,30 @@ def selective_marker(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.contains_any(F.col("text"), lexicons.SELECTIVE_MARKERS).alias("marked"))
 
 
-@query("SELECT page_id, CASE WHEN coalesce(p, 0) = 0 THEN substr(html, 1, 1500) ELSE '' END AS head FROM (SELECT page_id, html, " + "least(" + ", ".join(f"nullif(instr(lower(html), '{m}'), 0)" for m in lexicons.SELECTIVE_MARKERS) + ") AS p FROM pages)")
+@query(f"SELECT kind, id, {SECTION} AS section FROM (SELECT *, {EARLIEST} AS p FROM (SELECT 'page' AS kind, page_id AS id, html AS t FROM pages UNION ALL SELECT 'document', doc_id, text FROM documents))")
 def relevant_section(spark, sf_dir):
-    """The part around each page's earliest marker, or its start. The SQL covers pages without a marker only; the tests compare the rest."""
-    return table(spark, sf_dir, "pages").select("page_id", T.relevant_section(F.col("html"), lexicons.SELECTIVE_MARKERS).alias("head"))
-
-
-@query()
+    """The part around the earliest marker of each page and document, or its start."""
+    of = lambda name, kind, i, t: table(spark, sf_dir, name).select(F.lit(kind).alias("kind"), F.col(i).alias("id"), F.col(t).alias("t"))
+    rows = of("pages", "page", "page_id", "html").union(of("documents", "document", "doc_id", "text"))
+    return rows.select("kind", "id", T.relevant_section(F.col("t"), lexicons.SELECTIVE_MARKERS).alias("section"))
+
+
+MMR = f"""WITH RECURSIVE q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < {len(ASKED)}),
+  {MESSAGES}, n AS (SELECT row_number() OVER (ORDER BY session_id, line) - 1 AS chunk_id FROM m),
+  near AS (SELECT query_id, vec_id AS chunk_id, embedding::DOUBLE[] AS v, list_distance(embedding::DOUBLE[], q) AS d FROM q, embeddings QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) <= 30),
+  pool AS (SELECT query_id, chunk_id, v, 1 / (1 + d) AS score, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS place FROM near JOIN n USING (chunk_id)),
+  likes AS (SELECT a.query_id, a.place, list(list_cosine_similarity(a.v, b.v) ORDER BY b.place) AS sims FROM pool a JOIN pool b USING (query_id) GROUP BY ALL),
+  cand AS (SELECT query_id, place, chunk_id, score, sims FROM pool JOIN likes USING (query_id, place)),
+  pick AS (
+    SELECT query_id, 1 AS rank, place, chunk_id, score, [place] AS chosen FROM cand QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) = 1
+    UNION ALL
+    SELECT query_id, rank + 1, place, chunk_id, score, list_append(chosen, place) FROM (
+      SELECT c.*, k.rank, k.chosen, row_number() OVER (PARTITION BY c.query_id ORDER BY 0.7 * c.score - 0.3 * greatest(0, list_max(list_transform(k.chosen, lambda x: c.sims[x]))) DESC, c.place) AS first
+      FROM pick k JOIN cand c USING (query_id) WHERE k.rank < 10 AND NOT list_contains(k.chosen, c.place)) WHERE first = 1)
+  SELECT query_id, rank::INT AS rank, chunk_id, round(score, 6) AS score FROM pick"""
+
+
+@query(MMR)
 def mmr_topk(spark, sf_dir):
     """The thirty nearest messages of each query, of which ten by relevance and difference."""
     index = message_index(spark, sf_dir)

@@ -78,6 +78,11 @@ def selective_blocks(content: Column) -> Column:
     return F.coalesce(marked, F.array().cast(NO_BLOCKS))
 
 
+def readable(content: Column) -> Column:
+    """Whether a file is UTF-8."""
+    return F.try_validate_utf8(content.cast("string")).isNotNull()
+
+
 def entries(files: DataFrame) -> DataFrame:
     """One row for each line that is a JSON object: file_path, line (from 1, blank and broken lines counted), v."""
     lines = files.select("file_path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("at", "raw"))

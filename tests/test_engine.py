@@ -19,7 +19,7 @@ from retrospark.operators import ranking as R
 from retrospark.operators import sessions as S
 from retrospark.operators import text_index as X
 from retrospark.plans import admin
-from retrospark.plans.indexer import Store, backfill, delete_session, update
+from retrospark.plans.indexer import Store, backfill, compact, delete_session, last_chunk_index, update
 from retrospark.sources import jsonl
 from tests.conftest import SF
 
@@ -135,6 +135,7 @@ def test_relevant_section_query(spark, tmp_path):
     """The whole query against brute force, on pages with and without a marker."""
     html = ["x" * 2000, "ab " * 1000 + "Root Cause" + " cd" * 1000, "o bug " + "y" * 3000, "z" * 3000 + " falhou", "short, falhou", "a" * 500 + " schema " + "b" * 1000 + " falhou " + "c" * 1000, "", None]
     spark.createDataFrame(list(enumerate(html)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
 
     def brute(text):
         at = [i for i in map((text or "").lower().find, lexicons.SELECTIVE_MARKERS) if i >= 0]
@@ -143,7 +144,7 @@ def test_relevant_section_query(spark, tmp_path):
         start, end = max(0, min(at) - 750), min(len(text), min(at) + 750)
         return "..." * (start > 0) + text[start:end].strip() + "..." * (end < len(text))
 
-    assert {r.page_id: r["head"] for r in queries.relevant_section(spark, str(tmp_path)).collect()} == {i: brute(t) for i, t in enumerate(html)}
+    assert {r.id: r.section for r in queries.relevant_section(spark, str(tmp_path)).filter("kind = 'page'").collect()} == {i: brute(t) for i, t in enumerate(html)}
 
 
 def test_like_and_bm25(spark):
@@ -197,9 +198,12 @@ def test_ingest(spark, tmp_path):
     files = jsonl.with_status(jsonl.scan(spark, str(root), True), store.read("sessions"))
     assert {os.path.basename(x.file_path): (x.status, x.parent_session_id) for x in files.collect()} == {"one.jsonl": ("unchanged", None), "two.jsonl": ("changed", None), "x.jsonl": ("new", "parent-id")}
     assert update(store, str(root), provider=None).indexed == 1
-    assert [x.role for x in store.read("chunks").filter("session_id = 'two'").collect()] == ["exchange"] and store.read("chunks").count() == 8 and store.read("vectors").count() == 0
+    assert [x.role for x in store.read("chunks").filter("session_id = 'two'").collect()] == ["exchange"] and store.read("chunks").count() == 8 and store.read("vectors").count() == 7
+    kept = store.read("vectors").join(store.read("chunks"), "chunk_id")
+    assert {x.session_id for x in kept.select("session_id").collect()} == {"S-one"}
     backfill(store, embedder)
     assert store.read("vectors").count() == 8 and store.read("runs").count() == 3
+    assert_index_is_whole(store)
     args = lambda *a: parser().parse_args(["--data", str(tmp_path / "index"), "--logs", str(root), *a])
     os.environ["RETROSPARK_DIMENSIONS"] = "16"
     assert "[Usuário]: **`question`** one" in run(spark, args("search", "question", "-f", "context", "-o", "clip.md")) and (tmp_path / "index" / "clips" / "clip.md").exists()
@@ -211,6 +215,7 @@ def test_ingest(spark, tmp_path):
     assert text.startswith("# My title") and text.index("question one") < text.index("root cause")
     delete_session(store, "two")
     assert store.read("chunks").count() == 7 and store.read("sessions").count() == 1
+    assert_index_is_whole(store)
     from retrospark.streaming.ingest import follow
 
     follow(store, f"file://{root}/*", f"file://{tmp_path}/check", embedder).awaitTermination()
@@ -218,6 +223,54 @@ def test_ingest(spark, tmp_path):
     del os.environ["RETROSPARK_DIMENSIONS"]
 
 
+def assert_index_is_whole(store):
+    """The text index of all segments is that of the chunks that are alive."""
+    chunks = store.read("chunks")
+    rows = lambda df, *c: sorted(df.select(*c).collect())
+    assert rows(store.read("postings"), "term", "chunk_id", "col", "pos") == rows(X.postings(chunks), "term", "chunk_id", "col", "pos")
+    assert rows(store.read("lengths"), "chunk_id", "n") == rows(X.document_lengths(chunks), "chunk_id", "n")
+    assert rows(store.read("vocab"), "term", "doc", "cnt") == rows(X.vocabulary(X.postings(chunks)), "term", "doc", "cnt")
+
+
+def test_updates_append(spark, tmp_path):
+    """A session that grows adds its new chunks only; a bad file is reported; versions outlive a failing update."""
+    root = tmp_path / "logs"
+    for name in ("one", "two"):
+        log(root / "p" / f"{name}.jsonl", *[entry(k, f"{name}{k}{i}", 2 * i + (k == "assistant"), f"{k} says {name} {i}", f"{name}user{i}" if k == "assistant" else None) for i in range(5) for k in ("user", "assistant")])
+    (root / "p" / "bad.jsonl").write_bytes(b'{"type": "user", "x": "\xff\xfe"}')
+    store, embedder = Store(spark, f"file://{tmp_path}/index"), HashingProvider(8)
+    first = update(store, str(root), provider=embedder)
+    assert (first.scanned, first.indexed, first.chunks) == (3, 2, 10) and first.errors == ["bad.jsonl: not UTF-8"]
+    assert store.read("runs").first().errors == first.errors
+    before = {(r.session_id, r.chunk_index): r.chunk_id for r in store.read("chunks").collect()}
+    with open(root / "p" / "two.jsonl", "a", encoding="utf-8") as f:
+        f.write("\n" + json.dumps(entry("user", "late", 30, "something new")))
+    second = update(store, str(root))
+    assert second.indexed == 1 and second.chunks == 1
+    v = store.version()
+    assert [(r.session_id, r.chunk_index) for r in spark.read.parquet(f"{store.root}/{v.segments[-1][0]}/chunks").collect()] == [("two", 5)]
+    after = {(r.session_id, r.chunk_index): r.chunk_id for r in store.read("chunks").collect()}
+    assert before.items() <= after.items() and len(after) == 11 and store.read("vectors").count() == 10
+    assert {r.session_id: r.last for r in last_chunk_index(store.read("chunks")).collect()} == {"one": 4, "two": 5}
+    assert_index_is_whole(store)
+    log(root / "p" / "one.jsonl", entry("user", "short", 1, "one is short now"))
+    third = update(store, str(root), provider=embedder)
+    assert third.chunks == 1 and store.read("chunks").filter("session_id = 'one'").count() == 1 and store.read("sessions").count() == 2
+    assert_index_is_whole(store)
+    with pytest.raises(RuntimeError, match="someone else"):  # two writers: the later one leaves what is there
+        numbers = store._numbers
+        store._numbers = lambda: numbers()[:-1]
+        try:
+            store.write({"runs": store.read("runs")}, v)
+        finally:
+            store._numbers = numbers
+    assert store.read("chunks").count() == 7
+    compact(store)
+    assert len(store.version().segments) == 1 and store.read("chunks").count() == 7
+    assert_index_is_whole(store)
+    assert len(store._numbers()) == 2
+
+
 def test_renderings():
     assert "Nenhum resultado" in admin.result_markdown([], "q", 3, 9) and "(3 sessões indexadas, 9 chunks no banco)" in admin.result_markdown([], "q", 3, 9)
     row = {"content": "about chromadb", "session_id": "12345678-9", "score": 0.5, "sources": ["vector", "fts5"], "ts": datetime.datetime(2024, 1, 2, 3, 4), "title": "t", "project_label": "p"}
