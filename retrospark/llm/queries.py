@@ -61,10 +61,49 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_mix_sources, op4_neighbours, op5_warc, op6_substrings, op7_pii, op8_toxicity, op9_exact_dedup, op10_sentencepiece)}
 
 
+#: op1: all shingles of all documents, pairs of documents that share one, and what is reached over links.
+NEAR_DEDUP_SQL = r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+            ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS shingle FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+    ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reached AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT b, root FROM reached JOIN ways ON a = node),
+    component AS (SELECT node, min(root) AS root FROM reached GROUP BY node)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, root AS component_id, doc_id = root AS kept
+    FROM documents LEFT JOIN n USING (doc_id) JOIN component ON node = doc_id"""
+
+#: op5: digests in base 32, five hexadecimal digits of SHA-1 to four of base 32.
+WARC_SQL = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+    d AS (SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY t) AS first,
+            array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d"""
+
+#: op6: all windows of 50 bytes, in hexadecimal; those that a smaller document has; and the runs that they cover.
+SUBSTRINGS_SQL = """
+    WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    windows AS (SELECT doc_id, i, substr(h, (2 * i + 1)::INT, 100) AS w FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM t)),
+    least AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+    hits AS (SELECT doc_id, i FROM windows JOIN least USING (w) WHERE first < doc_id),
+    steps AS (SELECT doc_id, i, i > 50 + lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS new FROM hits),
+    numbered AS (SELECT doc_id, i, count(*) FILTER (coalesce(new, true)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM steps),
+    runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY ALL),
+    gaps AS (SELECT doc_id, run, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS f, a, b FROM runs),
+    kept AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS tail,
+                string_agg(substr(h, (2 * f + 1)::INT, (2 * (a - f))::INT), '' ORDER BY run) AS head FROM gaps JOIN t USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+           sha256(unhex(coalesce(head, '') || substr(h, (2 * coalesce(tail, 0) + 1)::INT))) AS kept_sha256 FROM t LEFT JOIN kept USING (doc_id)"""
+
+EXACT_DEDUP_SQL = """
+    SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+           doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {
-        "op9_exact_dedup": """
-            SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-                   doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
-            FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
-    }
+    return {"op1_near_dedup": NEAR_DEDUP_SQL, "op5_warc": WARC_SQL, "op6_substrings": SUBSTRINGS_SQL, "op9_exact_dedup": EXACT_DEDUP_SQL}
