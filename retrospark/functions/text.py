@@ -172,3 +172,10 @@ def indel_ratio(a: Column, b: Column) -> Column:
 def ratio_bound(a: Column, b: Column) -> Column:
     """No pair's indel_ratio is above this."""
     return 200.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
+
+
+def letters_bound(a: Column, b: Column) -> Column:
+    """No pair's indel_ratio is above this: letters of either that the other lacks match nothing."""
+    nothing = F.lit("")
+    shared = lambda x, y: F.length(x) - F.length(F.call_function("translate", x, y, nothing))
+    return 200.0 * F.least(shared(a, b), shared(b, a)) / (F.length(a) + F.length(b))

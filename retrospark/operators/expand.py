@@ -5,7 +5,7 @@ queries: query_id, text. All queries are worked on together; the vocabulary is a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retrospark import lexicons
@@ -30,11 +30,15 @@ def fuzzy_variants(tokens: DataFrame, vocab: DataFrame, settings: Settings = Set
     """token, term, ratio, doc: for each token its likeliest terms.
 
     Of the 3 * fuzzy_max_expansions terms with the best ratio (ties by term), other than the token itself, the first
-    by ratio, then by documents. Lengths bound the ratio and leave most of the vocabulary out before it is computed.
+    by ratio, then by documents. Lengths that can reach the threshold are the key of the join, and shared letters bound the
+    ratio before it is computed.
     """
     cut = settings.fuzzy_threshold * 100
-    terms = vocab.filter(F.length("term") >= settings.fuzzy_min_length).select("term", "doc")
-    near = tokens.select("token").distinct().join(terms, T.ratio_bound(F.col("token"), F.col("term")) >= cut)
+    terms = vocab.filter(F.length("term") >= settings.fuzzy_min_length).select("term", "doc", F.length("term").alias("size"))
+    n = F.length("token")
+    sizes = F.sequence(F.ceil(n * cut / (200 - cut)).cast("int"), F.floor(n * (200 - cut) / cut).cast("int"))
+    asked = tokens.select("token").distinct().withColumn("size", F.explode(sizes))
+    near = asked.join(terms, "size").filter((T.ratio_bound(F.col("token"), F.col("term")) >= cut) & (T.letters_bound(F.col("token"), F.col("term")) >= cut))
     near = near.withColumn("ratio", T.indel_ratio(F.col("token"), F.col("term"))).filter(F.col("ratio") >= cut)
     pool = near.withColumn("p", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("ratio"), "term"))).filter(F.col("p") <= 3 * settings.fuzzy_max_expansions)
     ranked = pool.filter("term <> token").withColumn("p", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("ratio"), F.desc("doc"), "term")))
@@ -65,14 +69,19 @@ def invalid(expanded: DataFrame) -> DataFrame:
     return expanded.filter(F.contains("token", F.lit('"'))).select("query_id").distinct()
 
 
-def sanitized(text: str) -> list[list[str]] | None:
-    """Phrases of a normalised query none of whose words has two characters or more; None if nothing can be matched."""
-    if any(c in text for c in "(){}[]^*:!\"'"):
-        return [[text]]
-    words = text.split()
-    if len(words) > 1:
-        return [[w] for w in words if len(w) > 2] or None
-    return [[text]] if text else None
+def sanitized(text: Column) -> Column:
+    """Phrases of a normalised query none of whose words has two characters or more; null if nothing can be matched."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    long = F.filter(words, lambda w: F.length(w) > 2)
+    several = F.when(F.size(long) > 0, long)
+    return F.when(text.rlike(r"""[(){}\[\]^*:!"']"""), F.array(text)).when(F.size(words) > 1, several).when(text != "", F.array(text))
+
+
+def bare_phrases(queries: DataFrame, expanded: DataFrame) -> DataFrame:
+    """query_id, needle, phrases (array, or null where only a look-up is left) of queries without a token."""
+    bare = queries.join(expanded.select("query_id").distinct(), "query_id", "left_anti")
+    needle = T.strip(T.normalize_separators(F.col("text")))
+    return bare.select("query_id", needle.alias("needle"), sanitized(needle).alias("phrases"))
 
 
 def classify(queries: DataFrame, vocab: DataFrame, settings: Settings = Settings()) -> DataFrame:

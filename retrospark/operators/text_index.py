@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retrospark.functions import text as T
+from retrospark.storage import materialize
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Terms that a plan may name, so that a scan can look for them.
+NAMED_TERMS = 1000
 
 
 def postings(chunks: DataFrame, *columns: str) -> DataFrame:
@@ -18,11 +21,37 @@ def postings(chunks: DataFrame, *columns: str) -> DataFrame:
     return each.select("chunk_id", F.col("c.col").alias("col"), F.posexplode("c.terms").alias("pos", "term")).select("term", "chunk_id", "col", "pos")
 
 
+def all_terms(columns: tuple[str, ...]) -> Column:
+    """The tokens of the indexed columns of a row, one column after the other."""
+    columns = columns or ("content", "session_id", "role")
+    return F.concat(*[T.index_terms(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns])
+
+
 def document_lengths(chunks: DataFrame, *columns: str) -> DataFrame:
     """chunk_id, n: tokens over all indexed columns."""
+    return chunks.select("chunk_id", F.size(all_terms(columns)).alias("n"))
+
+
+def scan_for(chunks: DataFrame, phrases: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of chunks that have no index: each text is cut to tokens once, and only tokens that a phrase
+    has leave their row. Where there are too many such terms to name them, all tokens do."""
+    terms = few_terms(phrases)
+    if terms is None:
+        return postings(chunks, *columns), document_lengths(chunks, *columns)
     columns = columns or ("content", "session_id", "role")
-    n = sum((F.size(T.index_terms(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in columns[1:]), F.size(T.index_terms(F.coalesce(F.col(columns[0]).cast("string"), F.lit("")))))
-    return chunks.select("chunk_id", n.alias("n"))
+    parts = [T.index_terms(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"terms_{i}") for i, c in enumerate(columns)]
+    hits = [F.filter(F.transform(f"terms_{i}", lambda t, at: F.struct(at.alias("pos"), t.alias("term"))), lambda h: h["term"].isin(terms)).alias("hits") for i in range(len(columns))]
+    n = sum((F.size(f"terms_{i}") for i in range(1, len(columns))), F.size("terms_0"))
+    each = F.array(*[F.struct(F.lit(c).alias("col"), h) for c, h in zip(columns, hits, strict=True)])
+    rows = materialize(chunks.select("chunk_id", *parts).select("chunk_id", n.alias("n"), F.filter(each, lambda c: F.size(c["hits"]) > 0).alias("found")), "scanned")
+    found = rows.select("chunk_id", F.explode("found").alias("c")).select("chunk_id", F.col("c.col").alias("col"), F.explode("c.hits").alias("h"))
+    return found.select(F.col("h.term").alias("term"), "chunk_id", "col", F.col("h.pos").alias("pos")), rows.select("chunk_id", "n")
+
+
+def few_terms(phrases: DataFrame) -> list[str] | None:
+    """The terms of all phrases, if they are few enough to be named in a plan."""
+    rows = phrases.select(F.explode("terms").alias("t")).distinct().limit(NAMED_TERMS + 1).collect()
+    return sorted(r.t for r in rows) if len(rows) <= NAMED_TERMS else None
 
 
 def vocabulary(postings: DataFrame) -> DataFrame:
@@ -31,6 +60,14 @@ def vocabulary(postings: DataFrame) -> DataFrame:
     return by_chunk.groupBy("term").agg(F.count(F.lit(1)).alias("doc"), F.sum("c").alias("cnt"))
 
 
+def vocabulary_of(chunks: DataFrame, *columns: str) -> DataFrame:
+    """As vocabulary, from chunks: tasks add up before anything moves, as a row tells what is new in it by itself."""
+    rows = chunks.select(all_terms(columns).alias("terms"))
+    every = rows.select(F.explode("terms").alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c"))
+    once = rows.select(F.explode(F.array_distinct("terms")).alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c"))
+    return every.union(once).groupBy("term").agg(F.sum("d").alias("doc"), F.sum("c").alias("cnt"))
+
+
 def idf(n_docs: Column, with_it: Column) -> Column:
     plain = F.log((n_docs - with_it + 0.5) / (with_it + 0.5))
     return F.when(plain > 0, plain).otherwise(F.lit(LEAST_IDF))

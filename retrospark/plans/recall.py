@@ -14,7 +14,7 @@ from retrospark.config import Settings
 from retrospark.operators import expand as E
 from retrospark.operators import ranking as R
 from retrospark.operators.knn import knn
-from retrospark.operators.text_index import bm25, document_lengths, postings, top_k, vocabulary
+from retrospark.operators.text_index import bm25, document_lengths, few_terms, postings, top_k, vocabulary_of
 from retrospark.operators.text_index import like as matches
 from retrospark.storage import materialize
 
@@ -31,7 +31,7 @@ class Index:
     @classmethod
     def of(cls, chunks: DataFrame, vectors: DataFrame, sessions: DataFrame | None = None) -> Index:
         p = postings(chunks)
-        return cls(chunks, sessions, vectors, p, document_lengths(chunks), vocabulary(p))
+        return cls(chunks, sessions, vectors, p, document_lengths(chunks), vocabulary_of(chunks))
 
 
 def vector_search(index: Index, queries: DataFrame, k: int, session: str | None = None, settings: Settings = Settings(), prefilter: bool = False) -> DataFrame:
@@ -45,17 +45,23 @@ def vector_search(index: Index, queries: DataFrame, k: int, session: str | None
 
 def keyword_search(index: Index, queries: DataFrame, k: int, session: str | None = None, settings: Settings = Settings(), corrected: bool = False, expanded: DataFrame | None = None) -> DataFrame:
     """The k best chunks of each query by BM25. score is 1 / (1 + rank), which falls as the match gets better; corrected, r / (1 + r)."""
-    # A few rows for each query, read by four branches of the plan: variants are looked for once.
+    # A few rows for each query, read by several branches of the plan: variants are looked for once.
     expanded = materialize(E.expand(queries, index.vocab, settings), "expanded") if expanded is None else expanded
-    phrases = E.phrases(expanded)
-    readable = phrases.join(E.invalid(expanded), "query_id", "left_anti")
-    ranked = bm25(index.postings, index.lengths, readable)
-    best = top_k(ranked, 3 * k, F.desc("bm25"), F.col("chunk_id"))
+    bare = materialize(E.bare_phrases(queries, expanded), "bare")
+    some = bare.select("query_id", F.posexplode("phrases").alias("phrase_no", "form")).select("query_id", "phrase_no", E.T.index_terms(F.col("form")).alias("terms"))
+    phrases = E.phrases(expanded).unionByName(some)
+    readable = materialize(phrases.join(E.invalid(expanded), "query_id", "left_anti"), "phrases")
+    # Stored postings are in order of terms: files and row groups without a term that is asked for are passed over.
+    terms = few_terms(readable)
+    hits = index.postings if terms is None else index.postings.filter(F.col("term").isin(terms))
+    best = top_k(bm25(hits, index.lengths, readable), 3 * k, F.desc("bm25"), F.col("chunk_id"))
     score = F.col("bm25") / (1 + F.col("bm25")) if corrected else 1 / (1 + F.col("bm25"))
-    hits = best.select("query_id", "chunk_id", F.col("bm25").alias("distance"), score.alias("score"), "pos")
-    found = R.hydrate(hits, index.chunks, k, session)
-    # Queries that can't be read as a match are looked up as they are.
+    found = R.hydrate(best.select("query_id", "chunk_id", F.col("bm25").alias("distance"), score.alias("score"), "pos"), index.chunks, k, session)
+    # Queries that can't be read as a match, or have nothing to match, are looked up as they are.
     broken = E.invalid(expanded).join(queries, "query_id").select("query_id", E.T.normalize_separators(F.col("text")).alias("needle"))
+    broken = broken.union(bare.filter("phrases is null").select("query_id", "needle"))
+    if broken.isEmpty():
+        return found
     rows = index.chunks if session is None else index.chunks.filter(F.col("session_id") == session)
     like = rows.join(broken, matches(F.col("content"), F.col("needle"))).drop("needle")
     like = top_k(like, k, F.col("chunk_id")).withColumns({"distance": F.lit(1.0), "score": F.lit(0.5)})

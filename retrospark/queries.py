@@ -209,7 +209,7 @@ VOCAB = f"{ALL_TOKENS}, vocab AS (SELECT term, count(DISTINCT chunk_id) AS doc,
 
 @query(f"WITH {VOCAB} SELECT term, doc, cnt FROM vocab")
 def vocab_doc_counts(spark, sf_dir):
-    return X.vocabulary(X.postings(documents(spark, sf_dir)))
+    return X.vocabulary_of(documents(spark, sf_dir))
 
 
 def bm25_query(name: str, phrases: list[list[str]]) -> None:
@@ -218,7 +218,7 @@ def bm25_query(name: str, phrases: list[list[str]]) -> None:
     def run(spark, sf_dir):
         docs = documents(spark, sf_dir)
         rows = spark.createDataFrame([(0, i, p) for i, p in enumerate(phrases)], "query_id long, phrase_no int, terms array<string>")
-        best = X.top_k(X.bm25(X.postings(docs), X.document_lengths(docs), rows).withColumn("bm25", F.round("bm25", 6)), 20, F.desc("bm25"), F.col("chunk_id"))
+        best = X.top_k(X.bm25(*X.scan_for(docs, rows), rows).withColumn("bm25", F.round("bm25", 6)), 20, F.desc("bm25"), F.col("chunk_id"))
         return best.select("chunk_id", "bm25")
 
     each = " UNION ALL ".join(
@@ -288,7 +288,7 @@ def fuzzy_sql() -> str:
 @query(fuzzy_sql())
 def fuzzy_variants(spark, sf_dir):
     tokens = E.tokens(spark.createDataFrame(ASKED, "query_id long, text string"))
-    vocab = X.vocabulary(X.postings(documents(spark, sf_dir)))
+    vocab = X.vocabulary_of(documents(spark, sf_dir))
     return E.fuzzy_variants(tokens.filter(F.length("token") >= 4), vocab).select("token", "term", F.round("ratio", 4).alias("ratio"), "doc", "p")
 
 
@@ -305,7 +305,7 @@ def classify_sql() -> str:
 
 @query(classify_sql())
 def classify_query(spark, sf_dir):
-    return E.classify(spark.createDataFrame(ASKED, "query_id long, text string"), X.vocabulary(X.postings(documents(spark, sf_dir)))).select("query_id", "mode")
+    return E.classify(spark.createDataFrame(ASKED, "query_id long, text string"), X.vocabulary_of(documents(spark, sf_dir))).select("query_id", "mode")
 
 
 # ---------------------------------------------------------------- fusion and ranking
@@ -314,7 +314,7 @@ def classify_query(spark, sf_dir):
 def message_index(spark: SparkSession, sf_dir: str) -> Index:
     chunks = materialize(message_chunks(spark, sf_dir), "chunks")
     p = materialize(X.postings(chunks), "postings")
-    return Index(chunks, None, vectors(spark, sf_dir).select("chunk_id", "embedding"), p, materialize(X.document_lengths(chunks), "lengths"), materialize(X.vocabulary(p), "vocab"))
+    return Index(chunks, None, vectors(spark, sf_dir).select("chunk_id", "embedding"), p, materialize(X.document_lengths(chunks), "lengths"), materialize(X.vocabulary_of(chunks), "vocab"))
 
 
 MSG_TERMS = "regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')"

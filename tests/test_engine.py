@@ -19,6 +19,8 @@ from retrospark.operators import ranking as R
 from retrospark.operators import sessions as S
 from retrospark.operators import text_index as X
 from retrospark.plans import admin
+from retrospark.operators import knn as knn_module
+from retrospark.plans.recall import Index, keyword_search
 from retrospark.plans.indexer import Store, backfill, compact, delete_session, last_chunk_index, update
 from retrospark.sources import jsonl
 from tests.conftest import SF
@@ -71,7 +73,7 @@ def test_expansion(spark):
     rows = {(r.query_id, r.token): (r.kind, r.expanded) for r in E.expand(asked, vocab).collect()}
     assert rows == {(0, "lance"): ("fuzzy", ["lancedb", "balanced", "lancar"]), (0, "pq"): ("abbreviation", ["porque", "por que"]), (1, "database"): ("literal", []), (2, 'fo"o'): ("literal", [])}
     assert [r.query_id for r in E.invalid(E.expand(asked, vocab)).collect()] == [2]
-    assert E.sanitized("a b") is None and E.sanitized("(x)") == [["(x)"]] and E.sanitized("a bcd") == [["bcd"]] and E.sanitized("") is None
+    assert [one(spark, E.sanitized(F.lit(t))) for t in ("a b", "(x)", "a bcd", "", "C")] == [None, ["(x)"], ["bcd"], None, ["C"]]
 
 
 def test_classifier(spark):
@@ -157,6 +159,34 @@ def test_like_and_bm25(spark):
     assert got[0] == pytest.approx(part(1, 1, 6) + part(2, 1, 6)) and got[1] == pytest.approx(part(2, 2, 4))
 
 
+def test_queries_without_a_token(spark):
+    """One-letter words are matched as they are; what can't be matched is looked up in the text."""
+    chunks = spark.createDataFrame([(0, "the language C and x y z", "s1", "user"), (1, "x y only", "s2", "user"), (2, "dog", "s1", "user")], "chunk_id long, content string, session_id string, role string")
+    index = Index.of(chunks, spark.createDataFrame([], "chunk_id long, embedding array<float>"))
+    asked = spark.createDataFrame([(0, "C"), (1, "x y"), (2, "dog")], "query_id long, text string")
+    got = {(r.query_id, r.chunk_id) for r in keyword_search(index, asked, 5).collect()}
+    assert got == {(0, 0), (1, 0), (1, 1), (2, 2)}
+
+
+def test_scan_gives_what_the_index_gives(spark, monkeypatch):
+    docs = queries.documents(spark, SF)
+    rows = spark.createDataFrame([(0, 0, ["of", "the"]), (0, 1, ["in"]), (1, 0, ["src1"]), (2, 0, [])], "query_id long, phrase_no int, terms array<string>")
+    whole = sorted(X.bm25(X.postings(docs), X.document_lengths(docs), rows).collect())
+    assert len(whole) and sorted(X.bm25(*X.scan_for(docs, rows), rows).collect()) == whole
+    monkeypatch.setattr(X, "NAMED_TERMS", 1)
+    assert sorted(X.bm25(*X.scan_for(docs, rows), rows).collect()) == whole
+    assert sorted(X.vocabulary_of(docs).collect()) == sorted(X.vocabulary(X.postings(docs)).collect())
+
+
+def test_knn_in_blocks(spark, monkeypatch):
+    v = queries.vectors(spark, SF)
+    q = v.filter("chunk_id < 9").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"))
+    rows = lambda: sorted(tuple(r) for r in knn_module.knn(v, q, 5).collect())
+    whole = rows()
+    monkeypatch.setattr(knn_module, "BLOCK_BYTES", 700)
+    assert len(whole) == 45 and rows() == whole
+
+
 def log(path, *entries):
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text("\n".join(e if isinstance(e, str) else json.dumps(e) for e in entries), encoding="utf-8")
