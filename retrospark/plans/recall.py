@@ -16,7 +16,7 @@ from retrospark.operators import ranking as R
 from retrospark.operators.knn import knn
 from retrospark.operators.text_index import bm25, document_lengths, few_terms, postings, top_k, vocabulary_of
 from retrospark.operators.text_index import like as matches
-from retrospark.storage import materialize
+from retrospark.storage import settle
 
 
 @dataclass
@@ -46,11 +46,11 @@ def vector_search(index: Index, queries: DataFrame, k: int, session: str | None
 def keyword_search(index: Index, queries: DataFrame, k: int, session: str | None = None, settings: Settings = Settings(), corrected: bool = False, expanded: DataFrame | None = None) -> DataFrame:
     """The k best chunks of each query by BM25. score is 1 / (1 + rank), which falls as the match gets better; corrected, r / (1 + r)."""
     # A few rows for each query, read by several branches of the plan: variants are looked for once.
-    expanded = materialize(E.expand(queries, index.vocab, settings), "expanded") if expanded is None else expanded
-    bare = materialize(E.bare_phrases(queries, expanded), "bare")
+    expanded = settle(E.expand(queries, index.vocab, settings), "expanded") if expanded is None else expanded
+    bare = settle(E.bare_phrases(queries, expanded), "bare")
     some = bare.select("query_id", F.posexplode("phrases").alias("phrase_no", "form")).select("query_id", "phrase_no", E.T.index_terms(F.col("form")).alias("terms"))
     phrases = E.phrases(expanded).unionByName(some)
-    readable = materialize(phrases.join(E.invalid(expanded), "query_id", "left_anti"), "phrases")
+    readable = settle(phrases.join(E.invalid(expanded), "query_id", "left_anti"), "phrases")
     # Stored postings are in order of terms: files and row groups without a term that is asked for are passed over.
     terms = few_terms(readable)
     hits = index.postings if terms is None else index.postings.filter(F.col("term").isin(terms))

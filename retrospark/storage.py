@@ -39,6 +39,12 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def settle(df: DataFrame, name: str, most: int = 1000) -> DataFrame:
+    """df computed once: as rows of the plan where there are at most `most`, else as materialize() does."""
+    rows = df.limit(most + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= most else materialize(df, name)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what materialize() wrote for these frames. Nothing that is read later may depend on them."""
     for df in frames:
