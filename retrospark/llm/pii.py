@@ -4,8 +4,9 @@ Regular expressions propose spans; checksums (Luhn for cards, mod-97 for bank ac
 them; words near a span adjust its score. Spans are code points, end exclusive.
 
 The base kinds email, ip, card and phone are found leftmost and without overlap inside a kind, and stay whatever their
-score. The method adds bank accounts (iban, confirmed by mod-97) and identity numbers (ssn), which need a score of
-`threshold`: their prior plus `CONTEXT_GAIN` if a context word stands within `CONTEXT_CHARS` before them.
+score. The method adds bank accounts (iban, confirmed by mod-97), identity numbers (ssn), access keys of a known form, and
+secrets (long words with letters and digits), which need a score of `threshold`: their prior plus `CONTEXT_GAIN` if a
+context word stands within `CONTEXT_CHARS` before them.
 
 Matching takes linear time on texts of any length: a run that fails is not tried again from its middle (look-behind),
 and runs are possessive where no shorter match could succeed.
@@ -25,6 +26,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
+SECRET = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{16,128}(?![A-Za-z0-9_-])"
 # Words near a span that speak for it.
 CONTEXT_WORDS = {
     "email": ["mail", "contact", "correo"],
@@ -33,10 +36,13 @@ CONTEXT_WORDS = {
     "phone": ["phone", "call", "tel", "mobile", "fax"],
     "iban": ["iban", "account", "bank", "konto", "compte", "cuenta"],
     "ssn": ["ssn", "social security"],
+    "access_key": ["key", "aws", "access"],
+    "secret": ["token", "secret", "password", "passwd", "api key", "api_key", "apikey", "bearer"],
 }
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "access_key": 0.8, "secret": 0.3}
 CONTEXT_CHARS, CONTEXT_GAIN = 40, 0.35
 BASE_KINDS = ("email", "ip", "card", "phone")
+ADDED_KINDS = ("iban", "ssn", "access_key", "secret")
 
 
 def _digits(value: Column) -> Column:
@@ -103,10 +109,11 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     hints = {
         "email": (EMAIL, F.contains(t, F.lit("@"))), "ip": (IP, t.rlike(r"[0-9]\.[0-9]")), "card": (CARD, t.rlike(r"[0-9](?:[\x20-]?[0-9]){15}")),
         "phone": (PHONE, F.contains(t, F.lit("+")) & digit), "iban": (IBAN, t.rlike("[A-Z]{2}[0-9]{2}")), "ssn": (SSN, t.rlike("-[0-9]{2}-")),
+        "access_key": (ACCESS_KEY, F.contains(t, F.lit("AKIA"))), "secret": (SECRET, F.lower(t).rlike("|".join(CONTEXT_WORDS["secret"]))),
     }
     out = rows.select("doc_id", "t", *[proposals(t, k, p, hint).alias(k) for k, (p, hint) in hints.items()])
     out = out.select("doc_id", *[scored(t, k, F.col(k)).alias(k) for k in hints])
-    return out.withColumns({k: F.filter(k, lambda s: s["score"] >= threshold) for k in hints if k not in BASE_KINDS})
+    return out.withColumns({k: F.filter(k, lambda s: s["score"] >= threshold) for k in ADDED_KINDS})
 
 
 def span_text(*kinds: str) -> Column:

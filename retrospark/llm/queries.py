@@ -40,9 +40,11 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds, base = ("email", "ip", "card", "phone", "iban", "ssn"), pii.BASE_KINDS
+    base, kinds = pii.BASE_KINDS, (*pii.BASE_KINDS, *pii.ADDED_KINDS)
     found = pii.find_pii(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in base], F.sha2(pii.span_text(*base), 256).alias("base_sha256"), pii.span_text(*kinds).alias("spans"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in base]
+    n_spans = sum((F.size(k) for k in kinds[1:]), F.size(kinds[0])).cast("long")
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(*base), 256).alias("base_sha256"), pii.span_text(*kinds).alias("spans"), n_spans.alias("n_spans"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
