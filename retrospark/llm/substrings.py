@@ -10,14 +10,16 @@ texts move once; equal pieces inside a block count once, for the smallest docume
 
 1. Blocks send their grams, 32 bits each; where a gram has come from two blocks, the blocks hear that it is shared.
 2. Blocks send the pieces of shared grams, and of grams with several pieces in the block. A gram with very many pieces
-   is hot: its pieces are cut to single windows and dealt by the window instead, so that no task holds all of them.
-3. Where the pieces of a gram meet, equal ones are merged. Those of grams with differing pieces are joined to one text, of which
-   the suffixes are sorted and the Burrows-Wheeler transform is taken. From the empty string on, intervals of the transform are
-   extended backward, breadth first, so that common prefixes between neighbouring suffixes are found by increasing
-   value; it stops at `length`, and neighbours without a value by then share a window. Blocks hear, for each piece,
-   which of its windows a smaller document has.
+   is hot: its pieces are cut to single windows and dealt by the window, so that no task holds all of them.
+3. Where the pieces of a gram meet, those of equal bytes are merged. All contents of grams that have several, some grams at a
+   time, are joined to one text, of which the suffixes are sorted and the Burrows-Wheeler transform is taken. From the empty string on, intervals
+   of the transform are extended backward, breadth first, so that common prefixes between neighbouring suffixes are found
+   by increasing value; it stops at `length`, and neighbours without a value by then share a window. Blocks hear, for each
+   piece, which of its windows a smaller document has.
 4. Blocks mark windows, join them to runs, and cut.
 
+Hashes deal and name pieces; where two of one hash meet, their bytes are compared.
+
 Defined results: null and empty texts give zeros and the hash of nothing; texts shorter than `length` lose nothing;
 repeats inside one document stay; rows that share an identifier are compared with smaller identifiers only, not with
 one another; rows with a null identifier count as larger than all, and not as sources for one another; an empty table
@@ -36,9 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from retrospark.llm.hashing import BYTE_VALUES, U64, mix
-from retrospark.storage import materialize, shared_folder
+from retrospark.llm.workers import give_back
+from retrospark.storage import discard, materialize, shared_folder
 
 GRAM = 24
+#: Of a piece, at most so many windows: one bit each in a word, with one to spare.
+MASK_BITS = 63
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 2 << 20
 HOT_PIECES, SEVERAL = 2000, 8
 STEP_BYTES = 1 << 17
@@ -96,6 +101,7 @@ class Pieces:
         self.gram, self.hash, self.doc, self.start, self.windows = cols
         # Documents are in order, so the first piece of each content is that of the smallest document.
         self.contents, self.first, self.content = np.unique(self.hash, return_index=True, return_inverse=True)
+        self._verify()
         self.content_gram = self.gram[self.first]
         self.grams, self.gram_of, self.variety = np.unique(self.content_gram, return_inverse=True, return_counts=True)
 
@@ -129,7 +135,8 @@ class Pieces:
         inside = (owner >= 0) & (run < ends[owner])
         run_size = np.diff(np.append(run, len(low)))[inside]
         run, doc = run[inside], np.flatnonzero(real)[owner[inside]]
-        # Runs longer than `span` (periodic texts) are cut.
+        # Runs of more windows than a mask has bits, or than one gram can be the least of (periodic texts), are cut.
+        span = min(span, MASK_BITS)
         times = -(-run_size // span)
         if len(run) == times.sum():
             head, count = run, run_size
@@ -138,6 +145,13 @@ class Pieces:
             head, count, doc = np.repeat(run, times) + span * turn, np.minimum(span, np.repeat(run_size, times) - span * turn), np.repeat(doc, times)
         return low[head], part(head, count + length - 1), doc + begin, head - offsets[doc], count
 
+    def _verify(self) -> None:
+        """Compare the bytes of pieces that share a hash."""
+        again = np.flatnonzero(self.first[self.content] != np.arange(len(self.content)))
+        model = self.first[self.content[again]]
+        if not np.array_equal(self.windows[again], self.windows[model]) or self.bytes_of(again) != self.bytes_of(model):
+            raise RuntimeError("two pieces of a block differ and share a hash of 64 bits; choose another block size")
+
     def bytes_of(self, pieces: np.ndarray) -> list[bytes]:
         return [self.texts[d][s : s + w] for d, s, w in zip(self.doc[pieces].tolist(), self.start[pieces].tolist(), (self.windows[pieces] + self.length - 1).tolist(), strict=True)]
 
@@ -246,6 +260,35 @@ def separated(text: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> tuple[n
     return out, offsets
 
 
+def same_bytes(text: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Whether parts of a buffer are equal to others."""
+    same = size == other_size
+    own = np.flatnonzero(same)
+    n = size[own]
+    if len(own):
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        differs = text[np.repeat(start[own], n) + at] != text[np.repeat(other[own], n) + at]
+        same[own] = np.add.reduceat(differs, np.cumsum(n) - n) == 0
+    return same
+
+
+def smallest_by_window(text: np.ndarray, start: np.ndarray, sizes: np.ndarray, docs: np.ndarray, gram: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """What smallest_owner gives for parts of a buffer, one part of about STEP_BYTES after the other; and where each
+    content begins in it. Contents of one gram, which follow one another, stay together."""
+    cuts = [0]
+    if len(sizes):
+        groups = np.append(np.flatnonzero(np.append(True, gram[1:] != gram[:-1])), len(sizes))
+        filled = np.cumsum(np.add.reduceat(sizes + 1, groups[:-1])) // STEP_BYTES
+        cuts = [*groups[:-1][np.append(True, filled[1:] != filled[:-1])].tolist(), len(sizes)]
+    best, where, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        joined, offsets = separated(text, start[i:j], sizes[i:j])
+        best.append(smallest_owner(joined, offsets, sizes[i:j], docs[i:j], length))
+        where.append(offsets + at)
+        at += len(joined)
+    return np.concatenate(best), np.concatenate(where)
+
+
 def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
     return ((grams >> U64(32)) % U64(buckets)).astype(np.int64)
 
@@ -258,7 +301,9 @@ def _blocks(df: DataFrame, id_col: str, text_col: str, blocks: int) -> DataFrame
     files = max(min(blocks, 4096), int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"retrospark_blocks_{uuid.uuid4().hex}"
     rows.repartition(files, "block").write.format("parquet").bucketBy(files, "block").sortBy("block").option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    table._scratch, table._name = f"{shared_folder(spark)}/{name}", name
+    return table
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_pieces: int = HOT_PIECES, with_text: bool = False) -> DataFrame:
@@ -283,6 +328,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b, i in packets(_bucket(p.grams, buckets)):
             many = np.flatnonzero(p.variety[i] >= SEVERAL)
             out.append((b, block, p.grams[i].astype(np.uint32).tobytes(), many.astype(np.uint32).tobytes(), p.variety[i][many].astype(np.uint32).tobytes()))
+        give_back()
         return pd.DataFrame(out, columns=["bucket", "block", "grams", "many", "times"])
 
     grams = table.groupBy("block").applyInPandas(send_grams, "bucket int, block int, grams binary, many binary, times binary")
@@ -327,6 +373,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 f = first[i]
                 text = b"".join(p.texts[d][s : s + length] for d, s in zip(doc[f].tolist(), start[f].tolist(), strict=True))
                 out.append((b, block, h[f].tobytes(), h[f].tobytes(), p.ids[doc[f]].tobytes(), np.ones(len(f), np.uint8).tobytes(), text))
+        give_back()
         return pd.DataFrame(out, columns=["bucket", "block", "grams", "hashes", "docs", "windows", "bytes"])
 
     pieces = table.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(send_pieces, "bucket int, block int, grams binary, hashes binary, docs binary, windows binary, bytes binary")
@@ -337,23 +384,28 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         size = windows + length - 1
         text = np.frombuffer(b"".join(pdf.bytes), np.uint8)
         end = np.cumsum(size)
+        begin = end - size
         order = np.lexsort((docs, h))
+        # Entries of one content, by hash and then by bytes: those of a hash that differ stay apart.
         new = np.ones(len(h), bool)
         new[1:] = h[order][1:] != h[order][:-1]
+        again = np.flatnonzero(~new)
+        new[again] = ~same_bytes(text, begin[order[again]], size[order[again]], begin[order[again - 1]], size[order[again - 1]])
         first = order[new]  # of each content, the entry of the smallest document
         content = np.empty(len(h), np.int64)
         content[order] = np.cumsum(new) - 1
-        _, group, variety = np.unique(gram[first], return_inverse=True, return_counts=True)
-        mixed = variety[group] > 1
+        # Windows of one content have one smallest document. A content that is alone in its gram shares no window with
+        # another; the others are put side by side by gram, and a part of whole grams at a time is transformed.
         masks = np.where(docs[first][content] < docs, (U64(1) << windows.astype(U64)) - U64(1), U64(0))
-        if mixed.any():
-            several = np.flatnonzero(mixed)
-            f = first[several]
-            joined, offsets = separated(text, end[f] - size[f], size[f])
-            best = smallest_owner(joined, offsets, size[f], docs[f], length)
-            where = np.full(len(first), -1, np.int64)
-            where[several] = offsets
-            e = np.flatnonzero(mixed[content])
+        _, group, variety = np.unique(gram[first], return_inverse=True, return_counts=True)
+        mixed = np.flatnonzero(variety[group] > 1)
+        mixed = mixed[np.argsort(group[mixed], kind="stable")]
+        f = first[mixed]
+        best, offsets = smallest_by_window(text, begin[f], size[f], docs[f], gram[f], length)
+        where = np.full(len(first), -1, np.int64)
+        where[mixed] = offsets
+        e = np.flatnonzero(where[content] >= 0)
+        if len(e):
             n = windows[e]
             bit = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             smaller = best[np.repeat(where[content[e]], n) + bit] < np.repeat(docs[e], n)
@@ -365,6 +417,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if keep.any():
                 out.append((int(block), h[at : at + n][keep].tobytes(), masks[at : at + n][keep].tobytes()))
             at += n
+        give_back()
         return pd.DataFrame(out, columns=["block", "hashes", "masks"])
 
     masks = pieces.groupBy("bucket").applyInPandas(meet_pieces, "block int, hashes binary, masks binary")
@@ -392,7 +445,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         bits = np.where(hot, U64(0), np.where(later, every, mask_of(p.contents)[p.content] if len(p.doc) else every))
         doc, start = [], []
         touched = np.flatnonzero(bits)
-        for k in range(length - GRAM + 1):
+        for k in range(min(length - GRAM + 1, MASK_BITS)):
             on = touched[(bits[touched] >> U64(k)) & U64(1) > 0]
             doc.append(p.doc[on])
             start.append(p.start[on] + k)
@@ -418,7 +471,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
             row = (None if p.ids[i] == NO_ID else int(p.ids[i]), len(t), len(t) - len(kept), n_spans, hashlib.sha256(kept).hexdigest())
             out.append((*row, kept) if with_text else row)
+        give_back()
         return pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return table.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(cut, schema)
+    out = materialize(table.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(cut, schema), "kept")
+    df.sparkSession.sql(f"DROP TABLE {table._name}")
+    discard(table, shared)
+    return out

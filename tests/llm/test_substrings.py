@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from retrospark.llm import queries, substrings
 from tests.conftest import SF
@@ -70,4 +71,22 @@ def test_cases_blocks_and_hot_grams(spark):
     assert rows_of(substrings.remove_repeats(df)) == want
     assert rows_of(substrings.remove_repeats(df, block_bytes=5000, bucket_bytes=3000)) == want
     assert rows_of(substrings.remove_repeats(df, block_bytes=5000, bucket_bytes=3000, hot_pieces=5)) == want
+    for length in (25, 88, 100, 200):
+        assert rows_of(substrings.remove_repeats(df, length=length, block_bytes=5000, bucket_bytes=3000)) == brute(rows, length), length
     assert substrings.remove_repeats(df.limit(0)).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("retrospark_blocks")]
+
+
+def test_one_hash_for_all(spark, monkeypatch):
+    """Contents that share a hash are told apart by their bytes."""
+    r = random.Random(6)
+    parts = [bytes(r.choice(b"abc") for _ in range(70)) for _ in range(12)]
+    sizes = np.array([len(x) for x in parts])
+    text = np.frombuffer(b"".join(parts), np.uint8)
+    start = np.cumsum(sizes) - sizes
+    other = r.sample(range(12), 12)
+    got = substrings.same_bytes(text, start, sizes, start[other], sizes[other])
+    assert got.tolist() == [parts[i] == parts[j] for i, j in enumerate(other)]
+    monkeypatch.setattr(substrings.Prefix, "__call__", lambda self, start, size: np.zeros(len(start), np.uint64))
+    with pytest.raises(RuntimeError, match="share a hash"):
+        substrings.Pieces(np.array([1, 2]), parts[:2], 50)
