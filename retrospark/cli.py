@@ -47,13 +47,22 @@ def parser() -> argparse.ArgumentParser:
     o = sub.add_parser("sessions")
     o.add_argument("-p", "--project")
     e = sub.add_parser("export")
-    e.add_argument("session")
+    e.add_argument("session", nargs="?")
     return p
 
 
+def settings_provider(settings: Settings):
+    """The provider that the settings name."""
+    if settings.provider == "local":
+        return provider("local", settings.dimensions, model=settings.model, base_url=settings.base_url, instruction=settings.instruction)
+    if settings.provider == "api":
+        return provider("api", key=os.environ.get("RETROSPARK_API_KEY", ""), model=settings.model, base_url=settings.base_url, dimensions=settings.dimensions)
+    return provider(settings.provider, settings.dimensions)
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> str:
     store, settings = Store(spark, args.data), Settings.from_environment()
-    embedder = provider(settings.model, settings.dimensions)
+    embedder = settings_provider(settings)
     if args.command == "init":
         os.makedirs(args.data, exist_ok=True)
         return f"index in {args.data}"
@@ -71,6 +80,10 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
         return "\n".join(f"{k}: {v}" for k, v in admin.status(index.sessions, index.chunks, index.vectors, store.read("cache"), store.read("runs")).first().asDict(True).items())
     if args.command == "sessions":
         return "\n".join(f"{r.session_id[:8]} {r.started_at or '':} {r.project_label} {r.title} ({r.user_messages}+{r.asst_messages})" for r in admin.sessions(index.sessions, args.project).toLocalIterator())
+    if args.command == "export" and args.session is None:
+        folder = os.path.join(args.data, f"export-{datetime.datetime.now():%Y%m%d-%H%M%S}")
+        admin.export_all(index.sessions, index.chunks, folder)
+        return folder
     if args.command == "export":
         whole = resolve_session(index.sessions, args.session)
         row = admin.session_markdown(index.sessions.filter(F.col("session_id") == whole), index.chunks.filter(F.col("session_id") == whole)).first()

@@ -24,6 +24,9 @@ class Settings:
     dimensions: int = 1024
     metric: str = "l2"
     model: str = "hashing"
+    provider: str = "hashing"
+    base_url: str = "http://localhost:11434"
+    instruction: str = ""
 
     @classmethod
     def from_environment(cls) -> Settings:
@@ -32,4 +35,4 @@ class Settings:
         return cls(**{n: kinds[n](v) for n, v in found.items() if v is not None})
 
 
-ENVIRONMENT = ("min_score", "fuzzy_threshold", "fuzzy_max_expansions", "fuzzy_min_length", "specific_vector_weight", "specific_text_weight", "dimensions", "model")
+ENVIRONMENT = ("min_score", "fuzzy_threshold", "fuzzy_max_expansions", "fuzzy_min_length", "specific_vector_weight", "specific_text_weight", "dimensions", "model", "provider", "base_url", "instruction")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import urllib.request
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -53,11 +55,58 @@ class FunctionProvider:
         return out
 
 
-def provider(name: str = "hashing", dimensions: int = 64) -> Provider | None:
-    """A provider by name; None (keyword search only) if there is none or its trial fails."""
-    found = HashingProvider(dimensions) if name == "hashing" else None
+def _post(url: str, body: dict, headers: dict[str, str], timeout: float) -> dict:
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"} | headers)
+    with urllib.request.urlopen(request, timeout=timeout) as answer:
+        return json.loads(answer.read())
+
+
+class LocalServerProvider:
+    """A server of one's own that takes {model, input: texts} at /api/embed and answers {embeddings}.
+
+    Queries go with an instruction, documents as they are; longer vectors are cut to the dimensions asked for.
+    """
+
+    def __init__(self, dimensions: int, model: str, base_url: str = "http://localhost:11434", instruction: str = "", timeout: float = 60.0):
+        self.dimensions, self.model, self.base_url, self.instruction, self.timeout = dimensions, model, base_url.rstrip("/"), instruction, timeout
+
+    def embed(self, texts: list[str], kind: str) -> np.ndarray:
+        asked = [f"Instruct: {self.instruction}\nQuery: {t}" if kind == "query" and self.instruction else t for t in texts]
+        rows = _post(f"{self.base_url}/api/embed", {"model": self.model, "input": asked}, {}, self.timeout)["embeddings"] if asked else []
+        return _vectors([r[: self.dimensions] for r in rows], len(texts), self.dimensions)
+
+
+class PaidApiProvider:
+    """A service that takes {model, input: texts} at /embeddings with a key and answers {data: [{embedding}]}."""
+
+    def __init__(self, key: str, model: str, base_url: str, dimensions: int = 1536, timeout: float = 60.0):
+        if not key:
+            raise ValueError("the service asks for a key")
+        self.key, self.model, self.base_url, self.dimensions, self.timeout = key, model, base_url.rstrip("/"), dimensions, timeout
+
+    def embed(self, texts: list[str], kind: str) -> np.ndarray:
+        data = _post(f"{self.base_url}/embeddings", {"model": self.model, "input": texts}, {"Authorization": f"Bearer {self.key}"}, self.timeout)["data"] if texts else []
+        return _vectors([r["embedding"] for r in data], len(texts), self.dimensions)
+
+
+def _vectors(rows: list, n: int, dimensions: int) -> np.ndarray:
+    out = np.asarray(rows, np.float32).reshape(len(rows), -1) if rows else np.zeros((0, dimensions), np.float32)
+    if out.shape != (n, dimensions):
+        raise ValueError(f"{out.shape[0]} vectors of {out.shape[1]} components; {n} of {dimensions} are asked for")
+    return out
+
+
+def provider(name: str = "hashing", dimensions: int | None = None, **settings) -> Provider | None:
+    """A provider by name (hashing, local, api); None (keyword search only) if there is none or its trial fails.
+
+    The local server is tried with one text; the paid service isn't asked before it is needed.
+    """
     try:
-        return found if found is not None and found.embed(["test"], "query").shape == (1, dimensions) else None
+        if name == "api":
+            return PaidApiProvider(**settings, **({"dimensions": dimensions} if dimensions else {}))
+        dimensions = dimensions or 64
+        found = HashingProvider(dimensions) if name == "hashing" else LocalServerProvider(dimensions, **settings) if name == "local" else None
+        return found if found is not None and found.embed(["test"], "document").shape == (1, dimensions) else None
     except Exception:
         return None
 

@@ -56,6 +56,12 @@ def session_markdown(sessions: DataFrame, chunks: DataFrame) -> DataFrame:
     return sessions.join(body, "session_id", "left").select("session_id", F.concat(F.substr("session_id", F.lit(1), F.lit(8)), F.lit(".md")).alias("file_name"), F.concat(top, F.coalesce("body", F.lit(""))).alias("markdown"))
 
 
+def export_all(sessions: DataFrame, chunks: DataFrame, folder: str) -> None:
+    """Every session's Markdown as a file in a folder of its own (session_id=...), written by the executors."""
+    files = session_markdown(sessions, chunks).select("session_id", F.col("markdown").alias("value"))
+    files.write.partitionBy("session_id").option("lineSep", "").text(folder)
+
+
 def result_json(results: DataFrame) -> DataFrame:
     """query_id, json: the results of each query in order."""
     has = lambda c: F.col(c) if c in results.columns else F.lit(None).cast("string")

@@ -1,9 +1,11 @@
 """All queries against their SQL, and operators against hand-made cases."""
 
 import datetime
+import http.server
 import json
 import math
 import os
+import threading
 
 import duckdb
 import pytest
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from retrospark import lexicons, queries
 from retrospark.cli import clip_path, parser, run
 from retrospark.config import Settings
-from retrospark.embeddings import FunctionProvider, HashingProvider, provider
+from retrospark.embeddings import FunctionProvider, HashingProvider, embed, provider
 from retrospark.functions import text as T
 from retrospark.operators import expand as E
 from retrospark.operators import ranking as R
@@ -317,6 +319,48 @@ def test_providers():
         FunctionProvider(lambda texts: [[1.0]], 2, "m").embed(["a"], "query")
 
 
+def test_providers_over_http(spark):
+    """A server of each kind: whole batches, the instruction for queries only, the key, and what is refused."""
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, self.headers.get("Authorization"), body))
+            rows = [[float(len(t)), 1.0, 2.0] for t in body["input"]]
+            answer = json.dumps({"embeddings": rows} if self.path == "/api/embed" else {"data": [{"embedding": r} for r in rows]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(answer)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    local = provider("local", 2, model="m", base_url=url, instruction="find it")
+    assert local.embed(["ab", "c"], "document").tolist() == [[2.0, 1.0], [1.0, 1.0]]
+    local.embed(["ab"], "query")
+    assert seen[-1][2] == {"model": "m", "input": ["Instruct: find it\nQuery: ab"]} and seen[-2][2]["input"] == ["ab", "c"]
+    api = provider("api", key="k", model="m", base_url=url, dimensions=3)
+    assert api.embed(["abc"], "query").tolist() == [[3.0, 1.0, 2.0]] and seen[-1][:2] == ("/embeddings", "Bearer k")
+    rows = embed(spark.createDataFrame([(0, "four"), (1, None)], "chunk_id long, content string"), api, "content").collect()
+    assert sorted(r.embedding for r in rows) == [[0.0, 1.0, 2.0], [4.0, 1.0, 2.0]]
+    assert provider("api", key="", model="m", base_url=url) is None and provider("local", 5, model="m", base_url=url) is None
+    server.shutdown()
+    assert provider("local", 2, model="m", base_url="http://127.0.0.1:9", timeout=1.0) is None
+
+
+def test_export_of_all_sessions(spark, tmp_path):
+    sessions = S.session_metadata(queries.messages(spark, SF)).withColumns({"project_label": F.lit("p"), "started_at": F.lit(None).cast("timestamp")})
+    chunks = queries.message_chunks(spark, SF).withColumnRenamed("line", "chunk_index")
+    admin.export_all(sessions, chunks, str(tmp_path / "all"))
+    want = {r.session_id: r.markdown for r in admin.session_markdown(sessions, chunks).collect()}
+    got = {p.parent.name.split("=")[1]: p.read_text(encoding="utf-8") for p in (tmp_path / "all").rglob("part-*.txt")}
+    assert got == want and len(got) == sessions.count()
+
+
 def test_registry():
     import __spark_entry__ as entry
 
