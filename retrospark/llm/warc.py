@@ -25,8 +25,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retrospark.storage import numbered
-
 DICT_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
 ARCHIVE_BYTES = 8 << 20
@@ -154,16 +152,18 @@ def read_archive(content: bytes) -> Iterator[tuple[int, dict[str, str], dict[str
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, refers_to. Payloads below min_bytes are never revisits.
 
-    Equal payloads are found by SHA-256 and length on narrow rows; payloads move only once, by row, and evenly. pages may
-    be any frame: its rows are numbered and written once.
+    Equal payloads are found by SHA-256 and length on narrow rows; payloads move only once, by identifier and digest, and
+    evenly. Repeated rows with one identifier and one payload are alike: all response or all revisit.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    rows, row = numbered(rows, "numbered")
-    narrow = rows.filter(F.octet_length("payload") >= min_bytes).select("page_id", F.col(row).alias("row"), F.sha2("payload", 256).alias("h"), F.octet_length("payload").alias("bytes"))
-    first = narrow.groupBy("h", "bytes").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = narrow.join(first, ["h", "bytes"]).filter(F.col("row") != F.col("first.row")).select(F.col("row").alias("later"), F.col("first.page_id").alias("refers_to"))
-    joined = rows.join(later, F.col(row) == F.col("later"), "left")
-    return joined.select("page_id", "url", "payload", "refers_to", F.col("later").isNotNull().alias("revisit"))
+    payload = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("h", F.sha2("payload", 256))
+    narrow = rows.select("page_id", "h", F.octet_length("payload").alias("bytes")).filter(F.col("bytes") >= min_bytes)
+    first = narrow.groupBy("h", "bytes").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    later = narrow.join(first, ["h", "bytes"]).filter(~F.col("page_id").eqNullSafe(F.col("first.page_id")))
+    later = later.select(F.col("page_id").alias("later"), F.col("h").alias("later_h"), F.col("first.page_id").alias("refers_to"), F.lit(True).alias("revisit")).distinct()
+    joined = rows.join(later, F.col("page_id").eqNullSafe(F.col("later")) & (F.col("h") == F.col("later_h")), "left")
+    return joined.select("page_id", "url", "payload", "refers_to", F.coalesce("revisit", F.lit(False)).alias("revisit"))
 
 
 def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
