@@ -41,7 +41,7 @@ from retrospark.llm.workers import give_back
 SPACE = "▁"
 PART = re.compile(rf"{SPACE}*[^\W\d_²³¹]+|{SPACE}*(?:[^\w{SPACE}]+|[\d_²³¹]+)+|{SPACE}+")
 #: Parts of more characters are encoded without being kept; a worker's cache holds so many bytes, about.
-LONG_PART, CACHE_BYTES = 48, 32 << 20
+LONG_PART, CACHE_BYTES = 48, 64 << 20
 #: Of an entry, besides its characters and ids: two objects and their place in the table.
 ENTRY_BYTES = 200
 INF = float("inf")
@@ -110,9 +110,10 @@ class Encoder:
             raise ValueError("a piece crosses the places where texts are cut")
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
-            self.automaton.add_word(p, p)
+            if len(p) > 1:  # a character is there without a search
+                self.automaton.add_word(p, p)
         self.automaton.make_automaton()
-        self.spines: dict[tuple[str, int], list[tuple[str, float]] | None] = {}
+        self.spines: tuple[dict[str, list[tuple[str, float]] | None], ...] = ({}, {})
         # Parts by age: where the recent ones fill half the cache, they become the older ones, of which those that come
         # again are recent anew, and the rest are dropped the next time.
         self.parts: dict[str, bytes] = {}
@@ -140,8 +141,8 @@ class Encoder:
     def _spine(self, piece: str, side: int) -> list[tuple[str, float]] | None:
         """The parts that stand at a piece's left (0) or right (1) end while it is merged, smallest first, each with
         the rank of the merge that ends it; None if merging doesn't give the piece."""
-        key = (piece, side)
-        if key not in self.spines:
+        known = self.spines[side]
+        if piece not in known:
             symbols, out = list(piece), []
             while len(symbols) > 1:
                 rank, i = min((self.rank.get(symbols[i] + symbols[i + 1], INF), i) for i in range(len(symbols) - 1))
@@ -150,8 +151,8 @@ class Encoder:
                 if i == (len(symbols) - 2) * side:
                     out.append((symbols[-side], rank))
                 symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-            self.spines[key] = None if len(symbols) > 1 else [*out, (piece, INF)]
-        return self.spines[key]
+            known[piece] = None if len(symbols) > 1 else [*out, (piece, INF)]
+        return known[piece]
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether merging the characters of both anew keeps the two apart.
@@ -159,7 +160,9 @@ class Encoder:
         Both sides merge as if alone until a merge across the border has its turn; that comes if it ranks before the
         next merge of either part at the border. Of equal merges, the left one has its turn first.
         """
-        ends, begins = self._spine(left, 1) if left else [], self._spine(right, 0)
+        left_known, right_known = self.spines[1], self.spines[0]
+        begins = right_known[right] if right in right_known else self._spine(right, 0)
+        ends = None if not left else left_known[left] if left in left_known else self._spine(left, 1)
         if not left or ends is None or begins is None:
             return begins is not None
         i = j = 0
@@ -182,29 +185,31 @@ class Encoder:
         if text in self.ids and self.compatible("", text):
             return [text]
         n = len(text)
-        at: list[list[str]] = [[] for _ in range(n)]
+        at: list[list[str]] = [[c] for c in text]
         for end, piece in self.automaton.iter(text):
             at[end + 1 - len(piece)].append(piece)  # by increasing length, as ends increase
         out: list[str] = []
         choice: list[int] = []
-        failed, pos, k = bytearray(n // 8 + 1), 0, len(at[0]) - 1
+        failed, pos, k, last, compatible = bytearray(n // 8 + 1), 0, len(at[0]) - 1, "", self.compatible
         while pos < n:
+            here = at[pos]
             while k >= 0:
-                piece = at[pos][k]
+                piece = here[k]
                 end = pos + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and self.compatible(out[-1] if out else "", piece):
+                if not failed[end >> 3] >> (end & 7) & 1 and compatible(last, piece):
                     break
                 k -= 1
             if k >= 0:
                 out.append(piece)
                 choice.append(k)
-                pos += len(piece)
+                pos, last = end, piece
                 k = len(at[pos]) - 1 if pos < n else 0
             else:
                 if not out:
                     raise ValueError("no sequence of pieces")
                 failed[pos >> 3] |= 1 << (pos & 7)
                 pos -= len(out.pop())
+                last = out[-1] if out else ""
                 k = choice.pop() - 1
         return out
 
