@@ -66,7 +66,8 @@ def decay(score: Column, ts: Column, as_of: Column, timeless: Column, half_life_
 
 
 def mmr(candidates: DataFrame, k_col: str = "limit", weight: float = 0.7) -> DataFrame:
-    """query_id, rank and the candidates' columns: relevance against likeness to what is chosen already.
+    """query_id, rank and the candidates' columns: relevance against likeness to what is chosen already; values that agree
+    in nine digits are ties, which the fused order breaks.
 
     candidates: query_id, place (fused order), score, content, v (vector or null), limit; a few for each query. Queries are
     packed by hash, so one task works through many of them.
@@ -85,7 +86,7 @@ def mmr(candidates: DataFrame, k_col: str = "limit", weight: float = 0.7) -> Dat
         vecs = [None if v is None else np.asarray(v, float) for v in g.v]
         most, out, left = np.zeros(n), [], list(range(n))
         for _ in range(limit):
-            best = max(left, key=lambda i: (weight * score[i] - (1 - weight) * most[i], -i))
+            best = max(left, key=lambda i: (round(weight * score[i] - (1 - weight) * most[i], 9), -i))
             out.append(best)
             left.remove(best)
             for i in left:

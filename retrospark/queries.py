@@ -382,12 +382,12 @@ MMR = f"""WITH RECURSIVE q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS
   near AS (SELECT query_id, vec_id AS chunk_id, embedding::DOUBLE[] AS v, list_distance(embedding::DOUBLE[], q) AS d FROM q, embeddings QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) <= 30),
   pool AS (SELECT query_id, chunk_id, v, 1 / (1 + d) AS score, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS place FROM near JOIN n USING (chunk_id)),
   likes AS (SELECT a.query_id, a.place, list(list_cosine_similarity(a.v, b.v) ORDER BY b.place) AS sims FROM pool a JOIN pool b USING (query_id) GROUP BY ALL),
-  cand AS (SELECT query_id, place, chunk_id, score, sims FROM pool JOIN likes USING (query_id, place)),
+  cand AS (SELECT query_id, place, chunk_id, score, sims, CASE WHEN count(*) OVER (PARTITION BY query_id) <= 10 THEN 0 ELSE 0.3 END AS w FROM pool JOIN likes USING (query_id, place)),
   pick AS (
-    SELECT query_id, 1 AS rank, place, chunk_id, score, [place] AS chosen FROM cand QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) = 1
+    SELECT query_id, 1 AS rank, place, chunk_id, score, [place] AS chosen FROM cand QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(0.7 * score, 9) DESC, place) = 1
     UNION ALL
     SELECT query_id, rank + 1, place, chunk_id, score, list_append(chosen, place) FROM (
-      SELECT c.*, k.rank, k.chosen, row_number() OVER (PARTITION BY c.query_id ORDER BY 0.7 * c.score - 0.3 * greatest(0, list_max(list_transform(k.chosen, lambda x: c.sims[x]))) DESC, c.place) AS first
+      SELECT c.*, k.rank, k.chosen, row_number() OVER (PARTITION BY c.query_id ORDER BY round(0.7 * c.score - c.w * greatest(0, list_max(list_transform(k.chosen, lambda x: c.sims[x]))), 9) DESC, c.place) AS first
       FROM pick k JOIN cand c USING (query_id) WHERE k.rank < 10 AND NOT list_contains(k.chosen, c.place)) WHERE first = 1)
   SELECT query_id, rank::INT AS rank, chunk_id, round(score, 6) AS score FROM pick"""
 
