@@ -58,8 +58,9 @@ def session_markdown(sessions: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def export_all(sessions: DataFrame, chunks: DataFrame, folder: str) -> None:
     """Every session's Markdown as a file in a folder of its own (session_id=...), written by the executors."""
-    files = session_markdown(sessions, chunks).select("session_id", F.col("markdown").alias("value"))
-    files.write.partitionBy("session_id").option("lineSep", "").text(folder)
+    # The writer ends each file with a newline itself.
+    files = session_markdown(sessions, chunks).select("session_id", F.regexp_replace("markdown", r"\n\z", "").alias("value"))
+    files.write.partitionBy("session_id").text(folder)
 
 
 def result_json(results: DataFrame) -> DataFrame:

@@ -356,7 +356,7 @@ def test_export_of_all_sessions(spark, tmp_path):
     sessions = S.session_metadata(queries.messages(spark, SF)).withColumns({"project_label": F.lit("p"), "started_at": F.lit(None).cast("timestamp")})
     chunks = queries.message_chunks(spark, SF).withColumnRenamed("line", "chunk_index")
     admin.export_all(sessions, chunks, str(tmp_path / "all"))
-    want = {r.session_id: r.markdown for r in admin.session_markdown(sessions, chunks).collect()}
+    want = {r.session_id: r.markdown.removesuffix("\n") + "\n" for r in admin.session_markdown(sessions, chunks).collect()}
     got = {p.parent.name.split("=")[1]: p.read_text(encoding="utf-8") for p in (tmp_path / "all").rglob("part-*.txt")}
     assert got == want and len(got) == sessions.count()
 
