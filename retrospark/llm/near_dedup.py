@@ -15,14 +15,16 @@ registers of two sets merge by the larger value, and are equal with a probabilit
 4. Buckets that still hold several components, of several chunks, are open: all pairs in them across components are looked
    at in the same way, starting from the components known so far, and links between components come out. An open bucket
    of more than one chunk is worked on by pairs of chunks; that is the exact way for buckets of any size.
-5. The components of all links are the result.
-
-With 40 bands of 5 registers a pair of similarity 0.75 shares a band but for 2 in 100,000 times, and it takes an
-estimate of under `slack` (0.15, 5 standard errors) below the threshold to pass over a pair.
+5. Bands and estimates pass over a pair at the threshold 2 in 100,000 times. So what they left apart is looked at without
+   chance: in one order of all shingles, the common ones last, the first shingle of two sets that reach the threshold is
+   among the first n - ceil(percent * n / 100) + 1 of each. Documents of several components with such a shingle in common
+   are compared by the parities of their sets' elements, which bound the symmetric difference from below. Pairs that may
+   reach the threshold are candidates; the groups that they form are compared on the full sets, in chunks like buckets.
+6. The components of all links are the result.
 
 Defined results: null texts and texts without words have an empty set, link with nothing and are their own component; texts
 with fewer than five words have their word sequence as the only shingle; equal sets always link; rows that share an
-identifier are one document with all their links; rows with a null identifier give a row with null component and kept false, and take no part; an empty table gives an
+identifier are one document with all their links, each row with its own set's size; rows with a null identifier give a row with null component and kept false, and take no part; an empty table gives an
 empty table; other columns are ignored.
 """
 
@@ -33,18 +35,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retrospark.components import connected_components
 from retrospark.llm.hashing import U64, mix, shingle_sets
 from retrospark.llm.workers import give_back
-from retrospark.storage import materialize, unused
+from retrospark.storage import discard, materialize, unused
 
 REGISTERS, BAND = 200, 5
 BASE, RATE = 1.001, 20.0
 CHUNK_SETS, CHUNK_SHINGLES = 2048, 2_000_000
 BATCH_BYTES = 1 << 20
+SAMPLE_ROWS, COMMON_IN_SAMPLE, MOST_COMMON = 4096, 4, 1 << 16
 
 
 def setsketch(values: np.ndarray, offsets: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -87,19 +90,40 @@ def joint_similarity(larger: np.ndarray, smaller: np.ndarray, m: int, n_a: np.nd
     return (low + high) / 2
 
 
-def sketch_documents(df: DataFrame, id_col: str, text_col: str, sets: bool, width: int = 5) -> DataFrame:
-    """doc_id, n, digest, bands; with sets, doc_id, n, regs, items."""
-    schema = "doc_id long, n long, " + ("regs binary, items binary" if sets else "digest binary, bands array<long>")
-
-    def group_of(texts: pa.Array, start: int) -> list[bytes | None]:
-        """Texts from `start` on, of about BATCH_BYTES."""
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes | None]]]:
+    """Identifiers and texts of a batch, in groups of about BATCH_BYTES."""
+    texts, start = batch.column(1), 0
+    while start < len(texts):
         group: list[bytes | None] = []
         size = 0
         while start + len(group) < len(texts) and (not group or size < BATCH_BYTES) and len(group) < 1000:
             value = texts[start + len(group)].as_py()
             group.append(value)
             size += len(value or b"")
-        return group
+        yield batch.column(0).slice(start, len(group)), group
+        start += len(group)
+
+
+def _bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("t"))
+
+
+def parities(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Of each set a power of two of bits, at least as many as elements and 64: each the parity of the elements that fall
+    on it. Two sets differ in as many elements as parities, or more. Half the bits are the two halves' exclusive or."""
+    n = np.diff(offsets)
+    words = 1 << np.ceil(np.log2(np.maximum(n / 64, 1))).astype(np.int64)
+    ends = np.cumsum(words)
+    of = np.repeat(np.arange(len(n)), n)
+    at = values & (words[of] * 64 - 1).astype(U64)
+    bits = np.zeros(words.sum(), U64)
+    np.bitwise_xor.at(bits, (ends - words)[of] + (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
+    return [b.tobytes() for b in np.split(bits, ends[:-1])]
+
+
+def sketch_documents(df: DataFrame, id_col: str, text_col: str, sets: bool, width: int = 5) -> DataFrame:
+    """doc_id, n, bits, digest, bands; with sets, doc_id, n, bits, regs, items."""
+    schema = "doc_id long, n long, bits binary, " + ("regs binary, items binary" if sets else "digest binary, bands array<long>")
 
     def digest_of(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """128 bits of each set: two sums of mixed elements."""
@@ -112,12 +136,10 @@ def sketch_documents(df: DataFrame, id_col: str, text_col: str, sets: bool, widt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start = 0
-            while start < batch.num_rows:
-                group = group_of(batch.column(1), start)
+            for ids, group in _groups(batch):
                 values, offsets = shingle_sets(group, width)
                 n, regs = np.diff(offsets), setsketch(values, offsets)
-                columns = {"doc_id": batch.column(0).slice(start, len(group)), "n": pa.array(n, pa.int64())}
+                columns = {"doc_id": ids, "n": pa.array(n, pa.int64()), "bits": pa.array(parities(values, offsets), pa.binary())}
                 if sets:
                     columns["regs"] = pa.array([r.tobytes() for r in regs], pa.binary())
                     columns["items"] = pa.array([values[offsets[i] : offsets[i + 1]].tobytes() for i in range(len(group))], pa.binary())
@@ -125,11 +147,9 @@ def sketch_documents(df: DataFrame, id_col: str, text_col: str, sets: bool, widt
                     bands = [b if full else None for b, full in zip(band_keys(regs), n > 0, strict=True)]
                     columns |= {"digest": pa.array(digest_of(values, offsets), pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-                start += len(group)
         give_back()
 
-    text = F.encode(F.col(text_col).cast("string"), "UTF-8").alias("t")
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(run, schema)
+    return _bytes(df, id_col, text_col).mapInArrow(run, schema)
 
 
 def band_keys(regs: np.ndarray, band: int = BAND) -> np.ndarray:
@@ -207,15 +227,22 @@ def _task(seats: DataFrame, *chunk: str) -> DataFrame:
     return seats.withColumn("task", F.when(F.col("chunks") == 1, shared).otherwise(F.concat_ws(":", "part", *chunk)))
 
 
+def _across(seats: DataFrame) -> DataFrame:
+    """seats with a task for each pair of chunks of a part, and the side that they are on in it."""
+    across = seats.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    across = across.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
+    return _task(across, "low", "high").withColumnRenamed("chunk", "side")
+
+
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
 
 
 def pod_seats(classes: DataFrame) -> DataFrame:
     """id, n, pod, chunk, chunks: where each class that shares a bucket sits; a pod's first member sits in each of its chunks."""
-    keyed = classes.select("id", "n", F.explode("bands").alias("band"))
-    buckets = keyed.groupBy("band").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    leads = materialize(keyed.join(buckets, "band").groupBy("id").agg(F.min("first").alias("pod"), F.max("n").alias("n")), "leads")
+    keyed, bucket = classes.select("id", "n", F.explode("bands").alias("band")), Window.partitionBy("band")
+    met = keyed.select("id", "n", F.min("id").over(bucket).alias("first"), F.max("id").over(bucket).alias("last")).filter("first < last")
+    leads = materialize(met.groupBy("id").agg(F.min("first").alias("pod"), F.max("n").alias("n")), "leads")
     guests = leads.filter("id <> pod")
     sizes = guests.groupBy("pod").agg(_chunks())
     guests = guests.join(sizes, "pod").select("id", "n", "pod", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "chunks")
@@ -233,6 +260,141 @@ def open_seats(classes: DataFrame, seats: DataFrame, components: DataFrame) -> D
     return keyed.join(buckets, "part").select("id", "n", "label", "band", "part", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "chunks")
 
 
+def common_shingles(df: DataFrame, rows: int, width: int) -> np.ndarray:
+    """In order, shingles that several documents of a sample of about SAMPLE_ROWS hold. They come last in the order of shingles, which
+    keeps groups small; any order gives the same links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, group in _groups(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(group, width)[0].view(np.int64))], names=["e"])
+        give_back()
+
+    sample = df.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows // SAMPLE_ROWS))) == 0)
+    counts = sample.mapInArrow(run, "e long").groupBy("e").count().filter(F.col("count") >= COMMON_IN_SAMPLE)
+    return np.sort(np.array([r.e for r in counts.orderBy(F.desc("count"), "e").limit(MOST_COMMON).collect()], U64))
+
+
+def first_shingles(df: DataFrame, late: np.ndarray, width: int, percent: int) -> DataFrame:
+    """id, e: of each set the first n - ceil(percent * n / 100) + 1 shingles, ordered by hash, but those in `late` last.
+    Two sets that reach the threshold share percent of the larger, so the first that they share is among these."""
+
+    def among(values: np.ndarray) -> np.ndarray:
+        return late[np.minimum(np.searchsorted(late, values), len(late) - 1)] == values if len(late) else np.zeros(len(values), bool)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, group in _groups(batch):
+                values, offsets = shingle_sets(group, width)
+                n = np.diff(offsets)
+                of = np.repeat(np.arange(len(n)), n)
+                order = np.argsort(2 * of + among(values), kind="stable")  # values are in order within a text
+                taken = n + (-percent * n) // 100 + 1
+                keep = np.arange(len(of)) - offsets[of] < taken[of]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of[keep])), pa.array(values[order][keep].view(np.int64))], names=["id", "e"])
+        give_back()
+
+    return df.mapInArrow(run, "id long, e long")
+
+
+def joins_of_parts(part: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray, bits: list[bytes], percent: int, items: list[bytes] | None = None) -> list[tuple[int, int]]:
+    """A forest of pairs of nodes that have rows of one part and of different labels (and sides, if there are two) whose
+    parities let them reach the threshold; with items, that do reach it."""
+    out: list[tuple[int, int]] = []
+    if not len(part):
+        return out
+    order = np.lexsort((n, part))
+    part, node, label, n, side = part[order], node[order], label[order], n[order], side[order]
+    names, at = np.unique(node, return_inverse=True)
+    root = np.arange(len(names))
+    words = np.array([len(b) // 8 for b in bits])[order]
+    # For each width a matrix of all rows at least as wide, folded to it, the widest first.
+    wide = np.argsort(-words, kind="stable")
+    slot = np.argsort(wide, kind="stable")
+    folded, w = {}, int(words.max())
+    matrix = np.zeros((0, 2 * w), U64)
+    while w >= words.min():
+        own = [bits[order[i]] for i in wide[len(matrix) :] if words[i] == w]
+        matrix = np.concatenate((matrix[:, :w] ^ matrix[:, w:], np.frombuffer(b"".join(own), U64).reshape(-1, w)))
+        folded[w], w = matrix, w // 2
+    mixed = len(np.unique(side)) > 1
+    i, step = np.arange(len(part)), 0
+    while len(i):
+        # Rows of a part are in order of size: who is too small for the row `step` on is so for all further ones.
+        step += 1
+        i = i[i + step < len(part)]
+        i = i[(part[i] == part[i + step]) & (n[i + step] * percent <= 100 * n[i])]
+        a = i[(label[i] != label[i + step]) & (root[at[i]] != root[at[i + step]])]
+        if mixed:
+            a = a[side[a] != side[a + step]]
+        b = a + step
+        least = np.minimum(words[a], words[b])
+        for w in np.unique(least):
+            x, y = a[least == w], b[least == w]
+            apart = np.bitwise_count(folded[w][slot[x]] ^ folded[w][slot[y]]).sum(axis=1, dtype=np.int64)
+            near = apart * (100 + percent) <= (100 - percent) * (n[x] + n[y])
+            for p, q in zip(x[near], y[near], strict=True):
+                low, high = sorted((root[at[p]], root[at[q]]))
+                if low == high:
+                    continue
+                if items is not None:
+                    common = len(np.intersect1d(np.frombuffer(items[order[p]], U64), np.frombuffer(items[order[q]], U64), assume_unique=True))
+                    if 100 * common < percent * (n[p] + n[q] - common):
+                        continue
+                out.append((int(names[high]), int(names[low])))
+                root[root == high] = low
+    return out
+
+
+def joins_of_tasks(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: what joins_of_parts finds. rows: task, part, node, label, n, side, bits and, to verify, items."""
+    verify = "items" in rows.columns
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        columns = [pdf[c].to_numpy() for c in ("part", "node", "label", "n", "side")]
+        out = joins_of_parts(*columns, list(pdf["bits"]), percent, list(pdf["items"]) if verify else None)
+        give_back()
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("task").applyInPandas(work, "a long, b long")
+
+
+def left_apart(texts: DataFrame, sketches: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: links between components that bands and estimates passed over. texts: doc_id, t; known: doc_id, label and
+    whether its sets count (it leads its class or has several rows), of documents that aren't alone."""
+    blobs, shingle, part = _bytes(texts, "doc_id", "t"), Window.partitionBy("e"), Window.partitionBy("part")
+    firsts = first_shingles(blobs, common_shingles(blobs, sketches.count(), width), width, percent)
+    # Shingles with the same holders make one part; parts that fall together by chance only grow.
+    holders = F.bit_xor(F.xxhash64("id")).over(shingle).alias("part")
+    shared = firsts.select("id", F.min("id").over(shingle).alias("l"), F.max("id").over(shingle).alias("h"), holders).filter("l < h").select("id", "part").distinct()
+    real = sketches.filter("n > 0 and doc_id is not null")
+    docs = real.groupBy("doc_id").agg(F.min("n").alias("least"), F.max("n").alias("n")).join(known, "doc_id", "left").filter("leads is null or leads")
+    docs = docs.select(F.col("doc_id").alias("id"), F.coalesce("label", "doc_id").alias("label"), "least", "n")
+    # Who has no other of about its size in a part, before or after it in order of size, can't reach the threshold there.
+    ends = [F.min("label").over(part).alias("l"), F.max("label").over(part).alias("h")]
+    sizes = [F.max("n").over(part.orderBy("least", "id").rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.lead("least").over(part.orderBy("least", "id")).alias("after")]
+    held = shared.join(docs, "id").select("id", "label", "least", "n", "part", *ends, *sizes)
+    held = held.filter(F.expr(f"l < h and (least * {percent} <= 100 * before or after * {percent} <= 100 * n)"))
+    held = materialize(held.select("id", "label", "n", "part"), "apart")
+
+    def joins(seats: DataFrame, sets: DataFrame, node: str) -> DataFrame:
+        """seats: id, label, n, part."""
+        sized = seats.join(seats.groupBy("part").agg(_chunks()), "part").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+        dealt = _across(sized).select("id", F.col(node).alias("node"), "label", "part", "side", "task")
+        return materialize(joins_of_tasks(dealt.join(sets, F.col("id") == F.col("doc_id")), percent), "joins")
+
+    near = joins(held, real.select("doc_id", "n", "bits"), "id")
+    if not near.isEmpty():
+        groups = connected_components(near).select(F.col("node").alias("id"), F.col("component").alias("part"))
+        wanted = materialize(groups.join(held.select("id", "label", "n").distinct(), "id"), "candidates")
+        found = sketch_documents(texts.join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "doc_id", "t", True, width)
+        sets = materialize(found.select("doc_id", "n", "bits", "items"), "sets")
+        near = joins(wanted, sets, "label")
+        discard(sets, wanted)
+    discard(held)
+    return near
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, slack: float = 0.15) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept."""
     sketches = materialize(sketch_documents(df, id_col, text_col, False, width), "sketches")
@@ -243,25 +405,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     seats = materialize(pod_seats(classes), "pods")
     # Texts of classes without company stay where they are; the sets of the others are made once.
     wanted = seats.select(F.col("id").alias("doc_id")).distinct()
-    sets = materialize(sketch_documents(_texts(df, id_col, text_col).join(wanted, "doc_id", "left_semi"), "doc_id", "t", True, width), "sets")
+    sets = materialize(sketch_documents(_texts(df, id_col, text_col).join(wanted, "doc_id", "left_semi"), "doc_id", "t", True, width).drop("bits"), "sets")
     dealt = _task(seats.withColumn("part", F.col("pod")), "chunk").select("id", "task", "part")
     sat = sets.join(dealt, F.col("doc_id") == F.col("id")).withColumns({"label": F.col("doc_id"), "side": F.lit(0), "band": F.lit(None).cast("int")})
     links = materialize(links_of_tasks(sat, percent, slack), "links")
     components = materialize(connected_components(links), "components")
 
     rest = materialize(open_seats(classes, seats, components), "open")
-    across = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    across = across.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
-    across = _task(across, "low", "high").select("id", "label", "band", "part", "task", F.col("chunk").alias("side"))
-    met = sets.join(across, F.col("doc_id") == F.col("id"))
+    met = sets.join(_across(rest).select("id", "label", "band", "part", "task", "side"), F.col("doc_id") == F.col("id"))
     joined = connected_components(materialize(links_of_tasks(met, percent, slack), "links")).select(F.col("node").alias("k"), F.col("component").alias("over"))
 
+    discard(sets)
     # Only classes that stand for more than one row or are linked go to the last join.
     first = classes.select("digest", "n", "rows", "id").join(components, F.col("id") == F.col("node"), "left").withColumn("first", F.coalesce("component", "id"))
     named = first.join(joined, F.col("first") == F.col("k"), "left").withColumn("named", F.coalesce("over", "first"))
-    named = named.filter("rows > 1 or component is not null or over is not null").select("digest", "n", F.col("named").alias("component"))
-    out = sketches.select("doc_id", "n", "digest").join(named, ["digest", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    named = materialize(named.filter("rows > 1 or component is not null or over is not null").select("digest", "n", "id", F.col("named").alias("component")), "named")
+
+    of = sketches.select("doc_id", "n", "digest").filter("doc_id is not null").join(named, ["digest", "n"])
+    several = sketches.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    leads = F.max((F.col("doc_id") == F.col("id")) | F.col("count").isNotNull()).alias("leads")
+    known = materialize(of.join(several, "doc_id", "left").groupBy("doc_id").agg(F.min("component").alias("label"), leads), "known")
+    links = left_apart(_texts(df, id_col, text_col).filter("doc_id is not null"), sketches, known, width, percent)
+    # A document of several rows has the links of all of them.
+    links = materialize(links.union(of.join(several, "doc_id", "left_semi").select("doc_id", "component").distinct()), "links")
+
+    out = sketches.select("doc_id", "n", "digest").join(named, ["digest", "n"], "left").withColumn("component", F.coalesce("component", "doc_id"))
+    if not links.isEmpty():
+        last = connected_components(links).select("node", F.col("component").alias("last"))
+        out = out.join(last, F.col("component") == F.col("node"), "left").withColumn("component", F.coalesce("last", "component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 

@@ -105,3 +105,60 @@ def test_estimate():
         got = near_dedup.joint_similarity(np.array([(regs[0] > regs[1]).sum()]), np.array([(regs[0] < regs[1]).sum()]), regs.shape[1], n[:1], n[1:2])[0]
         x, y = set(values[: offsets[1]]), set(values[offsets[1] : offsets[2]])
         assert abs(got - len(x & y) / len(x | y)) < 0.13
+
+
+def pair(k):
+    """Texts of 8 and 6 shingles, the second's among the first's: similarity 0.75."""
+    words = [f"p{k}x{j}" for j in range(12)]
+    return " ".join(words), " ".join(words[:10])
+
+
+def test_pairs_without_a_common_band(spark):
+    """Two of 120,000 pairs at the threshold share no band; they are linked all the same."""
+    rows = [(i * 10 + j, t) for i, k in enumerate((46633, 52995, 1, 2)) for j, t in enumerate(pair(k))]
+    values, offsets = shingle_sets([t.encode() for _, t in rows])
+    keys = near_dedup.band_keys(near_dedup.setsketch(values, offsets))
+    assert (keys[::2] == keys[1::2]).any(axis=1).tolist() == [False, False, True, True]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(near_dedup.near_duplicates(df)) == brute(rows) == {i: (8 - 2 * (i % 10), i // 10 * 10, i % 10 == 0) for i, _ in rows}
+
+
+def test_no_link_depends_on_bands(spark):
+    """With estimates that pass over every pair, the links are those of all pairs."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    line, rows = " ".join(word() for _ in range(30)), []
+    for family in range(12):
+        base = [word() for _ in range(r.choice((5, 8, 40, 150, 700)))]
+        for i in range(30):
+            copy = [word() if r.random() < (i % 10) / 150 else w for w in base]
+            rows.append((1000 * family + i, " ".join(copy) + (" " + line if i % 3 else "")))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    size, common = near_dedup.CHUNK_SETS, near_dedup.COMMON_IN_SAMPLE
+    try:
+        near_dedup.CHUNK_SETS = 40  # groups of several chunks
+        for near_dedup.COMMON_IN_SAMPLE in (common, 10**6):  # common shingles last, or all in order of their hash
+            assert rows_of(near_dedup.near_duplicates(df, slack=-1.0)) == want
+    finally:
+        near_dedup.CHUNK_SETS, near_dedup.COMMON_IN_SAMPLE = size, common
+    # Parities alone let a pair through that reaches the threshold, whatever the widths.
+    sets = [np.unique(np.array([hash(x) & (2**54 - 1) for x in word_set(t)], np.uint64)) for _, t in rows]
+    n = np.array([len(s) for s in sets])
+    bits = near_dedup.parities(np.concatenate(sets), np.concatenate(([0], np.cumsum(n))))
+    ids, zeros = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+    got = near_dedup.joins_of_parts(zeros, ids, ids, n, zeros, bits, 75, [s.tobytes() for s in sets])
+    up = list(range(len(rows)))
+    for high, low in got:
+        up = [up[low] if x == up[high] else x for x in up]
+    label = {i: want[i][1] for i, _ in rows}
+    assert len(got) == len(rows) - len(set(label.values()))
+    assert all((up[x] == up[y]) == (label[rows[x][0]] == label[rows[y][0]]) for x in range(len(rows)) for y in range(x))
+
+
+def test_rows_of_one_identifier(spark):
+    """A document of two rows ties what they are linked with."""
+    x, y = ("one two three four five six", "a b c d e f")
+    rows = [(3, x), (5, x), (5, y), (7, y), (9, pair(46633)[0]), (11, "k l m n o"), (11, pair(46633)[1]), (10, "k l m n o")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (7, 3), (9, 9), (10, 9), (11, 9), (11, 9)]
