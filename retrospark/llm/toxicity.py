@@ -5,7 +5,8 @@ words are maximal runs of letters. Everything is learnt from at most `SAMPLE_ROW
 training costs as much at any size. All features that tell something about the label, for toxic texts or for clean ones (a
 likelihood-ratio statistic of at least `LEAST_GAIN`), stay, together with all identity terms, and a logistic model is
 fitted to them on the driver, which gets the numbers of each row's features only, four bytes each, and works on `BLOCK`
-of them at a time.
+of them at a time. Workers take the words of `SLICE_WORDS` features and the texts of `SLICE_BYTES` at a time, however large
+Spark's batches are.
 
 For each sampled text with an identity term, copies with the term swapped for each other one of its group are made, as
 far as the model sees them: the features that the copy loses and gains, first letters included, unless the rest of the
@@ -26,15 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retrospark.llm.workers import give_back
+from retrospark.llm.workers import give_back, slices
 from retrospark.storage import materialize, unused
 
 SAMPLE_ROWS, LAMBDA, L2 = 20_000, 10.0, 1e-4
 LEAST_GAIN, BLOCK = 3.0, 1 << 20
+SLICE_WORDS, SLICE_BYTES = 1 << 15, 1 << 20
 PREFIXES = (4, 5)
 # Identity terms; those of a row are swapped for one another.
 IDENTITY_GROUPS = [
@@ -185,11 +188,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     number = {w: i for i, w in enumerate(words)}
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            found = [np.array(sorted(number[w] for w in row if w in number), np.int32).tobytes() for row in texts]
-            copies = [np.array(swaps(row), np.int32).tobytes() for row in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary()), pa.array(copies, pa.binary())], names=["y", "h", "f", "s"])
+        for batch in batches:
+            for b in slices(batch, pc.list_value_length(batch.column(2)), SLICE_WORDS):
+                texts = b.column(2).to_pylist()
+                found = [np.array(sorted(number[w] for w in row if w in number), np.int32).tobytes() for row in texts]
+                copies = [np.array(swaps(row), np.int32).tobytes() for row in texts]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary()), pa.array(copies, pa.binary())], names=["y", "h", "f", "s"])
+        give_back()
 
     table = rows.select("y", F.xxhash64("words").alias("h"), "words").mapInArrow(numbered, "y int, h long, f binary, s binary").toArrow()
     codes = np.frombuffer(b"".join(table["s"].to_pylist()), np.int32)
@@ -207,17 +212,20 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float], text_col: str
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())])
 
+    textual = isinstance(docs.schema[text_col].dataType, (T.StringType, T.BinaryType))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text_col)
-        for b in batches:
-            out = []
-            for value in b.column(at):
-                words = set(WORD.findall(str(value.as_py() or "").lower()))
-                starts = {f"^{w[:n]}" for n in PREFIXES for w in words if len(w) > n}
-                seen = weights.keys() & (words | starts)
-                z = bias + sum(weights[w] for w in sorted(seen))
-                out.append(float(1 / (1 + np.exp(-z))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, out_col])
+        for batch in batches:
+            for b in slices(batch, pc.binary_length(batch.column(at)) if textual else pa.nulls(batch.num_rows, pa.int32()), SLICE_BYTES):
+                out = []
+                for value in b.column(at):
+                    words = set(WORD.findall(str(value.as_py() or "").lower()))
+                    starts = {f"^{w[:n]}" for n in PREFIXES for w in words if len(w) > n}
+                    seen = weights.keys() & (words | starts)
+                    z = bias + sum(weights[w] for w in sorted(seen))
+                    out.append(float(1 / (1 + np.exp(-z))))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=[*b.schema.names, out_col])
         give_back()
 
     return docs.mapInArrow(run, schema)

@@ -1,8 +1,10 @@
 """Toxicity: accuracy on the held-out fold, the effect of the counterfactual penalty, and odd inputs."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +157,62 @@ def test_features_of_training_are_those_of_scoring(spark):
     text = "the Muslim gardens, an immigrant; christian four fives ärztin"
     rows = spark.createDataFrame([(text,)], "t string").select(toxicity._features(F.col("t")).alias("f"))
     assert set(rows.first().f) == {f for w in toxicity.WORD.findall(text.lower()) for f in toxicity._parts(w)} and "^immig" in rows.first().f
+
+
+def test_memory_of_numbering_does_not_grow_with_the_batch(spark, monkeypatch):
+    """Words of a whole batch of Spark's as Python strings would take about 25 MB here; those of a slice take 2."""
+    words = [f"word{i}" for i in range(1000)]
+    texts = [[words[(7 * i + k) % 1000] for k in range(200)] for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i % 2 for i in range(2000)], pa.int32()), pa.array(range(2000), pa.int64()), pa.array(texts, pa.list_(pa.string()))], names=["y", "h", "words"])
+    given = {}
+
+    class Rows:
+        select = lambda self, *columns: self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+        def toArrow(self):
+            tracemalloc.start()
+            table = pa.Table.from_batches(list(self.run(iter([batch]))))
+            given["peak"] = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            return table
+
+    def fit(flat, sizes, y, vocabulary, codes):
+        given.update(flat=flat, sizes=sizes)
+        return np.zeros(len(vocabulary)), 0.0
+
+    monkeypatch.setattr(toxicity, "training_rows", lambda *a: None)
+    monkeypatch.setattr(toxicity, "materialize", lambda *a: Rows())
+    monkeypatch.setattr(toxicity, "vocabulary", lambda rows: (words, 2000, 1000))
+    monkeypatch.setattr(toxicity, "fit", fit)
+    toxicity.train(None, None)
+    assert len(given["flat"]) == 400_000 and (given["sizes"] == 200).all()
+    assert given["peak"] < 10e6, given["peak"]
+
+
+def test_scores_leave_the_worker_in_slices(spark, monkeypatch):
+    """No batch that goes back holds much more text than a slice, and all rows are there in order."""
+    monkeypatch.setattr(toxicity, "SLICE_BYTES", 1000)
+    texts = [None if i % 50 == 0 else "x " * (i % 300) for i in range(1000)]
+    docs = spark.createDataFrame([], "doc_id long, text string")
+
+    class Docs:
+        columns, schema, mapInArrow = docs.columns, docs.schema, lambda self, run, schema: run
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    got = list(toxicity.score(Docs(), ({"x": 1.0}, -0.5))(iter([batch])))
+    assert max(sum(len(t or "") for t in b.column(1).to_pylist()) for b in got) < 2000
+    assert [(i, t) for b in got for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)] == list(enumerate(texts))
+    assert all(abs(s - 1 / (1 + np.exp(-0.5 if t else 0.5))) < 1e-12 for b in got for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+
+
+def test_slices_change_no_model_and_no_score(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    scores = lambda: (toxicity.train(docs, labels), sorted((r.doc_id, r.score) for r in toxicity.toxicity(docs, labels).collect()))
+    whole = scores()
+    monkeypatch.setattr(toxicity, "SLICE_WORDS", 50)
+    monkeypatch.setattr(toxicity, "SLICE_BYTES", 500)
+    assert scores() == whole
