@@ -17,8 +17,8 @@ registers of two sets merge by the larger value, and are equal with a probabilit
    of more than one chunk is worked on by pairs of chunks; that is the exact way for buckets of any size.
 5. Bands and estimates pass over a pair at the threshold 2 in 100,000 times. So what they left apart is looked at without
    chance: in one order of all shingles, the common ones last, the first shingle of two sets that reach the threshold is
-   among the first n - ceil(percent * n / 100) + 1 of each. Documents of several components with such a shingle in common
-   are compared by the parities of their sets' elements, which bound the symmetric difference from below. Pairs that may
+   among the first n - ceil(percent * n / 100) + 1 of each, and among fewer of the smaller. Documents of several components
+   with such a shingle in common are compared by the parities of their sets' elements, which bound the symmetric difference from below. Pairs that may
    reach the threshold are candidates; the groups that they form are compared on the full sets, in chunks like buckets.
 6. The components of all links are the result.
 
@@ -48,6 +48,8 @@ BASE, RATE = 1.001, 20.0
 CHUNK_SETS, CHUNK_SHINGLES = 2048, 2_000_000
 BATCH_BYTES = 1 << 20
 SAMPLE_ROWS, COMMON_IN_SAMPLE, MOST_COMMON = 4096, 4, 1 << 16
+FIRSTS_IN_BUCKET, FIRSTS_AT_ONCE = 1 << 18, 1 << 17
+IDS_TO_ALL = 1 << 20
 
 
 def setsketch(values: np.ndarray, offsets: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -90,8 +92,8 @@ def joint_similarity(larger: np.ndarray, smaller: np.ndarray, m: int, n_a: np.nd
     return (low + high) / 2
 
 
-def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes | None]]]:
-    """Identifiers and texts of a batch, in groups of about BATCH_BYTES."""
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Rows of a batch and their texts, in groups of about BATCH_BYTES."""
     texts, start = batch.column(1), 0
     while start < len(texts):
         group: list[bytes | None] = []
@@ -100,12 +102,12 @@ def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes | None
             value = texts[start + len(group)].as_py()
             group.append(value)
             size += len(value or b"")
-        yield batch.column(0).slice(start, len(group)), group
+        yield batch.slice(start, len(group)), group
         start += len(group)
 
 
-def _bytes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("t"))
+def _bytes(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("t"), *more)
 
 
 def parities(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -121,9 +123,11 @@ def parities(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [b.tobytes() for b in np.split(bits, ends[:-1])]
 
 
-def sketch_documents(df: DataFrame, id_col: str, text_col: str, sets: bool, width: int = 5) -> DataFrame:
-    """doc_id, n, bits, digest, bands; with sets, doc_id, n, bits, regs, items."""
+def sketch_documents(df: DataFrame, id_col: str, text_col: str, sets: bool, width: int = 5, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n, bits, digest, bands; with sets, doc_id, n, bits, regs, items. more: columns of df that stay."""
+    blobs = _bytes(df, id_col, text_col, *more)
     schema = "doc_id long, n long, bits binary, " + ("regs binary, items binary" if sets else "digest binary, bands array<long>")
+    schema += "".join(f", {c} {kind}" for c, kind in blobs.dtypes[2:])
 
     def digest_of(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """128 bits of each set: two sums of mixed elements."""
@@ -136,30 +140,31 @@ def sketch_documents(df: DataFrame, id_col: str, text_col: str, sets: bool, widt
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, group in _groups(batch):
+            for rows, group in _groups(batch):
                 values, offsets = shingle_sets(group, width)
                 n, regs = np.diff(offsets), setsketch(values, offsets)
-                columns = {"doc_id": ids, "n": pa.array(n, pa.int64()), "bits": pa.array(parities(values, offsets), pa.binary())}
+                columns = {"doc_id": rows.column(0), "n": pa.array(n, pa.int64()), "bits": pa.array(parities(values, offsets), pa.binary())}
                 if sets:
                     columns["regs"] = pa.array([r.tobytes() for r in regs], pa.binary())
                     columns["items"] = pa.array([values[offsets[i] : offsets[i + 1]].tobytes() for i in range(len(group))], pa.binary())
                 else:
                     bands = [b if full else None for b, full in zip(band_keys(regs), n > 0, strict=True)]
                     columns |= {"digest": pa.array(digest_of(values, offsets), pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))}
+                columns |= {c: rows.column(2 + k) for k, c in enumerate(more)}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
         give_back()
 
-    return _bytes(df, id_col, text_col).mapInArrow(run, schema)
+    return blobs.mapInArrow(run, schema)
 
 
 def band_keys(regs: np.ndarray, band: int = BAND) -> np.ndarray:
-    """One 64-bit key for each band of each row."""
+    """One 64-bit key for each band of each row, with the band's place in the low byte."""
     n, m = regs.shape
     grouped = regs.reshape(n, m // band, band).astype(U64)
     key = np.arange(m // band, dtype=U64)[None, :] + np.zeros((n, 1), U64)
     for j in range(band):
         key = mix(key * U64(0x9E3779B97F4A7C15) + grouped[:, :, j] + U64(1))
-    return key.view(np.int64)
+    return (key & ~U64(0xFF) | np.arange(m // band, dtype=U64)).view(np.int64)
 
 
 def links_of_group(label: np.ndarray, n: np.ndarray, regs: np.ndarray, items: list[np.ndarray], side: np.ndarray, band: int | None, percent: int, slack: float) -> list[tuple[int, int]]:
@@ -238,11 +243,15 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
 
 
-def pod_seats(classes: DataFrame) -> DataFrame:
-    """id, n, pod, chunk, chunks: where each class that shares a bucket sits; a pod's first member sits in each of its chunks."""
+def pod_leads(classes: DataFrame) -> DataFrame:
+    """id, pod, n, bands of each class that shares a bucket: the smallest first member of its buckets, and those buckets."""
     keyed, bucket = classes.select("id", "n", F.explode("bands").alias("band")), Window.partitionBy("band")
-    met = keyed.select("id", "n", F.min("id").over(bucket).alias("first"), F.max("id").over(bucket).alias("last")).filter("first < last")
-    leads = materialize(met.groupBy("id").agg(F.min("first").alias("pod"), F.max("n").alias("n")), "leads")
+    met = keyed.select("id", "n", "band", F.min("id").over(bucket).alias("first"), F.max("id").over(bucket).alias("last")).filter("first < last")
+    return met.groupBy("id").agg(F.min("first").alias("pod"), F.max("n").alias("n"), F.collect_list("band").alias("bands"))
+
+
+def pod_seats(leads: DataFrame) -> DataFrame:
+    """id, n, pod, chunk, chunks: where each class that shares a bucket sits; a pod's first member sits in each of its chunks."""
     guests = leads.filter("id <> pod")
     sizes = guests.groupBy("pod").agg(_chunks())
     guests = guests.join(sizes, "pod").select("id", "n", "pod", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "chunks")
@@ -250,14 +259,15 @@ def pod_seats(classes: DataFrame) -> DataFrame:
     return guests.union(hosts)
 
 
-def open_seats(classes: DataFrame, seats: DataFrame, components: DataFrame) -> DataFrame:
+def open_seats(leads: DataFrame, seats: DataFrame, components: DataFrame) -> DataFrame:
     """id, n, label, band, part, chunk, chunks of the classes in buckets that hold several components of several chunks."""
     at = seats.groupBy("id").agg(F.min(F.struct(F.col("id") == F.col("pod"), "pod", "chunk")).alias("s"))
     at = at.join(components, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("label"), F.xxhash64("s.pod", "s.chunk").alias("sat"))
-    keyed = classes.join(at, "id").select("id", "n", "label", "sat", F.posexplode("bands").alias("band", "part"))
+    keyed = leads.join(at, "id").select("id", "n", "label", "sat", F.explode("bands").alias("part"))
     buckets = keyed.groupBy("part").agg(_chunks(), F.min("label").alias("l"), F.max("label").alias("h"), F.min("sat").alias("p"), F.max("sat").alias("q"))
     buckets = buckets.filter("l < h and p < q").select("part", "chunks")
-    return keyed.join(buckets, "part").select("id", "n", "label", "band", "part", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "chunks")
+    band = F.col("part").bitwiseAND(F.lit(0xFF)).cast("int").alias("band")
+    return keyed.join(buckets, "part").select("id", "n", "label", band, "part", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), "chunks")
 
 
 def common_shingles(df: DataFrame, rows: int, width: int) -> np.ndarray:
@@ -275,26 +285,49 @@ def common_shingles(df: DataFrame, rows: int, width: int) -> np.ndarray:
     return np.sort(np.array([r.e for r in counts.orderBy(F.desc("count"), "e").limit(MOST_COMMON).collect()], U64))
 
 
-def first_shingles(df: DataFrame, late: np.ndarray, width: int, percent: int) -> DataFrame:
-    """id, e: of each set the first n - ceil(percent * n / 100) + 1 shingles, ordered by hash, but those in `late` last.
-    Two sets that reach the threshold share percent of the larger, so the first that they share is among these."""
+def first_shingles(df: DataFrame, late: np.ndarray, width: int, percent: int, buckets: int) -> DataFrame:
+    """bucket, ids, es: of each set the first n - ceil(percent * n / 100) + 1 shingles, ordered by hash, but those in `late` last.
+    Two sets that reach the threshold share percent of the larger, so the first that they share is among these. It is also
+    among the first n - ceil(2 * percent * n / (100 + percent)) + 1 of the smaller, as they share percent of both but for
+    100 + percent. Many shingles make one row for each bucket, which is less to shuffle than rows of their own: an e has 31 bits
+    besides its bucket, and in the lowest bit whether it is among these fewer ones."""
 
     def among(values: np.ndarray) -> np.ndarray:
         return late[np.minimum(np.searchsorted(late, values), len(late) - 1)] == values if len(late) else np.zeros(len(values), bool)
 
+    def dealt(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        bucket, ids, es = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(bucket, kind="stable")
+        names, starts = np.unique(bucket[order], return_index=True)
+        ends = pa.array(np.append(starts, len(order)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (ids, es)]
+        return pa.RecordBatch.from_arrays([pa.array(names), *lists], names=["bucket", "ids", "es"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for batch in batches:
-            for ids, group in _groups(batch):
+            for rows, group in _groups(batch):
                 values, offsets = shingle_sets(group, width)
                 n = np.diff(offsets)
                 of = np.repeat(np.arange(len(n)), n)
                 order = np.argsort(2 * of + among(values), kind="stable")  # values are in order within a text
-                taken = n + (-percent * n) // 100 + 1
-                keep = np.arange(len(of)) - offsets[of] < taken[of]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of[keep])), pa.array(values[order][keep].view(np.int64))], names=["id", "e"])
+                place = np.arange(len(of)) - offsets[of]
+                keep = place < (n + (-percent * n) // 100 + 1)[of]
+                inner = (place < (n + (-2 * percent * n) // (100 + percent) + 1)[of])[keep]
+                e = mix(values[order][keep])
+                es = ((e & U64(0x7FFFFFFF)) << U64(1) | inner.astype(U64)).astype(np.uint32).view(np.int32)
+                held.append((((e >> U64(31)) % U64(buckets)).astype(np.int32), rows.column(0).to_numpy()[of[keep]], es))
+                size += len(e)
+                if size >= FIRSTS_AT_ONCE:
+                    yield dealt(held)
+                    held, size = [], 0
+        if size:
+            yield dealt(held)
+        held.clear()
         give_back()
 
-    return df.mapInArrow(run, "id long, e long")
+    return df.mapInArrow(run, "bucket int, ids array<long>, es array<int>")
 
 
 def joins_of_parts(part: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, side: np.ndarray, bits: list[bytes], percent: int, items: list[bytes] | None = None) -> list[tuple[int, int]]:
@@ -362,19 +395,26 @@ def joins_of_tasks(rows: DataFrame, percent: int) -> DataFrame:
 def left_apart(texts: DataFrame, sketches: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
     """a, b: links between components that bands and estimates passed over. texts: doc_id, t; known: doc_id, label and
     whether its sets count (it leads its class or has several rows), of documents that aren't alone."""
-    blobs, shingle, part = _bytes(texts, "doc_id", "t"), Window.partitionBy("e"), Window.partitionBy("part")
-    firsts = first_shingles(blobs, common_shingles(blobs, sketches.count(), width), width, percent)
+    blobs, shingle, part = _bytes(texts, "doc_id", "t"), Window.partitionBy("e", "bucket"), Window.partitionBy("part")
+    rows, shingles = sketches.agg(F.count(F.lit(1)), F.sum("n")).first()
+    buckets = 1 + (rows + (shingles or 0) * (100 - percent) // 100) // FIRSTS_IN_BUCKET
+    firsts = first_shingles(blobs, common_shingles(blobs, rows, width), width, percent, buckets).repartitionById(buckets, F.col("bucket"))
+    firsts = firsts.select("bucket", "es", F.posexplode("ids").alias("i", "id")).select("bucket", "id", F.col("es")[F.col("i")].alias("e"))
+    firsts = firsts.select("bucket", "id", F.shiftrightunsigned("e", 1).alias("e"), (F.col("e").bitwiseAND(F.lit(1)) == 1).alias("inner"))
     # Shingles with the same holders make one part; parts that fall together by chance only grow.
     holders = F.bit_xor(F.xxhash64("id")).over(shingle).alias("part")
-    shared = firsts.select("id", F.min("id").over(shingle).alias("l"), F.max("id").over(shingle).alias("h"), holders).filter("l < h").select("id", "part").distinct()
+    ends = [F.min("id").over(shingle).alias("l"), F.max("id").over(shingle).alias("h"), F.max("inner").over(shingle).alias("some")]
+    shared = firsts.select("id", "inner", holders, *ends).filter("l < h and some").groupBy("id", "part").agg(F.max("inner").alias("inner"))
     real = sketches.filter("n > 0 and doc_id is not null")
     docs = real.groupBy("doc_id").agg(F.min("n").alias("least"), F.max("n").alias("n")).join(known, "doc_id", "left").filter("leads is null or leads")
     docs = docs.select(F.col("doc_id").alias("id"), F.coalesce("label", "doc_id").alias("label"), "least", "n")
-    # Who has no other of about its size in a part, before or after it in order of size, can't reach the threshold there.
+    # Who has no other of about its size in a part, before or after it in order of size, can't reach the threshold there; nor
+    # can two of whom the smaller hasn't the shingle among its fewer ones. Of several sets of a document any may be the smaller.
     ends = [F.min("label").over(part).alias("l"), F.max("label").over(part).alias("h")]
-    sizes = [F.max("n").over(part.orderBy("least", "id").rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.lead("least").over(part.orderBy("least", "id")).alias("after")]
-    held = shared.join(docs, "id").select("id", "label", "least", "n", "part", *ends, *sizes)
-    held = held.filter(F.expr(f"l < h and (least * {percent} <= 100 * before or after * {percent} <= 100 * n)"))
+    inner, sized = (F.col("inner") | (F.col("least") < F.col("n"))).alias("inner"), part.orderBy("least", "id")
+    sizes = [F.max(F.when(F.col("inner"), F.col("n"))).over(sized.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.lead("least").over(sized).alias("after")]
+    held = shared.join(docs, "id").select("id", "label", "least", "n", "part", inner).select("*", *ends, *sizes)
+    held = held.filter(F.expr(f"l < h and (least * {percent} <= 100 * before or inner and after * {percent} <= 100 * n)"))
     held = materialize(held.select("id", "label", "n", "part"), "apart")
 
     def joins(seats: DataFrame, sets: DataFrame, node: str) -> DataFrame:
@@ -397,22 +437,32 @@ def left_apart(texts: DataFrame, sketches: DataFrame, known: DataFrame, width: i
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, slack: float = 0.15) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept."""
-    sketches = materialize(sketch_documents(df, id_col, text_col, False, width), "sketches")
+    drawn = materialize(sketch_documents(df, id_col, text_col, False, width), "drawn")
+    led = drawn.filter("n > 0 and doc_id is not null").groupBy("digest", "n").agg(F.min(F.struct("doc_id", "bands")).alias("c"))
+    leads = materialize(pod_leads(led.select("n", F.col("c.doc_id").alias("id"), F.col("c.bands").alias("bands"))), "leads")
+    # Bands take most of the space, and only classes with company need theirs from here on.
+    sketches = materialize(drawn.drop("bands"), "sketches")
+    discard(drawn)
     real = sketches.filter("n > 0 and doc_id is not null")
-    led = real.groupBy("digest", "n").agg(F.min(F.struct("doc_id", "bands")).alias("c"), F.count(F.lit(1)).alias("rows"))
-    classes = materialize(led.select("digest", "n", "rows", F.col("c.doc_id").alias("id"), F.col("c.bands").alias("bands")), "classes")
-
-    seats = materialize(pod_seats(classes), "pods")
-    # Texts of classes without company stay where they are; the sets of the others are made once.
-    wanted = seats.select(F.col("id").alias("doc_id")).distinct()
-    sets = materialize(sketch_documents(_texts(df, id_col, text_col).join(wanted, "doc_id", "left_semi"), "doc_id", "t", True, width).drop("bits"), "sets")
-    dealt = _task(seats.withColumn("part", F.col("pod")), "chunk").select("id", "task", "part")
-    sat = sets.join(dealt, F.col("doc_id") == F.col("id")).withColumns({"label": F.col("doc_id"), "side": F.lit(0), "band": F.lit(None).cast("int")})
+    classes = materialize(real.groupBy("digest", "n").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows")), "classes")
+
+    seats = materialize(pod_seats(leads), "pods")
+    # Texts of classes without company stay where they are; the sets of the others are made once. Texts, not sets, which take
+    # more, are joined with the seats, so that sets are shuffled once.
+    company = seats.select(F.col("id").alias("doc_id")).distinct()
+    company = F.broadcast(company) if seats.count() <= IDS_TO_ALL else company
+    wanted = _texts(df, id_col, text_col).join(company, "doc_id", "left_semi")
+    dealt = _task(seats.withColumn("part", F.col("pod")), "chunk").groupBy("id").agg(F.collect_list(F.struct("task", "part")).alias("at"))
+    wanted = wanted.join(dealt, F.col("doc_id") == F.col("id"))
+    sets = materialize(sketch_documents(wanted, "doc_id", "t", True, width, ("at",)).drop("bits"), "sets")
+    sat = sets.select("doc_id", "n", "regs", "items", F.inline("at"))
+    sat = sat.withColumns({"label": F.col("doc_id"), "side": F.lit(0), "band": F.lit(None).cast("int")})
     links = materialize(links_of_tasks(sat, percent, slack), "links")
     components = materialize(connected_components(links), "components")
 
-    rest = materialize(open_seats(classes, seats, components), "open")
-    met = sets.join(_across(rest).select("id", "label", "band", "part", "task", "side"), F.col("doc_id") == F.col("id"))
+    rest = materialize(open_seats(leads, seats, components), "open")
+    discard(leads)
+    met = sets.drop("at").join(_across(rest).select("id", "label", "band", "part", "task", "side"), F.col("doc_id") == F.col("id"))
     joined = connected_components(materialize(links_of_tasks(met, percent, slack), "links")).select(F.col("node").alias("k"), F.col("component").alias("over"))
 
     discard(sets)

@@ -162,3 +162,79 @@ def test_rows_of_one_identifier(spark):
     rows = [(3, x), (5, x), (5, y), (7, y), (9, pair(46633)[0]), (11, "k l m n o"), (11, pair(46633)[1]), (10, "k l m n o")]
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (7, 3), (9, 9), (10, 9), (11, 9), (11, 9)]
+
+
+def test_firsts_that_reach_the_threshold_meet(spark):
+    """Two sets that reach the threshold share one of their first shingles, which is among the fewer ones of the smaller; and
+    many shingles make one row for each bucket."""
+    r = random.Random(4)
+    rows = []
+    for k in range(60):
+        words = [f"k{k}w{j}" for j in range(r.choice((5, 6, 9, 30, 200)))]
+        rows += [(10 * k + i, " ".join(words[: len(words) - r.randrange(1 + len(words) // 5)] + [f"x{k}{i}"] * (i % 2))) for i in range(4)]
+    rows.append((9000, None))
+    blobs = spark.createDataFrame(rows, "doc_id long, t string").selectExpr("doc_id", "encode(t, 'UTF-8') t").coalesce(2)
+    late = np.unique(shingle_sets([t.encode() for _, t in rows[:40]])[0])[::3]
+    packed = near_dedup.first_shingles(blobs, late, 5, 75, 7).collect()
+    assert len(packed) <= 2 * 7 and {p.bucket for p in packed} == set(range(7))
+    held = {}
+    for p in packed:
+        for i, e in zip(p.ids, p.es, strict=True):
+            held.setdefault(i, {})[p.bucket, e >> 1] = e & 1
+    sets = {i: word_set(t) for i, t in rows}
+    assert all(len(held.get(i, {})) == (len(s) - -(-75 * len(s) // 100) + 1 if s else 0) for i, s in sets.items())
+    near = 0
+    for x, y in ((x, y) for x in sets for y in sets if x != y and 0 < len(sets[x]) <= len(sets[y])):
+        if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]):
+            near += 1
+            assert any(held[x][e] for e in held[x].keys() & held[y].keys())
+    assert near > 100
+
+
+def test_same_links_however_shingles_are_dealt(spark):
+    """Many buckets and few shingles at once give the same links, also between documents of several sets."""
+    r = random.Random(11)
+    rows = []
+    for family in range(20):
+        base = [f"f{family}w{j}" for j in range(r.choice((6, 20, 90)))]
+        rows += [(100 * family + i, " ".join(w if r.random() > i / 300 else f"v{r.random()}" for w in base)) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    old = near_dedup.FIRSTS_IN_BUCKET, near_dedup.FIRSTS_AT_ONCE
+    try:
+        near_dedup.FIRSTS_IN_BUCKET, near_dedup.FIRSTS_AT_ONCE = 300, 50
+        assert rows_of(near_dedup.near_duplicates(df)) == want
+        assert rows_of(near_dedup.near_duplicates(df, slack=-1.0)) == want
+    finally:
+        near_dedup.FIRSTS_IN_BUCKET, near_dedup.FIRSTS_AT_ONCE = old
+    # Document 5 has a small set, which makes it the first by size, and a larger one that is near to a smaller of document 7.
+    long, short = pair(1)
+    rows = [(5, "a b c d e"), (5, long), (7, short), (8, "a b c d e")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), slack=-1.0).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(5, 5), (5, 5), (7, 5), (8, 5)]
+
+
+def test_bands_go_when_buckets_are_known(spark):
+    """When the exact step writes what it looks at, no table with the bands of all documents is kept any more."""
+    df = spark.range(3000).selectExpr("id doc_id", "concat_ws(' ', transform(sequence(1, 12), x -> concat('w', id div 2 * 100 + x))) text")
+    put, drop, kept, seen = near_dedup.materialize, near_dedup.discard, {}, []
+
+    def materialize(frame, name):
+        if name == "apart":
+            seen.append(sum(sum(len(f or ()) for f, in t.select("bands").collect()) for t in kept.values() if "bands" in t.columns))
+        out = put(frame, name)
+        kept[out._scratch] = out
+        return out
+
+    def discard(*frames):
+        for f in frames:
+            kept.pop(f._scratch)
+        drop(*frames)
+
+    try:
+        near_dedup.materialize, near_dedup.discard = materialize, discard
+        got = rows_of(near_dedup.near_duplicates(df))
+    finally:
+        near_dedup.materialize, near_dedup.discard = put, drop
+    assert seen == [0]
+    assert got == {i: (8, i // 2 * 2, i % 2 == 0) for i in range(3000)}
