@@ -1,11 +1,11 @@
-"""The queries op1_ to op10_ and their SQL, where SQL can express them."""
+"""The queries op1_ to op13_ and their SQL, where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrospark.llm import bpe, exact_dedup, mixing, near_dedup, neighbours, pii, substrings, toxicity, warc
+from retrospark.llm import bpe, codes, exact_dedup, mixing, near_dedup, neighbours, pii, substrings, toxicity, warc
 from retrospark.storage import materialize
 
 
@@ -59,8 +59,15 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(_table(spark, sf_dir, "embeddings"))
+    digest = books.sha256() if books else codes.hashlib.sha256(b"").hexdigest()
+    out = codes.with_label_errors(coded)
+    return out.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_mix_sources, op4_neighbours, op5_warc, op6_substrings, op7_pii, op8_toxicity, op9_exact_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_mix_sources, op4_neighbours, op5_warc, op6_substrings, op7_pii, op8_toxicity, op9_exact_dedup, op10_sentencepiece, op13_vector_codes)}
 
 
 #: op1: all shingles of all documents, pairs of documents that share one, and what is reached over links.
@@ -107,5 +114,23 @@ EXACT_DEDUP_SQL = """
     FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 
 
+#: op13: parts as rows (part, place, component); two rounds, then the last assignment.
+_ROUND = """
+    a{r} AS (SELECT vec_id, p, e, d FROM (SELECT c.vec_id, c.p, b.e, sum((c.c - b.c) * (c.c - b.c)) AS d FROM c JOIN b{r} b ON b.p = c.p AND b.i = c.i GROUP BY ALL)
+        QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, e) = 1)"""
+_BOOK = """
+    m{r} AS (SELECT p, e, i, sum(c) AS s, count(*) AS n FROM a{r} JOIN c USING (vec_id, p) GROUP BY ALL),
+    b{n} AS (SELECT p, e, i, coalesce((s - ((s % n) + n) % n) // n, b.c) AS c FROM b{r} b LEFT JOIN m{r} USING (p, e, i))"""
+VECTOR_CODES_SQL = f"""
+    WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v, len(embedding) // 16 AS s FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c AS (SELECT vec_id, j // s AS p, j % s AS i, v[j + 1] AS c FROM (SELECT vec_id, v, s, unnest(range(0, len(v))) AS j FROM k)),
+    seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k QUALIFY e < 64),
+    b0 AS (SELECT p, e, i, c FROM seeds JOIN c USING (vec_id)),{_ROUND.format(r=0)},{_BOOK.format(r=0, n=1)},{_ROUND.format(r=1)},{_BOOK.format(r=1, n=2)},{_ROUND.format(r=2)},
+    coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id)
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+        (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, i)) FROM b2) AS codebooks_sha256 FROM coded JOIN k USING (vec_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": NEAR_DEDUP_SQL, "op5_warc": WARC_SQL, "op6_substrings": SUBSTRINGS_SQL, "op9_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op1_near_dedup": NEAR_DEDUP_SQL, "op5_warc": WARC_SQL, "op6_substrings": SUBSTRINGS_SQL, "op9_exact_dedup": EXACT_DEDUP_SQL, "op13_vector_codes": VECTOR_CODES_SQL}
