@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrospark.llm import bpe, codes, exact_dedup, mixing, near_dedup, neighbours, pii, substrings, toxicity, warc
+from retrospark.llm import bpe, codes, exact_dedup, mixing, near_dedup, neighbours, phrases, pii, substrings, toxicity, warc
 from retrospark.storage import materialize
 
 
@@ -59,6 +59,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_phrases(phrases.collocations(_table(spark, sf_dir, "documents")))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = codes.compress(_table(spark, sf_dir, "embeddings"))
     digest = books.sha256() if books else codes.hashlib.sha256(b"").hexdigest()
@@ -67,7 +71,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_mix_sources, op4_neighbours, op5_warc, op6_substrings, op7_pii, op8_toxicity, op9_exact_dedup, op10_sentencepiece, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_mix_sources, op4_neighbours, op5_warc, op6_substrings, op7_pii, op8_toxicity, op9_exact_dedup, op10_sentencepiece, op12_phrases, op13_vector_codes)}
 
 
 #: op1: all shingles of all documents, pairs of documents that share one, and what is reached over links.
@@ -114,6 +118,24 @@ EXACT_DEDUP_SQL = """
     FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 
 
+#: op12: all phrases of one to four words, and what is contained in what.
+PHRASES_SQL = r"""
+    WITH t AS (SELECT row_number() OVER () AS t, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    pieces AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?
+-]')) AS piece FROM t)),
+    g AS (SELECT lang, k, ws[i:i + k - 1] AS p FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k))),
+    f AS (SELECT lang, k, p, count(*) AS f FROM g GROUP BY ALL),
+    total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+    candidates AS (SELECT lang, k, p, f AS a FROM f WHERE k >= 2 AND f >= 30),
+    cuts AS (SELECT lang, k, p, a, unnest(range(1, k)) AS c FROM candidates),
+    scored AS (SELECT c.lang, c.k, c.p, c.a, x.f AS l, y.f AS r, (2000000::HUGEINT * c.a // (x.f + y.f))::BIGINT AS score
+        FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = c.p[:c.c] JOIN f y ON y.lang = c.lang AND y.p = c.p[c.c + 1:]
+        QUALIFY row_number() OVER (PARTITION BY c.lang, c.p ORDER BY score, c.c) = 1),
+    inside AS (SELECT DISTINCT l.lang, l.p[i:i + m - 1] AS p, l.a FROM (SELECT lang, p, k, a, m, unnest(range(1, k - m + 2)) AS i FROM candidates, (SELECT unnest([2, 3]) AS m) WHERE m < k) l),
+    most AS (SELECT lang, p, max(a) AS b FROM inside GROUP BY ALL)
+    SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, array_to_string(s.p, ' ')) AS rank, array_to_string(s.p, ' ') AS phrase, s.a, l, r, n, score
+    FROM scored s JOIN total USING (lang) LEFT JOIN most m ON m.lang = s.lang AND m.p = s.p WHERE b IS NULL OR 100::HUGEINT * b < 80::HUGEINT * s.a QUALIFY rank <= 2000"""
+
 #: op13: parts as rows (part, place, component); two rounds, then the last assignment.
 _ROUND = """
     a{r} AS (SELECT vec_id, p, e, d FROM (SELECT c.vec_id, c.p, b.e, sum((c.c - b.c) * (c.c - b.c)) AS d FROM c JOIN b{r} b ON b.p = c.p AND b.i = c.i GROUP BY ALL)
@@ -133,4 +155,4 @@ VECTOR_CODES_SQL = f"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": NEAR_DEDUP_SQL, "op5_warc": WARC_SQL, "op6_substrings": SUBSTRINGS_SQL, "op9_exact_dedup": EXACT_DEDUP_SQL, "op13_vector_codes": VECTOR_CODES_SQL}
+    return {"op1_near_dedup": NEAR_DEDUP_SQL, "op5_warc": WARC_SQL, "op6_substrings": SUBSTRINGS_SQL, "op9_exact_dedup": EXACT_DEDUP_SQL, "op12_phrases": PHRASES_SQL, "op13_vector_codes": VECTOR_CODES_SQL}
