@@ -51,6 +51,24 @@ def word_hashes(buffer: np.ndarray, doc_of_byte_end: np.ndarray) -> tuple[np.nda
     return hashes, np.searchsorted(starts, doc_of_byte_end)
 
 
+def word_slices(starts: np.ndarray, most: int = 1 << 19) -> list[tuple[int, int]]:
+    """Ranges of words that start within `most` bytes of each other."""
+    cuts = [0, *(np.flatnonzero(np.diff(starts // most)) + 1).tolist(), len(starts)]
+    return [(i, j) for i, j in zip(cuts, cuts[1:], strict=False) if i < j]
+
+
+def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: np.ndarray | None = None) -> np.ndarray:
+    """A hash of each word's bytes, length and seed, the same wherever the word stands. Works on slices of the bytes."""
+    out = np.zeros(len(starts), U64)
+    for i, j in word_slices(starts):
+        first, s, e = starts[i], starts[i:j] - starts[i], ends[i:j] - starts[i]
+        n = int(e[-1])
+        powers, inverse = _powers(int(_BASE), n + 1), _powers(pow(int(_BASE), -1, 1 << 64), n + 1)
+        sums = np.concatenate((np.zeros(1, U64), np.cumsum(BYTE_VALUES[data[first : first + n]] * powers[:-1], dtype=U64)))
+        out[i:j] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(U64))
+    return out if seeds is None else mix(out + seeds)
+
+
 def shingle_sets(texts: list[bytes | None], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashed shingles, 54 bits, of each of at most 1024 texts: (all values, offsets), sorted within a text.
 

@@ -33,14 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retrospark.llm.hashing import BYTE_VALUES, _powers, mix
+from retrospark.llm.hashing import hashes_of, mix, word_slices
 from retrospark.llm.workers import give_back
 from retrospark.storage import discard, materialize
 
 MIN_COUNT, LONGEST, TOP, SUBSUMED = 30, 4, 2000, 80
-BLOCK_BYTES, SLICE_BYTES, FILTER_BITS = 6 << 20, 1 << 19, 1 << 25
+BLOCK_BYTES, FILTER_BITS = 6 << 20, 1 << 25
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
 # Bytes: 0 of words, 1 between words, 2 between pieces.
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -104,24 +103,6 @@ def _lang_seeds(names: list[str]) -> np.ndarray:
     return np.array([_lang_seed(x) for x in names], U64)
 
 
-def _slices(starts: np.ndarray, most: int = SLICE_BYTES) -> list[tuple[int, int]]:
-    """Ranges of words that start within `most` bytes of each other."""
-    cuts = [0, *(np.flatnonzero(np.diff(starts // most)) + 1).tolist(), len(starts)]
-    return [(i, j) for i, j in zip(cuts, cuts[1:], strict=False) if i < j]
-
-
-def hashes_of(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """A hash of each word's bytes, length and seed; the same wherever the word stands."""
-    out = np.zeros(len(starts), U64)
-    for i, j in _slices(starts):
-        first, s, e = starts[i], starts[i:j] - starts[i], ends[i:j] - starts[i]
-        n = int(e[-1])
-        powers, inverse = _powers(_BASE, n + 1), _powers(pow(_BASE, -1, 1 << 64), n + 1)
-        sums = np.concatenate((np.zeros(1, U64), np.cumsum(BYTE_VALUES[low[first : first + n]] * powers[:-1], dtype=U64)))
-        out[i:j] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(U64))
-    return mix(out + seeds)
-
-
 def _bytes_of(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places of all bytes of words that start there and are that long."""
     return np.arange(size.sum()) + np.repeat(starts - (np.cumsum(size) - size), size)
@@ -132,7 +113,7 @@ def distinct_words(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, lang:
     _, first, number, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
     size, like = ends - starts, first[number]
     same = bool((size == size[like]).all() and (lang == lang[like]).all())
-    for i, j in _slices(starts) if same else ():
+    for i, j in word_slices(starts) if same else ():
         same = same and bool((low[_bytes_of(starts[i:j], size[i:j])] == low[_bytes_of(starts[like[i:j]], size[i:j])]).all())
     if not same:  # two words of one hash: count them by their bytes
         seen: dict[tuple[int, bytes], int] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retrospark.llm import bpe, codes, exact_dedup, mixing, near_dedup, neighbours, phrases, pii, substrings, toxicity, warc
+from retrospark.llm import bpe, codes, exact_dedup, mixing, near_dedup, neighbours, phrases, pii, quality, substrings, toxicity, warc
 from retrospark.storage import materialize
 
 
@@ -59,6 +59,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.top_phrases(phrases.collocations(_table(spark, sf_dir, "documents")))
 
@@ -71,7 +75,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_mix_sources, op4_neighbours, op5_warc, op6_substrings, op7_pii, op8_toxicity, op9_exact_dedup, op10_sentencepiece, op12_phrases, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_token_counts, op3_mix_sources, op4_neighbours, op5_warc, op6_substrings, op7_pii, op8_toxicity, op9_exact_dedup, op10_sentencepiece, op11_quality, op12_phrases, op13_vector_codes)}
 
 
 #: op1: all shingles of all documents, pairs of documents that share one, and what is reached over links.
@@ -122,7 +126,8 @@ EXACT_DEDUP_SQL = """
 PHRASES_SQL = r"""
     WITH t AS (SELECT row_number() OVER () AS t, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
     pieces AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?
--]')) AS piece FROM t)),
+-
+]')) AS piece FROM t)),
     g AS (SELECT lang, k, ws[i:i + k - 1] AS p FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k))),
     f AS (SELECT lang, k, p, count(*) AS f FROM g GROUP BY ALL),
     total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),

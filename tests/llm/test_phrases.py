@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from retrospark.llm import hashing
 from retrospark.llm import phrases as P
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -87,7 +88,7 @@ def test_blocks_cut_long_texts(monkeypatch):
     count = lambda: sum((Counter({(r["lang"], r["word"]): r["n"]}) for b in P.count_words(batches(rows)) for r in b.to_pylist()), Counter())
     whole = count()
     monkeypatch.setattr(P, "BLOCK_BYTES", 64)
-    monkeypatch.setattr(P, "SLICE_BYTES", 16)
+    monkeypatch.setattr(P, "word_slices", lambda starts: hashing.word_slices(starts, 16))
     assert count() == whole and len(list(P.text_blocks(batches(rows)))) > 20
 
 
