@@ -7,10 +7,11 @@ numbers by a join, and the texts are rewritten as sequences of these. As no phra
 nothing is lost. A number's pair points at its parents, so the counts on both sides of every cut, and the longer phrases
 that hold a phrase, are found by joins of the tables of names, never by looking at texts again.
 
-Texts are handled in blocks of about BLOCK_BYTES. A block sends each of its distinct pairs once, with its count, and Spark
-sums them; then it asks for the numbers of those pairs that may be frequent. It knows them from a bitmap of FILTER_BITS
-bits over the frequent pairs' hashes, whose size is fixed; hits by chance cost a row of the join and change nothing.
-Sequences keep a block's own small numbers, and only where two neighbours are numbered. Words are compared by their bytes
+Texts are handled in pieces of about BLOCK_BYTES, and BLOCK_PIECES of them are a block. A block sends each of its distinct
+pairs once, with its count, and Spark sums them; then it asks for the numbers of those pairs that may be frequent and have
+a neighbour that may be so too. It knows them from a bitmap of FILTER_BITS bits over the frequent pairs' hashes, whose size
+is fixed; hits by chance cost a row of the join and change nothing. Sequences keep a block's own small numbers, and only
+where two neighbours are numbered. Words are compared by their bytes
 where their hashes are equal. Ranks come from a range partitioning and one count for each partition and language, so that
 a language with most of the phrases is dealt to many tasks.
 
@@ -24,11 +25,14 @@ a text; other texts are cut between pieces where they exceed a block. Other colu
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +42,7 @@ from retrospark.llm.workers import give_back
 from retrospark.storage import discard, materialize
 
 MIN_COUNT, LONGEST, TOP, SUBSUMED = 30, 4, 2000, 80
-BLOCK_BYTES, FILTER_BITS = 6 << 20, 1 << 25
+BLOCK_BYTES, BLOCK_PIECES, FILTER_BITS = 6 << 20, 4, 1 << 25
 U64 = np.uint64
 # Bytes: 0 of words, 1 between words, 2 between pieces.
 _KIND = np.zeros(256, np.uint8)
@@ -69,13 +73,13 @@ def text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
                 langs.append(lang)
                 size, data = size + cut + 1, data[cut:]
                 if size >= BLOCK_BYTES:
-                    yield _block(parts, langs)
+                    yield _piece(parts, langs)
                     parts, langs, size = [], [], 0
     if parts:
-        yield _block(parts, langs)
+        yield _piece(parts, langs)
 
 
-def _block(parts: list[np.ndarray], langs: list[str]):
+def _piece(parts: list[np.ndarray], langs: list[str]):
     names = sorted(set(langs))
     number = {x: i for i, x in enumerate(names)}
     ends = np.cumsum([len(parts[i]) + 1 for i in range(0, len(parts), 2)])
@@ -211,74 +215,118 @@ def _pairs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, codes[at].astype(np.int64) << 32 | codes[at + 1].astype(np.int64)
 
 
-def _rows(names: list[str], kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+def _grouped(items: Iterator, n: int) -> Iterator[list]:
+    while group := list(itertools.islice(items, n)):
+        yield group
 
 
 def word_sequences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """block, codes, words (of the numbers from 1), and the block's words by language."""
+    """block, codes (a sequence for each piece), words (of the numbers from 1), and the block's words by language."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
-        for n, (data, texts, names) in enumerate(text_blocks(batches)):
-            low, starts, ends, lang, follows = words_of(data, texts)
-            hashes = hashes_of(low, starts, ends, _lang_seeds(names)[lang])
-            frequent = np.flatnonzero(may_hold(shared.value, hashes))
-            first, number, _ = distinct_words(low, starts[frequent], ends[frequent], lang[frequent], hashes[frequent])
-            codes = np.zeros(len(starts), np.int64)
-            codes[frequent] = number + 1
-            # A 0 before each word that starts a piece.
-            spread = np.zeros(len(starts) + (~follows).sum(), np.int64)
-            spread[np.arange(len(starts)) + np.cumsum(~follows)] = codes
-            spread = compact(spread)
-            used = np.unique(spread[spread != 0])
-            renumber = np.zeros(len(first) + 1, np.int64)
-            renumber[used] = np.arange(1, len(used) + 1)
-            langs, words = _word_arrays(low, starts, ends, lang, names, frequent[first[used - 1]])
-            whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.StructArray.from_arrays([langs, words], ["lang", "word"]))
-            total = np.bincount(lang, minlength=len(names)).tolist()
-            sizes = pa.array([[{"lang": x, "n": c} for x, c in zip(names, total, strict=True)]], pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([pa.array([task | n], pa.int64()), pa.array([_packed(renumber[spread])], pa.binary()), whole, sizes], names=["block", "codes", "words", "sizes"])
+        for block, pieces in enumerate(_grouped(_likely_words(text_blocks(batches), shared.value), BLOCK_PIECES)):
+            # The pieces' words as one text: each distinct word once.
+            names = sorted({x for p in pieces for x in p[3]})
+            langs = pa.concat_arrays([p[1] for p in pieces])
+            words = pa.concat_arrays([p[2] for p in pieces])
+            size = pc.binary_length(words).to_numpy().astype(np.int64)
+            data = np.frombuffer(b" ".join(words.to_pylist()) + b" ", np.uint8)
+            starts = np.cumsum(size + 1) - size - 1
+            of = pc.index_in(langs, pa.array(names, pa.string())).to_numpy() if len(langs) else np.zeros(0, np.int32)
+            first, number, _ = distinct_words(data, starts, starts + size, of, hashes_of(data, starts, starts + size, _lang_seeds(names)[of]))
+            cuts = np.cumsum([0, *(len(p[1]) for p in pieces)])
+            codes = [_packed(np.concatenate(([0], number[i:j] + 1))[p[0]]) for p, i, j in zip(pieces, cuts, cuts[1:], strict=False)]
+            whole = pa.StructArray.from_arrays([langs.take(pa.array(first)), words.take(pa.array(first))], ["lang", "word"])
+            total = Counter()
+            for p in pieces:
+                total.update(p[3])
+            sizes = [{"lang": x, "n": c} for x, c in total.items()]
+            kinds = (pa.int64(), pa.list_(pa.binary()), None, pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())])))
+            columns = [pa.array([task | block], kinds[0]), pa.array([codes], kinds[1]), pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole), pa.array([sizes], kinds[3])]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "codes", "words", "sizes"])
         give_back()
 
-    return docs.mapInArrow(run, "block long, codes binary, words array<struct<lang:string,word:binary>>, sizes array<struct<lang:string,n:long>>")
+    return docs.mapInArrow(run, "block long, codes array<binary>, words array<struct<lang:string,word:binary>>, sizes array<struct<lang:string,n:long>>")
+
+
+def _likely_words(pieces: Iterator, bits: np.ndarray) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array, Counter]]:
+    """For each piece its sequence, the languages and bytes of the words numbered in it, and its words by language."""
+    for data, texts, names in pieces:
+        low, starts, ends, lang, follows = words_of(data, texts)
+        hashes = hashes_of(low, starts, ends, _lang_seeds(names)[lang])
+        some = np.flatnonzero(may_hold(bits, hashes))
+        first, number, _ = distinct_words(low, starts[some], ends[some], lang[some], hashes[some])
+        codes = np.zeros(len(starts), np.int64)
+        codes[some] = number + 1
+        # A 0 before each word that starts a piece of text.
+        spread = np.zeros(len(starts) + (~follows).sum(), np.int64)
+        spread[np.arange(len(starts)) + np.cumsum(~follows)] = codes
+        spread = compact(spread)
+        used = np.unique(spread[spread != 0])
+        renumber = np.zeros(len(first) + 1, np.int64)
+        renumber[used] = np.arange(1, len(used) + 1)
+        total = Counter(dict(zip(names, np.bincount(lang, minlength=len(names)).tolist(), strict=True)))
+        yield renumber[spread], *_word_arrays(low, starts, ends, lang, names, some[first[used - 1]]), total
+
+
+def _lists(b: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of (block, codes, arrays ...): block, its sequences, and the arrays."""
+    for block, codes, *arrays in zip(*b.columns, strict=True):
+        yield block.as_py(), [_unpacked(c) for c in codes.as_py()], *(x.values for x in arrays)
+
+
+def _block(block: int, codes: list[np.ndarray], ids: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([block], pa.int64()), pa.array([[_packed(compact(c)) for c in codes]], pa.list_(pa.binary())), pa.array([ids], pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "codes", "ids"])
 
 
 def numbered_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """block, codes, found (i, id) -> block, codes, ids: numbers from 1 in order of the ids."""
     for b in batches:
-        for block, data, found in zip(*b.columns, strict=True):
-            block, codes = block.as_py(), _unpacked(data.as_py())
-            at, ids = (x.to_numpy() for x in found.values.flatten())
+        for block, codes, found in _lists(b):
+            at, ids = (x.to_numpy() for x in found.flatten())
             order = np.argsort(ids)
-            new = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
+            new = np.zeros(1 + max(int(at.max(initial=-1)) + 1, *(int(c.max(initial=0)) for c in codes)), np.int64)
             new[at[order] + 1] = np.arange(1, len(ids) + 1)
-            yield _rows(["block", "codes", "ids"], [pa.int64(), pa.binary(), pa.list_(pa.int64())], [(block, _packed(compact(new[codes])), ids[order])])
+            yield _block(block, [new[c] for c in codes], ids[order])
     give_back()
 
 
 def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """left, right, n: a row for each distinct pair of a block."""
     for b in batches:
-        for _, data, ids in zip(*b.columns, strict=True):
-            ids = ids.values.to_numpy()
-            pairs, n = np.unique(_pairs(_unpacked(data.as_py()))[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[(pairs >> 32) - 1]), pa.array(ids[(pairs & 0xFFFFFFFF) - 1]), pa.array(n.astype(np.int64))], names=["left", "right", "n"])
+        for _, codes, ids in _lists(b):
+            each, times = zip(*(np.unique(_pairs(c)[1], return_counts=True) for c in codes), strict=True)
+            pairs, number = np.unique(np.concatenate(each), return_inverse=True)
+            n = np.bincount(number, np.concatenate(times), len(pairs)).astype(np.int64)
+            left, right = _of_pairs(ids.to_numpy(), pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n)], names=["left", "right", "n"])
     give_back()
 
 
+def _of_pairs(ids: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return ids[(pairs >> 32) - 1], ids[(pairs & 0xFFFFFFFF) - 1]
+
+
 def likely_pairs(blocks: DataFrame, bits: np.ndarray) -> DataFrame:
-    """block, left, right: pairs of a block that the bitmap holds."""
+    """block, left, right: pairs of a block that the bitmap holds, and that have a neighbour which it holds."""
     shared = blocks.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, data, ids in zip(*b.columns, strict=True):
-                ids = ids.values.to_numpy()
-                _, pairs = _pairs(_unpacked(data.as_py()))
-                pairs = np.unique(pairs[may_hold(shared.value, pair_hashes(ids[(pairs >> 32) - 1], ids[(pairs & 0xFFFFFFFF) - 1]))])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), block.as_py(), np.int64)), pa.array(ids[(pairs >> 32) - 1]), pa.array(ids[(pairs & 0xFFFFFFFF) - 1])], names=["block", "left", "right"])
+            for block, codes, ids in _lists(b):
+                ids, each = ids.to_numpy(), []
+                for c in codes:
+                    at, pairs = _pairs(c)
+                    some = may_hold(shared.value, pair_hashes(*_of_pairs(ids, pairs)))
+                    there = np.zeros(len(c) + 1, bool)
+                    there[at[some]] = True
+                    each.append(np.unique(pairs[some & (there[at - 1] | there[at + 1])]))
+                pairs = np.unique(np.concatenate(each))
+                left, right = _of_pairs(ids, pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), block, np.int64)), pa.array(left), pa.array(right)], names=["block", "left", "right"])
         give_back()
 
     return blocks.select("block", "codes", "ids").mapInArrow(run, "block long, left long, right long")
@@ -287,17 +335,20 @@ def likely_pairs(blocks: DataFrame, bits: np.ndarray) -> DataFrame:
 def numbered_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """block, codes, ids, found (left, right, id) -> block, codes, ids of the pairs."""
     for b in batches:
-        for block, data, ids, found in zip(*b.columns, strict=True):
-            codes, ids = _unpacked(data.as_py()), ids.values.to_numpy()
-            left, right, new = (x.to_numpy() for x in found.values.flatten())
+        for block, codes, ids, found in _lists(b):
+            ids = ids.to_numpy()
+            left, right, new = (x.to_numpy() for x in found.flatten())
             keys = (np.searchsorted(ids, left) + 1) << 32 | (np.searchsorted(ids, right) + 1)
-            rank = np.argsort(np.argsort(new)) + 1
-            order = np.argsort(keys)
-            at, pairs = _pairs(codes)
-            where = np.minimum(np.searchsorted(keys[order], pairs), len(keys) - 1)
-            out = np.zeros(len(codes), np.int64)
-            out[at] = np.where(keys[order][where] == pairs, rank[order][where], 0)
-            yield _rows(["block", "codes", "ids"], [pa.int64(), pa.binary(), pa.list_(pa.int64())], [(block.as_py(), _packed(compact(out)), np.sort(new))])
+            rank, order = np.argsort(np.argsort(new)) + 1, np.argsort(keys)
+            keys, rank = keys[order], rank[order]
+            out = []
+            for c in codes:
+                at, pairs = _pairs(c)
+                where = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+                numbers = np.zeros(len(c), np.int64)
+                numbers[at] = np.where(keys[where] == pairs, rank[where], 0)
+                out.append(numbers)
+            yield _block(block, out, np.sort(new))
     give_back()
 
 
@@ -320,7 +371,7 @@ def name_levels(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONG
     total = materialize(texts.select(F.explode("sizes").alias("s")).groupBy(F.col("s.lang").alias("lang")).agg(F.sum("s.n").alias("n")), "totals")
     asked = texts.select("block", F.posexplode("words").alias("i", "w")).select("block", "i", F.col("w.lang").alias("lang"), F.col("w.word").alias("word"))
     found = asked.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("i", "id")).alias("found"))
-    kind = "block long, codes binary, ids array<long>"
+    kind = "block long, codes array<binary>, ids array<long>"
     blocks = materialize(texts.select("block", "codes").join(found, "block").select("block", "codes", "found").mapInArrow(numbered_words, kind), "blocks")
     discard(texts)
     levels = [words]
