@@ -42,7 +42,7 @@ from retrospark.llm.workers import give_back
 from retrospark.storage import discard, materialize
 
 MIN_COUNT, LONGEST, TOP, SUBSUMED = 30, 4, 2000, 80
-BLOCK_BYTES, BLOCK_PIECES, FILTER_BITS = 6 << 20, 4, 1 << 25
+BLOCK_BYTES, BLOCK_PIECES, FILTER_BITS = 2 << 20, 12, 1 << 25
 U64 = np.uint64
 # Bytes: 0 of words, 1 between words, 2 between pieces.
 _KIND = np.zeros(256, np.uint8)
@@ -139,14 +139,23 @@ def _word_arrays(low, starts, ends, lang, names, chosen) -> tuple[pa.Array, pa.A
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, word, n: a row for each distinct word of a block."""
-    for data, texts, names in text_blocks(batches):
-        low, starts, ends, lang, _ = words_of(data, texts)
-        hashes = hashes_of(low, starts, ends, _lang_seeds(names)[lang])
-        first, _, count = distinct_words(low, starts, ends, lang, hashes)
-        yield pa.RecordBatch.from_arrays([*_word_arrays(low, starts, ends, lang, names, first), pa.array(count.astype(np.int64))], names=["lang", "word", "n"])
+    for pieces in _grouped(map(_counted, text_blocks(batches)), BLOCK_PIECES):
+        yield from pa.Table.from_batches(pieces).group_by(["lang", "word"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["lang", "word", "n"]).combine_chunks().to_batches()
     give_back()
 
 
+def _counted(piece: tuple) -> pa.RecordBatch:
+    data, texts, names = piece
+    low, starts, ends, lang, _ = words_of(data, texts)
+    first, _, count = distinct_words(low, starts, ends, lang, hashes_of(low, starts, ends, _lang_seeds(names)[lang]))
+    return pa.RecordBatch.from_arrays([*_word_arrays(low, starts, ends, lang, names, first), pa.array(count.astype(np.int64))], names=["lang", "word", "n"])
+
+
+def _grouped(items: Iterator, n: int) -> Iterator[list]:
+    while group := list(itertools.islice(items, n)):
+        yield group
+
+
 # --- bitmaps ----------------------------------------------------------------------------------------------------------
 
 
@@ -215,11 +224,6 @@ def _pairs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, codes[at].astype(np.int64) << 32 | codes[at + 1].astype(np.int64)
 
 
-def _grouped(items: Iterator, n: int) -> Iterator[list]:
-    while group := list(itertools.islice(items, n)):
-        yield group
-
-
 def word_sequences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """block, codes (a sequence for each piece), words (of the numbers from 1), and the block's words by language."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
