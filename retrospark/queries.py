@@ -96,23 +96,34 @@ EARLIEST = "least(" + ", ".join(f"nullif(instr(lower(t), '{m}'), 0)" for m in le
 # ---------------------------------------------------------------- vectors
 
 
-@query(f"SELECT vec_id AS chunk_id, round(list_distance(embedding::DOUBLE[], {Q0}), 6) AS distance, round(1 / (1 + list_distance(embedding::DOUBLE[], {Q0})), 6) AS score FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], {Q0}), vec_id LIMIT 15")
+# Queries of the vector searches: every fiftieth row, against all rows.
+EVERY = 50
+NEAR = "SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, v.label, {d} AS d FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {order}, v.vec_id) <= 15"
+NEAR_L2 = NEAR.format(d="list_distance(v.embedding::DOUBLE[], q.embedding::DOUBLE[])", order="d")
+NEAR_COSINE = NEAR.format(d="1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[])", order="round(d, 9)")
+
+
+def every_fiftieth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).filter(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+@query(f"SELECT query_id, chunk_id, round(d, 6) AS distance, round(1 / (1 + d), 6) AS score FROM ({NEAR_L2})")
 def knn_l2(spark, sf_dir):
-    found = knn(vectors(spark, sf_dir), asked(spark, sf_dir, "x").select("query_id", "q"), 15)
-    return found.select("chunk_id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
+    found = knn(vectors(spark, sf_dir), every_fiftieth(spark, sf_dir), 15)
+    return found.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT vec_id AS chunk_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], {Q0}), 6) AS distance FROM embeddings ORDER BY round(1 - list_cosine_similarity(embedding::DOUBLE[], {Q0}), 9), vec_id LIMIT 15")
+@query(f"SELECT query_id, chunk_id, abs(round(d, 6)) AS distance FROM ({NEAR_COSINE})")
 def knn_cosine(spark, sf_dir):
-    return knn(vectors(spark, sf_dir), asked(spark, sf_dir, "x").select("query_id", "q"), 15, "cosine").select("chunk_id", F.abs(F.round("distance", 6)).alias("distance"))
+    return knn(vectors(spark, sf_dir), every_fiftieth(spark, sf_dir), 15, "cosine").select("query_id", "chunk_id", F.abs(F.round("distance", 6)).alias("distance"))
 
 
-@query(f"WITH top AS (SELECT vec_id, label, list_distance(embedding::DOUBLE[], {Q0}) AS d FROM embeddings ORDER BY d, vec_id LIMIT 15) SELECT vec_id AS chunk_id, round(d, 6) AS distance FROM top WHERE label = 1 ORDER BY d, vec_id LIMIT 5")
+@query(f"SELECT query_id, chunk_id, round(d, 6) AS distance FROM ({NEAR_L2}) WHERE label = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) <= 5")
 def knn_session_postfilter(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    hits = knn(v, asked(spark, sf_dir, "x").select("query_id", "q"), 15)
+    hits = knn(v, every_fiftieth(spark, sf_dir), 15)
     found = R.hydrate(hits, v.select("chunk_id", F.col("label").cast("string").alias("session_id")), 5, "1")
-    return found.select("chunk_id", F.round("distance", 6).alias("distance"))
+    return found.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"))
 
 
 @query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

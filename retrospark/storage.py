@@ -26,14 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
+def materialize(df: DataFrame, name: str = "step", max_rows: int = 0) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back, with at most max_rows in a file (0: any number).
 
     This cuts lineage: a lost executor costs the tasks of the current step only, and no row is computed twice.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", max_rows).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

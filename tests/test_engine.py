@@ -5,6 +5,7 @@ import http.server
 import json
 import math
 import os
+import random
 import threading
 
 import duckdb
@@ -180,13 +181,53 @@ def test_scan_gives_what_the_index_gives(spark, monkeypatch):
     assert sorted(X.vocabulary_of(docs).collect()) == sorted(X.vocabulary(X.postings(docs)).collect())
 
 
+def nearest(vectors, queries, k, metric):
+    """By sorting all pairs."""
+    far = lambda a, b: math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b, strict=True))) if metric == "l2" else 1 - sum(x * y for x, y in zip(a, b, strict=True)) / (math.hypot(*a) * math.hypot(*b) or math.inf)
+    good = lambda v: v and all(x is not None and math.isfinite(x) for x in v)
+    out = {}
+    for i, q in queries:
+        for j, v in vectors:
+            if good(q) and good(v) and len(q) == len(v):
+                out.setdefault(i, []).append((round(far(v, q), 9), j))
+    return {i: sorted(d)[:k] for i, d in out.items()}
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_knn_equals_all_pairs(spark, metric):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(300)]
+    rows += [(1000 - i, rows[7][1]) for i in range(40)] + [(2000 + i, [rng.gauss(0, 1)] * 3) for i in range(9)]  # copies, in falling order; another length
+    odd = [(3000, None), (3001, []), (3002, [math.nan] * 6), (3003, [math.inf] + [0.0] * 5), (3004, [0.0] * 6), (3005, [None] * 6), (3006, [1e6] * 6)]
+    asked = [(i, v) for i, v in rows[::9]] + [(5000 + i, v) for i, (_, v) in enumerate(odd)]
+    v, q = spark.createDataFrame(rows + odd, "chunk_id long, embedding array<double>").repartition(5), spark.createDataFrame(asked, "query_id long, q array<double>")
+    got = {}
+    for r in knn_module.knn(v, q, 7, metric).orderBy("query_id", "pos").collect():
+        got.setdefault(r.query_id, []).append((round(r.distance, 9) + 0.0, r.chunk_id))
+        assert r.pos == len(got[r.query_id]) and r.score == pytest.approx(1 / (1 + r.distance))
+    want = nearest(rows + odd, asked, 7, metric)
+    assert got.keys() == want.keys() and all([d for d, _ in got[i]] == pytest.approx([d for d, _ in want[i]], rel=1e-9, abs=1e-8) for i in want)
+    if metric == "l2":  # there, only copies are equally far
+        assert all([j for _, j in got[i]] == [j for _, j in want[i]] for i in want)
+    assert knn_module.knn(v, q.filter("false"), 7, metric).count() == 0 and knn_module.knn(v.filter("false"), q, 7, metric).count() == 0
+
+
 def test_knn_in_blocks(spark, monkeypatch):
+    """Blocks are as small as the setting says, hold every query once, and change nothing; no join is in the plan."""
     v = queries.vectors(spark, SF)
     q = v.filter("chunk_id < 9").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"))
     rows = lambda: sorted(tuple(r) for r in knn_module.knn(v, q, 5).collect())
-    whole = rows()
-    monkeypatch.setattr(knn_module, "BLOCK_BYTES", 700)
-    assert len(whole) == 45 and rows() == whole
+    whole, seen, scan = rows(), [], knn_module.scan
+    monkeypatch.setattr(knn_module, "scan", lambda v, block, k, m: (seen.append(block), scan(v, block, k, m))[1])
+    one = 8 * 64 + 16 * 5
+    for size, first, least in ((2 * one, 1024, 5), (one, 1024, 9), (1, 4, 9), (3 * one, 4, 3), (1 << 20, 4, 1)):
+        monkeypatch.setattr(knn_module, "BLOCK_BYTES", size)
+        monkeypatch.setattr(knn_module, "FIRST", first)  # with 4, queries are written to files first
+        seen.clear()
+        assert rows() == whole and len(whole) == 45
+        assert len(seen) >= least and all(b.num_rows == 1 or b.num_rows * one <= size for b in seen)
+        assert sorted(i for b in seen for i in b["query_id"].to_pylist()) == list(range(9))
+    assert len(seen) == 1 and "Join" not in knn_module.knn(v, q, 5)._jdf.queryExecution().executedPlan().toString()
 
 
 def log(path, *entries):
