@@ -42,7 +42,7 @@ from retrospark.llm.workers import give_back
 from retrospark.storage import discard, materialize
 
 MIN_COUNT, LONGEST, TOP, SUBSUMED = 30, 4, 2000, 80
-BLOCK_BYTES, BLOCK_PIECES, FILTER_BITS = 2 << 20, 12, 1 << 25
+BLOCK_BYTES, BLOCK_PIECES, COUNTED_PIECES, FILTER_BITS = 1 << 20, 24, 12, 1 << 25
 U64 = np.uint64
 # Bytes: 0 of words, 1 between words, 2 between pieces.
 _KIND = np.zeros(256, np.uint8)
@@ -138,12 +138,16 @@ def _word_arrays(low, starts, ends, lang, names, chosen) -> tuple[pa.Array, pa.A
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, word, n: a row for each distinct word of a block."""
-    for pieces in _grouped(map(_counted, text_blocks(batches)), BLOCK_PIECES):
-        yield from pa.Table.from_batches(pieces).group_by(["lang", "word"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["lang", "word", "n"]).combine_chunks().to_batches()
+    """lang, word, n: a row for each distinct word of some pieces."""
+    for pieces in _grouped(map(_counted, text_blocks(batches)), COUNTED_PIECES):
+        yield from _added_up(pieces).combine_chunks().to_batches()
     give_back()
 
 
+def _added_up(rows: list[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches(rows).group_by(["lang", "word"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["lang", "word", "n"])
+
+
 def _counted(piece: tuple) -> pa.RecordBatch:
     data, texts, names = piece
     low, starts, ends, lang, _ = words_of(data, texts)
@@ -235,13 +239,13 @@ def word_sequences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             names = sorted({x for p in pieces for x in p[3]})
             langs = pa.concat_arrays([p[1] for p in pieces])
             words = pa.concat_arrays([p[2] for p in pieces])
-            size = pc.binary_length(words).to_numpy().astype(np.int64)
-            data = np.frombuffer(b" ".join(words.to_pylist()) + b" ", np.uint8)
-            starts = np.cumsum(size + 1) - size - 1
+            ends = np.cumsum(pc.binary_length(words).to_numpy(), dtype=np.int64)
+            starts = np.concatenate(([0], ends[:-1]))[: len(ends)]
+            data = np.frombuffer(words.buffers()[2], np.uint8) if len(ends) else _NO_BYTES
             of = pc.index_in(langs, pa.array(names, pa.string())).to_numpy() if len(langs) else np.zeros(0, np.int32)
-            first, number, _ = distinct_words(data, starts, starts + size, of, hashes_of(data, starts, starts + size, _lang_seeds(names)[of]))
+            first, number, _ = distinct_words(data, starts, ends, of, hashes_of(data, starts, ends, _lang_seeds(names)[of]))
             cuts = np.cumsum([0, *(len(p[1]) for p in pieces)])
-            codes = [_packed(np.concatenate(([0], number[i:j] + 1))[p[0]]) for p, i, j in zip(pieces, cuts, cuts[1:], strict=False)]
+            codes = [_packed(np.concatenate(([0], number[i:j] + 1))[_unpacked(p[0])]) for p, i, j in zip(pieces, cuts, cuts[1:], strict=False)]
             whole = pa.StructArray.from_arrays([langs.take(pa.array(first)), words.take(pa.array(first))], ["lang", "word"])
             total = Counter()
             for p in pieces:
@@ -255,7 +259,7 @@ def word_sequences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "block long, codes array<binary>, words array<struct<lang:string,word:binary>>, sizes array<struct<lang:string,n:long>>")
 
 
-def _likely_words(pieces: Iterator, bits: np.ndarray) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array, Counter]]:
+def _likely_words(pieces: Iterator, bits: np.ndarray) -> Iterator[tuple[bytes, pa.Array, pa.Array, Counter]]:
     """For each piece its sequence, the languages and bytes of the words numbered in it, and its words by language."""
     for data, texts, names in pieces:
         low, starts, ends, lang, follows = words_of(data, texts)
@@ -272,7 +276,7 @@ def _likely_words(pieces: Iterator, bits: np.ndarray) -> Iterator[tuple[np.ndarr
         renumber = np.zeros(len(first) + 1, np.int64)
         renumber[used] = np.arange(1, len(used) + 1)
         total = Counter(dict(zip(names, np.bincount(lang, minlength=len(names)).tolist(), strict=True)))
-        yield renumber[spread], *_word_arrays(low, starts, ends, lang, names, some[first[used - 1]]), total
+        yield _packed(renumber[spread]), *_word_arrays(low, starts, ends, lang, names, some[first[used - 1]]), total
 
 
 def _lists(b: pa.RecordBatch) -> Iterator[tuple]:
