@@ -60,6 +60,11 @@ def vocabulary(postings: DataFrame) -> DataFrame:
     return by_chunk.groupBy("term").agg(F.count(F.lit(1)).alias("doc"), F.sum("c").alias("cnt"))
 
 
+def vocabulary_of_counts(counts: DataFrame) -> DataFrame:
+    """As vocabulary, from rows (term, chunk_id, f) of which there is one for each term of a chunk."""
+    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("doc"), F.sum("f").alias("cnt"))
+
+
 def vocabulary_of(chunks: DataFrame, *columns: str) -> DataFrame:
     """As vocabulary, from chunks: tasks add up before anything moves, as a row tells what is new in it by itself."""
     rows = chunks.select(all_terms(columns).alias("terms"))
@@ -73,18 +78,23 @@ def idf(n_docs: Column, with_it: Column) -> Column:
     return F.when(plain > 0, plain).otherwise(F.lit(LEAST_IDF))
 
 
-def bm25(postings: DataFrame, lengths: DataFrame, phrases: DataFrame) -> DataFrame:
-    """query_id, chunk_id, bm25. phrases: query_id, phrase_no, terms (array); repeated phrases add up.
-
-    Postings are filtered by the queries' terms first; a phrase of one term is a count, others are found where their
-    terms stand in a row in one column. The corpus numbers come from one aggregate over the lengths.
-    """
+def phrase_counts(postings: DataFrame, phrases: DataFrame) -> DataFrame:
+    """query_id, phrase_no, chunk_id, f: how often a phrase stands in a chunk. Of a phrase of one term, its occurrences;
+    others are found where their terms stand in a row in one column."""
     asked = phrases.filter(F.size("terms") > 0).select("query_id", "phrase_no", F.size("terms").alias("size"), F.posexplode("terms").alias("off", "term"))
     hits = postings.join(asked, "term")
     single = hits.filter("size = 1").groupBy("query_id", "phrase_no", "chunk_id").agg(F.count(F.lit(1)).alias("f"))
     runs = hits.filter("size > 1").withColumn("start", F.col("pos") - F.col("off")).groupBy("query_id", "phrase_no", "chunk_id", "col", "start", "size").agg(F.count(F.lit(1)).alias("k")).filter("k = size")
     several = runs.groupBy("query_id", "phrase_no", "chunk_id").agg(F.count(F.lit(1)).alias("f"))
-    f = single.unionByName(several)
+    return single.unionByName(several)
+
+
+def bm25(postings: DataFrame, lengths: DataFrame, phrases: DataFrame) -> DataFrame:
+    """query_id, chunk_id, bm25. phrases: query_id, phrase_no, terms (array); repeated phrases add up.
+
+    Postings are filtered by the queries' terms first. The corpus numbers come from one aggregate over the lengths.
+    """
+    f = phrase_counts(postings, phrases)
     with_it = f.groupBy("query_id", "phrase_no").agg(F.count(F.lit(1)).alias("with_it"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("mean"))
     scored = f.join(with_it, ["query_id", "phrase_no"]).join(lengths, "chunk_id").join(F.broadcast(stats), F.lit(True))

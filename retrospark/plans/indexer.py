@@ -22,7 +22,9 @@ from retrospark.config import Settings
 from retrospark.embeddings import Provider, embed_with_cache
 from retrospark.functions import text as T
 from retrospark.operators import sessions as S
-from retrospark.operators.text_index import document_lengths, postings, vocabulary
+from retrospark.operators.impact import alive as still_there
+from retrospark.operators.impact import counts_by_chunk, impact_blocks, unpacked
+from retrospark.operators.text_index import document_lengths, postings, vocabulary, vocabulary_of_counts
 from retrospark.plans.recall import Index
 from retrospark.sources import jsonl
 from retrospark.storage import materialize
@@ -132,7 +134,9 @@ class Store:
         vectors = self.read("vectors", v)
         if vectors is None:
             vectors = self.spark.createDataFrame([], "chunk_id long, embedding array<float>")
-        return Index(self.read("chunks", v), self.read("sessions", v), vectors, self.read("postings", v), self.read("lengths", v), self.read("vocab", v))
+        # Segments of before there were blocks by impact make a search score all postings.
+        whole = all("impacts" in tables for _, tables in v.segments if "postings" in tables)
+        return Index(self.read("chunks", v), self.read("sessions", v), vectors, self.read("postings", v), self.read("lengths", v), self.read("vocab", v), self.read("impacts", v) if whole else None, self._rows("dead_chunks", v))
 
 
 def session_rows(files: DataFrame, messages: DataFrame) -> DataFrame:
@@ -148,9 +152,12 @@ def session_rows(files: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def indexed(chunks: DataFrame) -> dict[str, DataFrame]:
-    """The text index of chunks: postings in order of terms, so that files can be passed over by term, lengths and vocabulary."""
+    """The text index of chunks: postings in order of terms, so that files can be passed over by term, the same by impact,
+    lengths and vocabulary."""
     p = materialize(postings(chunks), "postings")
-    return {"postings": p.repartitionByRange("term").sortWithinPartitions("term", "chunk_id"), "lengths": document_lengths(chunks), "vocab": vocabulary(p)}
+    lengths = materialize(document_lengths(chunks), "lengths")
+    counts = materialize(counts_by_chunk(p, lengths), "counts")
+    return {"postings": p.repartitionByRange("term").sortWithinPartitions("term", "chunk_id"), "impacts": impact_blocks(counts), "lengths": lengths, "vocab": vocabulary_of_counts(counts)}
 
 
 def without(store: Store, v: Version, gone: DataFrame) -> DataFrame:
@@ -211,11 +218,18 @@ def update(store: Store, root: str, full: bool = False, include_subagents: bool
     return report
 
 
+def impact_rows(blocks: DataFrame, dead: DataFrame | None) -> DataFrame:
+    """The postings of blocks whose chunks are alive."""
+    return still_there(unpacked(blocks, "term"), dead)
+
+
 def compact(store: Store) -> None:
     """Write all that is alive to one segment."""
     v = store.version()
     names = sorted({t for _, tables in v.segments for t in tables} - {"dead_chunks", "dead_sessions"})
     alive = {t: store.read(t, v) for t in names}
+    if "impacts" in alive:
+        alive["impacts"] = impact_blocks(materialize(impact_rows(alive["impacts"], store._rows("dead_chunks", v)), "counts"))
     if "postings" in alive:
         alive["postings"] = alive["postings"].repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
     store.write(alive, Version(v.number, [], v.next_chunk))

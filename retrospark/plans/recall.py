@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from retrospark.config import Settings
 from retrospark.operators import expand as E
 from retrospark.operators import ranking as R
+from retrospark.operators.impact import impact_scores
 from retrospark.operators.knn import knn
 from retrospark.operators.text_index import bm25, document_lengths, few_terms, postings, top_k, vocabulary_of
 from retrospark.operators.text_index import like as matches
@@ -27,6 +28,8 @@ class Index:
     postings: DataFrame
     lengths: DataFrame
     vocab: DataFrame
+    impacts: DataFrame | None = None  # blocks of postings by impact, and the chunks in them that are gone
+    dead: DataFrame | None = None
 
     @classmethod
     def of(cls, chunks: DataFrame, vectors: DataFrame, sessions: DataFrame | None = None) -> Index:
@@ -52,9 +55,12 @@ def keyword_search(index: Index, queries: DataFrame, k: int, session: str | None
     phrases = E.phrases(expanded).unionByName(some)
     readable = settle(phrases.join(E.invalid(expanded), "query_id", "left_anti"), "phrases")
     # Stored postings are in order of terms: files and row groups without a term that is asked for are passed over.
-    terms = few_terms(readable)
-    hits = index.postings if terms is None else index.postings.filter(F.col("term").isin(terms))
-    best = top_k(bm25(hits, index.lengths, readable), 3 * k, F.desc("bm25"), F.col("chunk_id"))
+    if index.impacts is not None:
+        scores = impact_scores(index.impacts, index.postings, index.lengths, index.vocab, readable, 3 * k, dead=index.dead)
+    else:
+        terms = few_terms(readable)
+        scores = bm25(index.postings if terms is None else index.postings.filter(F.col("term").isin(terms)), index.lengths, readable)
+    best = top_k(scores, 3 * k, F.desc("bm25"), F.col("chunk_id"))
     score = F.col("bm25") / (1 + F.col("bm25")) if corrected else 1 / (1 + F.col("bm25"))
     found = R.hydrate(best.select("query_id", "chunk_id", F.col("bm25").alias("distance"), score.alias("score"), "pos"), index.chunks, k, session)
     # Queries that can't be read as a match, or have nothing to match, are looked up as they are.

@@ -15,6 +15,7 @@ from retrospark.operators import expand as E
 from retrospark.operators import ranking as R
 from retrospark.operators import sessions as S
 from retrospark.operators import text_index as X
+from retrospark.operators.impact import counts_by_chunk, impact_blocks, impact_scores
 from retrospark.operators.knn import knn
 from retrospark.plans import admin
 from retrospark.plans.recall import Index, hybrid_search, query_info, recall, resolve_session
@@ -243,6 +244,31 @@ def bm25_query(name: str, phrases: list[list[str]]) -> None:
     QUERIES[name] = run
 
 
+# Searches for terms, common ones too: their best twenty by blocks in order of impact.
+IMPACT_ASKED = {0: ["the"], 1: ["clown"], 2: ["the", "of", "and"], 3: ["clown", "the", "src1"], 4: ["in", "in", "is"], 5: ["none-such"], 6: ["en"]}
+
+
+def impact_sql() -> str:
+    asked = ", ".join(f"({i}, '{t}', {ts.count(t)})" for i, ts in IMPACT_ASKED.items() for t in dict.fromkeys(ts))
+    return f"""WITH {LENS}, {ALL_TOKENS}, a(query_id, term, times) AS (VALUES {asked}),
+      f AS (SELECT query_id, term, times, chunk_id, count(*) AS f FROM allt JOIN a USING (term) GROUP BY ALL),
+      s AS (SELECT count(*) AS big, avg(n) AS mean FROM lens),
+      w AS (SELECT query_id, term, greatest(ln((max(big) - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM f, s GROUP BY ALL),
+      r AS (SELECT query_id, chunk_id, round(sum(times * idf * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * n / mean))), 12) AS bm25 FROM f JOIN w USING (query_id, term) JOIN lens USING (chunk_id), s GROUP BY ALL)
+      SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id)::INT AS pos, chunk_id, bm25 FROM r QUALIFY pos <= 20"""
+
+
+@query(impact_sql())
+def bm25_by_impact(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    p, lengths = materialize(X.postings(docs), "postings"), materialize(X.document_lengths(docs), "lengths")
+    counts = materialize(counts_by_chunk(p, lengths), "counts")
+    blocks = materialize(impact_blocks(counts), "impacts")
+    rows = spark.createDataFrame([(i, n, [t]) for i, ts in IMPACT_ASKED.items() for n, t in enumerate(ts)], "query_id long, phrase_no int, terms array<string>")
+    found = impact_scores(blocks, p, lengths, X.vocabulary_of_counts(counts), rows, 20, slack=2e-12).withColumn("bm25", F.round("bm25", 12))
+    return X.top_k(found, 20, F.desc("bm25"), F.col("chunk_id")).select(F.col("query_id").cast("int").alias("query_id"), "pos", "chunk_id", "bm25")
+
+
 bm25_query("bm25_single", [["clown"]])
 bm25_query("bm25_common", [["the"]])
 bm25_query("bm25_or", [["clown"], ["trash"], ["src1"], ["clown"]])

@@ -18,13 +18,14 @@ from retrospark.config import Settings
 from retrospark.embeddings import FunctionProvider, HashingProvider, embed, provider
 from retrospark.functions import text as T
 from retrospark.operators import expand as E
+from retrospark.operators import impact as I
 from retrospark.operators import ranking as R
 from retrospark.operators import sessions as S
 from retrospark.operators import text_index as X
 from retrospark.plans import admin
 from retrospark.operators import knn as knn_module
 from retrospark.plans.recall import Index, keyword_search
-from retrospark.plans.indexer import Store, backfill, compact, delete_session, last_chunk_index, update
+from retrospark.plans.indexer import Store, backfill, compact, delete_session, impact_rows, last_chunk_index, update
 from retrospark.sources import jsonl
 from tests.conftest import SF
 
@@ -181,6 +182,51 @@ def test_scan_gives_what_the_index_gives(spark, monkeypatch):
     assert sorted(X.vocabulary_of(docs).collect()) == sorted(X.vocabulary(X.postings(docs)).collect())
 
 
+def impact_case(spark, n=4000, seed=4):
+    """Chunks of words of very unequal frequency and lengths, and the tables of their index."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda: " ".join(rng.choices(words, [1 / (i + 1) for i in range(60)], k=rng.randrange(3, 90))) + (" all" if rng.random() < 0.95 else "")
+    chunks = spark.createDataFrame([(i, text(), f"s{i % 3}", "user") for i in range(n)], "chunk_id long, content string, session_id string, role string").repartition(4).cache()
+    p, lengths = X.postings(chunks).cache(), X.document_lengths(chunks).cache()
+    counts = I.counts_by_chunk(p, lengths).cache()
+    return chunks, p, lengths, counts, I.impact_blocks(counts).cache()
+
+
+def test_impact_gives_the_best_of_a_scan(spark):
+    chunks, p, lengths, counts, blocks = impact_case(spark)
+    asked = {0: [["all"]], 1: [["w0"]], 2: [["w0"], ["w1"], ["w40"]], 3: [["w3"], ["w3"], ["all"]], 4: [["w0", "w1"], ["w2"]], 5: [["w0", "w0", "w1"]], 6: [["nothing"]], 7: [[]], 8: [["s1"], ["w59"]]}
+    phrases = spark.createDataFrame([(q, i, t) for q, ts in asked.items() for i, t in enumerate(ts)], "query_id long, phrase_no int, terms array<string>")
+    rows = lambda df: sorted((r.query_id, r.pos, r.chunk_id, round(r.bm25, 9)) for r in X.top_k(df, 30, F.round(-F.col("bm25"), 9), F.col("chunk_id")).collect())
+    vocab = X.vocabulary_of_counts(counts)
+    want = rows(X.bm25(p, lengths, phrases))
+    assert len({w[0] for w in want}) == 7 and rows(I.impact_scores(blocks, p, lengths, vocab, phrases, 30, slack=1e-9)) == want
+    # With chunks that are gone, but still in the blocks.
+    dead = chunks.filter("chunk_id % 2 = 0 or chunk_id < 900").select("chunk_id")
+    left = lambda df: df.join(dead, "chunk_id", "left_anti")
+    want = rows(X.bm25(left(p), left(lengths), phrases))
+    assert rows(I.impact_scores(blocks, left(p), left(lengths), X.vocabulary_of_counts(left(counts)), phrases, 30, slack=1e-9, dead=dead)) == want
+
+
+def test_impact_leaves_blocks_out(spark):
+    """Of a common term's postings, few are looked at; a block's bound is never too low."""
+    _, _, lengths, counts, blocks = impact_case(spark)
+    stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("mean"))
+    none = spark.createDataFrame([], "query_id long, phrase_no int, chunk_id long, part double")
+    terms = spark.createDataFrame([(0, "w0", 1), (1, "all", 1), (2, "w5", 2)], "query_id long, term string, times long")
+    vocab = X.vocabulary_of_counts(counts)
+    found = I.best_blocks(blocks, vocab, stats, terms, none, 10, 0.0, None).cache()
+    read = {r.query_id: r.n for r in found.groupBy("query_id").agg(F.sum("c").alias("n")).collect()}
+    there = {r.term: r.n for r in blocks.groupBy("term").agg(F.sum("c").alias("n")).collect()}
+    assert there["all"] > 3500 and all(read[q] * 5 <= there[t] for q, t in ((0, "w0"), (1, "all")))
+    assert blocks.filter("term = 'all'").count() * 50 < there["all"]  # rows of the table: blocks
+    # Bounds hold when the mean length has changed as well.
+    other = I.best_blocks(blocks, vocab, stats.withColumn("mean", F.col("mean") * 3), terms, none, 10, 0.0, None).unionByName(I.best_blocks(blocks, vocab, stats.withColumn("mean", F.col("mean") / 3), terms, none, 10, 0.0, None))
+    one = found.unionByName(other).select("query_id", "weight", "mean", "bound", "ids", "counts", "lengths")
+    above = I.unpacked(one, "bound", "weight", "mean").filter(I._added(F.col("weight"), 1 / F.col("f"), F.col("n") / F.col("f"), F.col("mean")) > F.col("bound"))
+    assert above.count() == 0 and blocks.filter((F.size("ids") != F.col("c")) | (F.col("c") > I.BLOCK)).count() == 0
+
+
 def nearest(vectors, queries, k, metric):
     """By sorting all pairs."""
     far = lambda a, b: math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b, strict=True))) if metric == "l2" else 1 - sum(x * y for x, y in zip(a, b, strict=True)) / (math.hypot(*a) * math.hypot(*b) or math.inf)
@@ -302,6 +348,8 @@ def assert_index_is_whole(store):
     rows = lambda df, *c: sorted(df.select(*c).collect())
     assert rows(store.read("postings"), "term", "chunk_id", "col", "pos") == rows(X.postings(chunks), "term", "chunk_id", "col", "pos")
     assert rows(store.read("lengths"), "chunk_id", "n") == rows(X.document_lengths(chunks), "chunk_id", "n")
+    impacts = impact_rows(store.read("impacts"), store._rows("dead_chunks", store.version()))
+    assert rows(impacts, "term", "chunk_id", "f", "n") == rows(I.counts_by_chunk(X.postings(chunks), X.document_lengths(chunks)), "term", "chunk_id", "f", "n")
     assert rows(store.read("vocab"), "term", "doc", "cnt") == rows(X.vocabulary(X.postings(chunks)), "term", "doc", "cnt")
 
 
