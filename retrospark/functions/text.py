@@ -1,11 +1,10 @@
-"""Text expressions; all of them are built-in Spark expressions but indel_ratio."""
+"""Text expressions; all of them are built-in Spark expressions."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -147,35 +146,59 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, all of a's positions in one number at a time."""
-    masks: dict[str, int] = {}
-    for i, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for c in b:
-        u = row & masks.get(c, 0)
-        row = ((row + u) | (row - u)) & full
-    return len(a) - row.bit_count()
+#: Ends of a term in its grams, and characters up to which a term's places fit in a long.
+FIRST, LAST, PLACES = "\x02", "\x03", 62
 
 
-def indel_ratio(a: Column, b: Column) -> Column:
-    """200 * LCS / (len a + len b): similarity with insertions and deletions only."""
+def grams(c: Column) -> Column:
+    """Neighbouring characters of a term, its ends included: one more than it has characters."""
+    padded = F.concat(F.lit(FIRST), c, F.lit(LAST))
+    return F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substr(padded, i, F.lit(2)))
+
+
+def shared_grams(a_size: Column, b_size: Column, cut: float) -> Column:
+    """How many grams of a are in b at least, where indel_ratio reaches `cut`.
+
+    Of a common subsequence of n characters and the two ends, n + 1 pairs follow one another; each of the (a - n) characters
+    that only a has, and of the (b - n) that only b has, parts one of them at most. Without an effect (0 or less) for
+    cuts up to 66.6.
+    """
+    both = a_size + b_size
+    return 3 * F.ceil(both * cut / 200 - 1e-9) - both + 1
+
 
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else 100.0 if not p + q else 200.0 * common_subsequence(p, q) / (len(p) + len(q)) for p, q in zip(x, y, strict=True)], dtype="float64")
+def letter_masks(a: Column) -> Column:
+    """For each character of a, of PLACES characters at most, the places where it stands as bits of a long."""
+    chars = F.split(a, "")
+    places = lambda c: F.aggregate(F.sequence(F.lit(1), F.length(a)), F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(F.when(F.substr(a, i, F.lit(1)) == c, F.call_function("shiftleft", F.lit(1).cast("long"), i - 1)).otherwise(F.lit(0).cast("long"))))
+    return F.map_from_entries(F.transform(F.array_distinct(chars), lambda c: F.struct(c, places(c))))
 
-    return F.pandas_udf(ratio, "double")(a, b)
 
+def common_subsequence(a: Column, b: Column, masks: Column | None = None) -> Column:
+    """Length of the longest common subsequence: all of a's places in one long, a step for each character of b. Longer ones
+    go by a row of lengths. masks: letter_masks(a), where it is there already."""
+    masks = letter_masks(a) if masks is None else masks
+    zero = F.lit(0).cast("long")
+    full = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(a)) - 1
 
-def ratio_bound(a: Column, b: Column) -> Column:
-    """No pair's indel_ratio is above this."""
-    return 200.0 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
+    def step(row: Column, c: Column) -> Column:
+        # The places of c that are still free: the lowest of each run of them is taken.
+        free = row.bitwiseAND(F.coalesce(F.try_element_at(masks, c), zero))
+        return (row + free).bitwiseOR(row - free).bitwiseAND(full)
 
+    short = F.length(a) - F.bit_count(F.aggregate(F.split(b, ""), full, step))
+    places = F.sequence(F.lit(1), F.length(a))
+    nothing = F.array_repeat(F.lit(0), F.length(a) + 1)
 
-def letters_bound(a: Column, b: Column) -> Column:
-    """No pair's indel_ratio is above this: letters of either that the other lacks match nothing."""
-    nothing = F.lit("")
-    shared = lambda x, y: F.length(x) - F.length(F.call_function("translate", x, y, nothing))
-    return 200.0 * F.least(shared(a, b), shared(b, a)) / (F.length(a) + F.length(b))
+    def row_after(row: Column, c: Column) -> Column:
+        grown = lambda out, i: F.array_append(out, F.greatest(F.element_at(row, i + 1), F.element_at(out, -1), F.element_at(row, i) + (F.substr(a, i, F.lit(1)) == c).cast("int")))
+        return F.aggregate(places, F.array(F.lit(0)), grown)
+
+    long = F.element_at(F.aggregate(F.split(b, ""), nothing, row_after), -1)
+    return F.when((a == "") | (b == ""), 0).when(F.length(a) <= PLACES, short).otherwise(long)
+
+
+def indel_ratio(a: Column, b: Column, masks: Column | None = None) -> Column:
+    """200 * LCS / (len a + len b): similarity with insertions and deletions only."""
+    both = F.length(a) + F.length(b)
+    return F.when(both == 0, 100.0).otherwise(200.0 * common_subsequence(a, b, masks) / both)

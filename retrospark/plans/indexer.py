@@ -22,6 +22,7 @@ from retrospark.config import Settings
 from retrospark.embeddings import Provider, embed_with_cache
 from retrospark.functions import text as T
 from retrospark.operators import sessions as S
+from retrospark.operators.expand import gram_index
 from retrospark.operators.impact import alive as still_there
 from retrospark.operators.impact import counts_by_chunk, impact_blocks, unpacked
 from retrospark.operators.text_index import document_lengths, postings, vocabulary, vocabulary_of_counts
@@ -136,7 +137,7 @@ class Store:
             vectors = self.spark.createDataFrame([], "chunk_id long, embedding array<float>")
         # Segments of before there were blocks by impact make a search score all postings.
         whole = all("impacts" in tables for _, tables in v.segments if "postings" in tables)
-        return Index(self.read("chunks", v), self.read("sessions", v), vectors, self.read("postings", v), self.read("lengths", v), self.read("vocab", v), self.read("impacts", v) if whole else None, self._rows("dead_chunks", v))
+        return Index(self.read("chunks", v), self.read("sessions", v), vectors, self.read("postings", v), self.read("lengths", v), self.read("vocab", v), self.read("impacts", v) if whole else None, self._rows("dead_chunks", v), self._rows("terms", v) if all("terms" in tables for _, tables in v.segments if "chunks" in tables) else None)
 
 
 def session_rows(files: DataFrame, messages: DataFrame) -> DataFrame:
@@ -157,7 +158,7 @@ def indexed(chunks: DataFrame) -> dict[str, DataFrame]:
     p = materialize(postings(chunks), "postings")
     lengths = materialize(document_lengths(chunks), "lengths")
     counts = materialize(counts_by_chunk(p, lengths), "counts")
-    return {"postings": p.repartitionByRange("term").sortWithinPartitions("term", "chunk_id"), "impacts": impact_blocks(counts), "lengths": lengths, "vocab": vocabulary_of_counts(counts)}
+    return {"postings": p.repartitionByRange("term").sortWithinPartitions("term", "chunk_id"), "impacts": impact_blocks(counts), "lengths": lengths} | vocabulary_tables(vocabulary_of_counts(counts))
 
 
 def without(store: Store, v: Version, gone: DataFrame) -> DataFrame:
@@ -209,7 +210,7 @@ def update(store: Store, root: str, full: bool = False, include_subagents: bool
     report.chunks = chunks.count()
     tables |= {"chunks": chunks} | indexed(chunks)
     if "dead_chunks" in tables:
-        tables["vocab"] = tables["vocab"].unionByName(without(store, v, tables["dead_chunks"]))
+        tables["vocab"] = tables["vocab"].unionByName(without(store, v, tables["dead_chunks"])).repartitionByRange("term").sortWithinPartitions("term")
     if provider is not None:
         tables["vectors"], tables["cache"] = embed_with_cache(chunks, store.read("cache", v), provider)
     v = store.write(tables | _log(store, v, began, report), v, v.next_chunk + report.chunks)
@@ -218,6 +219,12 @@ def update(store: Store, root: str, full: bool = False, include_subagents: bool
     return report
 
 
+def vocabulary_tables(vocab: DataFrame) -> dict[str, DataFrame]:
+    """The vocabulary and its gram index, both in an order that lets a search pass over files."""
+    vocab = materialize(vocab, "vocab")
+    return {"vocab": vocab.repartitionByRange("term").sortWithinPartitions("term"), "terms": gram_index(vocab)}
+
+
 def impact_rows(blocks: DataFrame, dead: DataFrame | None) -> DataFrame:
     """The postings of blocks whose chunks are alive."""
     return still_there(unpacked(blocks, "term"), dead)
@@ -232,6 +239,8 @@ def compact(store: Store) -> None:
         alive["impacts"] = impact_blocks(materialize(impact_rows(alive["impacts"], store._rows("dead_chunks", v)), "counts"))
     if "postings" in alive:
         alive["postings"] = alive["postings"].repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
+    if "vocab" in alive:
+        alive |= vocabulary_tables(alive["vocab"])
     store.write(alive, Version(v.number, [], v.next_chunk))
 
 

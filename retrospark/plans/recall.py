@@ -30,6 +30,15 @@ class Index:
     vocab: DataFrame
     impacts: DataFrame | None = None  # blocks of postings by impact, and the chunks in them that are gone
     dead: DataFrame | None = None
+    terms: DataFrame | None = None  # the vocabulary's gram index
+
+    def known(self, queries: DataFrame, settings: Settings) -> DataFrame:
+        """The vocabulary's rows that queries name, read once for all that ask."""
+        return E.known_terms(self.vocab, E.asked_words(queries, settings))
+
+    def expand(self, queries: DataFrame, settings: Settings, known: DataFrame | None = None) -> DataFrame:
+        """A few rows for each query, read by several branches of a plan: variants are looked for once."""
+        return settle(E.expand(queries, self.vocab, settings, self.terms, self.known(queries, settings) if known is None else known), "expanded")
 
     @classmethod
     def of(cls, chunks: DataFrame, vectors: DataFrame, sessions: DataFrame | None = None) -> Index:
@@ -48,8 +57,7 @@ def vector_search(index: Index, queries: DataFrame, k: int, session: str | None
 
 def keyword_search(index: Index, queries: DataFrame, k: int, session: str | None = None, settings: Settings = Settings(), corrected: bool = False, expanded: DataFrame | None = None) -> DataFrame:
     """The k best chunks of each query by BM25. score is 1 / (1 + rank), which falls as the match gets better; corrected, r / (1 + r)."""
-    # A few rows for each query, read by several branches of the plan: variants are looked for once.
-    expanded = settle(E.expand(queries, index.vocab, settings), "expanded") if expanded is None else expanded
+    expanded = index.expand(queries, settings) if expanded is None else expanded
     bare = settle(E.bare_phrases(queries, expanded), "bare")
     some = bare.select("query_id", F.posexplode("phrases").alias("phrase_no", "form")).select("query_id", "phrase_no", E.T.index_terms(F.col("form")).alias("terms"))
     phrases = E.phrases(expanded).unionByName(some)
@@ -76,8 +84,9 @@ def keyword_search(index: Index, queries: DataFrame, k: int, session: str | None
 
 def hybrid_search(index: Index, queries: DataFrame, k: int, session: str | None = None, settings: Settings = Settings(), weights: DataFrame | None = None, corrected: bool = False) -> DataFrame:
     """query_id, place, score, sources and the chunk: both searches with twice as many results, fused."""
-    weights = E.classify(queries, index.vocab, settings) if weights is None else weights
-    fused = R.fuse(vector_search(index, queries, 2 * k, session, settings), keyword_search(index, queries, 2 * k, session, settings, corrected), weights, settings)
+    known = index.known(queries, settings)
+    weights = settle(E.classify(queries, index.vocab, settings, known), "weights") if weights is None else weights
+    fused = R.fuse(vector_search(index, queries, 2 * k, session, settings), keyword_search(index, queries, 2 * k, session, settings, corrected, index.expand(queries, settings, known)), weights, settings)
     return top_k(fused, k, F.desc("score"), F.col("first"), name="place").drop("first")
 
 
@@ -95,9 +104,9 @@ def recall(index: Index, queries: DataFrame, limit: int = 5, session: str | None
     return chosen.join(index.sessions.select("session_id", *names), "session_id")
 
 
-def query_info(queries: DataFrame, vocab: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def query_info(queries: DataFrame, vocab: DataFrame, settings: Settings = Settings(), terms: DataFrame | None = None) -> DataFrame:
     """query_id, normalized_query, expansions (array of struct(original, expanded, type)), search_mode."""
-    e = E.expand(queries, vocab, settings).filter("kind <> 'literal'").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("token").alias("original"), "expanded", F.col("kind").alias("type")))), lambda s: s.dropFields("n")).alias("expansions"))
+    e = E.expand(queries, vocab, settings, terms).filter("kind <> 'literal'").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("token").alias("original"), "expanded", F.col("kind").alias("type")))), lambda s: s.dropFields("n")).alias("expansions"))
     mode = E.classify(queries, vocab, settings).select("query_id", F.col("mode").alias("search_mode"))
     return queries.select("query_id", E.T.normalize_separators(F.col("text")).alias("normalized_query")).join(e, "query_id", "left").join(mode, "query_id")
 

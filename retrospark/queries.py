@@ -325,7 +325,7 @@ def fuzzy_sql() -> str:
 @query(fuzzy_sql())
 def fuzzy_variants(spark, sf_dir):
     tokens = E.tokens(spark.createDataFrame(ASKED, "query_id long, text string"))
-    vocab = X.vocabulary_of(documents(spark, sf_dir))
+    vocab = materialize(X.vocabulary_of(documents(spark, sf_dir)), "vocab")
     return E.fuzzy_variants(tokens.filter(F.length("token") >= 4), vocab).select("token", "term", F.round("ratio", 4).alias("ratio"), "doc", "p")
 
 
@@ -351,7 +351,10 @@ def classify_query(spark, sf_dir):
 def message_index(spark: SparkSession, sf_dir: str) -> Index:
     chunks = materialize(message_chunks(spark, sf_dir), "chunks")
     p = materialize(X.postings(chunks), "postings")
-    return Index(chunks, None, vectors(spark, sf_dir).select("chunk_id", "embedding"), p, materialize(X.document_lengths(chunks), "lengths"), materialize(X.vocabulary_of(chunks), "vocab"))
+    lengths = materialize(X.document_lengths(chunks), "lengths")
+    counts = materialize(counts_by_chunk(p, lengths), "counts")
+    vocab = materialize(X.vocabulary_of_counts(counts), "vocab")
+    return Index(chunks, None, vectors(spark, sf_dir).select("chunk_id", "embedding"), p, lengths, vocab, materialize(impact_blocks(counts), "impacts"), None, materialize(E.gram_index(vocab), "terms"))
 
 
 MSG_TERMS = "regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')"

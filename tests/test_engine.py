@@ -63,8 +63,44 @@ def test_chunker(spark, text, sizes):
 
 
 @pytest.mark.parametrize(("a", "b", "ratio"), [("abse", "absa", 75.0), ("nuvex", "novex", 80.0), ("novax", "novex", 80.0), ("mexton", "maxton", 83.33), ("sqilte", "sqlite", 83.33), ("chromdb", "chromadb", 93.33), ("lance", "lancedb", 83.33), ("lance", "balanced", 76.92), ("lance", "lancar", 72.73)])
-def test_ratio(a, b, ratio):
-    assert round(200 * T.common_subsequence(a, b) / (len(a) + len(b)), 2) == ratio
+def test_ratio(spark, a, b, ratio):
+    assert round(one(spark, T.indel_ratio(F.lit(a), F.lit(b))), 2) == ratio
+
+
+def common(a, b):
+    """Length of the longest common subsequence, by a table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_subsequences_equal_the_table(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcé漢𝄞") for _ in range(n))
+    pairs = [(word(rng.randrange(12)), word(rng.randrange(12))) for _ in range(150)] + [(word(n), word(m)) for n in (61, 62, 63, 64, 90) for m in (5, 62, 80)] + [("", ""), ("a", ""), ("", "a")]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", T.common_subsequence(F.col("a"), F.col("b")).alias("n"), T.indel_ratio(F.col("a"), F.col("b")).alias("r"))
+    for r in df.collect():
+        assert r.n == common(r.a, r.b) and r.r == (200.0 * r.n / (len(r.a) + len(r.b)) if r.a + r.b else 100.0)
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.8, 0.5])
+def test_near_terms_equal_all_pairs(spark, threshold):
+    """No pair is lost by grams or lengths, whatever the threshold, and no Python is in the plan."""
+    rng = random.Random(1)
+    base = ["".join(rng.choice("abcde") for _ in range(rng.randrange(3, 13))) for _ in range(150)] + ["x" * 70, "aaaa", "aaaaaa", "Ünïcode𝄞"]
+    change = lambda w: "".join(rng.choice(["", c, c, c, c + rng.choice("abcde")]) for c in w)
+    terms, asked = sorted(set(base)), sorted({change(w) for w in base} | {"x" * 66, "aaaaa", "abcd"} - {""})
+    settings = Settings(fuzzy_threshold=threshold)
+    index = E.gram_index(vocab_of(spark, *[(t, 1) for t in terms]))
+    near = E.near_terms(spark.createDataFrame([(t,) for t in asked], "token string"), index.union(index), settings)
+    want = {(a, t) for a in asked for t in terms if len(t) >= 4 and 200 * common(a, t) >= 100 * threshold * (len(a) + len(t)) - 1e-9}
+    got = [(r.token, r.term) for r in near.collect()]
+    assert len(want) > 100 and set(got) == want and len(got) == len(want)
+    plan = E.fuzzy_variants(spark.createDataFrame([("abcd",)], "token string"), vocab_of(spark, ("abce", 1)))._jdf.queryExecution().toString() + near._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
 def vocab_of(spark, *rows):
