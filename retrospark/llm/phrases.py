@@ -218,8 +218,9 @@ def _packed(codes: np.ndarray) -> bytes:
     return bytes([kind.itemsize]) + codes.astype(kind).tobytes()
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"u{data[0]}", offset=1)
+def _unpacked(data: bytes | pa.Buffer) -> np.ndarray:
+    data = memoryview(data)
+    return np.frombuffer(data, f"u{data.cast('B')[0]}", offset=1)
 
 
 def _pairs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,10 +283,10 @@ def _likely_words(pieces: Iterator, bits: np.ndarray) -> Iterator[tuple[bytes, p
 def _lists(b: pa.RecordBatch) -> Iterator[tuple]:
     """The rows of (block, codes, arrays ...): block, its sequences, and the arrays."""
     for block, codes, *arrays in zip(*b.columns, strict=True):
-        yield block.as_py(), [_unpacked(c) for c in codes.as_py()], *(x.values for x in arrays)
+        yield block.as_py(), [_unpacked(c.as_buffer()) for c in codes.values], *(x.values for x in arrays)
 
 
-def _block(block: int, codes: list[np.ndarray], ids: np.ndarray) -> pa.RecordBatch:
+def _block(block: int, codes: Iterator[np.ndarray], ids: np.ndarray) -> pa.RecordBatch:
     columns = [pa.array([block], pa.int64()), pa.array([[_packed(compact(c)) for c in codes]], pa.list_(pa.binary())), pa.array([ids], pa.list_(pa.int64()))]
     return pa.RecordBatch.from_arrays(columns, names=["block", "codes", "ids"])
 
@@ -298,19 +299,22 @@ def numbered_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             order = np.argsort(ids)
             new = np.zeros(1 + max(int(at.max(initial=-1)) + 1, *(int(c.max(initial=0)) for c in codes)), np.int64)
             new[at[order] + 1] = np.arange(1, len(ids) + 1)
-            yield _block(block, [new[c] for c in codes], ids[order])
+            yield _block(block, (new[c] for c in codes), ids[order])
     give_back()
 
 
 def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """left, right, n: a row for each distinct pair of a block."""
+    """left, right, n: a row for each distinct pair of some pieces."""
     for b in batches:
         for _, codes, ids in _lists(b):
-            each, times = zip(*(np.unique(_pairs(c)[1], return_counts=True) for c in codes), strict=True)
-            pairs, number = np.unique(np.concatenate(each), return_inverse=True)
-            n = np.bincount(number, np.concatenate(times), len(pairs)).astype(np.int64)
-            left, right = _of_pairs(ids.to_numpy(), pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n)], names=["left", "right", "n"])
+            for pieces in _grouped(iter(codes), COUNTED_PIECES):
+                # Sorted in place, so that little more than the pairs is held.
+                pairs = np.concatenate([_pairs(c)[1] for c in pieces])
+                pairs.sort()
+                first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))[: len(pairs)])
+                n = np.diff(np.append(first, len(pairs)))
+                left, right = _of_pairs(ids.to_numpy(), pairs[first])
+                yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n.astype(np.int64))], names=["left", "right", "n"])
     give_back()
 
 
@@ -349,14 +353,15 @@ def numbered_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             keys = (np.searchsorted(ids, left) + 1) << 32 | (np.searchsorted(ids, right) + 1)
             rank, order = np.argsort(np.argsort(new)) + 1, np.argsort(keys)
             keys, rank = keys[order], rank[order]
-            out = []
-            for c in codes:
+
+            def named(c: np.ndarray, keys=keys, rank=rank) -> np.ndarray:
                 at, pairs = _pairs(c)
                 where = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
                 numbers = np.zeros(len(c), np.int64)
                 numbers[at] = np.where(keys[where] == pairs, rank[where], 0)
-                out.append(numbers)
-            yield _block(block, out, np.sort(new))
+                return numbers
+
+            yield _block(block, map(named, codes), np.sort(new))
     give_back()
 
 
