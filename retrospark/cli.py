@@ -73,7 +73,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
         backfill(store, embedder)
         return "all chunks have a vector"
     if args.command == "doctor":
-        rows = admin.doctor(store.read("sessions"), store.read("chunks"), store.read("vectors"), settings.dimensions, jsonl.scan(spark, args.logs, True)).collect()
+        rows = admin.doctor(store.read("sessions"), store.read("chunks"), store.read("vectors"), settings.dimensions, jsonl.listing(spark, args.logs, True)).collect()
         return "\n".join(f"{'ok ' if r.ok else 'BAD'} {r.check} {r.detail}" for r in rows)
     index = store.index()
     if args.command == "status":

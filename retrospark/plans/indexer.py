@@ -178,17 +178,18 @@ def update(store: Store, root: str, full: bool = False, include_subagents: bool
     began = spark.sql("select current_timestamp() t").first().t
     v = Version() if full else store.version()
     old = store.read("sessions", v)
-    files = jsonl.with_status(jsonl.scan(spark, root, include_subagents), old)
-    scanned = files.drop("content").count()
-    new = materialize(jsonl.changed(files), "changed")
-    readable = jsonl.readable(F.col("content"))
-    errors = [f"{r.file_path.rsplit('/', 1)[-1]}: not UTF-8" for r in new.filter(~readable).select("file_path").orderBy("file_path").toLocalIterator()]
-    new = new.filter(readable)
-    report = Report(scanned, new.drop("content").count(), 0, errors)
+    files = materialize(jsonl.with_status(jsonl.scan(spark, root, include_subagents), old), "files")
+    lines = jsonl.read(spark, root, jsonl.changed(files))
+    lines = materialize(lines, "parsed")
+    bad = materialize(jsonl.unreadable(lines), "bad")
+    told = files.filter("status = 'unreadable'").select("file_path", F.lit("can't be read").alias("why")).union(bad.select("file_path", F.lit("not UTF-8")))
+    errors = [f"{r.file_path.rsplit('/', 1)[-1]}: {r.why}" for r in told.orderBy("file_path").toLocalIterator()]
+    new = jsonl.changed(files).join(bad, "file_path", "left_anti")
+    report = Report(files.count(), new.count(), 0, errors)
     if not report.indexed and old is not None:
         store.write(_log(store, v, began, report), v)
         return report
-    messages = materialize(jsonl.messages(new), "messages")
+    messages = materialize(jsonl.messages(lines.join(bad, "file_path", "left_anti")), "messages")
     rows = materialize(session_rows(new, messages), "sessions")
     chunks = S.chunks(messages, settings)
     tables = {"sessions": rows}

@@ -1,6 +1,7 @@
 """All queries against their SQL, and operators against hand-made cases."""
 
 import datetime
+import hashlib
 import http.server
 import json
 import math
@@ -378,6 +379,65 @@ def test_ingest(spark, tmp_path):
     del os.environ["RETROSPARK_DIMENSIONS"]
 
 
+def test_lines_of_splits(spark, tmp_path):
+    """Splits of 1 KB give the rows of whole files: numbers of physical lines, blank, broken and very long ones among them."""
+    rng = random.Random(8)
+    root = tmp_path / "logs with + and %20"
+    wanted = {}
+    for f in range(5):
+        lines = []
+        for i in range(rng.randrange(1, 160)):
+            kind = rng.random()
+            lines.append("" if kind < 0.1 else "{broken" if kind < 0.2 else "[1, 2]" if kind < 0.25 else json.dumps(entry("user", f"u{f}-{i}", i % 60, "é漢" * rng.choice([1, 20, 20, 3000 if kind > 0.97 else 9])), ensure_ascii=False))
+        path = root / f"p{f}" / f"s [{f}] {{+%41,}}.jsonl"
+        log(path, *lines)
+        if f % 2:
+            path.write_text(path.read_text(encoding="utf-8") + "\n", encoding="utf-8")
+        wanted |= {(str(path), n + 1): json.loads(x)["uuid"] for n, x in enumerate(lines) if x.startswith("{\"")}
+    files = jsonl.scan(spark, str(root))
+    assert {(r.file_path, r.file_size, r.file_hash) for r in files.collect()} == {(str(p), p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in root.rglob("*.jsonl")}
+    rows = lambda: {(r.file_path, r.line): r.uuid for r in jsonl.messages(jsonl.read(spark, str(root), files)).collect()}
+    hashes = lambda: {r.file_path: r.file_hash for r in jsonl.scan(spark, str(root), whole_bytes=100).collect()}
+    whole, grouped = rows(), hashes()
+    assert whole == wanted and len(set(grouped.values())) == 5 and None not in grouped.values()
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "1024")
+        assert jsonl._splits(spark, str(root)).select("file_path", "start").distinct().count() > 50
+        assert rows() == wanted and hashes() == grouped
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    named = jsonl.NAMED_FILES
+    jsonl.NAMED_FILES = 2  # from the folder, as there are too many to name
+    try:
+        assert rows() == wanted and jsonl.read(spark, str(root), files.filter("false")).count() == 0
+    finally:
+        jsonl.NAMED_FILES = named
+    assert jsonl.scan(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_files_that_cannot_be_read(spark, tmp_path):
+    """A file whose bytes don't match their checksum is reported; the rest is indexed; when it is mended, so is the index."""
+    root = tmp_path / "logs"
+    for name in ("good", "torn", "torn-large"):
+        log(root / "p" / f"{name}.jsonl", *[entry("user", f"{name}{i}", i, f"{name} says {i}") for i in range(20)])
+    for name in ("torn", "torn-large"):
+        (root / "p" / f".{name}.jsonl.crc").write_bytes(b"crc\x00\x00\x00\x02\x00" + bytes(400))
+    store = Store(spark, f"file://{tmp_path}/index")
+    first = update(store, str(root))
+    assert (first.scanned, first.indexed) == (3, 1) and first.errors == ["torn-large.jsonl: can't be read", "torn.jsonl: can't be read"]
+    assert {r.session_id for r in store.read("sessions").collect()} == {"good"} and store.read("runs").first().errors == first.errors
+    assert {r.file_path.rsplit("/", 1)[-1] for r in jsonl.scan(spark, str(root), whole_bytes=10).filter("file_hash is null").collect()} == {"torn.jsonl", "torn-large.jsonl"}
+    for name in ("torn", "torn-large"):
+        (root / "p" / f".{name}.jsonl.crc").unlink()
+    second = update(store, str(root))
+    assert (second.indexed, second.errors) == (2, []) and store.read("sessions").count() == 3
+    assert_index_is_whole(store)
+
+
 def assert_index_is_whole(store):
     """The text index of all segments is that of the chunks that are alive."""
     chunks = store.read("chunks")
