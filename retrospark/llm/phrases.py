@@ -42,7 +42,7 @@ from retrospark.llm.workers import give_back
 from retrospark.storage import discard, materialize
 
 MIN_COUNT, LONGEST, TOP, SUBSUMED = 30, 4, 2000, 80
-BLOCK_BYTES, BLOCK_PIECES, COUNTED_PIECES, FILTER_BITS = 1 << 20, 24, 12, 1 << 25
+BLOCK_BYTES, BLOCK_PIECES, COUNTED_PIECES, FILTER_BITS, SENT_ROWS = 1 << 20, 24, 8, 1 << 25, 1 << 15
 U64 = np.uint64
 # Bytes: 0 of words, 1 between words, 2 between pieces.
 _KIND = np.zeros(256, np.uint8)
@@ -140,7 +140,8 @@ def _word_arrays(low, starts, ends, lang, names, chosen) -> tuple[pa.Array, pa.A
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, word, n: a row for each distinct word of some pieces."""
     for pieces in _grouped(map(_counted, text_blocks(batches)), COUNTED_PIECES):
-        yield from _added_up(pieces).combine_chunks().to_batches()
+        yield from _added_up(pieces).to_batches(max_chunksize=SENT_ROWS)
+        give_back()
     give_back()
 
 
@@ -313,8 +314,11 @@ def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pairs.sort()
                 first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))[: len(pairs)])
                 n = np.diff(np.append(first, len(pairs)))
-                left, right = _of_pairs(ids.to_numpy(), pairs[first])
-                yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n.astype(np.int64))], names=["left", "right", "n"])
+                pairs = pairs[first]
+                for i in range(0, len(pairs), SENT_ROWS):
+                    left, right = _of_pairs(ids.to_numpy(), pairs[i : i + SENT_ROWS])
+                    yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n[i : i + SENT_ROWS].astype(np.int64))], names=["left", "right", "n"])
+            give_back()
     give_back()
 
 
@@ -337,8 +341,9 @@ def likely_pairs(blocks: DataFrame, bits: np.ndarray) -> DataFrame:
                     there[at[some]] = True
                     each.append(np.unique(pairs[some & (there[at - 1] | there[at + 1])]))
                 pairs = np.unique(np.concatenate(each))
-                left, right = _of_pairs(ids, pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), block, np.int64)), pa.array(left), pa.array(right)], names=["block", "left", "right"])
+                for i in range(0, len(pairs), SENT_ROWS):
+                    left, right = _of_pairs(ids, pairs[i : i + SENT_ROWS])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), block, np.int64)), pa.array(left), pa.array(right)], names=["block", "left", "right"])
         give_back()
 
     return blocks.select("block", "codes", "ids").mapInArrow(run, "block long, left long, right long")
