@@ -3,7 +3,11 @@
 An update writes a segment, a folder with the rows that are new, and then a version, a small file that names all segments;
 versions are numbered, and one appears by a rename, so readers see the one before or the one after. Segments are never
 changed: chunks that are gone are named in a table of their own, and what a term's counts lose is written as a
-negative number. Segments are merged when there are many. Versions but the last two go, and segments that only they name.
+negative number. Versions but the last two go, and segments that only they name.
+
+Segments are merged by size: those of one class (chunks up to FANOUT, up to its square, and so on; a segment counts as large
+as the largest after it) become one when FANOUT of them are neighbours. So a chunk is written again when it gets to a larger
+class only, as often as the logarithm of the index's size at most, and there are fewer than FANOUT segments of each class.
 
 Of a session whose file has changed, chunks with the same number, role and text stay as they are, with their vectors;
 so a session that has grown costs what it has grown by.
@@ -30,8 +34,8 @@ from retrospark.plans.recall import Index
 from retrospark.sources import jsonl
 from retrospark.storage import materialize
 
-#: Tables of rows that belong to a chunk, and segments up to which nothing is merged.
-OF_CHUNKS, MOST_SEGMENTS = ("chunks", "vectors", "postings", "lengths"), 16
+#: Tables of rows that belong to a chunk, and segments of one class that are merged.
+OF_CHUNKS, FANOUT = ("chunks", "vectors", "postings", "lengths"), 4
 
 
 @dataclass
@@ -48,14 +52,18 @@ class Report:
 
 @dataclass
 class Version:
-    """What a version's file says: its segments, oldest first, each with its tables; and the next free chunk number."""
+    """What a version's file says: its segments, oldest first, each with its tables and chunks; and the next free chunk number."""
 
     number: int = -1
     segments: list[list] = field(default_factory=list)
     next_chunk: int = 0
 
     def paths(self, table: str) -> list[str]:
-        return [f"{name}/{table}" for name, tables in self.segments if table in tables]
+        return [f"{name}/{table}" for name, tables, *_ in self.segments if table in tables]
+
+    def sizes(self) -> list[int | None]:
+        """Chunks of each segment, None where the file doesn't say."""
+        return [size[0] if size else None for _, _, *size in self.segments]
 
 
 class Store:
@@ -90,25 +98,31 @@ class Store:
         if table in OF_CHUNKS and (dead := self._rows("dead_chunks", v)) is not None:
             rows = rows.join(dead, "chunk_id", "left_anti")
         if table == "sessions":
-            if (dead := self._rows("dead_sessions", v)) is not None:
-                upto = dead.groupBy("session_id").agg(F.max("before").alias("before"))
-                rows = rows.join(upto, (rows.session_id == upto.session_id) & (F.col("segment") < F.col("before")), "left_anti")
-            rows = rows.drop("segment")
+            rows = self._alive_sessions(rows, v).drop("segment")
         if table == "vocab" and len(v.paths("vocab")) > 1:
             rows = rows.groupBy("term").agg(F.sum("doc").alias("doc"), F.sum("cnt").alias("cnt")).filter("doc > 0")
         return rows
 
+    def _alive_sessions(self, rows: DataFrame, v: Version) -> DataFrame:
+        if (dead := self._rows("dead_sessions", v)) is None:
+            return rows
+        upto = dead.groupBy("session_id").agg(F.max("before").alias("before"))
+        return rows.join(upto, (rows.session_id == upto.session_id) & (F.col("segment") < F.col("before")), "left_anti")
+
     def _rows(self, table: str, v: Version) -> DataFrame | None:
         paths = [f"{self.root}/{p}" for p in v.paths(table)]
         return self.spark.read.parquet(*paths) if paths else None
 
-    def write(self, tables: dict[str, DataFrame], before: Version, next_chunk: int | None = None) -> Version:
-        """Write a segment after those of `before`, then the version that names it."""
+    def write(self, tables: dict[str, DataFrame], before: Version, next_chunk: int | None = None, instead: slice | None = None) -> Version:
+        """Write a segment after those of `before`, or instead of some of them, then the version that names it."""
         number, name = (self._numbers() or [-1])[-1] + 1, f"segment-{uuid.uuid4().hex}"
         for table, df in tables.items():
-            rows = df.withColumn("segment", F.lit(number).cast("long")) if table == "sessions" else df
+            rows = df.withColumn("segment", F.lit(number).cast("long")) if table == "sessions" and "segment" not in df.columns else df
             rows.write.parquet(f"{self.root}/{name}/{table}")
-        v = Version(number, [*before.segments, [name, sorted(tables)]], before.next_chunk if next_chunk is None else next_chunk)
+        size = self.spark.read.parquet(f"{self.root}/{name}/chunks").count() if "chunks" in tables else 0
+        segments = list(before.segments)
+        segments[instead or slice(len(segments), None)] = [[name, sorted(tables), size]]
+        v = Version(number, segments, before.next_chunk if next_chunk is None else next_chunk)
         draft = self._path(f"{self.root}/versions/draft-{uuid.uuid4().hex}")
         out = self._fs.create(draft, False)
         out.write(bytearray(json.dumps({"segments": v.segments, "next_chunk": v.next_chunk}).encode()))
@@ -121,9 +135,9 @@ class Store:
     def _forget(self) -> None:
         """Delete what only versions before the last two name."""
         numbers = self._numbers()
-        needed = {name for n in numbers[-2:] for name, _ in self.version(n).segments}
+        needed = {name for n in numbers[-2:] for name, *_ in self.version(n).segments}
         for n in numbers[:-2]:
-            for name, _ in self.version(n).segments:
+            for name, *_ in self.version(n).segments:
                 if name not in needed:
                     self._fs.delete(self._path(f"{self.root}/{name}"), True)
             self._fs.delete(self._path(f"{self.root}/versions/{n:08d}"), False)
@@ -136,8 +150,8 @@ class Store:
         if vectors is None:
             vectors = self.spark.createDataFrame([], "chunk_id long, embedding array<float>")
         # Segments of before there were blocks by impact make a search score all postings.
-        whole = all("impacts" in tables for _, tables in v.segments if "postings" in tables)
-        return Index(self.read("chunks", v), self.read("sessions", v), vectors, self.read("postings", v), self.read("lengths", v), self.read("vocab", v), self.read("impacts", v) if whole else None, self._rows("dead_chunks", v), self._rows("terms", v) if all("terms" in tables for _, tables in v.segments if "chunks" in tables) else None)
+        whole = all("impacts" in tables for _, tables, *_ in v.segments if "postings" in tables)
+        return Index(self.read("chunks", v), self.read("sessions", v), vectors, self.read("postings", v), self.read("lengths", v), self.read("vocab", v), self.read("impacts", v) if whole else None, self._rows("dead_chunks", v), self._rows("terms", v) if all("terms" in tables for _, tables, *_ in v.segments if "chunks" in tables) else None)
 
 
 def session_rows(files: DataFrame, messages: DataFrame) -> DataFrame:
@@ -188,6 +202,7 @@ def update(store: Store, root: str, full: bool = False, include_subagents: bool
     report = Report(files.count(), new.count(), 0, errors)
     if not report.indexed and old is not None:
         store.write(_log(store, v, began, report), v)
+        merge(store)
         return report
     messages = materialize(jsonl.messages(lines.join(bad, "file_path", "left_anti")), "messages")
     rows = materialize(session_rows(new, messages), "sessions")
@@ -215,8 +230,7 @@ def update(store: Store, root: str, full: bool = False, include_subagents: bool
     if provider is not None:
         tables["vectors"], tables["cache"] = embed_with_cache(chunks, store.read("cache", v), provider)
     v = store.write(tables | _log(store, v, began, report), v, v.next_chunk + report.chunks)
-    if len(v.segments) > MOST_SEGMENTS:
-        compact(store)
+    merge(store)
     return report
 
 
@@ -231,18 +245,62 @@ def impact_rows(blocks: DataFrame, dead: DataFrame | None) -> DataFrame:
     return still_there(unpacked(blocks, "term"), dead)
 
 
+def due(sizes: list[int | None], fanout: int | None = None) -> slice | None:
+    """Of segments with so many chunks, oldest first, the neighbours to be merged next; None if there are none. Segments of
+    unknown size are larger than all."""
+    fanout = FANOUT if fanout is None else fanout
+    classes, largest = [], 0
+    for n in reversed(sizes):
+        size_class = 1 << 30 if n is None else next(c for c in range(1 << 30) if n <= fanout**c)
+        largest = max(largest, size_class)
+        classes.insert(0, largest)
+    end = len(classes)
+    while end:  # from the smallest class
+        start = end - 1
+        while start and classes[start - 1] == classes[end - 1]:
+            start -= 1
+        if end - start >= fanout and classes[start] < 1 << 30:
+            return slice(start, end)
+        end = start
+    return None
+
+
+def merge(store: Store) -> None:
+    """Merge segments until there are fewer than FANOUT of each class."""
+    while (part := due((v := store.version()).sizes())) is not None:
+        merge_segments(store, v, part)
+
+
+def merge_segments(store: Store, v: Version, part: slice) -> Version:
+    """Write what is alive of some neighbouring segments as one in their place."""
+    own, oldest = Version(v.number, v.segments[part], v.next_chunk), part.start == 0
+    rows, dead = {t: store._rows(t, own) for t in sorted({t for _, tables, *_ in own.segments for t in tables})}, store._rows("dead_chunks", v)
+    out = {t: df for t, df in rows.items() if t not in ("dead_chunks", "dead_sessions", "terms")}
+    for t in out.keys() & set(OF_CHUNKS):
+        out[t] = still_there(out[t], dead)
+    if "postings" in out:
+        out["postings"] = out["postings"].repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
+    if "impacts" in out:
+        out["impacts"] = impact_blocks(materialize(impact_rows(rows["impacts"], dead), "counts"))
+    if "sessions" in out:
+        out["sessions"] = store._alive_sessions(out["sessions"], v)
+    if "vocab" in out:
+        sums = out["vocab"].groupBy("term").agg(F.sum("doc").alias("doc"), F.sum("cnt").alias("cnt"))
+        # Counts may be lost to older segments, whose terms are in gram indexes of their own.
+        out |= vocabulary_tables(sums.filter("doc > 0" if oldest else "doc <> 0 or cnt <> 0"))
+    if not oldest:
+        # Of what is gone, what older segments hold is still to be named.
+        if "dead_chunks" in rows:
+            out["dead_chunks"] = rows["dead_chunks"].join(rows["chunks"].select("chunk_id"), "chunk_id", "left_anti") if "chunks" in rows else rows["dead_chunks"]
+        if "dead_sessions" in rows:
+            out["dead_sessions"] = rows["dead_sessions"].groupBy("session_id").agg(F.max("before").alias("before"))
+    return store.write(out, v, instead=part)
+
+
 def compact(store: Store) -> None:
     """Write all that is alive to one segment."""
     v = store.version()
-    names = sorted({t for _, tables in v.segments for t in tables} - {"dead_chunks", "dead_sessions"})
-    alive = {t: store.read(t, v) for t in names}
-    if "impacts" in alive:
-        alive["impacts"] = impact_blocks(materialize(impact_rows(alive["impacts"], store._rows("dead_chunks", v)), "counts"))
-    if "postings" in alive:
-        alive["postings"] = alive["postings"].repartitionByRange("term").sortWithinPartitions("term", "chunk_id")
-    if "vocab" in alive:
-        alive |= vocabulary_tables(alive["vocab"])
-    store.write(alive, Version(v.number, [], v.next_chunk))
+    merge_segments(store, v, slice(0, len(v.segments)))
 
 
 def _log(store: Store, v: Version, began, report: Report) -> dict[str, DataFrame]:

@@ -23,7 +23,7 @@ from retrospark.operators import impact as I
 from retrospark.operators import ranking as R
 from retrospark.operators import sessions as S
 from retrospark.operators import text_index as X
-from retrospark.plans import admin
+from retrospark.plans import admin, indexer
 from retrospark.operators import knn as knn_module
 from retrospark.plans.recall import Index, keyword_search
 from retrospark.plans.indexer import Store, backfill, compact, delete_session, impact_rows, last_chunk_index, update
@@ -488,6 +488,74 @@ def test_updates_append(spark, tmp_path):
     assert len(store._numbers()) == 2
 
 
+def test_segments_due():
+    """Which neighbours are merged, and that a chunk is written as often as the logarithm says whatever the updates' sizes."""
+    assert indexer.due([100, 1, 1, 1], 4) is None and indexer.due([100, 1, 0, 1, 1], 4) == slice(1, 5)
+    assert indexer.due([1, 1, 9, 16], 4) == slice(0, 4) and indexer.due([None, None, None, None, 1], 4) is None and indexer.due([], 4) is None
+    rng = random.Random(3)
+    for sizes in ([1] * 3000, [rng.choice([0, 1, 5, 40, 300]) for _ in range(3000)], [3000, *[1] * 3000], list(range(200))):
+        segments, written, most = [], 0, 0
+        for n in sizes:
+            segments.append(n)
+            written += n
+            while (part := indexer.due(segments, 4)) is not None:
+                written += sum(segments[part])
+                segments[part] = [sum(segments[part])]
+            most = max(most, len(segments))
+        classes = math.ceil(math.log(sum(sizes), 4)) + 1
+        assert most < 4 * classes and written <= sum(sizes) * (2 * classes + 1)
+
+
+def test_bytes_of_a_hundred_updates(spark, tmp_path):
+    """A hundred updates of one chunk each: what they write grows as n log n, and the last one's table is whole."""
+    store = Store(spark, f"file://{tmp_path}/index")
+    written, seen = [], set()
+    for i in range(100):
+        v = store.version()
+        store.write({"chunks": spark.range(v.next_chunk, v.next_chunk + 1, 1, 1).select(F.col("id").alias("chunk_id"), F.repeat(F.lit("x"), 2000 + (F.col("id") % 7).cast("int")).alias("content"))}, v, v.next_chunk + 1)
+        indexer.merge(store)
+        new = [s for s in store.version().segments if s[0] not in seen]
+        seen |= {s[0] for s in store.version().segments}
+        written.append(sum(s[2] for s in new))
+    assert store.read("chunks").count() == 100 and sorted(r.chunk_id for r in store.read("chunks").select("chunk_id").collect()) == list(range(100))
+    assert len(store.version().segments) < 4 * 5 and sum(store.version().sizes()) == 100
+    assert sum(written) <= 100 * 5 and sorted(written)[75] <= 4  # three of four updates write four chunks at most
+    assert len(store._numbers()) == 2 and len(list((tmp_path / "index").glob("segment-*"))) <= 30
+
+
+def test_merging_keeps_what_is_gone(spark, tmp_path, monkeypatch):
+    """Updates, shrinking files and deletions over segments that are merged in part: the index stays that of its chunks."""
+    monkeypatch.setattr(indexer, "FANOUT", 2)
+    root, store, embedder = tmp_path / "logs", Store(spark, f"file://{tmp_path}/index"), HashingProvider(8)
+    say = lambda name, n, more="": log(root / "p" / f"{name}.jsonl", *[entry("user", f"{name}{i}", i, f"{name} says {i} {more}") for i in range(n)])
+    say("old", 30)
+    update(store, str(root), provider=embedder)
+    say("one", 3)
+    update(store, str(root), provider=embedder)
+    say("one", 4)
+    say("old", 2, "other words")  # names chunks of the first segment as gone
+    update(store, str(root))
+    say("two", 3)
+    update(store, str(root), provider=embedder)
+    delete_session(store, "one")
+    indexer.merge(store)
+    v = store.version()
+    assert 1 < len(v.segments) < 5 and indexer.due(v.sizes()) is None and any("dead_chunks" in s[1] for s in v.segments[1:])
+    assert_index_is_whole(store)
+    assert {(r.session_id, r.n) for r in store.read("chunks").groupBy("session_id").agg(F.count("*").alias("n")).collect()} == {("old", 2), ("two", 3)}
+    assert {r.session_id for r in store.read("sessions").collect()} == {"old", "two"} and store.read("sessions").count() == 2
+    # A search reads the vocabulary's rows that it names only, whatever the segments.
+    index = store.index()
+    known = index.vocab.filter(F.col("term").isin(["says", "other"]))
+    assert len(v.paths("vocab")) > 1 and "In(term" in known._jdf.queryExecution().executedPlan().toString().replace(" ", "")
+    assert {r.term: r.doc for r in known.collect()} == {"says": 5, "other": 2}
+    asked = spark.createDataFrame([(0, "words says")], "query_id long, text string")
+    assert {r.session_id for r in keyword_search(index, asked, 9).collect()} == {"old", "two"}
+    compact(store)
+    assert len(store.version().segments) == 1 and not store.version().paths("dead_chunks")
+    assert_index_is_whole(store)
+
+
 def test_renderings():
     assert "Nenhum resultado" in admin.result_markdown([], "q", 3, 9) and "(3 sessões indexadas, 9 chunks no banco)" in admin.result_markdown([], "q", 3, 9)
     row = {"content": "about chromadb", "session_id": "12345678-9", "score": 0.5, "sources": ["vector", "fts5"], "ts": datetime.datetime(2024, 1, 2, 3, 4), "title": "t", "project_label": "p"}
