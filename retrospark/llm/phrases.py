@@ -42,7 +42,7 @@ from retrospark.llm.workers import give_back
 from retrospark.storage import discard, materialize
 
 MIN_COUNT, LONGEST, TOP, SUBSUMED = 30, 4, 2000, 80
-BLOCK_BYTES, BLOCK_PIECES, COUNTED_PIECES, FILTER_BITS, SENT_ROWS = 1 << 20, 24, 8, 1 << 25, 1 << 15
+BLOCK_BYTES, BLOCK_PIECES, COUNTED_PIECES, FILTER_BITS, SENT_ROWS = 1 << 20, 8, 8, 1 << 25, 1 << 15
 U64 = np.uint64
 # Bytes: 0 of words, 1 between words, 2 between pieces.
 _KIND = np.zeros(256, np.uint8)
