@@ -70,6 +70,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
         r = update(store, args.logs, args.full, args.subagents, embedder, settings)
         return f"{r.scanned} files, {r.indexed} indexed, {r.skipped} unchanged, {r.chunks} chunks"
     if args.command == "backfill":
+        if embedder is None:
+            return "no provider is set: RETROSPARK_PROVIDER names one"
         backfill(store, embedder)
         return "all chunks have a vector"
     if args.command == "doctor":

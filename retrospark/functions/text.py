@@ -72,25 +72,31 @@ def relevant_section(text: Column, markers: list[str], window: int = 1500) -> Co
     return F.when(first.isNotNull(), section).otherwise(F.substr(text, F.lit(1), F.lit(window)))
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once, as Spark computes what stands in a lambda each time that it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def chunk_text(text: Column, size: int = 1500, overlap: int = 200) -> Column:
-    """Overlapping pieces of at most `size` characters, cut at the last blank line where that is beyond a third."""
-    n = F.length(text)
+    """Overlapping pieces of at most `size` characters, cut at the last blank line where that is beyond a third.
+
+    Each step takes a piece off the front and carries the rest of the text, null when there is none.
+    """
     least = size // 3 + 1 - overlap
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(n / least).cast("int") + 1))
-    start0 = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    steps = F.sequence(F.lit(1), F.ceil(F.length(text) / least).cast("int") + 1)
 
-    def step(a: Column, _: Column) -> Column:
-        at = a["at"]
-        window = F.substr(text, at + 1, F.lit(size))
+    def end_of(window: Column, more: Column) -> Column:
         back = F.instr(F.reverse(window), "\n\n")
-        cut = at + (size - 1) - back
-        end = F.when((at + size < n) & (back > 0) & (cut > at + size // 3), cut).otherwise(at + size)
-        piece = strip(F.substr(text, at + 1, end - at))
-        out = F.when(piece != "", F.array_append(a["out"], piece)).otherwise(a["out"])
-        moved = F.struct(F.when(end < n, end - overlap).otherwise(n).cast("int").alias("at"), out.alias("out"))
-        return F.when(at < n, moved).otherwise(a)
-
-    return F.when(n <= size, F.array(text)).otherwise(F.aggregate(steps, start0, step, lambda a: a["out"]))
+        return let(F.when(more, back).otherwise(0), lambda b: F.when((b > 0) & (size - 1 - b > size // 3), size - 1 - b).otherwise(size))
+
+    def step(a: Column, _: Column) -> Column:
+        rest = a["rest"]
+        taken = let(F.substr(rest, F.lit(1), F.lit(size)), lambda w: let(end_of(w, F.length(rest) > size), lambda end: F.struct(end.cast("int").alias("end"), strip(F.substr(w, F.lit(1), end)).alias("piece"))))
+        after = lambda t: F.struct(F.when(F.length(rest) > t["end"], F.substr(rest, t["end"] - overlap + 1)).alias("rest"), F.when(t["piece"] != "", F.array_append(a["out"], t["piece"])).otherwise(a["out"]).alias("out"))
+        return F.when(rest.isNull(), a).otherwise(let(taken, after))
+
+    start = F.struct(text.alias("rest"), F.array().cast("array<string>").alias("out"))
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(F.aggregate(steps, start, step, lambda a: a["out"]))
 
 
 def highlight(text: Column, terms: list[str], before: str = "**`", after: str = "`**") -> Column:

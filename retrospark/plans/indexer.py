@@ -181,9 +181,10 @@ def without(store: Store, v: Version, gone: DataFrame) -> DataFrame:
     return lost.select("term", (-F.col("doc")).alias("doc"), (-F.col("cnt")).alias("cnt"))
 
 
-def last_chunk_index(chunks: DataFrame) -> DataFrame:
-    """session_id, last: the number of each session's last chunk."""
-    return chunks.groupBy("session_id").agg(F.max("chunk_index").alias("last"))
+def last_chunk_index(sessions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """session_id, last: the number of each session's last chunk, -1 for sessions without one."""
+    last = chunks.groupBy("session_id").agg(F.max("chunk_index").alias("last"))
+    return sessions.select("session_id").join(last, "session_id", "left").select("session_id", F.coalesce("last", F.lit(-1)).alias("last"))
 
 
 def update(store: Store, root: str, full: bool = False, include_subagents: bool = False, provider: Provider | None = None, settings: Settings = Settings()) -> Report:

@@ -111,9 +111,16 @@ def query_info(queries: DataFrame, vocab: DataFrame, settings: Settings = Settin
     return queries.select("query_id", E.T.normalize_separators(F.col("text")).alias("normalized_query")).join(e, "query_id", "left").join(mode, "query_id")
 
 
+def resolve_sessions(sessions: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """prefix, session_id: for each prefix the first session whose identifier begins so; the prefix itself if none does or it
+    is a whole identifier. Sessions meet prefixes by their first characters, for each length that a prefix has."""
+    asked = prefixes.select("prefix", F.length("prefix").alias("n")).distinct()
+    lengths = sorted(r.n for r in asked.filter("n < 36").select("n").distinct().collect())  # under 36 numbers
+    starts = sessions.select("session_id", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("n"))
+    starts = starts.filter(F.length("session_id") >= F.col("n")).groupBy("n", F.substr("session_id", F.lit(1), F.col("n")).alias("prefix")).agg(F.min("session_id").alias("first"))
+    return asked.join(starts, ["n", "prefix"], "left").select("prefix", F.coalesce("first", "prefix").alias("session_id"))
+
+
 def resolve_session(sessions: DataFrame, prefix: str) -> str:
-    """The first session whose identifier begins so; the prefix itself if none does or it is a whole identifier."""
-    if len(prefix) >= 36:
-        return prefix
-    row = sessions.filter(F.startswith("session_id", F.lit(prefix))).orderBy("session_id").select("session_id").limit(1).first()
-    return row.session_id if row else prefix
+    """resolve_sessions() for one prefix."""
+    return resolve_sessions(sessions, sessions.sparkSession.createDataFrame([(prefix,)], "prefix string")).first().session_id

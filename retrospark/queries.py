@@ -18,7 +18,7 @@ from retrospark.operators import text_index as X
 from retrospark.operators.impact import counts_by_chunk, impact_blocks, impact_scores
 from retrospark.operators.knn import knn
 from retrospark.plans import admin
-from retrospark.plans.recall import Index, hybrid_search, query_info, recall, resolve_session
+from retrospark.plans.recall import Index, hybrid_search, query_info, recall, resolve_sessions
 from retrospark.sources import jsonl
 from retrospark.storage import materialize
 
@@ -286,7 +286,7 @@ PREFIXES = ["conv-0000001", "conv-", "conv-00000012", "none such", "conv-0000000
 @query("SELECT prefix, coalesce((SELECT min(session_id) FROM (SELECT " + SESSION + " AS session_id FROM conversations) WHERE starts_with(session_id, prefix)), prefix) AS session_id FROM (VALUES " + ", ".join(f"('{p}')" for p in PREFIXES) + ") AS v(prefix)")
 def prefix_lookup(spark, sf_dir):
     sessions = S.session_metadata(messages(spark, sf_dir))
-    return spark.createDataFrame([(p, resolve_session(sessions, p)) for p in PREFIXES], "prefix string, session_id string")
+    return resolve_sessions(sessions, spark.createDataFrame([(p,) for p in PREFIXES], "prefix string"))
 
 
 # ---------------------------------------------------------------- lexical tolerance

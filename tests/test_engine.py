@@ -54,6 +54,30 @@ def test_against_sql(spark, name):
     assert plain([r.asDict() for r in df.collect()], names) == plain([dict(zip(want.columns, r, strict=True)) for r in want.fetchall()], names)
 
 
+def cut(text, size, overlap):
+    """Pieces of a text, by plain steps."""
+    if len(text) <= size:
+        return [text]
+    out, at = [], 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            back = text.rfind("\n\n", at, end)
+            end = back if back > at + size // 3 else end
+        piece = text[at:end].strip()
+        out += [piece] if piece else []
+        at = end - overlap if end < len(text) else len(text)
+    return out
+
+
+def test_chunks_equal_plain_steps(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["word ", "é漢 ", "\n\n", "\n", "x" * 40, " " * 30]) for _ in range(rng.randrange(300))) for _ in range(60)] + ["\n\n" * 900, "ab" * 40_000]
+    for size, overlap in ((1500, 200), (90, 20), (30, 9)):
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.chunk_text(F.col("t"), size, overlap).alias("c")).collect()
+        assert all(r.c == cut(r.t, size, overlap) for r in rows)
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
@@ -468,7 +492,9 @@ def test_updates_append(spark, tmp_path):
     assert [(r.session_id, r.chunk_index) for r in spark.read.parquet(f"{store.root}/{v.segments[-1][0]}/chunks").collect()] == [("two", 5)]
     after = {(r.session_id, r.chunk_index): r.chunk_id for r in store.read("chunks").collect()}
     assert before.items() <= after.items() and len(after) == 11 and store.read("vectors").count() == 10
-    assert {r.session_id: r.last for r in last_chunk_index(store.read("chunks")).collect()} == {"one": 4, "two": 5}
+    assert {r.session_id: r.last for r in last_chunk_index(store.read("sessions"), store.read("chunks")).collect()} == {"one": 4, "two": 5}
+    more = spark.createDataFrame([("none",), ("one",)], "session_id string")
+    assert {r.session_id: r.last for r in last_chunk_index(more, store.read("chunks")).collect()} == {"one": 4, "none": -1}
     assert_index_is_whole(store)
     log(root / "p" / "one.jsonl", entry("user", "short", 1, "one is short now"))
     third = update(store, str(root), provider=embedder)
