@@ -13,15 +13,17 @@ from retrospark import lexicons
 from retrospark.config import Settings
 from retrospark.functions import text as T
 from retrospark.operators.text_index import top_k
+from retrospark.storage import look_up, settle
 
 PAYLOAD = ["chunk_id", "session_id", "role", "content", "ts", "distance"]
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame, k: Column | int, session: str | None = None) -> DataFrame:
     """Hits with their chunk; those of the session asked for, and of them the first k. The filter comes after the
-    engines' own top-k, so that a small session may get nothing."""
+    engines' own top-k, so that a small session may get nothing. Few hits are computed first, and look their chunks up."""
     cols = [c for c in ("chunk_id", "session_id", "role", "content", "ts") if c in chunks.columns]
-    rows = hits.join(chunks.select(*cols), "chunk_id")
+    hits = settle(hits, "hits")
+    rows = hits.join(look_up(chunks, hits, "chunk_id").select(*cols), "chunk_id")
     if session is not None:
         rows = rows.filter(F.col("session_id") == session)
     return top_k(rows, k, F.col("pos"), name="pos")

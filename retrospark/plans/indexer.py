@@ -36,6 +36,8 @@ from retrospark.storage import materialize
 
 #: Tables of rows that belong to a chunk, and segments of one class that are merged.
 OF_CHUNKS, FANOUT = ("chunks", "vectors", "postings", "lengths"), 4
+#: Tables in ranges of chunk numbers, so that a look-up passes over files.
+IN_RANGES = ("chunks", "vectors", "lengths")
 
 
 @dataclass
@@ -118,6 +120,8 @@ class Store:
         number, name = (self._numbers() or [-1])[-1] + 1, f"segment-{uuid.uuid4().hex}"
         for table, df in tables.items():
             rows = df.withColumn("segment", F.lit(number).cast("long")) if table == "sessions" and "segment" not in df.columns else df
+            if table in IN_RANGES:
+                rows = rows.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id")
             rows.write.parquet(f"{self.root}/{name}/{table}")
         size = self.spark.read.parquet(f"{self.root}/{name}/chunks").count() if "chunks" in tables else 0
         segments = list(before.segments)

@@ -17,7 +17,7 @@ from retrospark.operators.impact import impact_scores
 from retrospark.operators.knn import knn
 from retrospark.operators.text_index import bm25, document_lengths, few_terms, postings, top_k, vocabulary_of
 from retrospark.operators.text_index import like as matches
-from retrospark.storage import settle
+from retrospark.storage import look_up, settle
 
 
 @dataclass
@@ -93,10 +93,10 @@ def hybrid_search(index: Index, queries: DataFrame, k: int, session: str | None
 def recall(index: Index, queries: DataFrame, limit: int = 5, session: str | None = None, as_of: Column | None = None, settings: Settings = Settings(), corrected: bool = False, weights: DataFrame | None = None) -> DataFrame:
     """query_id, rank, score, sources, chunk and session columns: hybrid search, role weight, decay, diversity."""
     as_of = F.current_timestamp() if as_of is None else as_of
-    pool = hybrid_search(index, queries, 3 * limit, session, settings, weights, corrected)
+    pool = settle(hybrid_search(index, queries, 3 * limit, session, settings, weights, corrected), "pool")
     weighted = pool.withColumn("score", F.col("score") * R.role_weight(F.col("role")))
     aged = weighted.withColumn("score", R.decay(F.col("score"), F.col("ts"), as_of, R.architectural(F.col("content")), settings.half_life_days))
-    vectors = index.vectors.select("chunk_id", F.col("embedding").alias("v"))
+    vectors = look_up(index.vectors, pool, "chunk_id").select("chunk_id", F.col("embedding").alias("v"))
     chosen = R.mmr(aged.join(vectors, "chunk_id", "left").withColumn("limit", F.lit(limit)), "limit", settings.mmr_lambda)
     if index.sessions is None:
         return chosen

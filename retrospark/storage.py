@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,28 @@ def settle(df: DataFrame, name: str, most: int = 1000) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= most else materialize(df, name)
 
 
+#: Ranges of keys that a look-up names at most.
+RANGES = 64
+
+
+def ranges(keys: list[int], most: int = RANGES) -> list[tuple[int, int]]:
+    """At most so many ranges that hold all keys, parted at the widest gaps."""
+    keys = sorted(set(keys))
+    gaps = sorted(range(1, len(keys)), key=lambda i: keys[i - 1] - keys[i])[: most - 1]
+    cuts = [0, *sorted(gaps), len(keys)]
+    return [(keys[i], keys[j - 1]) for i, j in zip(cuts, cuts[1:], strict=False) if i < j]
+
+
+def look_up(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be among those asked for, a frame that settle() gave: where it is few rows, a scan of a table
+    in ranges of the key passes over the files and row groups between them. A join has to follow."""
+    if hasattr(asked, "_scratch"):
+        return rows
+    keys = [r[0] for r in asked.select(key).collect() if r[0] is not None]
+    parts = [F.col(key).between(a, b) for a, b in ranges(keys)]
+    return rows.filter(reduce(lambda a, b: a | b, parts)) if parts else rows.filter(F.lit(False))
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what materialize() wrote for these frames. Nothing that is read later may depend on them."""
     for df in frames:

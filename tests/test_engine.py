@@ -13,7 +13,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from retrospark import lexicons, queries
+from retrospark import lexicons, queries, storage
 from retrospark.cli import clip_path, parser, run
 from retrospark.config import Settings
 from retrospark.embeddings import FunctionProvider, HashingProvider, embed, provider
@@ -514,6 +514,40 @@ def test_updates_append(spark, tmp_path):
     assert len(store._numbers()) == 2
 
 
+def rows_scanned(df):
+    """Rows that the scan of a plan without a shuffle gives on, when it has run."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df._jdf.queryExecution().toRdd().count()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_look_ups_pass_over_files(spark, tmp_path):
+    """Thirty hits read a few of many files; many hits read all."""
+    store = Store(spark, f"file://{tmp_path}/index")
+    chunks = spark.range(0, 40_000, 1, 8).select(F.col("id").alias("chunk_id"), F.concat(F.lit("text "), "id").alias("content"), F.lit("s").alias("session_id"), F.lit("user").alias("role"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        store.write({"chunks": chunks.orderBy(F.rand(1))}, store.version(), 40_000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    table = store.read("chunks")
+    assert table.select(F.input_file_name()).distinct().count() == 40
+    wanted = [5, *range(20_000, 20_014), *range(39_000, 39_015)]
+    hits = storage.settle(spark.createDataFrame([(0, i, 0.5, n + 1) for n, i in enumerate(wanted)], "query_id long, chunk_id long, score double, pos int"), "hits")
+    found = storage.look_up(table, hits, "chunk_id")
+    assert rows_scanned(found.select("content")) <= 4 * 1100  # of forty files, those of three places
+    assert sorted(r.content for r in R.hydrate(hits, table, 100).collect()) == sorted(f"text {i}" for i in wanted)
+    many = storage.settle(table.select("chunk_id"), "hits")
+    assert storage.look_up(table, many, "chunk_id").count() == 40_000 and storage.look_up(table, hits.limit(0), "chunk_id").count() == 0
+    assert storage.ranges([7, 1, 2, 3, 100, 101, 7], 3) == [(1, 3), (7, 7), (100, 101)] and storage.ranges([], 3) == [] and storage.ranges([9, 1], 1) == [(1, 9)]
+    assert len(storage.ranges(list(range(0, 10_000, 7)))) == 64
+
+
 def test_segments_due():
     """Which neighbours are merged, and that a chunk is written as often as the logarithm says whatever the updates' sizes."""
     assert indexer.due([100, 1, 1, 1], 4) is None and indexer.due([100, 1, 0, 1, 1], 4) == slice(1, 5)
