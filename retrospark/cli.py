@@ -64,7 +64,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
     store, settings = Store(spark, args.data), Settings.from_environment()
     embedder = settings_provider(settings)
     if args.command == "init":
-        os.makedirs(args.data, exist_ok=True)
+        store.make_folder()
         return f"index in {args.data}"
     if args.command == "index":
         r = update(store, args.logs, args.full, args.subagents, embedder, settings)
@@ -83,7 +83,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
     if args.command == "sessions":
         return "\n".join(f"{r.session_id[:8]} {r.started_at or '':} {r.project_label} {r.title} ({r.user_messages}+{r.asst_messages})" for r in admin.sessions(index.sessions, args.project).toLocalIterator())
     if args.command == "export" and args.session is None:
-        folder = os.path.join(args.data, f"export-{datetime.datetime.now():%Y%m%d-%H%M%S}")
+        folder = f"{args.data.rstrip('/')}/export-{datetime.datetime.now():%Y%m%d-%H%M%S}"
         admin.export_all(index.sessions, index.chunks, folder)
         return folder
     if args.command == "export":
@@ -91,9 +91,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
         row = admin.session_markdown(index.sessions.filter(F.col("session_id") == whole), index.chunks.filter(F.col("session_id") == whole)).first()
         if row is None:
             return "no such session"
-        path = os.path.join(args.data, row.file_name)
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(row.markdown)
+        path = f"{args.data.rstrip('/')}/{row.file_name}"
+        store.put(path, row.markdown)
         return path
     asked = spark.createDataFrame([(0, args.query)], "query_id long, text string")
     asked = embed(asked, embedder, "text", "query", "q") if embedder else asked.withColumn("q", F.lit(None).cast("array<float>"))
@@ -103,10 +102,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
     rows = sorted(found.collect(), key=lambda r: r["rank"])
     text = admin.result_markdown(rows, args.query, index.sessions.count(), index.chunks.count(), info["expansions"])
     if args.output:
-        path = clip_path(os.path.join(args.data, "clips"), args.query, args.output, datetime.date.today())
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(f"# Clipping — {args.query}\n\n---\n\n{text}")
+        store.put(clip_path(f"{args.data.rstrip('/')}/clips", args.query, args.output, datetime.date.today()), f"# Clipping — {args.query}\n\n---\n\n{text}")
     if args.format == "json":
         out = [{"content": r.content, "session_id": r.session_id, "session_title": r.title, "project": r.project_label, "timestamp": r.ts.isoformat() if r.ts else None, "score": r.score, "role": r.role, "sources": r.sources} for r in rows]
         return json.dumps({"results": out, "query_info": info}, ensure_ascii=False, indent=2)

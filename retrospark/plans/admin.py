@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retrospark.functions import text as T
+from retrospark.sources.markdown import write_folder
 
 
 def sessions(sessions: DataFrame, project: str | None = None) -> DataFrame:
@@ -57,10 +58,12 @@ def session_markdown(sessions: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def export_all(sessions: DataFrame, chunks: DataFrame, folder: str) -> None:
-    """Every session's Markdown as a file in a folder of its own (session_id=...), written by the executors."""
-    # The writer ends each file with a newline itself.
-    files = session_markdown(sessions, chunks).select("session_id", F.regexp_replace("markdown", r"\n\z", "").alias("value"))
-    files.write.partitionBy("session_id").text(folder)
+    """Every session's Markdown as a file of a new folder, all or none: named by the first eight characters of its
+    identifier, by the whole of it where others begin so too."""
+    files = session_markdown(sessions, chunks)
+    shared = files.groupBy("file_name").agg(F.count(F.lit(1)).alias("n"))
+    name = F.when(F.col("n") > 1, F.concat("session_id", F.lit(".md"))).otherwise(F.col("file_name"))
+    write_folder(files.join(shared, "file_name").select(name.alias("file_name"), F.col("markdown").alias("text")), folder)
 
 
 def result_json(results: DataFrame) -> DataFrame:

@@ -76,6 +76,16 @@ class Store:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def make_folder(self) -> None:
+        self._fs.mkdirs(self._path(self.root))
+
+    def put(self, path: str, text: str) -> None:
+        """Write a text file, in whatever file system its path names."""
+        at = self._path(path)
+        out = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
     def _numbers(self) -> list[int]:
         folder = self._path(f"{self.root}/versions")
         found = self._fs.listStatus(folder) if self._fs.exists(folder) else []

@@ -28,6 +28,7 @@ from retrospark.operators import knn as knn_module
 from retrospark.plans.recall import Index, keyword_search
 from retrospark.plans.indexer import Store, backfill, compact, delete_session, impact_rows, last_chunk_index, update
 from retrospark.sources import jsonl
+from retrospark.sources.markdown import write_folder
 from tests.conftest import SF
 
 TABLES = "documents embeddings pages benchmark labels conversations events".split()
@@ -666,12 +667,23 @@ def test_providers_over_http(spark):
 
 
 def test_export_of_all_sessions(spark, tmp_path):
+    """A file for each session, under eight characters of its name or, where these are not its own, the whole."""
     sessions = S.session_metadata(queries.messages(spark, SF)).withColumns({"project_label": F.lit("p"), "started_at": F.lit(None).cast("timestamp")})
     chunks = queries.message_chunks(spark, SF).withColumnRenamed("line", "chunk_index")
     admin.export_all(sessions, chunks, str(tmp_path / "all"))
-    want = {r.session_id: r.markdown.removesuffix("\n") + "\n" for r in admin.session_markdown(sessions, chunks).collect()}
-    got = {p.parent.name.split("=")[1]: p.read_text(encoding="utf-8") for p in (tmp_path / "all").rglob("part-*.txt")}
-    assert got == want and len(got) == sessions.count()
+    want = {r.session_id: r.markdown for r in admin.session_markdown(sessions, chunks).collect()}
+    got = {p.name: p.read_text(encoding="utf-8") for p in (tmp_path / "all").iterdir() if not p.name.startswith(".")}
+    assert got == {f"{i}.md": t for i, t in want.items()} and len(got) == sessions.count()
+    own = lambda df: df.withColumn("session_id", F.regexp_replace("session_id", "conv-0*(?=.)", "s/"))
+    admin.export_all(own(sessions), own(chunks), f"file://{tmp_path}/own")
+    assert {p.name for p in (tmp_path / "own").iterdir() if not p.name.startswith(".")} == {f"s_{int(i[5:])}.md" for i in want}
+    with pytest.raises(Exception, match="exists already"):
+        admin.export_all(own(sessions), own(chunks), str(tmp_path / "own"))
+    # A task that fails leaves nothing: neither the folder nor what others have written for it.
+    rows = spark.range(0, 40, 1, 8).select(F.concat("id", F.lit(".md")).alias("file_name"), F.when(F.col("id") == 37, F.raise_error(F.lit("torn"))).otherwise("t").cast("string").alias("text"))
+    with pytest.raises(Exception, match="torn"):
+        write_folder(rows, str(tmp_path / "torn"))
+    assert {p.name for p in tmp_path.iterdir()} == {"all", "own"}
 
 
 def test_registry():
