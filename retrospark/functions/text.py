@@ -162,6 +162,12 @@ def grams(c: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substr(padded, i, F.lit(2)))
 
 
+def grams_of(term: str) -> list[str]:
+    """grams() of one term."""
+    padded = FIRST + term + LAST
+    return [padded[i : i + 2] for i in range(len(term) + 1)]
+
+
 def shared_grams(a_size: Column, b_size: Column, cut: float) -> Column:
     """How many grams of a are in b at least, where indel_ratio reaches `cut`.
 

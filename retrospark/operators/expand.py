@@ -12,7 +12,7 @@ from retrospark import lexicons
 from retrospark.config import Settings
 from retrospark.functions import text as T
 from retrospark.operators.text_index import few_terms
-from retrospark.storage import settle
+from retrospark.storage import rows_of, settle
 
 
 def abbreviations():
@@ -35,9 +35,9 @@ def gram_index(vocab: DataFrame) -> DataFrame:
 
 def known_terms(vocab: DataFrame, words: DataFrame) -> DataFrame:
     """term, doc of the vocabulary that are among words (column token): one read, of the rows that are named."""
-    words = words.select("token").distinct()
-    named = few_terms(words.select(F.array("token").alias("terms")))
-    rows = vocab.join(words.withColumnRenamed("token", "term"), "term", "left_semi") if named is None else vocab.filter(F.col("term").isin(named))
+    words = settle(words.select(F.array("token").alias("terms")).distinct(), "words")
+    named = few_terms(words)
+    rows = vocab.join(words.select(F.explode("terms").alias("term")), "term", "left_semi") if named is None else vocab.filter(F.col("term").isin(named))
     return settle(rows.select("term", "doc"), "known")
 
 
@@ -50,11 +50,13 @@ def near_terms(tokens: DataFrame, terms: DataFrame, settings: Settings = Setting
     cut = settings.fuzzy_threshold * 100
     n = F.length("token")
     least, most = F.ceil(n * cut / (200 - cut)), F.floor(n * (200 - cut) / cut)
-    asked = settle(tokens.select("token").distinct(), "doubtful").withColumn("masks", F.when(n <= T.PLACES, T.letter_masks(F.col("token"))))
+    few = settle(tokens.select("token").distinct(), "doubtful")
+    asked = few.withColumn("masks", F.when(n <= T.PLACES, T.letter_masks(F.col("token"))))
     fits = (F.col("size") >= settings.fuzzy_min_length) & F.col("size").between(least, most)
     if 3 * cut > 200:
         each = asked.select("token", F.posexplode(T.grams(F.col("token"))).alias("i", "gram"))
-        named = few_terms(each.select(F.array("gram").alias("terms")))
+        there = rows_of(few)
+        named = None if there is None else sorted({g for r in there for g in T.grams_of(r.token)})
         rows = terms if named is None else terms.filter(F.col("gram").isin(named))
         met = rows.join(each, "gram").filter(fits).groupBy("token", "term", "size").agg(F.count_distinct("i").alias("shared"))
         met = met.filter(F.col("shared") >= T.shared_grams(n, F.col("size"), cut)).join(asked, "token")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retrospark.operators.text_index import K1, B, few_terms, idf, phrase_counts, top_k
-from retrospark.storage import materialize, settle
+from retrospark.storage import materialize, rows_of, settle
 
 BLOCK = 128
 BLOCKS = "term string, best double, at double, top double, least double, c int, ids array<long>, counts array<int>, lengths array<int>"
@@ -78,7 +78,8 @@ def best_blocks(blocks: DataFrame, vocab: DataFrame, stats: DataFrame, terms: Da
     """
     asked = terms.join(vocab.select("term", "doc"), "term").join(F.broadcast(stats), F.lit(True))
     asked = settle(asked.select("query_id", "term", "mean", (idf(F.col("n_docs"), F.col("doc")) * F.col("times") * (K1 + 1)).alias("weight")), "asked")
-    named = few_terms(asked.select(F.array("term").alias("terms")))
+    few = rows_of(asked)
+    named = few_terms(asked.select(F.array("term").alias("terms"))) if few is None else sorted({r.term for r in few})
     mine = (blocks if named is None else blocks.filter(F.col("term").isin(named))).join(asked, "term")
     # A little above the exact value, so that rounding loses nothing.
     now = F.col("weight") * F.col("best") * F.greatest(F.lit(1.0), F.col("mean") / F.col("at"))
@@ -117,7 +118,7 @@ def impact_scores(blocks: DataFrame, postings: DataFrame, lengths: DataFrame, vo
     several = settle(phrases.filter(n > 1), "several")
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("mean"))
     others = several.select("query_id", "phrase_no", F.lit(0).cast("long").alias("chunk_id"), F.lit(0.0).alias("part")).limit(0)
-    if not several.isEmpty():
+    if rows_of(several) != []:
         named = few_terms(several)
         f = phrase_counts(postings if named is None else postings.filter(F.col("term").isin(named)), several)
         with_it = f.groupBy("query_id", "phrase_no").agg(F.count(F.lit(1)).alias("with_it"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retrospark.functions import text as T
-from retrospark.storage import materialize
+from retrospark.storage import materialize, rows_of
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Terms that a plan may name, so that a scan can look for them.
@@ -50,6 +50,9 @@ def scan_for(chunks: DataFrame, phrases: DataFrame, *columns: str) -> tuple[Data
 
 def few_terms(phrases: DataFrame) -> list[str] | None:
     """The terms of all phrases, if they are few enough to be named in a plan."""
+    if (few := rows_of(phrases)) is not None:
+        terms = {t for r in few for t in r.terms}
+        return sorted(terms) if len(terms) <= NAMED_TERMS else None
     rows = phrases.select(F.explode("terms").alias("t")).distinct().limit(NAMED_TERMS + 1).collect()
     return sorted(r.t for r in rows) if len(rows) <= NAMED_TERMS else None
 

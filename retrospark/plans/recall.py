@@ -17,7 +17,7 @@ from retrospark.operators.impact import impact_scores
 from retrospark.operators.knn import knn
 from retrospark.operators.text_index import bm25, document_lengths, few_terms, postings, top_k, vocabulary_of
 from retrospark.operators.text_index import like as matches
-from retrospark.storage import look_up, settle
+from retrospark.storage import look_up, rows_of, settle
 
 
 @dataclass
@@ -48,7 +48,7 @@ class Index:
 
 def vector_search(index: Index, queries: DataFrame, k: int, session: str | None = None, settings: Settings = Settings(), prefilter: bool = False) -> DataFrame:
     """The k nearest chunks of each query: of three times as many, those of the session; with prefilter, from the session only."""
-    vectors = index.vectors
+    vectors, queries = index.vectors, settle(queries, "queries")
     if prefilter and session is not None:
         vectors = vectors.join(index.chunks.filter(F.col("session_id") == session).select("chunk_id"), "chunk_id", "left_semi")
     asked = queries.filter(F.col("q").isNotNull()).select("query_id", "q")
@@ -57,7 +57,8 @@ def vector_search(index: Index, queries: DataFrame, k: int, session: str | None
 
 def keyword_search(index: Index, queries: DataFrame, k: int, session: str | None = None, settings: Settings = Settings(), corrected: bool = False, expanded: DataFrame | None = None) -> DataFrame:
     """The k best chunks of each query by BM25. score is 1 / (1 + rank), which falls as the match gets better; corrected, r / (1 + r)."""
-    expanded = index.expand(queries, settings) if expanded is None else expanded
+    queries = settle(queries, "queries")
+    expanded = index.expand(queries, settings) if expanded is None else settle(expanded, "expanded")
     bare = settle(E.bare_phrases(queries, expanded), "bare")
     some = bare.select("query_id", F.posexplode("phrases").alias("phrase_no", "form")).select("query_id", "phrase_no", E.T.index_terms(F.col("form")).alias("terms"))
     phrases = E.phrases(expanded).unionByName(some)
@@ -74,7 +75,8 @@ def keyword_search(index: Index, queries: DataFrame, k: int, session: str | None
     # Queries that can't be read as a match, or have nothing to match, are looked up as they are.
     broken = E.invalid(expanded).join(queries, "query_id").select("query_id", E.T.normalize_separators(F.col("text")).alias("needle"))
     broken = broken.union(bare.filter("phrases is null").select("query_id", "needle"))
-    if broken.isEmpty():
+    few, rest = rows_of(expanded), rows_of(bare)
+    if few is not None and rest is not None and not any('"' in r.token for r in few) and not any(r.phrases is None for r in rest):
         return found
     rows = index.chunks if session is None else index.chunks.filter(F.col("session_id") == session)
     like = rows.join(broken, matches(F.col("content"), F.col("needle"))).drop("needle")
@@ -84,6 +86,7 @@ def keyword_search(index: Index, queries: DataFrame, k: int, session: str | None
 
 def hybrid_search(index: Index, queries: DataFrame, k: int, session: str | None = None, settings: Settings = Settings(), weights: DataFrame | None = None, corrected: bool = False) -> DataFrame:
     """query_id, place, score, sources and the chunk: both searches with twice as many results, fused."""
+    queries = settle(queries, "queries")
     known = index.known(queries, settings)
     weights = settle(E.classify(queries, index.vocab, settings, known), "weights") if weights is None else weights
     fused = R.fuse(vector_search(index, queries, 2 * k, session, settings), keyword_search(index, queries, 2 * k, session, settings, corrected, index.expand(queries, settings, known)), weights, settings)
@@ -93,6 +96,7 @@ def hybrid_search(index: Index, queries: DataFrame, k: int, session: str | None
 def recall(index: Index, queries: DataFrame, limit: int = 5, session: str | None = None, as_of: Column | None = None, settings: Settings = Settings(), corrected: bool = False, weights: DataFrame | None = None) -> DataFrame:
     """query_id, rank, score, sources, chunk and session columns: hybrid search, role weight, decay, diversity."""
     as_of = F.current_timestamp() if as_of is None else as_of
+    queries = settle(queries, "queries")
     pool = settle(hybrid_search(index, queries, 3 * limit, session, settings, weights, corrected), "pool")
     weighted = pool.withColumn("score", F.col("score") * R.role_weight(F.col("role")))
     aged = weighted.withColumn("score", R.decay(F.col("score"), F.col("ts"), as_of, R.architectural(F.col("content")), settings.half_life_days))

@@ -441,18 +441,92 @@ def mmr_topk(spark, sf_dir):
     return R.mmr(pool).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query()
+def expansion_sql() -> str:
+    """CTEs over messages (n): vocab, and x: query_id, i, token, kind, forms (what it may stand for)."""
+    asked = ", ".join(f"({i}, '{t}')" for i, t in ASKED)
+    short = ", ".join(f"('{k}', [{', '.join(repr(e) for e in v)}])" for k, v in lexicons.ABBREVIATIONS.items())
+    masks = "list_transform(range(1, length(term) + 1), lambda i: list_sum(list_transform(range(1, length(token) + 1), lambda j: CASE WHEN substr(token, j::INT, 1) = substr(term, i::INT, 1) THEN 1::HUGEINT << (j - 1)::INT ELSE 0::HUGEINT END))::HUGEINT)"
+    full = "((1::HUGEINT << length(token)) - 1)"
+    return f"""{MESSAGES}, n AS (SELECT row_number() OVER (ORDER BY session_id, line) - 1 AS chunk_id, session_id, line, role, text, ts_text::TIMESTAMP AS ts FROM m),
+      cols AS (SELECT chunk_id, unnest([{TERMS.format('text')}, {TERMS.format('session_id')}, {TERMS.format('role')}]) AS t FROM n),
+      vocab AS (SELECT term, count(DISTINCT chunk_id) AS doc FROM (SELECT chunk_id, unnest(t) AS term FROM cols) GROUP BY term),
+      q(query_id, qtext) AS (VALUES {asked}), ab(a, e) AS (VALUES {short}),
+      w AS (SELECT query_id, list_filter(list_transform(list_filter(string_split(lower(trim(regexp_replace(qtext, '[-_]', ' ', 'g'))), ' '), lambda x: x <> ''), lambda x: trim(x, '.,!?;:')), lambda x: length(x) >= 2) AS ws FROM q),
+      tok AS (SELECT query_id, i, ws[i + 1] AS token FROM (SELECT query_id, ws, unnest(range(0, len(ws))) AS i FROM w)),
+      asked AS (SELECT DISTINCT token FROM tok LEFT JOIN ab ON a = token LEFT JOIN vocab ON term = token WHERE a IS NULL AND length(token) >= 4 AND coalesce(doc, 0) <= 10),
+      near AS (SELECT token, length(token) AS len, term, doc, {full} AS whole, list_prepend({full}, {masks}) AS steps FROM asked JOIN vocab ON length(term) >= 4 AND 200.0 * least(length(token), length(term)) / (length(token) + length(term)) >= 70),
+      r AS (SELECT token, term, doc, 200.0 * (len - bit_count(list_reduce(steps, lambda x, k: ((x + (x & k)) | (x - (x & k))) & whole))) / (len + length(term)) AS ratio FROM near),
+      pool AS (SELECT * FROM r WHERE ratio >= 70 QUALIFY row_number() OVER (PARTITION BY token ORDER BY ratio DESC, term) <= 15),
+      best AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY ratio DESC, doc DESC, term) AS p FROM pool WHERE term <> token),
+      variants AS (SELECT token, list(term ORDER BY p) AS terms FROM best WHERE p <= 5 GROUP BY token),
+      x AS (SELECT query_id, i, tok.token, CASE WHEN e IS NOT NULL THEN 'abbreviation' WHEN terms IS NOT NULL THEN 'fuzzy' ELSE 'literal' END AS kind, coalesce(e, terms, []) AS forms FROM tok LEFT JOIN ab ON a = tok.token LEFT JOIN variants v ON v.token = tok.token)"""
+
+
+def mode_sql() -> str:
+    """CTE modes: query_id, mode, over q and vocab."""
+    stop = ", ".join(f"'{w}'" for w in lexicons.STOP_WORDS)
+    return f"""qw AS (SELECT query_id, trim(unnest(string_split(qtext, ' ')), '.,!?;:') AS t FROM q),
+      qd AS (SELECT query_id, bool_or(lower(t) IN ({stop})) AS descriptive FROM qw GROUP BY query_id),
+      qm AS (SELECT query_id, (upper(t) = t AND NOT regexp_full_match(t, '[0-9]+') AND length(t) >= 2) OR regexp_matches(t, '^[A-Z]{{2,}}') OR coalesce(doc, 0) <= 10 AS specific
+            FROM qw LEFT JOIN vocab ON term = lower(t) AND length(term) >= 4 WHERE lower(t) NOT IN ({stop}) AND (length(t) >= 4 OR (upper(t) = t AND regexp_full_match(t, '[A-Za-z]+') AND length(t) >= 2))),
+      qk AS (SELECT query_id, count(*) AS c, bool_and(specific) AS every FROM qm GROUP BY query_id),
+      modes AS (SELECT query_id, CASE WHEN NOT descriptive AND coalesce(c, 0) > 0 AND (c <= 2 OR every) THEN 'fts5_dominant' ELSE 'hybrid' END AS mode FROM qd LEFT JOIN qk USING (query_id))"""
+
+
+def hybrid_sql(k: int) -> str:
+    """CTEs up to fused: query_id, chunk_id, score, sources, place (up to k)."""
+    return f"""{expansion_sql()}, {mode_sql()},
+      lens AS (SELECT chunk_id, sum(len(t)) AS len FROM cols GROUP BY chunk_id), s AS (SELECT count(*) AS big, avg(len) AS mean FROM lens),
+      ph AS (SELECT query_id, i, j, {TERMS.format('form')} AS p FROM (SELECT query_id, i, generate_subscripts(list_prepend(token, forms), 1) AS j, unnest(list_prepend(token, forms)) AS form FROM x)),
+      hit AS (SELECT query_id, i, j, chunk_id, sum(len(list_filter(range(1, len(t) - len(p) + 2), lambda b: t[b:b + len(p) - 1] = p))) AS f FROM ph, cols WHERE len(p) > 0 AND list_has_all(t, p) GROUP BY ALL HAVING f > 0),
+      wt AS (SELECT query_id, i, j, greatest(ln((max(big) - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM hit, s GROUP BY ALL),
+      bm AS (SELECT query_id, chunk_id, sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / mean))) AS r FROM hit JOIN wt USING (query_id, i, j) JOIN lens USING (chunk_id), s GROUP BY ALL),
+      kw AS (SELECT query_id, chunk_id, 1 / (1 + r) AS score, row_number() OVER (PARTITION BY query_id ORDER BY r DESC, chunk_id) AS pos FROM bm QUALIFY pos <= {2 * k}),
+      qv AS (SELECT query_id, embedding::DOUBLE[] AS qe FROM q JOIN embeddings ON vec_id = query_id),
+      v0 AS (SELECT query_id, vec_id AS chunk_id, list_distance(embedding::DOUBLE[], qe) AS d FROM qv, embeddings QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) <= {6 * k}),
+      ve AS (SELECT query_id, chunk_id, 1 / (1 + d) AS score, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS pos FROM v0 JOIN n USING (chunk_id) QUALIFY pos <= {2 * k}),
+      b AS (SELECT 0 AS src, * FROM ve UNION ALL SELECT 1, * FROM kw),
+      g AS (SELECT query_id, session_id || ':' || substr(text, 1, 100) AS key, arg_max(score, pos) FILTER (src = 0) AS vs, arg_max(chunk_id, pos) FILTER (src = 0) AS vc, sum(score) FILTER (src = 1) AS ks, arg_min(chunk_id, pos) FILTER (src = 1) AS kc, min(src * 1000 + pos) AS first FROM b JOIN n USING (chunk_id) GROUP BY ALL),
+      sc AS (SELECT query_id, coalesce(vc, kc) AS chunk_id, CASE mode WHEN 'hybrid' THEN 0.7 ELSE 0.25 END AS wv, CASE mode WHEN 'hybrid' THEN 0.3 ELSE 0.75 END AS wk, vs, ks, first FROM g JOIN modes USING (query_id)),
+      fused AS (SELECT query_id, chunk_id, coalesce(wv::DOUBLE * vs, 0) + coalesce(wk::DOUBLE * ks, 0) AS score, CASE WHEN vs IS NULL THEN 'fts5' WHEN ks IS NULL THEN 'vector' ELSE 'vector+fts5' END AS sources,
+        row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) AS place FROM sc WHERE NOT (ks IS NULL AND wv::DOUBLE * vs < 0.42) QUALIFY place <= {k})"""
+
+
+def recall_sql(limit: int) -> str:
+    """CTEs up to picked: query_id, rank, chunk_id, score, sources, of a search with role weight, decay and diversity."""
+    words = "list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda z: z <> ''))"
+    marked = markers_sql("text", lexicons.DECISION_MARKERS)
+    age = f"((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(ts)) / 86400e6)"
+    return f"""{hybrid_sql(3 * limit)},
+      aged AS (SELECT query_id, chunk_id, place, sources, session_id, text, embedding::DOUBLE[] AS v, {words} AS words,
+        score * CASE WHEN {marked} OR ts IS NULL OR {age} <= 0 THEN 1.0 ELSE pow(2.0, -{age} / 30) END AS score FROM fused JOIN n USING (chunk_id) LEFT JOIN embeddings ON vec_id = chunk_id),
+      sims AS (SELECT a.query_id, a.place, list(CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN list_cosine_similarity(a.v, b.v) WHEN len(a.words) > 0 AND len(b.words) > 0 THEN len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))) ELSE 0.0 END ORDER BY b.place) AS sims,
+        list(b.place ORDER BY b.place) AS places FROM aged a JOIN aged b USING (query_id) GROUP BY ALL),
+      cand AS (SELECT query_id, place, chunk_id, score, sims, places, CASE WHEN count(*) OVER (PARTITION BY query_id) <= {limit} THEN NULL ELSE 1 END AS many FROM aged JOIN sims USING (query_id, place)),
+      pick AS (
+        SELECT query_id, 1 AS rank, place, chunk_id, score, [place] AS chosen FROM cand QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN many IS NULL THEN score ELSE round(0.7 * score, 9) END DESC, place) = 1
+        UNION ALL
+        SELECT query_id, rank + 1, place, chunk_id, score, list_append(chosen, place) FROM (
+          SELECT c.*, k.rank, k.chosen, row_number() OVER (PARTITION BY c.query_id ORDER BY CASE WHEN many IS NULL THEN c.score ELSE round(0.7 * c.score - 0.3 * greatest(0, list_max(list_transform(k.chosen, lambda z: c.sims[list_position(c.places, z)]))), 9) END DESC, c.place) AS nth
+          FROM pick k JOIN cand c USING (query_id) WHERE k.rank < {limit} AND NOT list_contains(k.chosen, c.place)) WHERE nth = 1)"""
+
+
+@query(f"WITH RECURSIVE {recall_sql(5)} SELECT query_id, pick.rank::INT AS rank, chunk_id, session_id, round(pick.score, 6) AS score, sources FROM pick JOIN aged USING (query_id, chunk_id)")
 def recall_full(spark, sf_dir):
     found = recall(message_index(spark, sf_dir), asked(spark, sf_dir), 5, as_of=F.lit(AS_OF).cast("timestamp"))
     return found.select("query_id", "rank", "chunk_id", "session_id", F.round("score", 6).alias("score"), F.array_join("sources", "+").alias("sources"))
 
 
-@query()
+@query(f"WITH {hybrid_sql(10)} SELECT query_id, place::INT AS place, chunk_id, round(score, 6) AS score FROM fused")
 def hybrid_batch(spark, sf_dir):
     return hybrid_search(message_index(spark, sf_dir), asked(spark, sf_dir), 10).select("query_id", "place", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query()
+QUOTED = "list_transform(forms, lambda f: '\"' || f || '\"')"
+
+
+@query(f"""WITH {expansion_sql()}, {mode_sql()}, e AS (SELECT query_id, '[' || string_agg('{{"original":"' || token || '","expanded":[' || array_to_string({QUOTED}, ',') || '],"type":"' || kind || '"}}', ',' ORDER BY i) || ']' AS expansions FROM x WHERE kind <> 'literal' GROUP BY query_id)
+  SELECT query_id, trim(regexp_replace(qtext, '[-_]', ' ', 'g')) AS normalized_query, mode AS search_mode, expansions FROM q JOIN modes USING (query_id) LEFT JOIN e USING (query_id)""")
 def query_infos(spark, sf_dir):
     index = message_index(spark, sf_dir)
     return query_info(asked(spark, sf_dir), index.vocab).select("query_id", "normalized_query", "search_mode", F.to_json("expansions").alias("expansions"))

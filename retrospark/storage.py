@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 _own_folder: str | None = None
@@ -41,9 +41,21 @@ def materialize(df: DataFrame, name: str = "step", max_rows: int = 0) -> DataFra
 
 
 def settle(df: DataFrame, name: str, most: int = 1000) -> DataFrame:
-    """df computed once: as rows of the plan where there are at most `most`, else as materialize() does."""
-    rows = df.limit(most + 1).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= most else materialize(df, name)
+    """df computed once: as rows of the plan where there are at most `most`, else as materialize() does. What is settled stays so."""
+    if hasattr(df, "_rows") or hasattr(df, "_scratch"):
+        return df
+    table = df.limit(most + 1).toArrow()
+    if table.num_rows > most:
+        return materialize(df, name)
+    # From Arrow it is a local relation, whose size Spark knows; from rows it would be an RDD of unknown size.
+    out = df.sparkSession.createDataFrame(table, df.schema)
+    out._rows = [Row(**r) for r in table.to_pylist()]
+    return out
+
+
+def rows_of(df: DataFrame) -> list[Row] | None:
+    """The rows of a frame that settle() made a part of its plan."""
+    return getattr(df, "_rows", None)
 
 
 #: Ranges of keys that a look-up names at most.
@@ -61,9 +73,9 @@ def ranges(keys: list[int], most: int = RANGES) -> list[tuple[int, int]]:
 def look_up(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     """The rows whose key may be among those asked for, a frame that settle() gave: where it is few rows, a scan of a table
     in ranges of the key passes over the files and row groups between them. A join has to follow."""
-    if hasattr(asked, "_scratch"):
+    if (few := rows_of(asked)) is None:
         return rows
-    keys = [r[0] for r in asked.select(key).collect() if r[0] is not None]
+    keys = [r[key] for r in few if r[key] is not None]
     parts = [F.col(key).between(a, b) for a, b in ranges(keys)]
     return rows.filter(reduce(lambda a, b: a | b, parts)) if parts else rows.filter(F.lit(False))
 

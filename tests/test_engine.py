@@ -544,7 +544,7 @@ def test_look_ups_pass_over_files(spark, tmp_path):
     assert rows_scanned(found.select("content")) <= 4 * 1100  # of forty files, those of three places
     assert sorted(r.content for r in R.hydrate(hits, table, 100).collect()) == sorted(f"text {i}" for i in wanted)
     many = storage.settle(table.select("chunk_id"), "hits")
-    assert storage.look_up(table, many, "chunk_id").count() == 40_000 and storage.look_up(table, hits.limit(0), "chunk_id").count() == 0
+    assert storage.look_up(table, many, "chunk_id").count() == 40_000 and storage.look_up(table, storage.settle(hits.limit(0), "none"), "chunk_id").count() == 0
     assert storage.ranges([7, 1, 2, 3, 100, 101, 7], 3) == [(1, 3), (7, 7), (100, 101)] and storage.ranges([], 3) == [] and storage.ranges([9, 1], 1) == [(1, 9)]
     assert len(storage.ranges(list(range(0, 10_000, 7)))) == 64
 
