@@ -10,8 +10,8 @@ mandatory headers, Content-Length against what follows, the closing blank lines,
 the payload digest. A record that fails raises ValueError with the archive's name and the record's offset.
 
 Defined results: a null payload counts as empty; pages with a null identifier are written with an empty one and read
-back as null; of repeated rows (identifier and payload) one is the response, the rest are revisits of it; an empty
-table gives no archives; very long payloads make an archive of their own; other columns are ignored.
+back as null; repeated rows (identifier and payload) are alike, all responses where no smaller identifier
+has the payload, else all revisits; an empty table gives no archives; very long payloads make an archive of their own; other columns are ignored.
 """
 
 from __future__ import annotations
