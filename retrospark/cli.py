@@ -98,7 +98,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> str:
     asked = embed(asked, embedder, "text", "query", "q") if embedder else asked.withColumn("q", F.lit(None).cast("array<float>"))
     session = resolve_session(index.sessions, args.session) if args.session else None
     found = recall(index, asked, args.limit, session, settings=settings)
-    info = query_info(asked, index.vocab, settings).first().asDict(True)
+    info = query_info(asked, index.vocab, settings, index.terms).first().asDict(True)
     rows = sorted(found.collect(), key=lambda r: r["rank"])
     text = admin.result_markdown(rows, args.query, index.sessions.count(), index.chunks.count(), info["expansions"])
     if args.output:

@@ -72,7 +72,7 @@ def fuzzy_variants(tokens: DataFrame, vocab: DataFrame, settings: Settings = Set
     Of the 3 * fuzzy_max_expansions terms with the best ratio (ties by term), other than the token itself, the first
     by ratio, then by documents. terms: the vocabulary's gram index, which may have terms that the vocabulary hasn't.
     """
-    near = settle(near_terms(tokens, gram_index(vocab) if terms is None else terms, settings), "near")
+    near = settle(near_terms(tokens, gram_index(vocab) if terms is None else terms, settings), "near", costly=True)
     there = near.join(known_terms(vocab, near.select(F.col("term").alias("token"))), "term")
     pool = there.withColumn("p", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("ratio"), "term"))).filter(F.col("p") <= 3 * settings.fuzzy_max_expansions)
     ranked = pool.filter("term <> token").withColumn("p", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("ratio"), F.desc("doc"), "term")))

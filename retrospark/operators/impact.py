@@ -93,7 +93,7 @@ def best_blocks(blocks: DataFrame, vocab: DataFrame, stats: DataFrame, terms: Da
     rest = others.groupBy("query_id", "phrase_no").agg(F.max("part").alias("most"))
     every = most.select("query_id", "most").unionByName(rest.select("query_id", "most")).groupBy("query_id").agg(F.sum("most").alias("every"))
     need = most.join(every, "query_id").join(floor, "query_id", "left").select("query_id", "term", ((F.coalesce("floor", F.lit(0.0)) - slack) * (1 - 1e-9) - (F.col("every") - F.col("most"))).alias("need"))
-    return mine.join(settle(need, "need"), ["query_id", "term"]).filter(F.col("bound") >= F.col("need"))
+    return mine.join(settle(need, "need", costly=True), ["query_id", "term"]).filter(F.col("bound") >= F.col("need"))
 
 
 def parts_of(blocks: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def hydrate(hits: DataFrame, chunks: DataFrame, k: Column | int, session: str |
     """Hits with their chunk; those of the session asked for, and of them the first k. The filter comes after the
     engines' own top-k, so that a small session may get nothing. Few hits are computed first, and look their chunks up."""
     cols = [c for c in ("chunk_id", "session_id", "role", "content", "ts") if c in chunks.columns]
-    hits = settle(hits, "hits")
+    hits = settle(hits, "hits", costly=True)
     rows = hits.join(look_up(chunks, hits, "chunk_id").select(*cols), "chunk_id")
     if session is not None:
         rows = rows.filter(F.col("session_id") == session)

@@ -97,7 +97,7 @@ def recall(index: Index, queries: DataFrame, limit: int = 5, session: str | None
     """query_id, rank, score, sources, chunk and session columns: hybrid search, role weight, decay, diversity."""
     as_of = F.current_timestamp() if as_of is None else as_of
     queries = settle(queries, "queries")
-    pool = settle(hybrid_search(index, queries, 3 * limit, session, settings, weights, corrected), "pool")
+    pool = settle(hybrid_search(index, queries, 3 * limit, session, settings, weights, corrected), "pool", costly=True)
     weighted = pool.withColumn("score", F.col("score") * R.role_weight(F.col("role")))
     aged = weighted.withColumn("score", R.decay(F.col("score"), F.col("ts"), as_of, R.architectural(F.col("content")), settings.half_life_days))
     vectors = look_up(index.vectors, pool, "chunk_id").select("chunk_id", F.col("embedding").alias("v"))

@@ -40,13 +40,19 @@ def materialize(df: DataFrame, name: str = "step", max_rows: int = 0) -> DataFra
     return out
 
 
-def settle(df: DataFrame, name: str, most: int = 1000) -> DataFrame:
-    """df computed once: as rows of the plan where there are at most `most`, else as materialize() does. What is settled stays so."""
+def settle(df: DataFrame, name: str, most: int = 1000, costly: bool = False) -> DataFrame:
+    """df computed once: as rows of the plan where there are at most `most`, else as materialize() does. What is settled stays so.
+
+    Where there may be more, and what df reads is large, `costly` writes first and looks then.
+    """
     if hasattr(df, "_rows") or hasattr(df, "_scratch"):
         return df
-    table = df.limit(most + 1).toArrow()
+    written = materialize(df, name) if costly else None
+    table = (df if written is None else written).limit(most + 1).toArrow()
     if table.num_rows > most:
-        return materialize(df, name)
+        return materialize(df, name) if written is None else written
+    if written is not None:
+        discard(written)
     # From Arrow it is a local relation, whose size Spark knows; from rows it would be an RDD of unknown size.
     out = df.sparkSession.createDataFrame(table, df.schema)
     out._rows = [Row(**r) for r in table.to_pylist()]
