@@ -11,6 +11,8 @@ from retrospark.storage import materialize, rows_of
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Terms that a plan may name, so that a scan can look for them.
 NAMED_TERMS = 1000
+#: Phrases that a plan may hold, so that each row counts them in its own texts.
+NAMED_PHRASES = 1000
 
 
 def postings(chunks: DataFrame, *columns: str) -> DataFrame:
@@ -48,6 +50,42 @@ def scan_for(chunks: DataFrame, phrases: DataFrame, *columns: str) -> tuple[Data
     return found.select(F.col("h.term").alias("term"), "chunk_id", "col", F.col("h.pos").alias("pos")), rows.select("chunk_id", "n")
 
 
+def scan_bm25(chunks: DataFrame, phrases: DataFrame, *columns: str) -> DataFrame:
+    """As bm25(), of chunks that have no index. Each row counts the phrases in its own texts and adds up its own scores, so
+    that nothing moves but the numbers of chunks that have a phrase, and a task holds a row at a time however many hits a
+    corpus has. Where phrases are too many to be held by a plan, as bm25() of scan_for()."""
+    wanted = phrases.filter(F.size("terms") > 0).select("query_id", "phrase_no", "terms")
+    asked = wanted.limit(NAMED_PHRASES + 1).collect()
+    terms = sorted({t for r in asked for t in r.terms})
+    if len(asked) > NAMED_PHRASES or len(terms) > NAMED_TERMS:
+        return bm25(*scan_for(chunks, phrases, *columns), phrases)
+    if not asked:
+        return chunks.select(F.lit(None).cast(phrases.schema["query_id"].dataType).alias("query_id"), "chunk_id", F.lit(0.0).alias("bm25")).limit(0)
+    columns = columns or ("content", "session_id", "role")
+    names = [f"terms_{i}" for i in range(len(columns))]
+    cut = chunks.select("chunk_id", *[T.index_terms(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(t) for c, t in zip(columns, names, strict=True)])
+    places = [F.array_compact(F.transform(t, lambda x, i: F.when(x.isin(terms), i))).alias(f"at_{t}") for t in names]
+    cut = cut.select("chunk_id", *names, *places)
+    literal = F.array(*[F.struct(F.lit(i).alias("no"), F.array(*map(F.lit, r.terms)).alias("terms")) for i, r in enumerate(asked)])
+
+    def standing(column: str, p: Column) -> Column:
+        stands = lambda i: (F.get(column, i) == F.get(p, F.lit(0))) & ((F.size(p) == 1) | (F.slice(column, i + 1, F.size(p)) == p))
+        return F.size(F.filter(f"at_{column}", stands))
+
+    found = F.transform(literal, lambda p: F.struct(p["no"].alias("no"), sum((standing(t, p["terms"]) for t in names[1:]), standing(names[0], p["terms"])).alias("f")))
+    n = sum((F.size(t) for t in names[1:]), F.size(names[0]))
+    rows = materialize(cut.select("chunk_id", n.alias("n"), F.filter(found, lambda x: x["f"] > 0).alias("found")), "scanned")
+    stats = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("mean"))
+    with_it = rows.select(F.explode("found.no").alias("no")).groupBy("no").agg(F.count(F.lit(1)).alias("with_it"))
+    weights = with_it.join(F.broadcast(stats), F.lit(True)).select("no", "mean", idf(F.col("n_docs"), F.col("with_it")).alias("idf")).collect()
+    known, mean = {r.no: r.idf for r in weights}, weights[0].mean if weights else 1.0
+    weight, owner = F.array(*[F.lit(known.get(i, 0.0)) for i in range(len(asked))]), F.array(*[F.lit(r.query_id) for r in asked])
+    part = lambda x: F.get(weight, x["no"]) * x["f"] * (K1 + 1) / (x["f"] + K1 * (1 - B + B * F.col("n") / mean))
+    each = rows.select("chunk_id", "n", "found", F.explode(F.array_distinct(F.transform("found", lambda x: F.get(owner, x["no"])))).alias("query_id"))
+    score = F.aggregate(F.filter("found", lambda x: F.get(owner, x["no"]) == F.col("query_id")), F.lit(0.0), lambda a, x: a + part(x))
+    return each.select("query_id", "chunk_id", score.alias("bm25"))
+
+
 def few_terms(phrases: DataFrame) -> list[str] | None:
     """The terms of all phrases, if they are few enough to be named in a plan."""
     if (few := rows_of(phrases)) is not None:

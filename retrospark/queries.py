@@ -230,7 +230,7 @@ def bm25_query(name: str, phrases: list[list[str]]) -> None:
     def run(spark, sf_dir):
         docs = documents(spark, sf_dir)
         rows = spark.createDataFrame([(0, i, p) for i, p in enumerate(phrases)], "query_id long, phrase_no int, terms array<string>")
-        best = X.top_k(X.bm25(*X.scan_for(docs, rows), rows).withColumn("bm25", F.round("bm25", 6)), 20, F.desc("bm25"), F.col("chunk_id"))
+        best = X.top_k(X.scan_bm25(docs, rows).withColumn("bm25", F.round("bm25", 6)), 20, F.desc("bm25"), F.col("chunk_id"))
         return best.select("chunk_id", "bm25")
 
     each = " UNION ALL ".join(

@@ -244,6 +244,21 @@ def test_scan_gives_what_the_index_gives(spark, monkeypatch):
     assert sorted(X.vocabulary_of(docs).collect()) == sorted(X.vocabulary(X.postings(docs)).collect())
 
 
+def test_scan_scores_rows_where_they_are(spark, monkeypatch):
+    """A scan's scores are those of the postings, and hits don't leave their row: nothing is shuffled or sorted but the first k."""
+    texts = [("of the in of the", "src1"), ("the the the", "of"), (None, "the"), ("", ""), ("in of", "the"), ("of, the! In", "x in")]
+    docs = spark.createDataFrame([(i, t, s, "en") for i, (t, s) in enumerate(texts)], "chunk_id long, content string, session_id string, role string")
+    rows = spark.createDataFrame([(0, 0, ["of", "the"]), (0, 1, ["in"]), (0, 2, ["in"]), (1, 0, ["the", "the"]), (2, 0, []), (3, 0, ["none"]), (4, 0, ["the"])], "query_id long, phrase_no int, terms array<string>")
+    scores = lambda df: sorted((r.query_id, r.chunk_id, round(r.bm25, 12)) for r in df.collect())
+    whole = scores(X.bm25(X.postings(docs), X.document_lengths(docs), rows))
+    got = X.scan_bm25(docs, rows)
+    assert {w[0] for w in whole} == {0, 1, 4} and scores(got) == whole
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert scores(X.scan_bm25(docs, rows.filter("query_id = 2"))) == [] and scores(X.scan_bm25(docs.limit(0), rows)) == []
+    monkeypatch.setattr(X, "NAMED_PHRASES", 2)
+    assert scores(X.scan_bm25(docs, rows)) == whole
+
+
 def impact_case(spark, n=4000, seed=4):
     """Chunks of words of very unequal frequency and lengths, and the tables of their index."""
     rng = random.Random(seed)
