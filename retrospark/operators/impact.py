@@ -96,6 +96,12 @@ def best_blocks(blocks: DataFrame, vocab: DataFrame, stats: DataFrame, terms: Da
     return mine.join(settle(need, "need", costly=True), ["query_id", "term"]).filter(F.col("bound") >= F.col("need"))
 
 
+def vocabulary_of_blocks(blocks: DataFrame) -> DataFrame:
+    """As vocabulary, from blocks of chunks that are all there: a row for each 128 postings of a term."""
+    cnt = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    return blocks.groupBy("term").agg(F.sum(F.col("c").cast("long")).alias("doc"), F.sum(cnt).alias("cnt"))
+
+
 def parts_of(blocks: DataFrame) -> DataFrame:
     """query_id, chunk_id, part: what each posting of the blocks adds."""
     p = unpacked(blocks, "query_id", "weight", "mean")

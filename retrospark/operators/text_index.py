@@ -34,6 +34,22 @@ def document_lengths(chunks: DataFrame, *columns: str) -> DataFrame:
     return chunks.select("chunk_id", F.size(all_terms(columns)).alias("n"))
 
 
+def terms_by_chunk(chunks: DataFrame, *columns: str) -> DataFrame:
+    """chunk_id, n (tokens over all indexed columns), terms (array of term and f, its occurrences). Each text is cut once; its terms
+    are sorted, and where one begins and the next begins is how often it stands there, so nothing is shuffled."""
+    terms = chunks.select("chunk_id", F.sort_array(all_terms(columns)).alias("terms"))
+    begins = F.transform("terms", lambda t, i: F.when((i == 0) | (F.get("terms", i - 1) != t), i))
+    cut = terms.select("chunk_id", "terms", F.size("terms").alias("n"), F.array_compact(begins).alias("at"))
+    runs = F.transform("at", lambda i, j: F.struct(F.get("terms", i).alias("term"), (F.coalesce(F.get("at", j + 1), F.col("n")) - i).alias("f")))
+    # Written, as a plan that goes on with single fields of the terms would compute them again for each.
+    return materialize(cut.select("chunk_id", "n", runs.alias("terms")), "terms")
+
+
+def counts_of_terms(rows: DataFrame) -> DataFrame:
+    """term, chunk_id, f (occurrences), n (the chunk's length), from what terms_by_chunk() gives."""
+    return rows.select("chunk_id", "n", F.explode("terms").alias("t")).select("t.term", "chunk_id", "t.f", "n")
+
+
 def scan_for(chunks: DataFrame, phrases: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
     """(postings, lengths) of chunks that have no index: each text is cut to tokens once, and only tokens that a phrase
     has leave their row. Where there are too many such terms to name them, all tokens do."""
@@ -74,6 +90,9 @@ def scan_bm25(chunks: DataFrame, phrases: DataFrame, *columns: str) -> DataFrame
 
     found = F.transform(literal, lambda p: F.struct(p["no"].alias("no"), sum((standing(t, p["terms"]) for t in names[1:]), standing(names[0], p["terms"])).alias("f")))
     n = sum((F.size(t) for t in names[1:]), F.size(names[0]))
+    # Places are named twice: what is named once, Spark would compute for each phrase.
+    some = sum((F.size(f"at_{t}") for t in names[1:]), F.size(f"at_{names[0]}")) > 0
+    found = F.when(some, found)
     rows = materialize(cut.select("chunk_id", n.alias("n"), F.filter(found, lambda x: x["f"] > 0).alias("found")), "scanned")
     stats = rows.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("mean"))
     with_it = rows.select(F.explode("found.no").alias("no")).groupBy("no").agg(F.count(F.lit(1)).alias("with_it"))

@@ -28,8 +28,8 @@ from retrospark.functions import text as T
 from retrospark.operators import sessions as S
 from retrospark.operators.expand import gram_index
 from retrospark.operators.impact import alive as still_there
-from retrospark.operators.impact import counts_by_chunk, impact_blocks, unpacked
-from retrospark.operators.text_index import document_lengths, postings, vocabulary, vocabulary_of_counts
+from retrospark.operators.impact import impact_blocks, unpacked
+from retrospark.operators.text_index import counts_of_terms, postings, terms_by_chunk, vocabulary, vocabulary_of_counts
 from retrospark.plans.recall import Index
 from retrospark.sources import jsonl
 from retrospark.storage import materialize
@@ -184,8 +184,8 @@ def indexed(chunks: DataFrame) -> dict[str, DataFrame]:
     """The text index of chunks: postings in order of terms, so that files can be passed over by term, the same by impact,
     lengths and vocabulary."""
     p = materialize(postings(chunks), "postings")
-    lengths = materialize(document_lengths(chunks), "lengths")
-    counts = materialize(counts_by_chunk(p, lengths), "counts")
+    of_chunks = terms_by_chunk(chunks)
+    counts, lengths = counts_of_terms(of_chunks), of_chunks.select("chunk_id", "n")
     return {"postings": p.repartitionByRange("term").sortWithinPartitions("term", "chunk_id"), "impacts": impact_blocks(counts), "lengths": lengths} | vocabulary_tables(vocabulary_of_counts(counts))
 
 

@@ -15,7 +15,7 @@ from retrospark.operators import expand as E
 from retrospark.operators import ranking as R
 from retrospark.operators import sessions as S
 from retrospark.operators import text_index as X
-from retrospark.operators.impact import counts_by_chunk, impact_blocks, impact_scores
+from retrospark.operators.impact import impact_blocks, impact_scores, vocabulary_of_blocks
 from retrospark.operators.knn import knn
 from retrospark.plans import admin
 from retrospark.plans.recall import Index, hybrid_search, query_info, recall, resolve_sessions
@@ -261,11 +261,11 @@ def impact_sql() -> str:
 @query(impact_sql())
 def bm25_by_impact(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    p, lengths = materialize(X.postings(docs), "postings"), materialize(X.document_lengths(docs), "lengths")
-    counts = materialize(counts_by_chunk(p, lengths), "counts")
+    of_docs = X.terms_by_chunk(docs)
+    counts, lengths = X.counts_of_terms(of_docs), of_docs.select("chunk_id", "n")
     blocks = materialize(impact_blocks(counts), "impacts")
     rows = spark.createDataFrame([(i, n, [t]) for i, ts in IMPACT_ASKED.items() for n, t in enumerate(ts)], "query_id long, phrase_no int, terms array<string>")
-    found = impact_scores(blocks, p, lengths, X.vocabulary_of_counts(counts), rows, 20, slack=2e-12).withColumn("bm25", F.round("bm25", 12))
+    found = impact_scores(blocks, X.postings(docs), lengths, vocabulary_of_blocks(blocks), rows, 20, slack=2e-12).withColumn("bm25", F.round("bm25", 12))
     return X.top_k(found, 20, F.desc("bm25"), F.col("chunk_id")).select(F.col("query_id").cast("int").alias("query_id"), "pos", "chunk_id", "bm25")
 
 
@@ -351,8 +351,8 @@ def classify_query(spark, sf_dir):
 def message_index(spark: SparkSession, sf_dir: str) -> Index:
     chunks = materialize(message_chunks(spark, sf_dir), "chunks")
     p = materialize(X.postings(chunks), "postings")
-    lengths = materialize(X.document_lengths(chunks), "lengths")
-    counts = materialize(counts_by_chunk(p, lengths), "counts")
+    of_chunks = X.terms_by_chunk(chunks)
+    counts, lengths = X.counts_of_terms(of_chunks), of_chunks.select("chunk_id", "n")
     vocab = materialize(X.vocabulary_of_counts(counts), "vocab")
     return Index(chunks, None, vectors(spark, sf_dir).select("chunk_id", "embedding"), p, lengths, vocab, materialize(impact_blocks(counts), "impacts"), None, materialize(E.gram_index(vocab), "terms"))
 

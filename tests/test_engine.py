@@ -259,6 +259,19 @@ def test_scan_scores_rows_where_they_are(spark, monkeypatch):
     assert scores(X.scan_bm25(docs, rows)) == whole
 
 
+def test_terms_are_counted_in_their_row(spark):
+    """Counts of terms and lengths without a row for each token: as from the postings, and nothing is shuffled for them."""
+    docs = queries.documents(spark, SF).unionByName(spark.createDataFrame([(-1, None, None, None), (-2, "", "x", "y"), (-3, "a b A b b", "b", "é")], "chunk_id long, content string, session_id string, role string"))
+    rows = X.terms_by_chunk(docs)
+    assert "Exchange" not in X.counts_of_terms(rows)._jdf.queryExecution().executedPlan().toString()
+    p, lengths = X.postings(docs), X.document_lengths(docs)
+    counts = X.counts_of_terms(rows).cache()
+    want = sorted(I.counts_by_chunk(p, lengths).select("term", "chunk_id", "f", "n").collect())
+    assert sorted(counts.collect()) == want and [r[1:] for r in want if r.term == "b" and r.chunk_id == -3] == [(-3, 4, 7)]
+    assert sorted(rows.select("chunk_id", "n").collect()) == sorted(lengths.collect())
+    assert sorted(I.vocabulary_of_blocks(I.impact_blocks(counts)).collect()) == sorted(X.vocabulary(p).collect())
+
+
 def impact_case(spark, n=4000, seed=4):
     """Chunks of words of very unequal frequency and lengths, and the tables of their index."""
     rng = random.Random(seed)
