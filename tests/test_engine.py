@@ -272,6 +272,12 @@ def test_terms_are_counted_in_their_row(spark):
     assert sorted(I.vocabulary_of_blocks(I.impact_blocks(counts)).collect()) == sorted(X.vocabulary(p).collect())
 
 
+def test_common_word_is_shuffled_once(spark):
+    """Of a word that nearly all texts hold, only each task's first twenty move."""
+    plan = queries.QUERIES["bm25_common"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("WindowGroupLimit") == 2
+
+
 def impact_case(spark, n=4000, seed=4):
     """Chunks of words of very unequal frequency and lengths, and the tables of their index."""
     rng = random.Random(seed)
