@@ -2,18 +2,24 @@
 
 Texts are lower-cased (A-Z), cut at `[.,;:!?\\x0A-\\x0D]` into pieces and these into words `[^\\x20\\x09]+`. A phrase of k
 words is the pair of its first and its last k - 1 words, and has a number if it occurs `min_count` times in its language:
-words are numbered first; then, level by level, neighbouring numbers in the texts are counted as pairs, frequent pairs get
-numbers by a join, and the texts are rewritten as sequences of these. As no phrase is more frequent than its parts,
+words are numbered first; then, level by level, neighbouring numbers in the texts are counted as pairs, frequent pairs are
+numbered, and the texts are rewritten as sequences of these. As no phrase is more frequent than its parts,
 nothing is lost. A number's pair points at its parents, so the counts on both sides of every cut, and the longer phrases
 that hold a phrase, are found by joins of the tables of names, never by looking at texts again.
 
 Texts are handled in pieces of about BLOCK_BYTES, and BLOCK_PIECES of them are a block. A block sends each of its distinct
-pairs once, with its count, and Spark sums them; then it asks for the numbers of those pairs that may be frequent and have
-a neighbour that may be so too. It knows them from a bitmap of FILTER_BITS bits over the frequent pairs' hashes, whose size
-is fixed; hits by chance cost a row of the join and change nothing. Sequences keep a block's own small numbers, and only
-where two neighbours are numbered. Words are compared by their bytes
-where their hashes are equal. Ranks come from a range partitioning and one count for each partition and language, so that
-a language with most of the phrases is dealt to many tasks.
+pairs once, with its count, and Spark sums them; nothing else of it moves, as a pair's number follows from its parts'
+numbers: a word's is its place among the hashes of frequent words, which tasks hold; a pair of words' is both in one
+long; and that of a longer phrase is a hash of both. Where a level is named by hashes, counts are summed by hash with the
+least and the greatest left part, which tell whether two pairs share one; then the level is counted again with another seed.
+Where frequent words are more than HELD_WORDS or two words share a hash, blocks ask for their words' numbers by a join, and
+pairs of words are named by hashes too.
+
+Pairs that may be frequent, and have a neighbour that may be so too, are known from a bitmap of FILTER_BITS bits over the
+frequent pairs' hashes, whose size is fixed; hits by chance cost rows of the next count and change nothing, as what holds a
+rare phrase is rare. Sequences keep a block's own small numbers, and only where two neighbours are numbered. Words are
+compared by their bytes where their hashes are equal. Ranks come from a range partitioning and one count for each partition
+and language, so that a language with most of the phrases is dealt to many tasks.
 
 Counts are longs; scores and shares are compared as decimals, exactly.
 
@@ -27,8 +33,8 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +49,8 @@ from retrospark.storage import discard, materialize
 
 MIN_COUNT, LONGEST, TOP, SUBSUMED = 30, 4, 2000, 80
 BLOCK_BYTES, BLOCK_PIECES, COUNTED_PIECES, FILTER_BITS, SENT_ROWS = 1 << 20, 8, 8, 1 << 25, 1 << 15
+#: Frequent words whose hashes each task holds at most: 32 MB.
+HELD_WORDS = 1 << 22
 U64 = np.uint64
 # Bytes: 0 of words, 1 between words, 2 between pieces.
 _KIND = np.zeros(256, np.uint8)
@@ -138,7 +146,7 @@ def _word_arrays(low, starts, ends, lang, names, chosen) -> tuple[pa.Array, pa.A
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, word, n: a row for each distinct word of some pieces."""
+    """lang, word, hash, n: a row for each distinct word of some pieces."""
     for pieces in _grouped(map(_counted, text_blocks(batches)), COUNTED_PIECES):
         yield from _added_up(pieces).to_batches(max_chunksize=SENT_ROWS)
         give_back()
@@ -146,14 +154,16 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _added_up(rows: list[pa.RecordBatch]) -> pa.Table:
-    return pa.Table.from_batches(rows).group_by(["lang", "word"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["lang", "word", "n"])
+    return pa.Table.from_batches(rows).group_by(["lang", "word", "hash"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["lang", "word", "hash", "n"])
 
 
 def _counted(piece: tuple) -> pa.RecordBatch:
     data, texts, names = piece
     low, starts, ends, lang, _ = words_of(data, texts)
-    first, _, count = distinct_words(low, starts, ends, lang, hashes_of(low, starts, ends, _lang_seeds(names)[lang]))
-    return pa.RecordBatch.from_arrays([*_word_arrays(low, starts, ends, lang, names, first), pa.array(count.astype(np.int64))], names=["lang", "word", "n"])
+    hashes = hashes_of(low, starts, ends, _lang_seeds(names)[lang])
+    first, _, count = distinct_words(low, starts, ends, lang, hashes)
+    columns = [*_word_arrays(low, starts, ends, lang, names, first), pa.array(hashes[first].view(np.int64)), pa.array(count.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "word", "hash", "n"])
 
 
 def _grouped(items: Iterator, n: int) -> Iterator[list]:
@@ -230,6 +240,46 @@ def _pairs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, codes[at].astype(np.int64) << 32 | codes[at + 1].astype(np.int64)
 
 
+def named_words(docs: DataFrame, known: np.ndarray) -> DataFrame:
+    """block, codes (a sequence for each piece), ids (of the numbers from 1), and the block's words by language. known: the
+    frequent words' hashes, rising; a word's id is its place among them."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        for block, pieces in enumerate(_grouped(_known_words(text_blocks(batches), shared.value), BLOCK_PIECES)):
+            ids = np.unique(np.concatenate([own for _, own, _ in pieces]))
+            codes = (np.concatenate(([0], np.searchsorted(ids, own) + 1))[_unpacked(c)] for c, own, _ in pieces)
+            b = _block(task | block, codes, ids)
+            total = Counter()
+            for p in pieces:
+                total.update(p[2])
+            sizes = pa.array([[{"lang": x, "n": c} for x, c in total.items()]], pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([*b.columns, sizes], names=["block", "codes", "ids", "sizes"])
+        give_back()
+
+    return docs.mapInArrow(run, "block long, codes array<binary>, ids array<long>, sizes array<struct<lang:string,n:long>>")
+
+
+def _spread(codes: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """The words' numbers with a 0 before each word that starts a piece of text, made compact."""
+    spread = np.zeros(len(codes) + (~follows).sum(), np.int64)
+    spread[np.arange(len(codes)) + np.cumsum(~follows)] = codes
+    return compact(spread)
+
+
+def _known_words(pieces: Iterator, known: np.ndarray) -> Iterator[tuple[bytes, np.ndarray, Counter]]:
+    """For each piece its sequence, the ids of the words numbered in it, and its words by language."""
+    for data, texts, names in pieces:
+        low, starts, ends, lang, follows = words_of(data, texts)
+        hashes = hashes_of(low, starts, ends, _lang_seeds(names)[lang])
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        spread = _spread(np.where(known[at] == hashes, at + 1, 0), follows)
+        used = np.unique(spread[spread != 0])
+        total = Counter(dict(zip(names, np.bincount(lang, minlength=len(names)).tolist(), strict=True)))
+        yield _packed(np.where(spread != 0, np.searchsorted(used, spread) + 1, 0)), used - 1, total
+
+
 def word_sequences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """block, codes (a sequence for each piece), words (of the numbers from 1), and the block's words by language."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
@@ -270,10 +320,7 @@ def _likely_words(pieces: Iterator, bits: np.ndarray) -> Iterator[tuple[bytes, p
         first, number, _ = distinct_words(low, starts[some], ends[some], lang[some], hashes[some])
         codes = np.zeros(len(starts), np.int64)
         codes[some] = number + 1
-        # A 0 before each word that starts a piece of text.
-        spread = np.zeros(len(starts) + (~follows).sum(), np.int64)
-        spread[np.arange(len(starts)) + np.cumsum(~follows)] = codes
-        spread = compact(spread)
+        spread = _spread(codes, follows)
         used = np.unique(spread[spread != 0])
         renumber = np.zeros(len(first) + 1, np.int64)
         renumber[used] = np.arange(1, len(used) + 1)
@@ -304,79 +351,135 @@ def numbered_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     give_back()
 
 
-def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """left, right, n: a row for each distinct pair of some pieces."""
-    for b in batches:
-        for _, codes, ids in _lists(b):
-            for pieces in _grouped(iter(codes), COUNTED_PIECES):
-                # Sorted in place, so that little more than the pairs is held.
-                pairs = np.concatenate([_pairs(c)[1] for c in pieces])
-                pairs.sort()
-                first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))[: len(pairs)])
-                n = np.diff(np.append(first, len(pairs)))
-                pairs = pairs[first]
-                for i in range(0, len(pairs), SENT_ROWS):
-                    left, right = _of_pairs(ids.to_numpy(), pairs[i : i + SENT_ROWS])
-                    yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n[i : i + SENT_ROWS].astype(np.int64))], names=["left", "right", "n"])
-            give_back()
-    give_back()
+def count_pairs(blocks: DataFrame, seed: int | None = None) -> DataFrame:
+    """left, right, n: a row for each distinct pair of some pieces; with a seed, id (by hash), left, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, codes, ids in _lists(b):
+                for pieces in _grouped(iter(codes), COUNTED_PIECES):
+                    # Sorted in place, so that little more than the pairs is held.
+                    pairs = np.concatenate([_pairs(c)[1] for c in pieces])
+                    pairs.sort()
+                    first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))[: len(pairs)])
+                    n = np.diff(np.append(first, len(pairs)))
+                    pairs = pairs[first]
+                    for i in range(0, len(pairs), SENT_ROWS):
+                        left, right = _of_pairs(ids.to_numpy(), pairs[i : i + SENT_ROWS])
+                        key = [left, right] if seed is None else [hashed_names(left, right, seed), left]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, key), pa.array(n[i : i + SENT_ROWS].astype(np.int64))], names=names)
+                give_back()
+        give_back()
+
+    names = ["left", "right", "n"] if seed is None else ["id", "left", "n"]
+    return blocks.select("block", "codes", "ids").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def _of_pairs(ids: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[(pairs >> 32) - 1], ids[(pairs & 0xFFFFFFFF) - 1]
 
 
-def likely_pairs(blocks: DataFrame, bits: np.ndarray) -> DataFrame:
-    """block, left, right: pairs of a block that the bitmap holds, and that have a neighbour which it holds."""
+def packed_names(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers of pairs of words, whose ids are under HELD_WORDS: both in one long."""
+    return left << 32 | right
+
+
+def _seeded(left: np.ndarray, seed: int) -> np.ndarray:
+    return mix(left.view(U64) ^ mix(np.array([seed], U64))) * U64(3)
+
+
+def hashed_names(left: np.ndarray, right: np.ndarray, seed: int) -> np.ndarray:
+    """Numbers of pairs by hash; of those with one number, no two have the same left part."""
+    return (_seeded(left, seed) + right.view(U64)).view(np.int64)
+
+
+def right_of(name: np.ndarray, left: np.ndarray, seed: int) -> np.ndarray:
+    """The right part of a pair that hashed_names() has named."""
+    return (name.view(U64) - _seeded(left, seed)).view(np.int64)
+
+
+def named_pairs(blocks: DataFrame, bits: np.ndarray, name: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """block, codes, ids of the pairs that the bitmap holds, and that have a neighbour which it holds."""
     shared = blocks.sparkSession.sparkContext.broadcast(bits)
 
+    def likely(c: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        at, pairs = _pairs(c)
+        some = may_hold(shared.value, pair_hashes(*_of_pairs(ids, pairs)))
+        there = np.zeros(len(c) + 1, bool)
+        there[at[some]] = True
+        return np.unique(pairs[some & (there[at - 1] | there[at + 1])])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, codes, ids in _lists(b):
-                ids, each = ids.to_numpy(), []
-                for c in codes:
+                ids = ids.to_numpy()
+                keys = np.unique(np.concatenate([likely(c, ids) for c in codes]))
+                if not len(keys):
+                    continue
+                new, rank = np.unique(name(*_of_pairs(ids, keys)), return_inverse=True)
+
+                def named(c: np.ndarray, keys=keys, rank=rank) -> np.ndarray:
                     at, pairs = _pairs(c)
-                    some = may_hold(shared.value, pair_hashes(*_of_pairs(ids, pairs)))
-                    there = np.zeros(len(c) + 1, bool)
-                    there[at[some]] = True
-                    each.append(np.unique(pairs[some & (there[at - 1] | there[at + 1])]))
-                pairs = np.unique(np.concatenate(each))
-                for i in range(0, len(pairs), SENT_ROWS):
-                    left, right = _of_pairs(ids, pairs[i : i + SENT_ROWS])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), block, np.int64)), pa.array(left), pa.array(right)], names=["block", "left", "right"])
+                    where = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+                    numbers = np.zeros(len(c), np.int64)
+                    numbers[at] = np.where(keys[where] == pairs, rank[where] + 1, 0)
+                    return numbers
+
+                yield _block(block, map(named, codes), new)
+                give_back()
         give_back()
 
-    return blocks.select("block", "codes", "ids").mapInArrow(run, "block long, left long, right long")
+    return blocks.select("block", "codes", "ids").mapInArrow(run, "block long, codes array<binary>, ids array<long>")
 
 
-def numbered_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """block, codes, ids, found (left, right, id) -> block, codes, ids of the pairs."""
-    for b in batches:
-        for block, codes, ids, found in _lists(b):
-            ids = ids.to_numpy()
-            left, right, new = (x.to_numpy() for x in found.flatten())
-            keys = (np.searchsorted(ids, left) + 1) << 32 | (np.searchsorted(ids, right) + 1)
-            rank, order = np.argsort(np.argsort(new)) + 1, np.argsort(keys)
-            keys, rank = keys[order], rank[order]
-
-            def named(c: np.ndarray, keys=keys, rank=rank) -> np.ndarray:
-                at, pairs = _pairs(c)
-                where = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-                numbers = np.zeros(len(c), np.int64)
-                numbers[at] = np.where(keys[where] == pairs, rank[where], 0)
-                return numbers
-
-            yield _block(block, map(named, codes), np.sort(new))
-    give_back()
+# --- names ------------------------------------------------------------------------------------------------------------
 
 
-# --- names ------------------------------------------------------------------------------------------------------------
+def frequent_words(docs: DataFrame, min_count: int) -> tuple[DataFrame, np.ndarray | None]:
+    """(lang, word, a and id of what occurs often enough; the frequent words' hashes in order of the ids, or None where
+    they are too many to be held, or two words share one)."""
+    counts = docs.mapInArrow(count_words, "lang string, word binary, hash long, n long")
+    # Dealt by hash, so that words that share one meet.
+    each = counts.repartition("hash").groupBy("hash", "lang", "word").agg(F.sum("n").alias("a"))
+    each = each.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("hash")))
+    found = materialize(each.filter((F.col("a") >= min_count) | (F.col("kinds") > 1)).withColumn("id", F.monotonically_increasing_id()), "words")
+    n, kinds = found.agg(F.count(F.lit(1)), F.max("kinds")).first()
+    if n > HELD_WORDS or (kinds or 0) > 1:
+        return found.filter(F.col("a") >= min_count).select("lang", "word", "a", "id"), None
+    known = np.sort(found.select("hash").toArrow()["hash"].to_numpy().view(U64))
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = np.searchsorted(shared.value, b.column(3).to_numpy().view(U64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ids)], names=["lang", "word", "a", "id"])
+
+    words = materialize(found.select("lang", "word", "a", "hash").mapInArrow(placed, "lang string, word binary, a long, id long"), "words")
+    discard(found)
+    return words, known
+
+
+def frequent_pairs(blocks: DataFrame, min_count: int, name: str, id: Column | None = None) -> DataFrame:
+    """left, right, a and id of the pairs that occur often enough. Written once, so that all see one id."""
+    often = count_pairs(blocks).groupBy("left", "right").agg(F.sum("n").alias("a")).filter(F.col("a") >= min_count)
+    return materialize(often.withColumn("id", F.monotonically_increasing_id() if id is None else id), name)
+
+
+def frequent_hashed(blocks: DataFrame, min_count: int, name: str) -> tuple[DataFrame, int]:
+    """(left, right, a and id of the pairs that occur often enough, by hash; its seed). No two pairs have one hash."""
+    for seed in itertools.count():
 
+        def parts(batches: Iterator[pa.RecordBatch], seed=seed) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                right = right_of(b.column(0).to_numpy(), b.column(1).to_numpy(), seed)
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(right), *b.columns[2:], b.column(0)], names=["left", "right", "a", "single", "id"])
 
-def frequent(counts: DataFrame, keys: list[str], min_count: int, name: str) -> DataFrame:
-    """keys, a (occurrences) and id of what occurs often enough. Written once, so that all see one id."""
-    often = counts.groupBy(*keys).agg(F.sum("n").alias("a")).filter(F.col("a") >= min_count)
-    return materialize(often.withColumn("id", F.monotonically_increasing_id()), name)
+        by_hash = count_pairs(blocks, seed).groupBy("id").agg(F.min("left").alias("left"), F.sum("n").alias("a"), F.max("left").alias("most"))
+        kept = by_hash.select("id", "left", "a", (F.col("left") == F.col("most")).alias("single")).filter((F.col("a") >= min_count) | ~F.col("single"))
+        found = materialize(kept.mapInArrow(parts, "left long, right long, a long, single boolean, id long"), name)
+        if found.filter(~F.col("single")).limit(1).count() == 0:
+            return found.drop("single"), seed
+        discard(found)
 
 
 def name_levels(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST) -> tuple[list[DataFrame], DataFrame]:
@@ -384,23 +487,34 @@ def name_levels(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONG
 
     docs: lang, text (binary).
     """
-    words = frequent(docs.mapInArrow(count_words, "lang string, word binary, n long"), ["lang", "word"], min_count, "words")
-    texts = materialize(word_sequences(docs, bitmap(words.select("lang", "word"))), "sequences")
+    words, known = frequent_words(docs, min_count)
+    if known is not None and len(known):
+        texts = materialize(named_words(docs, known), "blocks")
+        blocks = texts
+    else:
+        texts = materialize(word_sequences(docs, bitmap(words.select("lang", "word"))), "sequences")
+        asked = texts.select("block", F.posexplode("words").alias("i", "w")).select("block", "i", F.col("w.lang").alias("lang"), F.col("w.word").alias("word"))
+        found = asked.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("i", "id")).alias("found"))
+        kind = "block long, codes array<binary>, ids array<long>"
+        blocks = materialize(texts.select("block", "codes").join(found, "block").select("block", "codes", "found").mapInArrow(numbered_words, kind), "blocks")
     total = materialize(texts.select(F.explode("sizes").alias("s")).groupBy(F.col("s.lang").alias("lang")).agg(F.sum("s.n").alias("n")), "totals")
-    asked = texts.select("block", F.posexplode("words").alias("i", "w")).select("block", "i", F.col("w.lang").alias("lang"), F.col("w.word").alias("word"))
-    found = asked.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("block").agg(F.collect_list(F.struct("i", "id")).alias("found"))
-    kind = "block long, codes array<binary>, ids array<long>"
-    blocks = materialize(texts.select("block", "codes").join(found, "block").select("block", "codes", "found").mapInArrow(numbered_words, kind), "blocks")
-    discard(texts)
+    if texts is not blocks:
+        discard(texts)
     levels = [words]
     for k in range(2, longest + 1):
-        levels.append(frequent(blocks.mapInArrow(count_pairs, "left long, right long, n long"), ["left", "right"], min_count, f"phrases-{k}"))
-        if k < longest:
-            asked = likely_pairs(blocks, bitmap(levels[-1].select("left", "right")))
-            found = asked.join(levels[-1].select("left", "right", "id"), ["left", "right"]).groupBy("block").agg(F.collect_list(F.struct("left", "right", "id")).alias("found"))
-            after = materialize(blocks.join(found, "block").select("block", "codes", "ids", "found").mapInArrow(numbered_pairs, kind), "blocks")
-            discard(blocks)
-            blocks = after
+        title, name = f"phrases-{k}", packed_names
+        if k == longest:  # is never named in texts
+            levels.append(frequent_pairs(blocks, min_count, title))
+            break
+        if k == 2 and known is not None:
+            levels.append(frequent_pairs(blocks, min_count, title, F.shiftleft("left", 32).bitwiseOR(F.col("right"))))
+        else:
+            pairs, seed = frequent_hashed(blocks, min_count, title)
+            levels.append(pairs)
+            name = partial(hashed_names, seed=seed)
+        after = materialize(named_pairs(blocks, bitmap(levels[-1].select("left", "right")), name), "blocks")
+        discard(blocks)
+        blocks = after
     discard(blocks)
     return levels, total
 

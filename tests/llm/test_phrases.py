@@ -115,3 +115,61 @@ def test_scores_beyond_longs(spark):
     levels = [spark.createDataFrame([("en", b"x", a + 1, 1), ("en", b"y", a + 2, 2)], "lang string, word binary, a long, id long"), spark.createDataFrame([(1, 2, a, 1)], "left long, right long, a long, id long")]
     got = P.scored(levels, spark.createDataFrame([("en", 4 * a)], "lang string, n long")).first()
     assert (got.phrase, got.a, got.l, got.r, got.n, got.score) == ("x y", a, a + 1, a + 2, 4 * a, 2_000_000 * a // (2 * a + 3))
+
+
+def test_only_counts_are_shuffled(spark):
+    """Names follow from their parts: no block asks for them by a join, and nothing of a block moves but counts."""
+    docs = spark.createDataFrame([(g or "und", t.encode()) for _, t, g in texts()], "lang string, text binary").repartition(3)
+    words, known = P.frequent_words(docs, 7)
+    blocks = P.materialize(P.named_words(docs, known))
+    pairs = P.frequent_pairs(blocks, 7, "pairs", F.shiftleft("left", 32).bitwiseOR(F.col("right")))
+    after = P.named_pairs(blocks, P.bitmap(pairs.select("left", "right")), P.packed_names)
+    assert pairs.count() > 40 and after.count() == blocks.count()
+    for frame in (P.named_words(docs.filter("true"), known), after):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+    # Ids of pairs in texts are those of the table, for all frequent pairs that have a frequent neighbour.
+    assert {i for r in after.collect() for i in r.ids} >= {r.left for r in P.frequent_pairs(after, 7, "triples").collect()}
+
+
+@pytest.mark.parametrize("held", [0, 5])
+def test_more_words_than_tasks_hold(spark, monkeypatch, held):
+    rows = texts()
+    monkeypatch.setattr(P, "HELD_WORDS", held)
+    assert found(spark.createDataFrame(rows, SCHEMA).repartition(5), 7) == plain(rows, 7)
+
+
+def test_names_and_their_parts():
+    rng = np.random.default_rng(1)
+    left, right = rng.integers(-(2**63), 2**63 - 1, (2, 5000))
+    for seed in (0, 3):
+        names = P.hashed_names(left, right, seed)
+        assert (P.right_of(names, left, seed) == right).all() and len(np.unique(names)) == 5000
+    assert (P.hashed_names(left, right, 0) != P.hashed_names(left, right, 3)).all()
+
+
+def test_pairs_of_one_hash_are_counted_with_another_seed(spark, monkeypatch):
+    """With the first seed a rare pair has the name of a frequent one."""
+    pairs, seeds = [(1, 2, 9), (3, 4, 1), (5, 6, 7), (5, 7, 2)], []
+
+    def counted(blocks, seed):
+        seeds.append(seed)
+        named = [(int(P.hashed_names(np.array([l]), np.array([r]), seed)[0]), l, n) for l, r, n in pairs]
+        return spark.createDataFrame([named[0], (named[0][0], *named[1][1:]), *named[2:]] if seed == 0 else named, "id long, left long, n long")
+
+    monkeypatch.setattr(P, "count_pairs", counted)
+    got, seed = P.frequent_hashed(None, 7, "pairs")
+    assert seed == 1 and seeds == [0, 1] and got.columns == ["left", "right", "a", "id"]
+    assert sorted((r.left, r.right, r.a) for r in got.collect()) == [(1, 2, 9), (5, 6, 7)]
+
+
+def test_words_of_one_hash_get_numbers_by_a_join(spark, monkeypatch):
+    rows, count_words = texts(n=60), P.count_words
+
+    def same(batches):
+        for b in count_words(batches):
+            yield b.set_column(2, "hash", pa.array([7] * b.num_rows, pa.int64()))
+
+    monkeypatch.setattr(P, "count_words", same)
+    assert P.frequent_words(spark.createDataFrame([("en", b"a b")], "lang string, text binary"), 1)[1] is None
+    assert found(spark.createDataFrame(rows, SCHEMA).repartition(5), 7) == plain(rows, 7)
